@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, quality_rules
+from . import chat_format, exact_dedup, mixing, quality_rules
 
 QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_chat_format": chat_format.op3_chat_format,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
 ORACLES = {
+    "op1_mixing": mixing.ORACLE,
+    "op3_chat_format": chat_format.ORACLE,
     "op2_quality_rules": quality_rules.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }
