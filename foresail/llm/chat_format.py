@@ -52,13 +52,13 @@ def _turn(role: str, text: str) -> str:
     return f"named_struct('role', '{role}', 'text', coalesce({text}, ''))"
 
 
-# Roles under other names. Fixed values.
+# Roles of the layout with from and value, under our names. Fixed values.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 _ROLE = "coalesce(CASE " + " ".join(f"WHEN {{0}} = '{k}' THEN '{v}'" for k, v in ROLES.items()) + " ELSE {0} END, '')"
 
 LAYOUTS = (
     Layout("messages", "messages array<struct<role:string,content:string>>",
-           f"transform(r.messages, x -> named_struct('role', {_ROLE.format('x.role')}, 'text', coalesce(x.content, '')))"),
+           "transform(r.messages, x -> named_struct('role', coalesce(x.role, ''), 'text', coalesce(x.content, '')))"),
     Layout("sharegpt", "conversations array<struct<from:string,value:string>>",
            f"transform(r.conversations, x -> named_struct('role', {_ROLE.format('x.from')}, 'text', coalesce(x.value, '')))"),
     Layout("prompt", "prompt string, response string", f"array({_turn('user', 'r.prompt')}, {_turn('assistant', 'r.response')})"),
@@ -137,7 +137,8 @@ def _with(r: Column, layout: Layout) -> Column:
     lists = {"messages": ("messages", "role", "content"), "sharegpt": ("conversations", "from", "value")}
     if layout.name in lists:
         items, who, what = lists[layout.name]
-        return F.transform(r[items], lambda x: turn(role(x[who]), F.coalesce(x[what], F.lit(""))))
+        name = role if who == "from" else (lambda c: F.coalesce(c, F.lit("")))
+        return F.transform(r[items], lambda x: turn(name(x[who]), F.coalesce(x[what], F.lit(""))))
     answer = {"prompt": "response", "completion": "completion", "system_prompt": "response"}.get(layout.name, "output")
     asked = field("prompt") if layout.name in ("prompt", "completion", "system_prompt") else field("instruction")
     if layout.name == "instruction_input":
@@ -231,15 +232,13 @@ WITH rows_ AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '{EXTRA_TEXT}'
   UNION ALL SELECT -1, 1, 'assistant', '{EXTRA_TEXT}'
-),
-named AS (
-  SELECT conv_id, turn, CASE {" ".join(f"WHEN role = '{k}' THEN '{v}'" for k, v in ROLES.items())} ELSE role END AS role, text FROM rows_
 )
+
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum({len(START)} + 1 + {len(END)} + length(regexp_replace(replace(replace(role, '%', '%25'), chr(10), '%0A'), '<(\\\\*)\\|', '<\\1\\\\|', 'g'))
     + length(regexp_replace(text, '<(\\\\*)\\|', '<\\1\\\\|', 'g'))) AS BIGINT) AS formatted_chars
-FROM named GROUP BY conv_id
+FROM rows_ GROUP BY conv_id
 """

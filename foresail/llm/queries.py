@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, mixing, quality_rules
+from . import chat_format, exact_dedup, mixing, near_dedup, quality_rules
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_chat_format": chat_format.op3_chat_format,
+    "op8_minhash_near_dedup": near_dedup.op8_minhash_near_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
