@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, mixing, near_dedup, packing, quality_rules, token_store
+from . import chat_format, exact_dedup, lm_scoring, mixing, near_dedup, packing, quality_rules, token_store, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_chat_format": chat_format.op3_chat_format,
+    "op5_lm_scoring": lm_scoring.op5_lm_scoring,
     "op6_token_store": token_store.op6_token_store,
     "op7_packing": packing.op7_packing,
     "op8_minhash_near_dedup": near_dedup.op8_minhash_near_dedup,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
