@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import discard, ship, table, written
@@ -121,7 +121,11 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _linked(reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) between representatives (rep, sig) that hold the same components as all links."""
+    """Links (a, b) between representatives (rep, sig) that hold the same components as all links.
+
+    First each bucket's members are held against its least member, which joins most copies of a text. Then only
+    members of buckets with several components are left, and pairs between those components are found by ``_across``.
+    """
     keys = written(reps.mapInArrow(_keys, "key long, rep long"), "near-keys")
     shared = written(keys.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead <> last").select("key", "lead"), "near-shared")
     met = written(keys.join(shared, "key"), "near-met")
@@ -134,15 +138,102 @@ def _linked(reps: DataFrame, docs: DataFrame) -> DataFrame:
     split = written(placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key"), "near-split")
     open_ = written(placed.join(split, "key", "left_semi"), "near-open")
     discard(met, placed, split)
-    x, y = open_.alias("x"), open_.alias("y")
-    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")))
-    cross = cross.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+    cross = _across(open_, reps, docs)
     # A leader's pairs were decided in the first round.
     second = _confirmed(_close(cross.join(first, ["a", "b"], "left_anti"), reps), docs)
     discard(open_)
     return first.unionByName(second)
 
 
+def _ranked(tokens: DataFrame, key: list[str]) -> DataFrame:
+    """Rows (rep, root, ``key``) with ``df``, the rows that hold the key, of keys that two components hold. Keys are counted before they are shuffled."""
+    held = tokens.groupBy(*key).agg(F.count(F.lit(1)).alias("df"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").drop("r0", "r1")
+    return tokens.join(written(held, "near-held"), key)
+
+
+def _alive(open_: DataFrame, reps: DataFrame) -> DataFrame:
+    """Rows (rep, root) of ``open_`` that may be within the distance of a member of another component.
+
+    Within the distance, 33 of 64 places agree, so each two share one of the 32 rarest (place, value) pairs
+    of either. What only a widespread passage has brought together shares none of these.
+    """
+    members = open_.select("rep", "root").distinct()
+    places = members.join(reps, "rep").select("rep", "root", F.posexplode("sig").alias("k", "v"))
+    tokens = written(places.select("rep", "root", (F.col("k") * (1 << BITS) + F.col("v")).alias("token")), "near-places")
+    ranked = _ranked(tokens, ["token"])
+    # Places that no other component holds come first in the order; a doc's other places are told by their number.
+    order = Window.partitionBy("rep").orderBy(F.desc("df"), "token")
+    kept = ranked.withColumn("from_end", F.row_number().over(order)).where(F.col("from_end") > PLACES - MAX_DISTANCE - 1)
+    split = kept.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token")
+    out = written(kept.join(written(split, "near-split"), "token", "left_semi").select("rep", "root").distinct(), "near-alive")
+    discard(tokens)
+    return out
+
+
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (rep, root, family, text, text of the family's first): sizes, shared shingles, and the shingles that the first lacks."""
+    last: tuple[str | None, np.ndarray] = (None, np.zeros(0, np.uint64))
+    for batch in batches:
+        for at in range(0, len(batch), 256):
+            part = batch.slice(at, 256)
+            n, inside, places, values = [], [], [0], []
+            for k, own in enumerate(shingle_sets(part.column(3))):
+                ref = part.column(4)[k].as_py()
+                if ref != last[0]:
+                    last = ref, next(shingle_sets(pa.array([ref], pa.string())))
+                rest = np.setdiff1d(own, last[1], assume_unique=True)
+                n.append(len(own))
+                inside.append(len(own) - len(rest))
+                values.append(rest.view(np.int64))
+                places.append(places[-1] + len(rest))
+            rest = pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(np.concatenate(values) if values else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(n, pa.int64()), pa.array(inside, pa.int64()), rest], ["rep", "root", "family", "n", "inside", "rest"])
+
+
+def _across(open_: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that hold all links between them, without listing the pairs of a bucket.
+
+    Members that buckets connect form a family. With the family's first text R, two texts x and y share
+    at most min(|x & R|, |y & R|) shingles inside R, and for a link they need 3/7 of |x| + |y|. So either both hold that
+    many inside R (A), or they share a shingle outside R (B), and then one of the rarest of each, as many as its size allows.
+    """
+    alive = _alive(open_, reps)
+    live = written(open_.join(alive.select("rep"), "rep", "left_semi"), "near-live")
+    leads = written(live.groupBy("key").agg(F.min("rep").alias("lead")), "near-leads")
+    edges = live.join(leads, "key").where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+    family = written(components(edges), "near-families")
+    members = alive.join(family.select(F.col("v").alias("rep"), F.col("root").alias("family")), "rep")
+    texts = docs.select("doc_id", "text").join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = written(texts, "near-texts")
+    own = members.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    both = own.join(texts.select(F.col("doc_id").alias("family"), F.col("text").alias("first")), "family")
+    parts = both.select("rep", "root", "family", "text", "first").mapInArrow(_differences, "rep long, root long, family long, n long, inside long, rest array<long>")
+    parts = written(parts, "near-parts")
+    discard(live, leads, family, texts)
+    # (A) Sizes go to classes of 5 percent; x asks for the classes of sizes that its shared shingles suffice for.
+    size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.05)))
+    most = F.floor(7 * F.col("inside") / 3) - F.col("n")
+    least = F.ceil(F.col("n") * 3 / 4)
+    asks = parts.where(most >= least).select("rep", "root", "family", "n", "inside", F.explode(F.sequence(
+        F.floor(F.log(least.cast("double")) / F.log(F.lit(1.05))), F.floor(F.log(most.cast("double")) / F.log(F.lit(1.05))))).alias("size_class"))
+    x, y = asks.alias("x"), parts.where(most >= least).withColumn("size_class", size_class).drop("rest").alias("y")
+    fits = F.least("x.inside", "y.inside") * 7 >= (F.col("x.n") + F.col("y.n")) * 3
+    apart = (F.col("x.family") == F.col("y.family")) & (F.col("x.root") != F.col("y.root"))
+    inner = x.join(y, apart & (F.col("x.size_class") == F.col("y.size_class")) & (F.col("x.rep") < F.col("y.rep")) & fits)
+    # (B) Shingles outside R, rarest first: those that one component alone holds, then by how many hold them.
+    outer = parts.select("rep", "root", "family", F.size("rest").alias("m"), (least - F.col("inside")).alias("need"), F.explode("rest").alias("token"))
+    ranked = _ranked(outer, ["family", "token"])
+    from_end = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("df"), "token"))
+    kept = ranked.withColumn("from_end", from_end).where(F.col("from_end") >= F.greatest(F.lit(1), F.col("need"))).select("rep", "root", "family", "token")
+    kept = written(kept, "near-rare")
+    x, y = kept.alias("x"), kept.alias("y")
+    outside = x.join(y, apart & (F.col("x.token") == F.col("y.token")) & (F.col("x.rep") < F.col("y.rep")))
+    pair = [F.col("x.rep").alias("a"), F.col("y.rep").alias("b")]
+    out = written(inner.select(*pair).unionByName(outside.select(*pair)).distinct(), "near-across")
+    discard(parts, kept)
+    return out
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document (doc_id, text): doc_id, n_shingles, component_id, kept.
 
