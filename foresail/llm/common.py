@@ -45,7 +45,7 @@ def written(df: DataFrame, name: str, partitions: list[str] | None = None) -> Da
     writer = df.write
     if partitions:
         writer = writer.partitionBy(*partitions)
-    writer.parquet(path)
+    writer.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path  # type: ignore[attr-defined]
     return out

@@ -69,8 +69,6 @@ def digest(data: bytes) -> bytes:
 #: Digests whose ids a task has passed on lately: a chunk that many documents share is sent on once a task, not once a document.
 SEEN = 1 << 17
 _STAGED = "doc_id long, n_tokens long, chunks array<struct<digest:binary,n:int>>, fresh array<struct<digest:binary,n:int,ids:binary>>"
-_PAIR = pa.struct([("digest", pa.binary()), ("n", pa.int32())])
-_FRESH = pa.struct([("digest", pa.binary()), ("n", pa.int32()), ("ids", pa.binary())])
 
 
 def _staging(path: str):
@@ -79,24 +77,29 @@ def _staging(path: str):
         for batch in batches:
             for at in range(0, len(batch), 512):
                 part = batch.slice(at, 512)
-                sizes, recipes, fresh = [], [], []
+                sizes, places, names, counts, own, new, new_counts, data = [], [0], [], [], [0], [], [], []
                 for ids in encoder.ended(part.column(1).to_pylist()):
-                    recipe, new, last = [], [], 0
+                    last, raw, width = 0, ids.tobytes(), ids.itemsize
                     for end in cuts(ids):
-                        data = ids[last:end].tobytes()
-                        d = digest(data)
-                        recipe.append({"digest": d, "n": end - last})
+                        piece = raw[last * width : end * width]
+                        d = digest(piece)
+                        names.append(d)
+                        counts.append(end - last)
                         if d not in seen:
                             seen[d] = None
-                            new.append({"digest": d, "n": end - last, "ids": data})
+                            new.append(d)
+                            new_counts.append(end - last)
+                            data.append(piece)
                         last = end
                     if len(seen) > SEEN:
                         seen = {}
                     sizes.append(len(ids))
-                    recipes.append(recipe)
-                    fresh.append(new)
+                    places.append(len(names))
+                    own.append(len(new))
+                recipes = pa.StructArray.from_arrays([pa.array(names, pa.binary()), pa.array(counts, pa.int32())], ["digest", "n"])
+                fresh = pa.StructArray.from_arrays([pa.array(new, pa.binary()), pa.array(new_counts, pa.int32()), pa.array(data, pa.binary())], ["digest", "n", "ids"])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(recipes, pa.list_(_PAIR)), pa.array(fresh, pa.list_(_FRESH))],
+                    [part.column(0), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(places, pa.int32()), recipes), pa.ListArray.from_arrays(pa.array(own, pa.int32()), fresh)],
                     ["doc_id", "n_tokens", "chunks", "fresh"],
                 )
 
@@ -163,7 +166,7 @@ def write_store(docs: DataFrame, location: str, path: str | None = None) -> None
     ship(spark)
     staged = written(docs.select("doc_id", "text").mapInArrow(_staging(path or vocabulary_path()), _STAGED), "tokens")
     chunks = staged.select(F.explode("fresh").alias("c")).select("c.*").groupBy("digest").agg(F.max("n").alias("n"), F.max("ids").alias("ids"))
-    chunks.sortWithinPartitions("digest").write.parquet(f"{location}/chunks")
+    chunks.sortWithinPartitions("digest").write.option("compression", "zstd").parquet(f"{location}/chunks")
     recipes = numbered(staged.select("doc_id", "n_tokens", "chunks"), "n_tokens", "doc_id", "n_tokens")
     in_order = Window.partitionBy("segment").orderBy("start", "doc_id")
     recipes = recipes.withColumn("block", F.floor((F.row_number().over(in_order) - 1) / F.lit(SEGMENT_ROWS)))
@@ -235,15 +238,18 @@ def crc_join(first: int, second: int, length: int) -> int:
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        parts = batch.column(1)
+        flat = parts.flatten()
+        crcs, counts, held = (flat.field(k).to_pylist() for k in (1, 2, 3))
         out, sizes, sound = [], [], []
-        for parts in batch.column(1).to_pylist():
-            crc, n = 0, 0
-            for p in parts:
-                crc = crc_join(crc, p["crc"], 4 * p["stored_n"])
-                n += p["stored_n"]
+        ends = (parts.offsets.to_numpy() - parts.offsets[0].as_py()).tolist()
+        for a, b in zip(ends, ends[1:]):
+            crc = 0
+            for k in range(a, b):
+                crc = crc_join(crc, crcs[k], 4 * counts[k])
             out.append(crc)
-            sizes.append(n)
-            sound.append(all(p["sound"] for p in parts))
+            sizes.append(sum(counts[a:b]))
+            sound.append(all(held[a:b]))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(out, pa.int64()), pa.array(sound)], ["start", "read_n", "ids_crc32", "sound"])
 
 

@@ -15,7 +15,9 @@ import numpy as np
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 #: Pieces kept by a worker: two generations of so many; a piece of over LONG characters is not kept.
-KEPT, LONG = 250_000, 64
+KEPT, LONG = 350_000, 64
+#: Marks that are tokens apart from a letter before them, and a control character that parts pieces sent to the library together.
+MARKS, APART = ".,;:!?", "\x01"
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -24,6 +26,14 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def _is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Encoder:
     """Little-endian unsigned 16- or 32-bit ids of texts; one a worker and vocabulary file.
 
@@ -40,8 +50,12 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.splits = splits
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        self.ends_word[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str, splits: bool = True) -> Encoder:
@@ -51,41 +65,110 @@ class Encoder:
 
     def ids(self, text: str | None) -> np.ndarray:
         """The ids of one whole text, without an end id."""
-        if not text:
-            return np.zeros(0, self.type)
+        return np.frombuffer(self._raw([text])[0], self.type)
+
+    def _raw(self, texts: list[str | None]) -> list[bytes]:
+        """The ids' bytes of each text. What is unknown in any of them goes to the library together."""
         if not self.splits:
-            return self._ask([text])[0]
-        pieces = text.replace("\n", " ").replace("\t", " ").split(" ")
-        new = self.new
-        try:
-            return np.frombuffer(b"".join(map(new.__getitem__, pieces)), self.type)
-        except KeyError:
-            pass
-        missing = [p for p in dict.fromkeys(pieces) if p not in new]
-        long: dict[str, bytes] = {}
-        ask = []
-        for p in missing:
-            if p in self.old:
-                new[p] = self.old[p]
+            return [x.tobytes() for x in self._ask([t or "" for t in texts])]
+        if len(self.new) > KEPT:
+            self.old, self.new = self.new, {}
+        out: list[bytes] = []
+        waiting: list[tuple[int, list[str]]] = []
+        known = self.new.__getitem__
+        for t in texts:
+            pieces = self._pieces(t)
+            try:
+                out.append(b"".join(map(known, pieces)))
+            except KeyError:
+                waiting.append((len(out), pieces))
+                out.append(b"")
+        if waiting:
+            long = self._learn(set().union(*[pieces for _, pieces in waiting]).difference(self.new))
+            for k, pieces in waiting:
+                if long:
+                    out[k] = b"".join([long[p] if p in long else known(p) for p in pieces])
+                else:
+                    out[k] = b"".join(map(known, pieces))
+        return out
+
+    @staticmethod
+    def _pieces(text: str | None) -> list[str]:
+        if not text:
+            return []
+        if "<|" not in text:  # else lower case could make a special token
+            try:
+                text.encode("latin-1")
+                text = text.lower()  # as the vocabulary does; beyond Latin-1 it is left to the library
+            except UnicodeEncodeError:
+                pass
+        return text.replace("\n", " ").split(" ")
+
+    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """Make pieces known; those too long to keep are returned."""
+        new, old, marked, ask = self.new, self.old, [], set()
+        for p in pieces:
+            if p in old:
+                new[p] = old[p]
+            elif p[-1:] in MARKS and p[-2:-1].isalpha() and p[-2] < "\u0100":
+                marked.append(p)
+                stem = p[:-1]
+                if stem in new:
+                    continue
+                if stem in old:
+                    new[stem] = old[stem]
+                else:
+                    ask.add(stem)
             else:
-                ask.append(p)
-        for at in range(0, len(ask), 4096):
-            part = ask[at : at + 4096]
-            for p, found in zip(part, self._ask(part)):
-                (new if len(p) <= LONG else long)[p] = found.tobytes()
-        if long:
-            out = b"".join([new[p] if p in new else long[p] for p in pieces])
-        else:
-            out = b"".join(map(new.__getitem__, pieces))
-        if len(new) > KEPT:
-            self.old, self.new = new, {}
-        return np.frombuffer(out, self.type)
+                ask.add(p)
+        long: dict[str, bytes] = {}
+        self._fill(list(ask), long)
+        for p in marked:
+            stem = p[:-1]
+            (new if len(p) <= LONG else long)[p] = (long[stem] if stem in long else new[stem]) + self._mark(p[-1])
+        return long
+
+    def _mark(self, mark: str) -> bytes:
+        if mark not in self.marks:
+            self.marks[mark] = self._ask([mark])[0].tobytes()
+        return self.marks[mark]
+
+    def _fill(self, ask: list[str], long: dict[str, bytes]) -> None:
+        """Ask the library for pieces, many in one text.
+
+        A piece of Latin letters is one word to the vocabulary, and a word's last id says that it ends a word.
+        Others have a control character between them, and those that hold it are asked for one by one.
+        """
+        words = [p for p in ask if p.isalpha() and _is_latin(p)]
+        known = set(words)
+        others = [p for p in ask if p not in known]
+        alone = [p for p in others if APART in p]
+        others = [p for p in others if APART not in p]
+        apart = np.frombuffer(self._mark(APART), self.type)
+        mark = np.zeros(len(self.ends_word), dtype=bool)
+        mark[apart[-1:]] = len(apart) == 1
+        for pieces, between, ends, skip in ((words, " ", self.ends_word, 0), (others, f" {APART} ", mark, 1)):
+            for at in range(0, len(pieces), 1000):
+                part = pieces[at : at + 1000]
+                ids = self._ask([between.join(part)])[0]
+                stops = (np.flatnonzero(ends[ids]) + 1 - skip).tolist()
+                if skip:
+                    stops.append(len(ids))
+                if len(stops) != len(part):
+                    alone += part
+                    continue
+                data, width, start = ids.tobytes(), self.type.itemsize, 0
+                for p, stop in zip(part, stops):
+                    (self.new if len(p) <= LONG else long)[p] = data[start * width : stop * width]
+                    start = stop + skip
+        for p, ids in zip(alone, self._ask(alone) if alone else []):
+            (self.new if len(p) <= LONG else long)[p] = ids.tobytes()
 
     def _ask(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.type) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def ended(self, texts: Iterable[str | None]) -> Iterable[np.ndarray]:
         """The ids of each text and the end id."""
-        end = np.array([END_ID], self.type)
-        for t in texts:
-            yield np.concatenate((self.ids(t), end))
+        end = np.array([END_ID], self.type).tobytes()
+        for raw in self._raw(list(texts)):
+            yield np.frombuffer(raw + end, self.type)
