@@ -194,7 +194,8 @@ def score(docs: DataFrame, models: Models) -> DataFrame:
 def with_target(docs: DataFrame, labels: DataFrame, wanted: Column) -> DataFrame:
     """(text, is_target): target are the documents with a label row that meets ``wanted``; a doc_id counts once however often it is labelled."""
     chosen = labels.where(wanted).select("doc_id").distinct().withColumn("chosen", F.lit(True))
-    return docs.select("doc_id", "text").join(chosen, "doc_id", "left").select("text", F.coalesce("chosen", F.lit(False)).alias("is_target"))
+    # Both sides grow with the corpus, so neither is ever broadcast.
+    return docs.select("doc_id", "text").join(chosen.hint("merge"), "doc_id", "left").select("text", F.coalesce("chosen", F.lit(False)).alias("is_target"))
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
