@@ -368,16 +368,16 @@ def labelled_pages(n: int = 500, seed: int = 11) -> list[list[tuple[str, str, bo
 
     out = []
     for _ in range(n):
-        page: list[Part] = [] if rng.random() < 0.05 else [(f"<html><head><title>{words(2, 9)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head><body>", "", False)]
+        page: list[Part] = [] if rng.random() < 0.08 else [(f"<html><head><title>{words(2, 9)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head><body>", "", False)]
         for kind, chance in (("notice", 0.25), ("header", 0.45), ("menu", 0.8), ("ad", 0.5), ("form", 0.15), ("side", 0.15)):
             if rng.random() < chance:
                 page += boilerplate(kind)
         holder = rng.random()
         if holder < 0.5:
             start, end = pick((("<article>", "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"), ('<article class="post">', "</article>")))
-        elif holder < 0.9:
+        elif holder < 0.84:
             start, end = wrap(pick(("div", "section", "div")), ("content", "article-body", "post", "entry-content", "story", "main"), 0.0)
-        elif holder < 0.96:
+        elif holder < 0.9:
             start, end = "<div>", "</div>"
         else:
             start, end = "", ""
