@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,7 +71,12 @@ LAYOUTS = (
     Layout("system_prompt", "system string, prompt string, response string",
            f"array({_turn('system', 'r.system')}, {_turn('user', 'r.prompt')}, {_turn('assistant', 'r.response')})"),
 )
-BY_PRINT = {x.print(): x for x in LAYOUTS}
+
+
+@cache
+def by_print() -> dict[str, Layout]:
+    """The mappings by fingerprint; made on first use, as reading a schema's text needs a session."""
+    return {x.print(): x for x in LAYOUTS}
 
 
 def to_turns(records: DataFrame, record: str) -> DataFrame:
@@ -80,7 +86,7 @@ def to_turns(records: DataFrame, record: str) -> DataFrame:
     null roles and texts are empty.
     """
     found = paths(records.schema[record].dataType)
-    layout = BY_PRINT.get(fingerprint(found))
+    layout = by_print().get(fingerprint(found))
     if layout is None:
         raise ValueError(f"no mapping for a record with the fields {sorted(found)}")
     others = [c for c in records.columns if c != record]

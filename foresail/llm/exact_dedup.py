@@ -58,9 +58,10 @@ class DigestIndex:
         )
 
     def compact(self) -> None:
-        """Rewrite the index with one file a bucket (after many small appends)."""
+        """Rewrite the index with one file a bucket (after many small appends). Until it ends, a copy stands in the shared folder."""
         kept = written(self.rows(), "compact")
-        self.spark.sql(f"TRUNCATE TABLE {self.name}")
+        remove(self.spark, self.location)
+        self.spark.catalog.refreshTable(self.name)
         self.append(kept)
         remove(self.spark, kept._scratch)
 
