@@ -66,7 +66,13 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package when only the driver's path holds it."""
+    """Make a session ready for Python operators.
+
+    Workers can import this package when only the driver's path holds it, and get texts in batches of 1,000 rows, as
+    10,000 long ones take hundreds of MB on both sides; another number that the session sets stays.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "")

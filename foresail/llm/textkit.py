@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SEGMENT = 1 << 21  #: bytes handled at a time: bounds the memory of the prefix sums
+SEGMENT = 1 << 18  #: bytes handled at a time: bounds the memory of the prefix sums
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _TABLE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TABLE[65:91] = _TABLE[97:123]  # A-Z count as a-z
