@@ -68,7 +68,7 @@ def chi2_sf(x: Column, df: int | Column) -> Column:
     """Upper tail of chi-squared with a df of 1 or any even number (all that the tests here need)."""
     x = x.cast("double")
     if isinstance(df, int) and df == 1:
-        return F.when(x <= 0, 1.0).otherwise(2 * norm_sf(F.sqrt(F.greatest(x, F.lit(0.0)))))
+        return F.when(x <= 0, 1.0).when(x > 0, 2 * norm_sf(F.sqrt(F.greatest(x, F.lit(0.0)))))
     n = (F.lit(df) if isinstance(df, int) else df) / 2
     start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
 
