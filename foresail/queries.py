@@ -549,3 +549,101 @@ def panel_scale(spark, sf_dir):
     """Many short series at once: a series a customer."""
     store = folds.forecasts(panels.quarterly(spark, sf_dir), QUARTERLY, LEVELS)
     return store.groupBy("window", "model", "origin_role", "h", "status").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("y_true") - F.col("y_pred"))).alias("mae"))
+
+
+# ---------------------------------------------------------------- fitted models, simulation and bootstraps: numeric kernels, without SQL
+
+def _fitted(panel: str, model: str, **changes) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from dataclasses import replace
+
+        from .operators.backtest import fitted_forecasts
+
+        _ship(spark)
+        config = replace(MONTHLY if panel == "monthly" else DAILY, models=(model,) if isinstance(model, str) else model, **changes)
+        out = fitted_forecasts(getattr(panels, panel)(spark, sf_dir), config, LEVELS, n_paths=2000)
+        return out.select("unique_id", "model", "window", "origin_t", "origin_role", "h", "y_true", "y_pred", "lo_80", "hi_80", "es_80", "lo_95", "hi_95", "es_95", "lb_p", "transform", "variant", "status")
+
+    return run
+
+
+def _ship(spark: SparkSession) -> None:
+    """Let Python workers import this package when only the driver's path holds it."""
+    import os
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+
+
+_SPARSE = {"origin_step": 50, "n_dev": 2, "n_test": 10}
+_CUMULATIVE = {"target": "cumulative_returns", "window": "expanding", "origin_step": 50, "n_dev": 2, "n_test": 8}
+for _name, _args in {
+    "fc_ses": ("monthly", "ses", {}), "fc_ets": ("monthly", "ets", {"window": "rolling", "origin_step": 5, "n_dev": 2, "n_test": 4}), "fc_theta": ("monthly", "theta", {"transform": "auto"}),
+    "fc_sarima": ("monthly", "sarima", {"window": "rolling", "origin_step": 10, "n_dev": 1, "n_test": 1}), "fc_ar": ("daily", "ar", {}), "fc_fhs": ("daily", "zero_return_fhs", _SPARSE),
+    "fc_garch": ("daily", "garch", _SPARSE), "fc_gjr_garch": ("daily", "gjr_garch", _SPARSE), "fc_garch_normal": ("daily", "garch_normal", _SPARSE),
+    "fc_combination": ("monthly", ("theta", "ets", "combination"), {"window": "rolling", "origin_step": 12, "n_dev": 1, "n_test": 2}),
+    "sim_cumulative": ("daily", ("ewma", "garch"), _CUMULATIVE), "sim_block": ("daily", ("ewma_block", "garch_block"), _CUMULATIVE), "sim_parameter_uncertainty": ("daily", ("garch_pu", "gjr_garch_pu"), _CUMULATIVE),
+}.items():
+    _run = _fitted(_args[0], _args[1], **_args[2])
+    _run.__name__ = _name
+    query()(_run)
+
+
+@query()
+def skill_bootstrap(spark, sf_dir):
+    from .operators.backtest import bootstrap_skill
+
+    _ship(spark)
+    store = monthly_store(spark, sf_dir)
+    return bootstrap_skill(scoring.paired(scoring.scorable(store), scoring.dev_selection(store)), 20260922, 500)
+
+
+@query()
+def h_star(spark, sf_dir):
+    return scoring.h_star(skill_bootstrap(spark, sf_dir), MONTHLY.H)
+
+
+@query()
+def mcs(spark, sf_dir):
+    from .operators.backtest import model_confidence_set
+
+    _ship(spark)
+    return model_confidence_set(scoring.scorable(monthly_store(spark, sf_dir)), 20260922, reps=500)
+
+
+@query()
+def es_backtest(spark, sf_dir):
+    from .operators.backtest import shortfall_backtest
+
+    _ship(spark)
+    return shortfall_backtest(scoring.scorable(_simulated(spark, sf_dir)), LEVELS, 20260922)
+
+
+def _simulated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fitted("daily", "ewma", target="cumulative_returns", window="expanding", origin_step=10, n_dev=5, n_test=100)(spark, sf_dir).withColumn("y_true_missing", F.col("y_true").isNull())
+
+
+@query()
+def gate_decision(spark, sf_dir):
+    store = scoring.scorable(daily_store(spark, sf_dir)).where("model IN ('zero_return', 'ewma') AND h IN (1, 5)")
+    rows = scoring.interval_rows(store, LEVELS)
+    cover = scoring.interval_metrics(rows, LEVELS).where("level = 0.8")
+    independent = scoring.christoffersen(rows, [*scoring.CELL, "level"]).where("level = 0.8").select(*scoring.CELL, "ind_p")
+    crps = cal.crps(store, LEVELS)
+    base = crps.where("model = 'zero_return'").select("unique_id", "window", "h", F.col("crps").alias("base"))
+    ratio = crps.join(base, ["unique_id", "window", "h"]).select(*scoring.CELL, (F.col("crps") / F.col("base")).alias("crps_ratio"))
+    table = cover.join(independent, scoring.CELL).join(ratio, scoring.CELL)
+    return cal.gate_decision(cal.gate_checks(table, {"coverage_lo": 0.7, "coverage_hi": 0.9, "alpha": 0.05, "crps_ratio": 1.05}))
+
+
+@query()
+def residual_summary(spark, sf_dir):
+    tests = _fitted("monthly", "ses", window="expanding")(spark, sf_dir).where("lb_p IS NOT NULL").dropDuplicates(["unique_id", "window", "model", "origin_t"])
+    return scoring.residual_summary(tests)
+
+
+@query()
+def transform_counts(spark, sf_dir):
+    return scoring.transform_counts(_fitted("monthly", "ses", window="expanding", transform="boxcox", n_dev=5, n_test=10)(spark, sf_dir))
