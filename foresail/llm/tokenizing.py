@@ -15,7 +15,7 @@ import numpy as np
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 #: Pieces kept by a worker: two generations of so many; a piece of over LONG characters is not kept.
-KEPT, LONG = 350_000, 64
+KEPT, LONG = 900_000, 64
 #: Marks that are tokens apart from a letter before them, and a control character that parts pieces sent to the library together.
 MARKS, APART = ".,;:!?", "\x01"
 
@@ -50,6 +50,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.splits = splits
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        if hasattr(self.tokenizer.model, "_resize_cache"):  # the library's own cache only costs time beside ours
+            self.tokenizer.model._resize_cache(0)
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
         self.ends_word[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
@@ -73,24 +75,13 @@ class Encoder:
             return [x.tobytes() for x in self._ask([t or "" for t in texts])]
         if len(self.new) > KEPT:
             self.old, self.new = self.new, {}
-        out: list[bytes] = []
-        waiting: list[tuple[int, list[str]]] = []
+        every = [self._pieces(t) for t in texts]
+        unknown = set().union(*every).difference(self.new)
+        long = self._learn(unknown) if unknown else {}
         known = self.new.__getitem__
-        for t in texts:
-            pieces = self._pieces(t)
-            try:
-                out.append(b"".join(map(known, pieces)))
-            except KeyError:
-                waiting.append((len(out), pieces))
-                out.append(b"")
-        if waiting:
-            long = self._learn(set().union(*[pieces for _, pieces in waiting]).difference(self.new))
-            for k, pieces in waiting:
-                if long:
-                    out[k] = b"".join([long[p] if p in long else known(p) for p in pieces])
-                else:
-                    out[k] = b"".join(map(known, pieces))
-        return out
+        if long:
+            return [b"".join([long[p] if p in long else known(p) for p in pieces]) for pieces in every]
+        return [b"".join(map(known, pieces)) for pieces in every]
 
     @staticmethod
     def _pieces(text: str | None) -> list[str]:
