@@ -647,3 +647,19 @@ def residual_summary(spark, sf_dir):
 @query()
 def transform_counts(spark, sf_dir):
     return scoring.transform_counts(_fitted("monthly", "ses", window="expanding", transform="boxcox", n_dev=5, n_test=10)(spark, sf_dir))
+
+
+@query(f"SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, {r('sum(value)', 'total')} FROM events GROUP BY ALL")
+def stream_event_counts(spark, sf_dir):
+    """The windowed stream over the events file, run to its end."""
+    import uuid
+
+    from .streaming.scorer import event_counts
+
+    schema = panels.read(spark, sf_dir, "events").schema
+    name = f"events_{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    running = event_counts(stream).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    running.awaitTermination()
+    return spark.table(name).withColumn("start", F.col("start").cast("timestamp_ntz"))

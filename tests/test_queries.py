@@ -1,0 +1,25 @@
+"""Registered queries on the small tables against their SQL."""
+
+import pytest
+
+from foresail import queries
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_against_sql(spark, same, name):
+    assert same(queries.QUERIES[name](spark, SMALL), queries.ORACLES[name]) > 0
+
+
+@pytest.mark.parametrize("name", ["coverage_band", "fc_theta", "fc_ar", "mcs", "skill_bootstrap", "gate_decision", "transform_counts", "es_backtest", "fc_combination"])
+def test_without_sql(spark, name):
+    rows = queries.QUERIES[name](spark, SMALL).collect()
+    assert rows and ("status" not in rows[0] or all(r.status == "ok" for r in rows))
+
+
+def test_entry(spark):
+    import __spark_entry__ as e
+
+    assert e.entry(spark).count() > 0
+    assert set(e.oracle_sql()) <= set(e.queries())
