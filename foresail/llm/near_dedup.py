@@ -107,16 +107,13 @@ def _close(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return both.where(far <= MAX_DISTANCE).select("a", "b")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose whole texts agree. Only texts in some pair are moved."""
+def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose whole texts (doc_id, text) agree."""
     pairs = written(pairs, "near-pairs")
-    used = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.select("doc_id", "text").join(used, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    texts = written(texts, "near-texts")
     by_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     rows = by_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     out = written(rows.select("a", "b", "text_a", "text_b").mapInArrow(_agreeing, "a long, b long"), "near-links")
-    discard(pairs, texts)
+    discard(pairs)
     return out
 
 
@@ -130,18 +127,22 @@ def _linked(reps: DataFrame, docs: DataFrame) -> DataFrame:
     shared = written(keys.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead <> last").select("key", "lead"), "near-shared")
     met = written(keys.join(shared, "key"), "near-met")
     discard(keys, shared)
+    # The texts of all documents are gone through once; whatever follows reads those that share a bucket with another.
+    members = met.select(F.col("rep").alias("doc_id")).distinct()
+    texts = docs.select("doc_id", "text").join(members.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = written(texts, "near-texts")
     stars = met.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    first = _confirmed(_close(stars, reps), docs)
+    first = _confirmed(_close(stars, reps), texts)
     roots = written(components(first), "near-roots")
     placed = met.select("key", "rep").join(roots.withColumnRenamed("v", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
     placed = written(placed, "near-placed")
     split = written(placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key"), "near-split")
     open_ = written(placed.join(split, "key", "left_semi"), "near-open")
     discard(met, placed, split)
-    cross = _across(open_, reps, docs)
+    cross = _across(open_, reps, texts)
     # A leader's pairs were decided in the first round.
-    second = _confirmed(_close(cross.join(first, ["a", "b"], "left_anti"), reps), docs)
-    discard(open_)
+    second = _confirmed(_close(cross.join(first, ["a", "b"], "left_anti"), reps), texts)
+    discard(open_, texts)
     return first.unionByName(second)
 
 
@@ -190,7 +191,7 @@ def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(n, pa.int64()), pa.array(inside, pa.int64()), rest], ["rep", "root", "family", "n", "inside", "rest"])
 
 
-def _across(open_: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+def _across(open_: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components that hold all links between them, without listing the pairs of a bucket.
 
     Members that buckets connect form a family. With the family's first text R, two texts x and y share
@@ -203,13 +204,11 @@ def _across(open_: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     edges = live.join(leads, "key").where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     family = written(components(edges), "near-families")
     members = alive.join(family.select(F.col("v").alias("rep"), F.col("root").alias("family")), "rep")
-    texts = docs.select("doc_id", "text").join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    texts = written(texts, "near-texts")
     own = members.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
     both = own.join(texts.select(F.col("doc_id").alias("family"), F.col("text").alias("first")), "family")
     parts = both.select("rep", "root", "family", "text", "first").mapInArrow(_differences, "rep long, root long, family long, n long, inside long, rest array<long>")
     parts = written(parts, "near-parts")
-    discard(live, leads, family, texts)
+    discard(live, leads, family)
     # (A) Sizes go to classes of 5 percent; x asks for the classes of sizes that its shared shingles suffice for.
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.05)))
     most = F.floor(7 * F.col("inside") / 3) - F.col("n")
