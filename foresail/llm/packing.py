@@ -174,8 +174,8 @@ def _measuring(path: str, window: int):
         encoder, part = Encoder.of(path), TaskContext.get().partitionId()
         tails, full = np.zeros(window, dtype=np.int64), 0
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                rows = batch.slice(at, 512)
+            for at in range(0, len(batch), 1000):
+                rows = batch.slice(at, 1000)
                 cols: list[list] = [[] for _ in range(7)]
                 for ids in encoder.ended(rows.column(1).to_pylist()):
                     whole, tail = divmod(len(ids), window)
@@ -222,8 +222,8 @@ def _cutting(path: str, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path)
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                rows = batch.slice(at, 512)
+            for at in range(0, len(batch), 1000):
+                rows = batch.slice(at, 1000)
                 out: list[tuple] = []
                 texts, rest = rows.column(1).to_pylist(), rows.drop_columns(["text"]).to_pylist()
                 for r, ids in zip(rest, encoder.ended(texts)):

@@ -33,35 +33,58 @@ _GEAR = _RNG.integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one id stream: set by content alone, LEAST to MOST ids each but for the last."""
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Places after which the hash of the last WINDOW ids asks for a cut."""
     n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
-    gear = _GEAR[ids.astype(np.int64) & 0xFFFF]
     rolling = np.zeros(n, dtype=np.uint64)
     factor = np.uint64(1)
+    gear = _GEAR[ids & 0xFFFF]
     with np.errstate(over="ignore"):
-        for back in range(WINDOW):
+        for back in range(min(WINDOW, n)):
             rolling[back:] += gear[: n - back] * factor
             factor = factor * _STEP
-    marks = np.flatnonzero((rolling >> np.uint64(64 - MASK_BITS)) == 0) + 1
-    out, at = [], 0
-    for m in marks.tolist():
+    return np.flatnonzero((rolling >> np.uint64(64 - MASK_BITS)) == 0) + 1
+
+
+def chunk_ends(found: list[int], start: int, stop: int) -> list[int]:
+    """Ends, from ``start`` on, of the chunks of ids start to stop: set by content alone, LEAST to MOST ids each but for the last."""
+    out, at = [], start
+    for m in found:
         while m - at > MOST:
             at += MOST
             out.append(at)
-        if m - at >= LEAST:
+        if m - at >= LEAST and m < stop:
             at = m
             out.append(at)
-    while n - at > MOST:
+    while stop - at > MOST:
         at += MOST
         out.append(at)
-    if at < n:
-        out.append(n)
+    if at < stop:
+        out.append(stop)
+    return [x - start for x in out]
+
+
+def all_cuts(streams: list[np.ndarray]) -> list[list[int]]:
+    """Ends of the chunks of each id stream.
+
+    Hashes are taken over all streams in a row. Near a stream's start they see ids of the one before, but marks there
+    are not heeded: LEAST is more than WINDOW.
+    """
+    ends = np.cumsum([len(x) for x in streams])
+    found = marks(np.concatenate(streams)) if streams else np.zeros(0, np.int64)
+    stops = np.searchsorted(found, ends, "right").tolist()
+    found, out, at, first = found.tolist(), [], 0, 0
+    for end, stop in zip(ends.tolist(), stops):
+        out.append(chunk_ends(found[first:stop], at, end))
+        at, first = end, stop
     return out
 
 
+def cuts(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of one id stream."""
+    return all_cuts([ids])[0]
+
+
 def digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
@@ -75,12 +98,13 @@ def _staging(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen = Encoder.of(path), {}
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.slice(at, 512)
+            for at in range(0, len(batch), 1000):
+                part = batch.slice(at, 1000)
                 sizes, places, names, counts, own, new, new_counts, data = [], [0], [], [], [0], [], [], []
-                for ids in encoder.ended(part.column(1).to_pylist()):
+                streams = list(encoder.ended(part.column(1).to_pylist()))
+                for ids, ends in zip(streams, all_cuts(streams)):
                     last, raw, width = 0, ids.tobytes(), ids.itemsize
-                    for end in cuts(ids):
+                    for end in ends:
                         piece = raw[last * width : end * width]
                         d = digest(piece)
                         names.append(d)

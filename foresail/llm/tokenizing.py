@@ -76,12 +76,15 @@ class Encoder:
         if len(self.new) > KEPT:
             self.old, self.new = self.new, {}
         every = [self._pieces(t) for t in texts]
-        unknown = set().union(*every).difference(self.new)
-        long = self._learn(unknown) if unknown else {}
-        known = self.new.__getitem__
-        if long:
-            return [b"".join([long[p] if p in long else known(p) for p in pieces]) for pieces in every]
-        return [b"".join(map(known, pieces)) for pieces in every]
+        pieces = list(set().union(*every))
+        # A table of just these pieces stays in the processor's cache, which the large one does not.
+        table = dict(zip(pieces, map(self.new.get, pieces)))
+        unknown = [p for p, ids in table.items() if ids is None]
+        if unknown:
+            long = self._learn(unknown)
+            table.update((p, long[p] if p in long else self.new[p]) for p in unknown)
+        known = table.__getitem__
+        return [b"".join(map(known, p)) for p in every]
 
     @staticmethod
     def _pieces(text: str | None) -> list[str]:
@@ -95,7 +98,7 @@ class Encoder:
                 pass
         return text.replace("\n", " ").split(" ")
 
-    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
         """Make pieces known; those too long to keep are returned."""
         new, old, marked, ask = self.new, self.old, [], set()
         for p in pieces:
