@@ -17,6 +17,7 @@ from .operators import folds, scoring, series
 from .operators.folds import tag
 from .plans import panels
 from .plans.panels import DAILY, LEVELS, MONTHLY, QUARTERLY
+from .sources.scratch import kept
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -178,11 +179,12 @@ IV = "iv AS (" + " UNION ALL ".join(
 # ---------------------------------------------------------------- panels and folds
 
 def monthly_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds.forecasts(panels.monthly(spark, sf_dir), MONTHLY, LEVELS)
+    """The monthly panel's store, written once: scores read it as often as they need."""
+    return kept(folds.forecasts(panels.monthly(spark, sf_dir), MONTHLY, LEVELS), "monthly-store")
 
 
 def daily_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds.forecasts(panels.daily(spark, sf_dir), DAILY, LEVELS)
+    return kept(folds.forecasts(panels.daily(spark, sf_dir), DAILY, LEVELS), "daily-store")
 
 
 @query(f"WITH {M_RAW} SELECT unique_id, pos, period, {r('y', 'y')} FROM s")
