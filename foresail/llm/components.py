@@ -13,6 +13,13 @@ def _least(pairs: DataFrame) -> DataFrame:
     return written(pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "least")
 
 
+def _settled(now: DataFrame) -> bool:
+    """Whether the edges (u, v) are stars: no vertex with two v, and none that is a u and a v."""
+    ends = now.select(F.col("u").alias("x"), F.lit(1).alias("out")).unionByName(now.select(F.col("v").alias("x"), F.lit(0).alias("out")))
+    seen = ends.groupBy("x").agg(F.sum("out").alias("outs"), F.max(1 - F.col("out")).alias("into"))
+    return seen.where("outs > 1 OR (outs > 0 AND into > 0)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Rows (v, root) for each vertex of edges (a, b), root being the least vertex reachable.
 
@@ -20,12 +27,11 @@ def components(edges: DataFrame) -> DataFrame:
     with the logarithm of the longest path. Every round is written to the shared folder,
     so lineage stays short and no vertex, edge or component comes to the driver.
     """
-    now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    sign = None
+    now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"), "edges")
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = _least(both)
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         large = written(large, "large-star")
         discard(low, now)
         low = _least(large)
@@ -33,10 +39,6 @@ def components(edges: DataFrame) -> DataFrame:
         small = small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         now = written(small, "small-star")
         discard(low, large)
-        seen = now.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))"), F.expr("count_if(v IS NULL)")).first()
-        if tuple(seen) == sign:
+        if _settled(now):
             break
-        sign = tuple(seen)
-    roots = now.select("v").distinct().select("v", F.col("v").alias("root"))
-    out = now.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("v"), "root")
-    return out.unionByName(roots)
+    return now.select(F.col("u").alias("v"), F.col("v").alias("root")).unionByName(now.select("v", F.col("v").alias("root")).distinct())

@@ -117,8 +117,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return out
 
 
-def _linked(reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) between representatives (rep, sig) that hold the same components as all links.
+def _rooted(reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows (v, root): the component of each representative (rep, sig) that has a link.
 
     First each bucket's members are held against its least member, which joins most copies of a text. Then only
     members of buckets with several components are left, and pairs between those components are found by ``_across``.
@@ -143,7 +143,13 @@ def _linked(reps: DataFrame, docs: DataFrame) -> DataFrame:
     # A leader's pairs were decided in the first round.
     second = _confirmed(_close(cross.join(first, ["a", "b"], "left_anti"), reps), texts)
     discard(open_, texts)
-    return first.unionByName(second)
+    if second.isEmpty():
+        return roots
+    # Links of the second round join whole components, so only their roots are gone through again.
+    ends = second.join(roots.select(F.col("v").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("v").alias("b"), F.col("root").alias("rb")), "b", "left")
+    upper = written(components(ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))), "near-roots")
+    lower = roots.join(upper.select(F.col("v").alias("root"), F.col("root").alias("top")), "root", "left").select("v", F.coalesce("top", "root").alias("root"))
+    return written(lower.unionByName(upper.join(roots.select("v"), "v", "left_anti")), "near-roots")
 
 
 def _ranked(tokens: DataFrame, key: list[str]) -> DataFrame:
@@ -244,8 +250,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     work = base.where("doc_id IS NOT NULL AND n_shingles > 0")
     by_set = written(work.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep")), "near-sets")
     reps = written(work.join(by_set.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "sig"), "near-reps")
-    links = _linked(reps, docs)
-    roots = written(components(links), "near-roots")
+    roots = _rooted(reps, docs)
     classes = by_set.join(roots.withColumnRenamed("v", "rep"), "rep", "left").select("set_a", "set_b", "n_shingles", F.coalesce("root", "rep").alias("root"))
     classes = written(classes, "near-classes")
     out = base.drop("sig").join(classes, ["set_a", "set_b", "n_shingles"], "left")

@@ -186,6 +186,7 @@ def _measuring(path: str, window: int):
                     full += whole
                 kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64()]
                 yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["doc_id", "n", "part", "tail", "rank_tail", "rank_full", "full_crcs", "tail_crc"])
+        encoder.rest()
 
     return run
 
@@ -231,6 +232,7 @@ def _cutting(path: str, window: int):
                     if len(ids) == r["doc_tokens"] and _crc(ids[tail:]) == r["tail_crc"]:
                         out.append((r["doc_id"], r["doc_tokens"], r["tail_crc"], r["cut_at"], _crc(ids[tail : r["cut_at"]]), _crc(ids[r["cut_at"] :])))
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(6)], ["doc_id", "doc_tokens", "tail_crc", "cut_at", "crc_1", "crc_2"])
+        encoder.rest()
 
     return run
 

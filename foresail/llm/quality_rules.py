@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import SPACE_CLASS, SPACES, ascii_lower, table
 
@@ -142,7 +143,13 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return judged(docs).where("kept").select("r.*")
+    # A filter would be pushed below the measures and have them taken twice; an exploded list of one row or none is not.
+    rows = judged(docs).select(F.explode(F.when(F.col("kept"), F.array("r")).otherwise(F.array().cast(_list_of(docs)))).alias("r"))
+    return rows.select("r.*")
+
+
+def _list_of(docs: DataFrame) -> T.ArrayType:
+    return T.ArrayType(docs.schema)
 
 
 _LIST = ", ".join(f"'{w}'" for w in STOP_WORDS)

@@ -15,7 +15,7 @@ import numpy as np
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 #: Pieces kept by a worker: two generations of so many; a piece of over LONG characters is not kept.
-KEPT, LONG = 900_000, 64
+KEPT, LONG = 350_000, 64
 #: Marks that are tokens apart from a letter before them, and a control character that parts pieces sent to the library together.
 MARKS, APART = ".,;:!?", "\x01"
 
@@ -161,6 +161,10 @@ class Encoder:
     def _ask(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.type) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def rest(self) -> None:
+        """At a task's end: a worker that waits holds one generation only."""
+        self.old = {}
+
     def ended(self, texts: Iterable[str | None]) -> Iterable[np.ndarray]:
         """The ids of each text and the end id."""
         end = np.array([END_ID], self.type).tobytes()
