@@ -111,6 +111,32 @@ def verdict(point: DataFrame) -> DataFrame:
     return best.select("unique_id", "window", F.col("b.model").alias("model"), answer.alias("answer"))
 
 
+def verdicts(tables: dict[str, DataFrame]) -> DataFrame:
+    """unique_id, question, answer of the score tables: reach of skill, calibration, gap between windows and stability over sub-periods."""
+    reach = tables["h_star"].groupBy("unique_id").agg(F.max("h_star").alias("x")).select("unique_id", F.lit("horizon of skill").alias("question"), F.col("x").cast("string").alias("answer"))
+    miss = tables["intervals"].where("kupiec_p IS NOT NULL").groupBy("unique_id").agg(F.avg((F.col("kupiec_p") < 0.05).cast("double")).alias("x"), F.avg(F.col("coverage") - F.col("level")).alias("d"))
+    state = F.when(F.col("x") <= 0.1, "calibrated").when(F.col("d") < 0, "too narrow").otherwise("too wide")
+    cover = miss.select("unique_id", F.lit("calibration").alias("question"), state.alias("answer"))
+    gap = tables["window_gap"].groupBy("unique_id").agg(F.count_if(F.col("p_rolling_better_holm") < 0.05).alias("r"), F.count_if(F.col("p_expanding_better_holm") < 0.05).alias("e"))
+    which = F.when((F.col("r") > 0) & (F.col("e") > 0), "mixed").when(F.col("r") > 0, "rolling is better").when(F.col("e") > 0, "expanding is better").otherwise("no difference")
+    windows = gap.select("unique_id", F.lit("window").alias("question"), which.alias("answer"))
+    stable = tables["subperiods"].groupBy("unique_id", "window", "model", "h").agg(F.bool_and(F.col("rel_mae") < 1).alias("all"), F.bool_or(F.col("rel_mae") < 1).alias("some"))
+    stable = stable.groupBy("unique_id").agg(F.max(F.when(F.col("all"), 2).when(F.col("some"), 1).otherwise(0)).alias("x"))
+    times = stable.select("unique_id", F.lit("stability").alias("question"), F.when(F.col("x") == 2, "better in every sub-period").when(F.col("x") == 1, "in some").otherwise("in none").alias("answer"))
+    return reach.unionByName(cover).unionByName(windows).unionByName(times)
+
+
+def residual_verdict(summary: DataFrame) -> DataFrame:
+    """yes if more than half of the folds reject whiteness, no for a tenth or less, else partly."""
+    x = F.col("reject_share")
+    return summary.withColumn("answer", F.when(x > 0.5, "yes").when(x <= 0.1, "no").otherwise("partly"))
+
+
+def audit(point: DataFrame, limit: float = 0.7) -> DataFrame:
+    """Models whose error is under ``limit`` of the reference's: too good, so that a leak is looked for."""
+    return point.where(F.col("rel_mae") < limit).select("unique_id", "window", "model", "h", "rel_mae")
+
+
 def _table(df: DataFrame, limit: int = 500) -> str:
     rows = df.limit(limit).collect()
     show = lambda v: "" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v)
@@ -121,7 +147,7 @@ def _table(df: DataFrame, limit: int = 500) -> str:
 def report(spark: SparkSession, folder: Path, config: RunConfig, gate: Gate | None = None) -> Path:
     """A Markdown report of a run's tables. A decision is stated only for a gate that is committed and unchanged."""
     tables = scores(spark, folder, config)
-    lines = [f"# Run {folder.name}", "", "## Does a candidate beat the reference?", "", _table(verdict(tables["point"])), ""]
+    lines = [f"# Run {folder.name}", "", "## Does a candidate beat the reference?", "", _table(verdict(tables["point"])), "", "## Other answers", "", _table(verdicts(tables).orderBy("unique_id", "question")), "", "## Too good to be true", "", _table(audit(tables["point"])), ""]
     if gate:
         decided = calibration.gate_decision(checks(tables, gate, "zero_return"))
         lines += ["## Decision", "", _table(decided) if registered(gate) else "The gate is not registered, so nothing is decided.", ""]
