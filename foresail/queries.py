@@ -665,3 +665,65 @@ def stream_event_counts(spark, sf_dir):
     running = event_counts(stream).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     running.awaitTermination()
     return spark.table(name).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("""WITH e AS (SELECT event_type AS unique_id, CAST(CAST(ts AS DATE) - DATE '1970-01-05' AS BIGINT) // 7 AS period, sum(value) AS v FROM events GROUP BY ALL),
+c AS (SELECT unique_id, unnest(range(min(period), max(period) + 1)) AS period FROM e GROUP BY unique_id)
+SELECT unique_id, row_number() OVER (PARTITION BY unique_id ORDER BY period) - 1 AS pos, CAST(period AS BIGINT) AS period, """ + r("v", "y") + " FROM c LEFT JOIN e USING (unique_id, period)")
+def calendar_reindex(spark, sf_dir):
+    rows = panels.read(spark, sf_dir, "events").withColumn("p", series.ordinal(F.col("ts"), "weekly"))
+    rows = rows.groupBy(F.col("event_type").alias("unique_id"), "p").agg(F.min("ts").alias("ds"), F.sum("value").alias("y"))
+    return series.reindexed(rows, "weekly")
+
+
+@query(f'WITH {M_STORE} SELECT unique_id, "window", origin_t, any_value(round(CAST(mase_scale AS DOUBLE) + {NUDGE!r}, 6) + 0.0) AS mase_scale FROM store GROUP BY unique_id, "window", origin_t')
+def mase_scale(spark, sf_dir):
+    plan = folds.origins(panels.monthly(spark, sf_dir), MONTHLY).select("unique_id", "origin_t")
+    return folds.fold_facts(panels.monthly(spark, sf_dir), MONTHLY).join(plan, ["unique_id", "origin_t"]).select("unique_id", "window", "origin_t", "mase_scale")
+
+
+@query(f'WITH {M_STORE}, {SELECTION}, {PAIRS} SELECT unique_id, "window", model, h, any_value(reference) AS reference, count(*) AS n, {r("avg(d_a) / nullif(avg(d_b), 0)", "rel_mae")}, {r("sqrt(avg(d_a * d_a) / nullif(avg(d_b * d_b), 0))", "rel_rmse")} FROM pairs GROUP BY unique_id, "window", model, h')
+def relative_mae(spark, sf_dir):
+    store = monthly_store(spark, sf_dir)
+    pairs = scoring.paired(scoring.scorable(store), scoring.dev_selection(store))
+    return pairs.groupBy(*scoring.CELL).agg(
+        F.min("reference").alias("reference"), F.count(F.lit(1)).alias("n"), F.try_divide(F.avg("d_a"), F.avg("d_b")).alias("rel_mae"),
+        F.sqrt(F.try_divide(F.avg(F.col("d_a") * F.col("d_a")), F.avg(F.col("d_b") * F.col("d_b")))).alias("rel_rmse"),
+    )
+
+
+_GRID = 'SELECT unique_id, "window", model, origin_t, h, y_true, lo_80 - 0.5 * (origin_t % 3) AS l80, hi_80 + 0.5 * (origin_t % 3) AS h80, lo_95 AS l95, hi_95 AS h95 FROM sc WHERE lo_80 IS NOT NULL'
+
+
+@query(f"""WITH {M_STORE}, g AS ({_GRID}) SELECT unique_id, "window", model, origin_t, h, {r('l80', 'lo_80')}, {r('h80', 'hi_80')}, {r('least(l80, l95)', 'lo_95')}, {r('greatest(h80, h95)', 'hi_95')} FROM g""")
+def grid_repair(spark, sf_dir):
+    """Inner bounds moved past the outer ones, and the grid made to widen again."""
+    rows = scoring.scorable(monthly_store(spark, sf_dir)).where("lo_80 IS NOT NULL").withColumn("conformal_n", F.lit(1))
+    moved = F.lit(0.5) * (F.col("origin_t") % 3)
+    rows = rows.withColumn("lo_80", F.col("lo_80") - moved).withColumn("hi_80", F.col("hi_80") + moved)
+    return cal.monotone(rows, LEVELS).select("unique_id", "window", "model", "origin_t", "h", "lo_80", "hi_80", "lo_95", "hi_95")
+
+
+_AR1 = """g AS (SELECT unique_id, pos, z, lag(z) OVER (PARTITION BY unique_id ORDER BY pos) AS x FROM fill),
+b AS (SELECT unique_id, pos AS origin_t, z AS last_z, regr_slope(z, x) OVER w AS b1, regr_intercept(z, x) OVER w AS b0, regr_count(z, x) OVER w AS n FROM g WINDOW w AS (PARTITION BY unique_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+
+
+@query(f"""WITH {D_RAW}, {RET}, {origins_sql(DAILY)}, {_AR1} SELECT unique_id, origin_t, CAST(n AS BIGINT) AS n, {r('b0', 'intercept')}, {r('b1', 'slope')}, {r('b0 + b1 * last_z', 'y_pred')} FROM b JOIN plan USING (unique_id, origin_t)""")
+def fc_ar1(spark, sf_dir):
+    """A first-order autoregression on expanding slices as running regressions."""
+    from pyspark.sql import Window
+
+    dense = panels.daily(spark, sf_dir)
+    w = Window.partitionBy("unique_id").orderBy("pos")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = series.log_returns(dense).withColumn("x", F.lag("r").over(w))
+    rows = rows.select("unique_id", F.col("pos").alias("origin_t"), "r", F.regr_slope("r", "x").over(upto).alias("slope"), F.regr_intercept("r", "x").over(upto).alias("intercept"), F.regr_count("r", "x").over(upto).alias("n"))
+    rows = rows.join(folds.origins(dense, DAILY).select("unique_id", "origin_t"), ["unique_id", "origin_t"])
+    return rows.select("unique_id", "origin_t", "n", "intercept", "slope", (F.col("intercept") + F.col("slope") * F.col("r")).alias("y_pred"))
+
+
+@query(f"""WITH {M_STORE}, q AS (SELECT unique_id, "window", model, origin_t, min(h) AS first, bool_and(status = 'ok') AS fine FROM store GROUP BY ALL)
+SELECT "window", model, count(*) AS n_folds, count(*) FILTER (fine) AS n_fine, count(DISTINCT unique_id) AS n_series FROM q GROUP BY "window", model""")
+def fold_status(spark, sf_dir):
+    folded = monthly_store(spark, sf_dir).groupBy("unique_id", "window", "model", "origin_t").agg(F.bool_and(F.col("status") == "ok").alias("fine"))
+    return folded.groupBy("window", "model").agg(F.count(F.lit(1)).alias("n_folds"), F.count_if("fine").alias("n_fine"), F.count_distinct("unique_id").alias("n_series"))
