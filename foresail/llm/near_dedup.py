@@ -120,18 +120,25 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _rooted(reps: DataFrame, docs: DataFrame) -> DataFrame:
     """Rows (v, root): the component of each representative (rep, sig) that has a link.
 
-    First each bucket's members are held against its least member, which joins most copies of a text. Then only
+    First each bucket's members are held against its weightiest, which joins most copies of a text. Then only
     members of buckets with several components are left, and pairs between those components are found by ``_across``.
     """
     keys = written(reps.mapInArrow(_keys, "key long, rep long"), "near-keys")
-    shared = written(keys.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead <> last").select("key", "lead"), "near-shared")
-    met = written(keys.join(shared, "key"), "near-met")
+    shared = keys.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("n")).where("least <> last").select("key", "n")
+    shared = written(shared, "near-shared")
+    plain = written(keys.join(shared, "key"), "near-plain")
     discard(keys, shared)
+    # The text that a family of copies comes from holds the values most of them hold, so its buckets are the largest.
+    weights = written(plain.groupBy("rep").agg(F.sum("n").alias("weight")), "near-weights")
+    met = written(plain.select("key", "rep").join(weights, "rep"), "near-weighed")
+    leads = written(met.groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("r"))).alias("m")).select("key", (-F.col("m.r")).alias("lead")), "near-leads")
+    weighed, met = met, written(met.select("key", "rep").join(leads, "key"), "near-met")
+    discard(plain, leads, weighed)
     # The texts of all documents are gone through once; whatever follows reads those that share a bucket with another.
     members = met.select(F.col("rep").alias("doc_id")).distinct()
     texts = docs.select("doc_id", "text").join(members.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     texts = written(texts, "near-texts")
-    stars = met.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+    stars = met.where("rep <> lead").select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")).distinct()
     first = _confirmed(_close(stars, reps), texts)
     roots = written(components(first), "near-roots")
     placed = met.select("key", "rep").join(roots.withColumnRenamed("v", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
@@ -139,10 +146,10 @@ def _rooted(reps: DataFrame, docs: DataFrame) -> DataFrame:
     split = written(placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key"), "near-split")
     open_ = written(placed.join(split, "key", "left_semi"), "near-open")
     discard(met, placed, split)
-    cross = _across(open_, reps, texts)
+    cross = _across(open_, reps, texts, weights)
     # A leader's pairs were decided in the first round.
     second = _confirmed(_close(cross.join(first, ["a", "b"], "left_anti"), reps), texts)
-    discard(open_, texts)
+    discard(open_, texts, weights)
     if second.isEmpty():
         return roots
     # Links of the second round join whole components, so only their roots are gone through again.
@@ -178,7 +185,7 @@ def _alive(open_: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (rep, root, family, text, text of the family's first): sizes, shared shingles, and the shingles that the first lacks."""
+    """Of (rep, root, family, text, text of the family's weightiest): sizes, shared shingles, and the shingles that the latter lacks."""
     last: tuple[str | None, np.ndarray] = (None, np.zeros(0, np.uint64))
     for batch in batches:
         for at in range(0, len(batch), 256):
@@ -197,10 +204,10 @@ def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(n, pa.int64()), pa.array(inside, pa.int64()), rest], ["rep", "root", "family", "n", "inside", "rest"])
 
 
-def _across(open_: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+def _across(open_: DataFrame, reps: DataFrame, texts: DataFrame, weights: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components that hold all links between them, without listing the pairs of a bucket.
 
-    Members that buckets connect form a family. With the family's first text R, two texts x and y share
+    Members that buckets connect form a family. With the family's weightiest text R, two texts x and y share
     at most min(|x & R|, |y & R|) shingles inside R, and for a link they need 3/7 of |x| + |y|. So either both hold that
     many inside R (A), or they share a shingle outside R (B), and then one of the rarest of each, as many as its size allows.
     """
@@ -209,12 +216,15 @@ def _across(open_: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
     leads = written(live.groupBy("key").agg(F.min("rep").alias("lead")), "near-leads")
     edges = live.join(leads, "key").where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     family = written(components(edges), "near-families")
-    members = alive.join(family.select(F.col("v").alias("rep"), F.col("root").alias("family")), "rep")
+    members = alive.join(family.select(F.col("v").alias("rep"), F.col("root").alias("family")), "rep").join(weights, "rep")
+    members = written(members, "near-members")
+    middle = members.groupBy("family").agg(F.max(F.struct("weight", (-F.col("rep")).alias("r"))).alias("m")).select("family", (-F.col("m.r")).alias("middle"))
+    middle = middle.join(texts.select(F.col("doc_id").alias("middle"), F.col("text").alias("first")), "middle")
     own = members.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
-    both = own.join(texts.select(F.col("doc_id").alias("family"), F.col("text").alias("first")), "family")
+    both = own.join(middle, "family")
     parts = both.select("rep", "root", "family", "text", "first").mapInArrow(_differences, "rep long, root long, family long, n long, inside long, rest array<long>")
     parts = written(parts, "near-parts")
-    discard(live, leads, family)
+    discard(live, leads, family, members)
     # (A) Sizes go to classes of 5 percent; x asks for the classes of sizes that its shared shingles suffice for.
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.05)))
     most = F.floor(7 * F.col("inside") / 3) - F.col("n")
