@@ -27,6 +27,7 @@ PLACES, BITS, CHUNKS = 64, 16, 16
 WIDTH = PLACES // CHUNKS
 MAX_DISTANCE = 2 * CHUNKS - 1
 PERCENT = 75
+COMMON = 64  #: a shingle that more of a family hold counts as inside
 _RNG = np.random.Generator(np.random.PCG64(75))
 _XOR = _RNG.integers(0, 1 << 63, PLACES, dtype=np.uint64)
 _ODD = _RNG.integers(1, 1 << 63, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -131,22 +132,26 @@ def _rooted(reps: DataFrame, docs: DataFrame) -> DataFrame:
     # The text that a family of copies comes from holds the values most of them hold, so its buckets are the largest.
     weights = written(plain.groupBy("rep").agg(F.sum("n").alias("weight")), "near-weights")
     met = written(plain.select("key", "rep").join(weights, "rep"), "near-weighed")
-    leads = written(met.groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("r"))).alias("m")).select("key", (-F.col("m.r")).alias("lead")), "near-leads")
+    # Signatures tie often, and the source's own cannot be told from a close copy's: four leaders, by four orders of ties.
+    ties = [-F.col("rep"), F.col("rep"), F.xxhash64("rep", F.lit(1)), F.xxhash64("rep", F.lit(2))]
+    best = [F.max(F.struct("weight", t.alias("t"), "rep")).alias(f"m{k}") for k, t in enumerate(ties)]
+    leads = met.groupBy("key").agg(*best).select("key", F.col("m0.rep").alias("lead"), F.array(*[f"m{k}.rep" for k in range(len(ties))]).alias("leads"))
+    leads = written(leads, "near-leads")
     weighed, met = met, written(met.select("key", "rep").join(leads, "key"), "near-met")
     discard(plain, leads, weighed)
     # The texts of all documents are gone through once; whatever follows reads those that share a bucket with another.
     members = met.select(F.col("rep").alias("doc_id")).distinct()
     texts = docs.select("doc_id", "text").join(members.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     texts = written(texts, "near-texts")
-    stars = met.where("rep <> lead").select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")).distinct()
+    stars = met.select("rep", F.explode("leads").alias("l")).where("rep <> l").select(F.least("l", "rep").alias("a"), F.greatest("l", "rep").alias("b")).distinct()
     first = _confirmed(_close(stars, reps), texts)
     roots = written(components(first), "near-roots")
-    placed = met.select("key", "rep").join(roots.withColumnRenamed("v", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
+    placed = met.join(roots.withColumnRenamed("v", "rep"), "rep", "left").select("key", "rep", "lead", F.coalesce("root", "rep").alias("root"))
     placed = written(placed, "near-placed")
     split = written(placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key"), "near-split")
     open_ = written(placed.join(split, "key", "left_semi"), "near-open")
     discard(met, placed, split)
-    cross = _across(open_, reps, texts, weights)
+    cross = _across(open_, reps, texts)
     # A leader's pairs were decided in the first round.
     second = _confirmed(_close(cross.join(first, ["a", "b"], "left_anti"), reps), texts)
     discard(open_, texts, weights)
@@ -185,7 +190,7 @@ def _alive(open_: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (rep, root, family, text, text of the family's weightiest): sizes, shared shingles, and the shingles that the latter lacks."""
+    """Of (rep, root, family, text, text of the family's leader): sizes, shared shingles, and the shingles that the latter lacks."""
     last: tuple[str | None, np.ndarray] = (None, np.zeros(0, np.uint64))
     for batch in batches:
         for at in range(0, len(batch), 256):
@@ -204,31 +209,32 @@ def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(n, pa.int64()), pa.array(inside, pa.int64()), rest], ["rep", "root", "family", "n", "inside", "rest"])
 
 
-def _across(open_: DataFrame, reps: DataFrame, texts: DataFrame, weights: DataFrame) -> DataFrame:
+def _across(open_: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components that hold all links between them, without listing the pairs of a bucket.
 
-    Members that buckets connect form a family. With the family's weightiest text R, two texts x and y share
+    Members of buckets with one leader form a family, and two that share a bucket share a family. With the leader's text R, two texts x and y share
     at most min(|x & R|, |y & R|) shingles inside R, and for a link they need 3/7 of |x| + |y|. So either both hold that
     many inside R (A), or they share a shingle outside R (B), and then one of the rarest of each, as many as its size allows.
     """
     alive = _alive(open_, reps)
-    live = written(open_.join(alive.select("rep"), "rep", "left_semi"), "near-live")
-    leads = written(live.groupBy("key").agg(F.min("rep").alias("lead")), "near-leads")
-    edges = live.join(leads, "key").where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    family = written(components(edges), "near-families")
-    members = alive.join(family.select(F.col("v").alias("rep"), F.col("root").alias("family")), "rep").join(weights, "rep")
+    members = open_.select("rep", "root", F.col("lead").alias("family")).join(alive.select("rep"), "rep", "left_semi").distinct()
     members = written(members, "near-members")
-    middle = members.groupBy("family").agg(F.max(F.struct("weight", (-F.col("rep")).alias("r"))).alias("m")).select("family", (-F.col("m.r")).alias("middle"))
-    middle = middle.join(texts.select(F.col("doc_id").alias("middle"), F.col("text").alias("first")), "middle")
     own = members.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
-    both = own.join(middle, "family")
+    both = own.join(texts.select(F.col("doc_id").alias("family"), F.col("text").alias("first")), "family")
     parts = both.select("rep", "root", "family", "text", "first").mapInArrow(_differences, "rep long, root long, family long, n long, inside long, rest array<long>")
+    parts = written(parts, "near-raw-parts")
+    # What many of a family hold beside R is counted as inside: the bound holds for any set of shingles in R's place.
+    least = F.ceil(F.col("n") * 3 / 4)
+    tokens = parts.select("rep", "root", "family", F.explode("rest").alias("token"))
+    held = tokens.groupBy("family", "token").agg(F.count(F.lit(1)).alias("df"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+    held = written(held.where("r0 <> r1"), "near-held")
+    more = tokens.join(held.where(F.col("df") > COMMON).select("family", "token"), ["family", "token"]).groupBy("rep", "family").agg(F.count(F.lit(1)).alias("more"))
+    raw, parts = parts, parts.join(more, ["rep", "family"], "left").withColumn("inside", F.col("inside") + F.coalesce("more", F.lit(0).cast("long"))).drop("more")
     parts = written(parts, "near-parts")
-    discard(live, leads, family, members)
+    discard(members, raw)
     # (A) Sizes go to classes of 5 percent; x asks for the classes of sizes that its shared shingles suffice for.
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.05)))
     most = F.floor(7 * F.col("inside") / 3) - F.col("n")
-    least = F.ceil(F.col("n") * 3 / 4)
     asks = parts.where(most >= least).select("rep", "root", "family", "n", "inside", F.explode(F.sequence(
         F.floor(F.log(least.cast("double")) / F.log(F.lit(1.05))), F.floor(F.log(most.cast("double")) / F.log(F.lit(1.05))))).alias("size_class"))
     x, y = asks.alias("x"), parts.where(most >= least).withColumn("size_class", size_class).drop("rest").alias("y")
@@ -237,15 +243,15 @@ def _across(open_: DataFrame, reps: DataFrame, texts: DataFrame, weights: DataFr
     inner = x.join(y, apart & (F.col("x.size_class") == F.col("y.size_class")) & (F.col("x.rep") < F.col("y.rep")) & fits)
     # (B) Shingles outside R, rarest first: those that one component alone holds, then by how many hold them.
     outer = parts.select("rep", "root", "family", F.size("rest").alias("m"), (least - F.col("inside")).alias("need"), F.explode("rest").alias("token"))
-    ranked = _ranked(outer, ["family", "token"])
-    from_end = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("df"), "token"))
+    ranked = outer.join(held.where(F.col("df") <= COMMON).select("family", "token", "df"), ["family", "token"])
+    from_end = F.row_number().over(Window.partitionBy("rep", "family").orderBy(F.desc("df"), "token"))
     kept = ranked.withColumn("from_end", from_end).where(F.col("from_end") >= F.greatest(F.lit(1), F.col("need"))).select("rep", "root", "family", "token")
     kept = written(kept, "near-rare")
     x, y = kept.alias("x"), kept.alias("y")
     outside = x.join(y, apart & (F.col("x.token") == F.col("y.token")) & (F.col("x.rep") < F.col("y.rep")))
     pair = [F.col("x.rep").alias("a"), F.col("y.rep").alias("b")]
     out = written(inner.select(*pair).unionByName(outside.select(*pair)).distinct(), "near-across")
-    discard(parts, kept)
+    discard(parts, kept, held)
     return out
 
 

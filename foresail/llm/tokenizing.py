@@ -15,7 +15,7 @@ import numpy as np
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 #: Pieces kept by a worker: two generations of so many; a piece of over LONG characters is not kept.
-KEPT, LONG = 350_000, 64
+KEPT, LONG = 600_000, 64
 #: Marks that are tokens apart from a letter before them, and a control character that parts pieces sent to the library together.
 MARKS, APART = ".,;:!?", "\x01"
 
