@@ -264,6 +264,32 @@ def test_lm_counts_by_brute_force(spark):
     assert np.allclose(background, [loss(t, "b", texts) for t in texts], rtol=1e-4) and np.allclose(target, [loss(t, "t", texts[:2]) for t in texts], rtol=1e-4)
 
 
+def test_lm_counts_every_word_and_bigram(spark):
+    """More different words than any table of 65,536 holds, of which each decides a score."""
+    from collections import Counter
+
+    rng = random.Random(5)
+    docs = [[f"w{1000 * k + j}" for j in range(1000)] for k in range(70)]
+    docs += [[f"w{rng.randrange(70_000)}" for _ in range(1000)] for _ in range(30)]
+    rows = [(k, " ".join(d), k % 2 == 0) for k, d in enumerate(docs)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, is_target boolean").repartition(3)
+    got = {r.doc_id: r for r in lm_scoring.score_trained(lm_scoring.train(df, asks=True)).collect()}
+    again = {r.doc_id: r for r in lm_scoring.score(df, lm_scoring.train(df)).collect()}
+    size = len({w for d in docs for w in d}) + 1
+    want = []
+    for part in (docs[::2], docs):
+        words, contexts, pairs = Counter(), Counter(), Counter()
+        for d in part:
+            words.update(d)
+            contexts.update(["^", *d[:-1]])
+            pairs.update(zip(["^", *d], d))
+        total = sum(words.values()) + size
+        want.append([-np.mean([np.log(lm_scoring.SHARE * pairs[p] / max(contexts[p[0]], 1) + (1 - lm_scoring.SHARE) * (words[p[1]] + 1) / total) for p in zip(["^", *d], d)]) for d in docs])
+    assert len(got) == len(again) == 100
+    for found in (got, again):
+        assert np.allclose([found[k].target_loss for k in range(100)], want[0]) and np.allclose([found[k].background_loss for k in range(100)], want[1])
+
+
 def test_encoder_equals_the_library():
     e = Encoder.of(vocabulary_path())
     rng = random.Random(6)
