@@ -579,13 +579,12 @@ def _ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
 
-_SPARSE = {"origin_step": 50, "n_dev": 2, "n_test": 10}
-_CUMULATIVE = {"target": "cumulative_returns", "window": "expanding", "origin_step": 50, "n_dev": 2, "n_test": 8}
+_CUMULATIVE = {"target": "cumulative_returns"}
 for _name, _args in {
-    "fc_ses": ("monthly", "ses", {}), "fc_ets": ("monthly", "ets", {"window": "rolling", "origin_step": 5, "n_dev": 2, "n_test": 4}), "fc_theta": ("monthly", "theta", {"transform": "auto"}),
-    "fc_sarima": ("monthly", "sarima", {"window": "rolling", "origin_step": 10, "n_dev": 1, "n_test": 1}), "fc_ar": ("daily", "ar", {}), "fc_fhs": ("daily", "zero_return_fhs", _SPARSE),
-    "fc_garch": ("daily", "garch", _SPARSE), "fc_gjr_garch": ("daily", "gjr_garch", _SPARSE), "fc_garch_normal": ("daily", "garch_normal", _SPARSE),
-    "fc_combination": ("monthly", ("theta", "ets", "combination"), {"window": "rolling", "origin_step": 12, "n_dev": 1, "n_test": 2}),
+    "fc_ses": ("monthly", "ses", {}), "fc_ets": ("monthly", "ets", {}), "fc_theta": ("monthly", "theta", {"transform": "auto"}),
+    "fc_sarima": ("monthly", "sarima", {}), "fc_ar": ("daily", "ar", {}), "fc_fhs": ("daily", "zero_return_fhs", {}),
+    "fc_garch": ("daily", "garch", {}), "fc_gjr_garch": ("daily", "gjr_garch", {}), "fc_garch_normal": ("daily", "garch_normal", {}),
+    "fc_combination": ("monthly", ("theta", "ets", "combination"), {}),
     "sim_cumulative": ("daily", ("ewma", "garch"), _CUMULATIVE), "sim_block": ("daily", ("ewma_block", "garch_block"), _CUMULATIVE), "sim_parameter_uncertainty": ("daily", ("garch_pu", "gjr_garch_pu"), _CUMULATIVE),
 }.items():
     _run = _fitted(_args[0], _args[1], **_args[2])
@@ -624,7 +623,7 @@ def es_backtest(spark, sf_dir):
 
 
 def _simulated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fitted("daily", "ewma", target="cumulative_returns", window="expanding", origin_step=10, n_dev=5, n_test=100)(spark, sf_dir).withColumn("y_true_missing", F.col("y_true").isNull())
+    return _fitted("daily", "ewma", **_CUMULATIVE)(spark, sf_dir).withColumn("y_true_missing", F.col("y_true").isNull())
 
 
 @query()
@@ -648,7 +647,7 @@ def residual_summary(spark, sf_dir):
 
 @query()
 def transform_counts(spark, sf_dir):
-    return scoring.transform_counts(_fitted("monthly", "ses", window="expanding", transform="boxcox", n_dev=5, n_test=10)(spark, sf_dir))
+    return scoring.transform_counts(_fitted("monthly", "ses", transform="boxcox")(spark, sf_dir))
 
 
 @query(f"SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, {r('sum(value)', 'total')} FROM events GROUP BY ALL")
