@@ -584,7 +584,7 @@ for _name, _args in {
     "fc_ses": ("monthly", "ses", {}), "fc_ets": ("monthly", "ets", {}), "fc_theta": ("monthly", "theta", {"transform": "auto"}),
     "fc_sarima": ("monthly", "sarima", {}), "fc_ar": ("daily", "ar", {}), "fc_fhs": ("daily", "zero_return_fhs", {}),
     "fc_garch": ("daily", "garch", {}), "fc_gjr_garch": ("daily", "gjr_garch", {}), "fc_garch_normal": ("daily", "garch_normal", {}),
-    "fc_combination": ("monthly", ("theta", "ets", "combination"), {}),
+    "fc_combination": ("monthly", ("theta", "ets", "sarima", "combination"), {}),
     "sim_cumulative": ("daily", ("ewma", "garch"), _CUMULATIVE), "sim_block": ("daily", ("ewma_block", "garch_block"), _CUMULATIVE), "sim_parameter_uncertainty": ("daily", ("garch_pu", "gjr_garch_pu"), _CUMULATIVE),
 }.items():
     _run = _fitted(_args[0], _args[1], **_args[2])

@@ -3,6 +3,8 @@
 import pytest
 
 from foresail import queries
+from foresail.config import parse_series
+from foresail.errors import ConfigError
 from foresail.operators import backtest
 from foresail.plans.panels import DAILY, MONTHLY
 
@@ -39,3 +41,13 @@ def test_every_origin_of_the_panel(asked, name):
     config, _ = asked(name)
     facts = lambda c: (c.windows, c.origin_step, c.n_dev, c.n_test, c.initial_window, c.rolling_length)
     assert facts(config) == facts(FITTED[name])
+
+
+def test_combination_has_all_members(asked):
+    config, _ = asked("fc_combination")
+    assert {"ets", "sarima", "theta", "combination"} <= set(config.models)
+    raw = {"id": "a", "source": "csv:a.csv", "freq": "monthly", "H": 12}
+    for absent in ("ets", "sarima", "theta"):
+        with pytest.raises(ConfigError, match=absent):
+            parse_series(raw | {"models": [x for x in ("ets", "sarima", "theta", "combination") if x != absent]}, [])
+    assert parse_series(raw | {"models": ["ets", "sarima", "theta", "combination"]}, []).models[-1] == "combination"
