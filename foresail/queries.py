@@ -563,7 +563,7 @@ def _fitted(panel: str, model: str, **changes) -> Query:
 
         _ship(spark)
         config = replace(MONTHLY if panel == "monthly" else DAILY, models=(model,) if isinstance(model, str) else model, **changes)
-        out = fitted_forecasts(getattr(panels, panel)(spark, sf_dir), config, LEVELS, n_paths=2000)
+        out = fitted_forecasts(getattr(panels, panel)(spark, sf_dir), config, LEVELS)
         return out.select("unique_id", "model", "window", "origin_t", "origin_role", "h", "y_true", "y_pred", "lo_80", "hi_80", "es_80", "lo_95", "hi_95", "es_95", "lb_p", "transform", "variant", "status")
 
     return run
@@ -598,7 +598,7 @@ def skill_bootstrap(spark, sf_dir):
 
     _ship(spark)
     store = monthly_store(spark, sf_dir)
-    return bootstrap_skill(scoring.paired(scoring.scorable(store), scoring.dev_selection(store)), 20260922, 500)
+    return bootstrap_skill(scoring.paired(scoring.scorable(store), scoring.dev_selection(store)), 20260922)
 
 
 @query()
@@ -611,7 +611,7 @@ def mcs(spark, sf_dir):
     from .operators.backtest import model_confidence_set
 
     _ship(spark)
-    return model_confidence_set(scoring.scorable(monthly_store(spark, sf_dir)), 20260922, reps=500)
+    return model_confidence_set(scoring.scorable(monthly_store(spark, sf_dir)), 20260922)
 
 
 @query()

@@ -51,3 +51,15 @@ def test_combination_has_all_members(asked):
         with pytest.raises(ConfigError, match=absent):
             parse_series(raw | {"models": [x for x in ("ets", "sarima", "theta", "combination") if x != absent]}, [])
     assert parse_series(raw | {"models": ["ets", "sarima", "theta", "combination"]}, []).models[-1] == "combination"
+
+
+def test_operators_defaults_apply(asked, spark, monkeypatch):
+    assert all("n_paths" not in asked(name)[1] for name in ("fc_fhs", "fc_garch", "sim_cumulative", "es_backtest"))
+    for name, operator, most in (("skill_bootstrap", "bootstrap_skill", 2), ("h_star", "bootstrap_skill", 2), ("mcs", "model_confidence_set", 2)):
+        def caught(*args, **others):
+            raise Caught(args, others)
+
+        monkeypatch.setattr(backtest, operator, caught)
+        with pytest.raises(Caught) as e:
+            queries.QUERIES[name](spark, SMALL)
+        assert len(e.value.args[0]) == most and not e.value.args[1]
