@@ -90,7 +90,7 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
     for i in set(strong) | set(insults):
         near += any(w in SECOND for w in words[max(0, i - 5) : i + 6])
     mixed = _MIXED.findall(lower)
-    spaced = _SPACED.findall(lower) if "." in lower or "-" in lower or "*" in lower or "_" in lower else []
+    spaced = _SPACED.findall(lower)
     spaced = [re.sub(r"[.\-_* ]", "", x) for x in spaced]
     drawn = len(_DRAWN.findall(lower))
     plain = [x.translate(LEET).replace("*", "") for x in mixed] + spaced

@@ -398,6 +398,13 @@ def test_toxicity(odd, none, spark):
     assert {r.score for r in toxicity.score(odd, nothing).collect()} == {0.5}
 
 
+def test_letters_parted_by_blanks_only():
+    lexicon = toxicity.Lexicon({})
+    at = toxicity.FEATURES.index("spaced_rate")
+    assert toxicity.features("you i d i o t", lexicon)[at] > 0 and toxicity.features("you i.d.i.o.t", lexicon)[at] > 0
+    assert toxicity.features("a plain text", lexicon)[at] == 0
+
+
 def test_isotonic_rises():
     x = np.array([0.1, 0.2, 0.3, 0.4, 0.5])
     knots = toxicity.isotonic(x, np.array([0, 1, 0, 1, 1.0]), np.ones(5))
