@@ -31,6 +31,7 @@ RAW = frozenset("script style noscript template svg iframe object canvas audio v
 CLOSED_BY = {"p": BLOCK - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for t in RAW}
 _NAMES = re.compile(r"""\b(class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _QUOTED = re.compile(r"""\b(?!hidden)[\w-]+\s*=\s*(?:"[^"]*"|'[^']*')""")
@@ -81,7 +82,6 @@ def blocks(page: str) -> list[Block]:
     stack: list[_Open] = []
     held: list[str] = []
     linked = 0
-    raw: str | None = None
 
     def flush() -> None:
         nonlocal linked
@@ -93,22 +93,20 @@ def blocks(page: str) -> list[Block]:
             held.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(page):
+    at = 0
+    while m := _TOKEN.match(page, at):
+        at = m.end()
         tag = m.group(2)
         if tag is None:
             piece = m.group(0)
-            if raw is None and not (len(piece) > 1 and piece[0] == "<"):
+            if not (len(piece) > 1 and piece[0] == "<"):
                 held.append(piece)
                 if any(o.tag == "a" for o in stack):
                     linked += len(piece)
-            elif raw is None and piece.startswith("<![CDATA["):
+            elif piece.startswith("<![CDATA["):
                 held.append(html.escape(piece[9:].removesuffix("]]>")))
             continue
         tag = tag.lower()
-        if raw is not None:
-            if m.group(1) and tag == raw:
-                raw = None
-            continue
         if m.group(1):
             if tag in BLOCK:
                 flush()
@@ -120,8 +118,9 @@ def blocks(page: str) -> list[Block]:
             continue
         attributes = m.group(3)
         if tag in RAW:
-            if not attributes.endswith("/"):
-                raw = tag
+            if not attributes.endswith("/"):  # what is inside is no markup: on to the end tag
+                end = _RAW_END[tag].search(page, at)
+                at = end.end() if end else len(page)
             continue
         if tag in BLOCK:
             flush()

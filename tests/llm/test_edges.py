@@ -405,6 +405,11 @@ def test_letters_parted_by_blanks_only():
     assert toxicity.features("a plain text", lexicon)[at] == 0
 
 
+def test_script_with_a_less_than_sign():
+    page = "<p>Before.</p><script>for(i=0;i<n;i++){f(i)}</script><p>Between.</p><SCRIPT>if (a<b) {'</p>'}</SCRIPT ><p>After.</p><style>never closed<p>No."
+    assert [b.text for b in html_extract.blocks(page)] == ["Before.", "Between.", "After."]
+
+
 def test_isotonic_rises():
     x = np.array([0.1, 0.2, 0.3, 0.4, 0.5])
     knots = toxicity.isotonic(x, np.array([0, 1, 0, 1, 1.0]), np.ones(5))
