@@ -30,11 +30,12 @@ RAW = frozenset("script style noscript template svg iframe object canvas audio v
 #: Tags that their own kind, or a block, ends when an end tag is missing.
 CLOSED_BY = {"p": BLOCK - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
+#: A quote parts an attribute's value only after an equals sign; one that nothing closes is a letter like others, so the tag ends at the next ``>``.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+\"[^\"]*\"|=\s*+'[^']*'|=)*+)(?:>|\Z)|[^<]+|<", re.S)
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for t in RAW}
-_NAMES = re.compile(r"""\b(class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
-_QUOTED = re.compile(r"""\b(?!hidden)[\w-]+\s*=\s*(?:"[^"]*"|'[^']*')""")
+_ATTRIBUTE = re.compile(r"""([^\s=/"']++)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*+)))?""")
+#: Attributes whose words tell what a part of a page is.
+_TELLING = frozenset(("class", "id", "role", "itemprop", "aria-label"))
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -59,37 +60,73 @@ TAGS = ("article", "main", "section", "nav", "header", "footer", "aside", "form"
 @dataclass
 class Block:
     text: str
-    tags: tuple[str, ...]
+    inside: frozenset[str]  #: the tags it stands in, of those that features look at
+    last: str  #: the block-level tag next to it
     kinds: frozenset[str]
     linked: int  #: characters inside links
     hidden: bool
 
 
-@dataclass
+@dataclass(frozen=True)
 class _Open:
+    """An open tag, with what holds for all inside it: so a block costs the same at any depth."""
+
     tag: str
+    inside: frozenset[str]
+    last: str
     kinds: frozenset[str]
     hidden: bool
+    block_at: int  #: place in the stack of the last block-level tag up to here, -1 for none
+
+
+_ROOT = _Open("", frozenset(), "", frozenset(), False, -1)
+
+
+def _attributes(text: str) -> tuple[set[str], bool, bool]:
+    """Kinds that the attributes tell, whether they hide, and whether a slash at their end closes the tag."""
+    kinds: set[str] = set()
+    hidden, end = False, 0
+    for a in _ATTRIBUTE.finditer(text):
+        name, value = a.group(1).lower(), a.group(2) or a.group(3) or a.group(4) or ""
+        end = a.end() if a.group(4) else 0
+        if name in _TELLING:
+            for w in _PARTS.findall(value):
+                if (k := _KIND.get(w.lower())) is not None:
+                    kinds.add(k)
+        elif name == "style":
+            hidden |= "display:none" in _SPACE.sub("", value).lower()
+        elif name == "hidden":
+            hidden |= value.lower() != "false"
+        elif name == "aria-hidden":
+            hidden |= value.lower() == "true"
+    return kinds, hidden, text.endswith("/") and end != len(text)
 
 
 def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page in order, with decoded references and white space made one space; never an empty one.
 
     Scripts, styles, comments and markup are no text. Missing and stray end tags are mended as browsers do
-    in the plain cases: a new paragraph ends an open one, a stray end is skipped.
+    in the plain cases: a new paragraph ends an open one, a stray end is skipped. The time is linear in the page,
+    however deep its tags are nested and however many are never closed.
     """
     out: list[Block] = []
     stack: list[_Open] = []
+    places: dict[str, list[int]] = {}  # of the open tags of each name
     held: list[str] = []
     linked = 0
 
+    def pop() -> str:
+        tag = stack.pop().tag
+        places[tag].pop()
+        return tag
+
     def flush() -> None:
         nonlocal linked
         if held:
             text = _SPACE.sub(" ", html.unescape("".join(held))).strip()
             if text:
-                kinds = frozenset().union(*[o.kinds for o in stack]) if stack else frozenset()
-                out.append(Block(text, tuple(o.tag for o in stack), kinds, min(linked, len(text)), any(o.hidden for o in stack)))
+                top = stack[-1] if stack else _ROOT
+                out.append(Block(text, top.inside, top.last, top.kinds, min(linked, len(text)), top.hidden))
             held.clear()
         linked = 0
 
@@ -101,7 +138,7 @@ def blocks(page: str) -> list[Block]:
             piece = m.group(0)
             if not (len(piece) > 1 and piece[0] == "<"):
                 held.append(piece)
-                if any(o.tag == "a" for o in stack):
+                if places.get("a"):
                     linked += len(piece)
             elif piece.startswith("<![CDATA["):
                 held.append(html.escape(piece[9:].removesuffix("]]>")))
@@ -110,41 +147,37 @@ def blocks(page: str) -> list[Block]:
         if m.group(1):
             if tag in BLOCK:
                 flush()
-            if any(o.tag == tag for o in stack):
-                if tag not in BLOCK and any(o.tag in BLOCK for o in stack[max(k for k, o in enumerate(stack) if o.tag == tag) :]):
-                    continue  # an inline end tag does not end the blocks opened since
-                while stack.pop().tag != tag:
+            if places.get(tag) and (tag in BLOCK or stack[-1].block_at < places[tag][-1]):  # an inline end tag does not end the blocks opened since
+                while pop() != tag:
                     pass
             continue
-        attributes = m.group(3)
+        text = m.group(3)
+        kinds, hidden, closed = _attributes(text) if text else (set(), False, False)
         if tag in RAW:
-            if not attributes.endswith("/"):  # what is inside is no markup: on to the end tag
+            if not closed:  # what is inside is no markup: on to the end tag
                 end = _RAW_END[tag].search(page, at)
                 at = end.end() if end else len(page)
             continue
         if tag in BLOCK:
             flush()
-            while stack and stack[-1].tag not in BLOCK:
-                if any(tag in CLOSED_BY.get(o.tag, ()) for o in stack):
-                    stack.pop()
-                else:
-                    break
-            while stack and tag in CLOSED_BY.get(stack[-1].tag, ()):
-                stack.pop()
+            ended = [t for t, by in CLOSED_BY.items() if tag in by]
+            if any(places.get(t) for t in ended):
+                while stack and stack[-1].tag not in BLOCK:
+                    pop()
+            while stack and stack[-1].tag in ended:
+                pop()
         if tag in VOID:
-            if tag in ("br", "wbr"):
-                held.append(" " if tag == "br" else "")
+            if tag == "br":
+                held.append(" ")
             continue
-        kinds = set()
-        hidden = False
-        if "=" in attributes or "hidden" in attributes:
-            for a in _NAMES.finditer(attributes):
-                for w in _PARTS.findall(a.group(2) or a.group(3) or a.group(4) or ""):
-                    if (k := _KIND.get(w.lower())) is not None:
-                        kinds.add(k)
-            hidden = bool(_HIDDEN.search(_QUOTED.sub("", attributes))) or "display:none" in attributes.replace(" ", "").lower() or bool(re.search(r"aria-hidden\s*=\s*[\"']?true", attributes, re.I))
-        if not attributes.endswith("/"):
-            stack.append(_Open(tag, frozenset(kinds), hidden))
+        if not closed:
+            top = stack[-1] if stack else _ROOT
+            known = tag in _SEEN and tag not in top.inside
+            places.setdefault(tag, []).append(len(stack))
+            stack.append(_Open(
+                tag, top.inside | {tag} if known else top.inside, tag if tag in BLOCK else top.last, top.kinds if top.kinds >= kinds else top.kinds | kinds, top.hidden or hidden,
+                len(stack) if tag in BLOCK else top.block_at,
+            ))
     flush()
     return out
 
@@ -154,6 +187,7 @@ NAMES = ("bias", *(f"in_{t}" for t in TAGS), *(f"last_{t}" for t in TAGS), *(f"k
 _AT = {n: k for k, n in enumerate(NAMES)}
 #: Tags whose inside is rarely part of an article.
 _ASIDE = frozenset("nav header footer aside form button select dialog menu title label".split())
+_SEEN = _ASIDE | set(TAGS)
 _STOPS = re.compile(r"[.!?…]")
 _LEGAL = re.compile(r"©|\ball rights reserved\b|\bcopyright\b|\bcookies?\b|\bsubscribe\b|\bnewsletter\b|\bread more\b|\bshare\b", re.I)
 
@@ -161,15 +195,15 @@ _LEGAL = re.compile(r"©|\ball rights reserved\b|\bcopyright\b|\bcookies?\b|\bsu
 def features(found: list[Block]) -> np.ndarray:
     """A row of features for each block."""
     x = np.zeros((len(found), len(NAMES)))
-    holds = [bool(b.kinds & {"content"}) or "article" in b.tags or "main" in b.tags for b in found]
+    holds = ["content" in b.kinds or not b.inside.isdisjoint(("article", "main")) for b in found]
+    some = any(holds)
     for i, b in enumerate(found):
         row = x[i]
         row[0] = 1
-        for t in set(b.tags):
+        for t in b.inside:
             if (k := _AT.get(f"in_{t}")) is not None:
                 row[k] = 1
-        near = [t for t in b.tags if t in BLOCK]
-        if near and (k := _AT.get(f"last_{near[-1]}")) is not None:
+        if (k := _AT.get(f"last_{b.last}")) is not None:
             row[k] = 1
         for kind in b.kinds:
             row[_AT[f"kind_{kind}"]] = 1
@@ -184,11 +218,11 @@ def features(found: list[Block]) -> np.ndarray:
         row[_AT["capital"]] = b.text[:1].isupper()
         row[_AT["digits"]] = sum(map(str.isdigit, b.text)) / size if size < 200 else 0
         row[_AT["copyright"]] = bool(_LEGAL.search(b.text)) and words < 40
-        spoiled = bool(b.kinds - {"content"}) or not _ASIDE.isdisjoint(b.tags)
+        spoiled = bool(b.kinds - {"content"}) or not _ASIDE.isdisjoint(b.inside)
         row[_AT["spoiled"]] = spoiled
         row[_AT["clean"]] = holds[i] and not spoiled
         row[_AT["bare"]] = not holds[i] and not spoiled
-        row[_AT["outside"]] = not holds[i] and any(holds)
+        row[_AT["outside"]] = not holds[i] and some
         row[_AT["pipes"]] = b.text.count("|") + b.text.count("·") + b.text.count("»") > 0
     return x
 
@@ -442,4 +476,5 @@ def extract(pages: DataFrame, crf: Field | None = None) -> DataFrame:
 
 
 def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all ``pages``. Null, empty and text-free pages give an empty text, repeated rows each a row, an empty table none."""
     return extract(table(spark, sf_dir, "pages"))
