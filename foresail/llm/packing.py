@@ -2,9 +2,9 @@
 
 Whole windows inside a document are sequences of their own. For the tails, pairs and
 triples of lengths that fill a window exactly are enumerated, repeat counts are solved
-against the histogram of lengths by non-negative least squares and rounded down to what
-there is, and the tails left over are packed greedily from the longest on, cut where a
-window ends. Only the last of those windows is not full.
+against the histogram of lengths by non-negative least squares and rounded to what
+there is. The tails left over are packed greedily, best fit from the longest on. What no
+window takes follows as one stream, cut where a window ends: only its last window is not full.
 
 The plan knows lengths, not documents: a tail's place follows from its length and its
 rank among the tails of that length, so documents are placed by arithmetic, without
@@ -14,6 +14,8 @@ sorting or gathering them, and a length that a third of all documents share is n
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,38 +29,39 @@ from .common import discard, ship, table, written
 from .tokenizing import Encoder, vocabulary_path
 
 WINDOW = 4096
-#: Triples in the least-squares problem: all when there are no more than that, else an even seeded choice among them.
-MAX_TRIPLES = 40_000
-STEPS = 250
+#: Column generation: rounds at most, triples that a shortest length brings in a round, and steps of least squares in a round and at the end.
+ROUNDS, PER_LENGTH, STEPS, LAST_STEPS = 10, 4, 60, 250
+#: A greedy window may stay short of full by this share.
+SLACK = 1 / 256
 
 
-def combinations(lengths: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Rows of one to three lengths (0: no third) out of ``lengths`` that add up to the window."""
+def pairs_of(lengths: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """All (x, y, 0) out of ``lengths`` that add up to the window, x the shorter."""
     have = np.zeros(window + 1, dtype=bool)
     have[lengths] = True
-    a = lengths[lengths * 2 <= window]
-    pairs = a[have[window - a]]
-    out = [np.stack([pairs, window - pairs, np.zeros_like(pairs)], axis=1)]
-    n = len(lengths)
-    if n and n * n <= 4 * MAX_TRIPLES:
-        x, y = (v.reshape(-1) for v in np.meshgrid(lengths, lengths, indexing="ij"))
-    elif n:
-        rng = np.random.Generator(np.random.PCG64(n))
-        x, y = lengths[rng.integers(0, n, 8 * MAX_TRIPLES)], lengths[rng.integers(0, n, 8 * MAX_TRIPLES)]
-    else:
-        x = y = lengths
-    z = window - x - y
-    ok = (x <= y) & (y <= z)
-    x, y, z = x[ok], y[ok], z[ok]
-    ok = have[z]
-    triples = np.unique(np.stack([x[ok], y[ok], z[ok]], axis=1), axis=0)
-    if len(triples) > MAX_TRIPLES:
-        triples = triples[np.linspace(0, len(triples) - 1, MAX_TRIPLES).astype(np.int64)]
-    out.append(triples)
-    return np.concatenate(out).astype(np.int64)
-
-
-def nonnegative_least_squares(combos: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    x = lengths[lengths * 2 <= window]
+    x = x[have[window - x]]
+    return np.stack([x, window - x, np.zeros_like(x)], axis=1).astype(np.int64)
+
+
+def dearest_triples(price: np.ndarray, most: int = PER_LENGTH, least: float = 0.5) -> np.ndarray:
+    """Of all x <= y <= z that add up to the window, for each x the ``most`` with the highest price[x] + price[y] + price[z] over ``least``.
+
+    Every triple is priced; -inf marks lengths that there are none of. ``price`` has a place for each length from 0 to the window.
+    """
+    window, out = len(price) - 1, []
+    for x in np.flatnonzero(price[: window // 3 + 1] > -np.inf).tolist():
+        if not x:
+            continue
+        y = np.arange(x, (window - x) // 2 + 1)
+        total = price[x] + price[y] + price[window - x - y]
+        best = np.argpartition(-total, most)[:most] if len(total) > most else np.arange(len(total))
+        best = best[total[best] > least]
+        out.append(np.stack([np.full(len(best), x), y[best], window - x - y[best]], axis=1))
+    return np.concatenate(out).astype(np.int64) if out else np.zeros((0, 3), np.int64)
+
+
+def nonnegative_least_squares(combos: np.ndarray, counts: np.ndarray, start: np.ndarray | None = None, steps: int = LAST_STEPS) -> np.ndarray:
     """Repeats x >= 0 of the combinations that bring sum((use(x) - counts)**2) to its least: accelerated projected gradient."""
     m, n = len(combos), len(counts)
     if not m:
@@ -80,9 +83,9 @@ def nonnegative_least_squares(combos: np.ndarray, counts: np.ndarray) -> np.ndar
         v = back(use(v))
         size = np.linalg.norm(v)
         v /= size
-    x = y = np.zeros(m)
+    x = y = np.zeros(m) if start is None else start
     t = 1.0
-    for _ in range(STEPS):
+    for _ in range(steps):
         nxt = np.maximum(0, y - back(use(y) - counts) / (1.05 * size))
         t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
         y = nxt + (t - 1) / t2 * (nxt - x)
@@ -90,6 +93,69 @@ def nonnegative_least_squares(combos: np.ndarray, counts: np.ndarray) -> np.ndar
     return x
 
 
+def combinations(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of two or three lengths (0: no third) that fill the window, and their repeats by least squares against ``counts`` (by length, up to the window).
+
+    All pairs take part. Triples come in by column generation: after each solution all of them are priced by the histogram's
+    residual, and the dearest of each shortest length join, until none would lower the squares or ROUNDS are over.
+    The way is the same for any number of lengths and documents, and no triple is out of reach.
+    """
+    window, counts = len(counts) - 1, counts.astype(float)
+    lengths = np.flatnonzero(counts[:window])
+    combos = pairs_of(lengths[lengths > 0], window)
+    x = nonnegative_least_squares(combos, counts, steps=STEPS)
+    for _ in range(ROUNDS):
+        used = np.bincount(combos.reshape(-1), np.repeat(x, 3), minlength=window + 1) if len(combos) else np.zeros(window + 1)
+        price = np.where(counts > 0, counts - used, -np.inf)
+        price[[0, window]] = -np.inf
+        fresh = dearest_triples(price)
+        if len(combos):
+            code = combos[:, 0] * (window + 1) + combos[:, 1]
+            fresh = fresh[~np.isin(fresh[:, 0] * (window + 1) + fresh[:, 1], code[combos[:, 2] > 0])]
+        if not len(fresh):
+            break
+        combos, x = np.concatenate([combos, fresh]), np.concatenate([x, np.zeros(len(fresh))])
+        x = nonnegative_least_squares(combos, counts, x, STEPS)
+    return combos, nonnegative_least_squares(combos, counts, x)
+
+
+def greedy_windows(left: np.ndarray, slack: int) -> Iterator[tuple[list[tuple[int, int]], int]]:
+    """Best fit from the longest on: ([(length, how often)], windows filled that way), of what ``left`` (by length) holds, which shrinks.
+
+    A window takes the longest that fits until none does. One that stays short by more than ``slack`` is not made: its longest length is left over.
+    Whatever a filling repeats is done at once, so that the work grows with the lengths and not with the documents.
+    """
+    window = len(left) - 1
+    have = np.flatnonzero(left[:window]).tolist()
+    top = len(have) - 1
+    while top >= 0:
+        top = min(top, len(have) - 1)
+        if top < 0:
+            return
+        first = have[top]
+        took, room, at = {first: 1}, window - first, top
+        while room:
+            at = bisect_right(have, room, 0, at + 1) - 1
+            while at >= 0 and left[have[at]] <= took.get(have[at], 0):
+                at -= 1
+            if at < 0:
+                break
+            x = have[at]
+            k = min(room // x, int(left[x]) - took.get(x, 0))
+            took[x] = took.get(x, 0) + k
+            room -= k * x
+        if room > slack:
+            top -= 1
+            continue
+        times = min(int(left[x]) // k for x, k in took.items())
+        yield list(took.items()), times
+        for x, k in took.items():
+            left[x] -= k * times
+            if not left[x]:
+                del have[bisect_left(have, x)]
+        top = bisect_right(have, first) - 1
+
+
 @dataclass
 class Plan:
     """Where the tail of rank r among those of its length goes.
@@ -106,6 +172,7 @@ class Plan:
     stream: dict[int, int]
     stream_base: int
     window: int
+    tokens: tuple[int, int, int] = (0, 0, 0)  #: of tails, by least squares, greedily and in the stream
 
 
 def make_plan(histogram: dict[int, int], window: int = WINDOW) -> Plan:
@@ -115,35 +182,44 @@ def make_plan(histogram: dict[int, int], window: int = WINDOW) -> Plan:
         left[k] = n
     sequences = int(left[window])
     left[window] = 0
-    combos = combinations(np.flatnonzero(left), window)
-    wanted = nonnegative_least_squares(combos, left.astype(float))
+    combos, wanted = combinations(left)
     placed: dict[int, list[tuple[int, int, int]]] = {}
     used = np.zeros(window + 1, dtype=np.int64)
+
+    def put(combo: list[int], n: int) -> None:
+        nonlocal sequences
+        at, ahead = 0, Counter()
+        for x in combo:
+            placed.setdefault(x, []).append((int(used[x]) + ahead[x], sequences, at))
+            ahead[x] += n
+            at += x
+        for x, k in ahead.items():
+            used[x] += k
+        sequences += n
+
     order = np.argsort(-wanted, kind="stable")
     for rounding in (np.floor(wanted + 0.5), np.ceil(wanted)):
         for k in order.tolist():
             want = int(rounding[k])
             if want <= 0:
-                continue
+                break
             combo = [x for x in combos[k].tolist() if x]
-            most = min(int(left[x]) // combo.count(x) for x in combo)
-            n = min(want, most)
-            if not n:
-                continue
-            at = 0
-            for x in combo:
-                placed.setdefault(x, []).append((int(used[x]), sequences, at))
-                used[x] += n
-                left[x] -= n
-                at += x
-            sequences += n
+            n = min(want, *(int(left[x]) // combo.count(x) for x in combo))
+            if n:
+                for x in combo:
+                    left[x] -= n
+                put(combo, n)
+    by_plan = int(used @ np.arange(window + 1))
+    for took, n in greedy_windows(left, int(window * SLACK)):
+        put([x for x, k in took for _ in range(k)], n)
+    by_greed = int(used @ np.arange(window + 1)) - by_plan
     stream, position = {}, 0
     for x in np.flatnonzero(left)[::-1].tolist():
         stream[x] = position
         position += x * int(left[x])
     return Plan(
         {x: np.array([p[0] for p in v]) for x, v in placed.items()}, {x: np.array([p[1] for p in v]) for x, v in placed.items()},
-        {x: np.array([p[2] for p in v]) for x, v in placed.items()}, {x: int(used[x]) for x in range(1, window) if used[x]}, stream, sequences, window,
+        {x: np.array([p[2] for p in v]) for x, v in placed.items()}, {x: int(used[x]) for x in range(1, window) if used[x]}, stream, sequences, window, (by_plan, by_greed, position),
     )
 
 
@@ -260,7 +336,8 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> Data
     histogram[window] = sum(r["f"] for r in counted)
     plan = make_plan(histogram, window)
     places = written(tails.join(wholes, "part"), "length-bases")
-    rows = base.join(places, ["part", "tail"]).select("doc_id", "n", "tail", "rank_tail", "rank_full", "full_crcs", "tail_crc", "base_tail", "base_full")
+    # Both sides grow with the corpus, so neither is broadcast; a task's own number is in the key, so no key is hot.
+    rows = base.hint("merge").join(places.hint("merge"), ["part", "tail"]).select("doc_id", "n", "tail", "rank_tail", "rank_full", "full_crcs", "tail_crc", "base_tail", "base_full")
     pieces = written(rows.mapInArrow(_placing(plan), _PIECES), "pieces")
     discard(base, by_part, places)
     cuts = written(pieces.where("cut_at IS NOT NULL").select("doc_id", "doc_tokens", "tail_crc", "cut_at").distinct(), "cuts")
