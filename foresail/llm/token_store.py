@@ -144,6 +144,7 @@ def numbered(rows: DataFrame, size: str, *order: str) -> DataFrame:
     totals = written(totals.select("segment", F.coalesce(F.sum("s").over(before), F.lit(0).cast("long")).alias("base")), "range-totals")
     within = Window.partitionBy("segment").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     out = placed.join(totals, "segment").withColumn("start", F.col("base") + F.coalesce(F.sum(size).over(within), F.lit(0).cast("long"))).drop("base")
+    out._sources = (placed, totals)  # type: ignore[attr-defined]
     return out
 
 
@@ -157,19 +158,23 @@ def _merkle(leaves: list[bytes]) -> bytes:
     return leaves[0]
 
 
-def _leaf(doc_id: int | None, recipe: list[dict]) -> bytes:
-    return digest(b"\x00" + str(doc_id).encode() + b"".join(c["digest"] for c in recipe))
-
-
 SEGMENT_ROWS = 1 << 14  #: recipes under one Merkle root
 
 
 def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One root for each run of a segment of recipes that a task reads; a segment's recipes come in order within one file."""
+    """One root for each run of a segment of recipes that a task reads; a segment's recipes come in order within one file.
+
+    A leaf holds all of a recipe: the document's id, its place, its size and the digests of its chunks.
+    """
     found: dict[tuple, list[bytes]] = {}
     for batch in batches:
-        for row in batch.to_pylist():
-            found.setdefault((row["segment"], row["block"]), []).append(_leaf(row["doc_id"], row["chunks"]))
+        keys = list(zip(*(batch.column(k).to_pylist() for k in range(2))))
+        heads = zip(*(batch.column(k).to_pylist() for k in range(2, 5)))
+        parts = batch.column(5)
+        names = parts.flatten().to_pylist()
+        ends = (parts.offsets.to_numpy() - parts.offsets[0].as_py()).tolist()
+        for key, head, a, b in zip(keys, heads, ends, ends[1:]):
+            found.setdefault(key, []).append(digest(b"\x00" + str(head).encode() + b"".join(names[a:b])))
     names = list(found)
     yield pa.RecordBatch.from_arrays(
         [pa.array([k[0] for k in names], pa.int32()), pa.array([k[1] for k in names], pa.int64()), pa.array([len(found[k]) for k in names], pa.int64()), pa.array([_merkle(found[k]) for k in names], pa.binary())],
@@ -178,8 +183,8 @@ def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _manifest(recipes: DataFrame) -> DataFrame:
-    rows = recipes.select("segment", "block", "doc_id", "start", "chunks").repartition("segment", "block").sortWithinPartitions("segment", "block", "start", "doc_id")
-    return rows.mapInArrow(_roots, "segment int, block long, n_docs long, root binary")
+    rows = recipes.select("segment", "block", "doc_id", "start", "n_tokens", F.col("chunks.digest").alias("names"))
+    return rows.repartition("segment", "block").sortWithinPartitions("segment", "block", "start", "doc_id").mapInArrow(_roots, "segment int, block long, n_docs long, root binary")
 
 
 def write_store(docs: DataFrame, location: str, path: str | None = None) -> None:
@@ -193,11 +198,13 @@ def write_store(docs: DataFrame, location: str, path: str | None = None) -> None
     chunks = staged.select(F.explode("fresh").alias("c")).select("c.*").groupBy("digest").agg(F.max("n").alias("n"), F.max("ids").alias("ids"))
     chunks.sortWithinPartitions("digest").write.option("compression", "zstd").parquet(f"{location}/chunks")
     recipes = numbered(staged.select("doc_id", "n_tokens", "chunks"), "n_tokens", "doc_id", "n_tokens")
+    discard(staged)
+    ranges = recipes._sources
     in_order = Window.partitionBy("segment").orderBy("start", "doc_id")
     recipes = recipes.withColumn("block", F.floor((F.row_number().over(in_order) - 1) / F.lit(SEGMENT_ROWS)))
     recipes.write.parquet(f"{location}/recipes")
+    discard(*ranges)
     _manifest(spark.read.schema(recipes.schema).parquet(f"{location}/recipes")).write.parquet(f"{location}/manifest")
-    discard(staged)
 
 
 _CHECKED = "digest binary, stored_n int, crc long, sound boolean"
@@ -269,12 +276,17 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, sizes, sound = [], [], []
         ends = (parts.offsets.to_numpy() - parts.offsets[0].as_py()).tolist()
         for a, b in zip(ends, ends[1:]):
+            if not all(held[a:b]):  # a chunk that is not there, or is not what its digest says
+                out.append(None)
+                sizes.append(None)
+                sound.append(False)
+                continue
             crc = 0
             for k in range(a, b):
                 crc = crc_join(crc, crcs[k], 4 * counts[k])
             out.append(crc)
             sizes.append(sum(counts[a:b]))
-            sound.append(all(held[a:b]))
+            sound.append(True)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(out, pa.int64()), pa.array(sound)], ["start", "read_n", "ids_crc32", "sound"])
 
 
@@ -282,13 +294,26 @@ def _width(path: str | None) -> str:
     return Encoder.of(path or vocabulary_path()).type.str
 
 
+def _segments(spark: SparkSession, location: str) -> DataFrame:
+    """segment, block, n_docs (null: no recipe is left), kept_docs (null: the manifest has none) and fine of every segment: its Merkle root taken again from the recipes is the manifest's."""
+    now = _manifest(spark.read.parquet(f"{location}/recipes"))
+    kept = spark.read.parquet(f"{location}/manifest").select("segment", "block", F.col("n_docs").alias("kept_docs"), F.col("root").alias("kept"))
+    return now.join(kept, ["segment", "block"], "full").select("segment", "block", "n_docs", "kept_docs", F.col("root").eqNullSafe(F.col("kept")).alias("fine"))
+
+
 def read_digests(spark: SparkSession, location: str, path: str | None = None) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, sound of every stored document, from the store's files.
 
     Each chunk's ids are read once and checked against their digest; a document's crc32 is joined from those of its
-    chunks in the recipe's order, so ids need not be moved to their documents. ``sound`` says that all digests held.
+    chunks in the recipe's order, so ids need not be moved to their documents. ``sound`` says that all digests held,
+    that as many ids were read as the recipe names, and that the recipe's segment has the Merkle root of the manifest.
+    Segments of the manifest of which no recipe is left, for whose documents no row could tell, are an error.
     """
     ship(spark)
+    segments = written(_segments(spark, location), "segment-roots")
+    lost = segments.where("n_docs IS NULL").agg(F.count(F.lit(1)).alias("n"), F.sum("kept_docs").alias("docs")).first()
+    if lost["n"]:
+        raise RuntimeError(f"{location}: {lost['n']} segments with {lost['docs']} recipes are lost")
     chunks = spark.read.parquet(f"{location}/chunks").select("digest", "ids").mapInArrow(_checked(_width(path)), _CHECKED)
     chunks = written(chunks, "chunk-crcs")
     recipes = spark.read.parquet(f"{location}/recipes")
@@ -296,16 +321,16 @@ def read_digests(spark: SparkSession, location: str, path: str | None = None) ->
     parts = written(parts, "recipe-parts").join(chunks, "digest", "left")
     item = F.struct("k", "crc", "stored_n", "sound")
     whole = parts.groupBy("start").agg(F.array_sort(F.collect_list(item)).alias("parts"))
-    whole = whole.mapInArrow(_joined, "start long, read_n long, ids_crc32 long, sound boolean")
-    return recipes.select("doc_id", "start", "n_tokens").join(whole, "start").select("doc_id", "start", F.col("read_n").alias("n_tokens"), "ids_crc32", "sound")
+    whole = whole.mapInArrow(_joined, "start long, read_n long, ids_crc32 long, sound boolean").withColumnRenamed("sound", "held")
+    out = recipes.select("doc_id", "start", "n_tokens", "segment", "block").join(whole, "start", "left").join(segments.select("segment", "block", "fine"), ["segment", "block"])
+    sound = F.coalesce(F.col("held") & F.col("fine") & (F.col("read_n") == F.col("n_tokens")), F.lit(False))
+    return out.select("doc_id", "start", F.col("read_n").alias("n_tokens"), "ids_crc32", sound.alias("sound"))
 
 
 def verify(spark: SparkSession, location: str) -> DataFrame:
     """Segments whose Merkle root, taken again from the recipes, differs from the manifest's: none in a sound store."""
     ship(spark)
-    now = _manifest(spark.read.parquet(f"{location}/recipes"))
-    kept = spark.read.parquet(f"{location}/manifest").select("segment", "block", F.col("root").alias("kept"))
-    return now.join(kept, ["segment", "block"], "full").where(~F.col("root").eqNullSafe(F.col("kept"))).select("segment", "block")
+    return _segments(spark, location).where("NOT fine").select("segment", "block")
 
 
 def read_documents(spark: SparkSession, location: str, wanted: Column | None = None, path: str | None = None) -> DataFrame:
@@ -328,6 +353,10 @@ def read_documents(spark: SparkSession, location: str, wanted: Column | None = N
 
 
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` written to a store and read back. Null and empty texts are one end id, repeated rows stand side by side, an empty table gives no row.
+
+    ``sound`` is false for a document whose chunks or recipe are not what was written.
+    """
     location = scratch_path(spark, "token-store")
     write_store(table(spark, sf_dir, "documents"), location)
     return read_digests(spark, location)
