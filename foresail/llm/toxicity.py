@@ -25,7 +25,7 @@ from .common import discard, ship, table, written
 MAX_ROWS = 8_000  #: labelled rows of each class that a fit uses at most
 PREFIXES = (4, 5, 6, 7, 8)
 #: A term stands in so many different contexts of toxic texts, so many times as often as in others; STRONG ones count apart.
-LEAST_CONTEXTS, LEAST_ODDS, STRONG, MAX_TERMS = 8, 4.0, 20.0, 20_000
+LEAST_CONTEXTS, LEAST_ODDS, STRONG = 8, 4.0, 20.0
 
 # Insults, and second-person words of four languages.
 INSULTS = frozenset(
@@ -170,8 +170,8 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
     counts = rows.select("text", "toxic").mapInArrow(_frequencies, "term string, toxic int, n long")
     by_term = counts.groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("q"))
     odds = (F.col("p") * ratio + 0.5) / (F.col("q") + 0.5)
-    top = by_term.where((F.col("p") >= LEAST_CONTEXTS) & (odds >= LEAST_ODDS)).orderBy(F.desc(F.col("p") * F.log(odds)), "term").limit(MAX_TERMS)
-    candidates = frozenset(r["term"] for r in top.select("term").collect())
+    # Bounded by the sample: each of them stands in LEAST_CONTEXTS of its toxic texts at least.
+    candidates = frozenset(r["term"] for r in by_term.where((F.col("p") >= LEAST_CONTEXTS) & (odds >= LEAST_ODDS)).select("term").collect())
     seen = rows.select("text", "toxic").mapInArrow(_contexts(candidates), "term string, context long, toxic int")
     kinds = seen.distinct().groupBy("term").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("q"))
     odds = (F.col("p") * ratio + 0.5) / (F.col("q") + 0.5)
@@ -325,5 +325,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all ``documents``. Null and empty texts have a score too, a null doc_id is not held out, repeated rows each have a row, an empty table gives none."""
     docs = table(spark, sf_dir, "documents")
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))
