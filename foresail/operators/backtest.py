@@ -20,6 +20,7 @@ from ..config import COMBINED, VARIANCE_MODELS, SeriesConfig
 from ..errors import FitError, ModelError, TransformError
 from . import kernels
 from .folds import forecasts, origins, tag, truth
+from .scoring import bucket_losses
 from .series import interpolated
 
 CLOSED = ("naive", "seasonal_naive", "drift", "sma", "zero_return", "last_return", "mean_return")
@@ -32,35 +33,51 @@ def _columns(levels: tuple[float, ...]) -> list[str]:
 
 def store_schema(levels: tuple[float, ...]) -> str:
     """The forecast store: one row a series, window, origin, model and horizon."""
-    head = "run_id string, unique_id string, model string, window string, origin_t long, origin_role string, h long, y_true double, y_true_missing boolean, y_pred double"
-    tail = "level_true double, level_pred double, mase_scale double, n_train long, n_resid long, lb_p double, arch_p double, transform string, variant string, fit_seconds double, status string, error string"
+    head = "run_id string, unique_id string, model string, window string, origin_t long, origin_period string, origin_role string, h long, target_period string, y_true double, y_true_missing boolean, y_pred double"
+    tail = "level_true double, level_pred double, mase_scale double, n_train long, n_outliers long, n_resid long, lb_p double, lb_p_2m double, arch_p double, transform string, variant string, fit_seconds double, status string, error string"
     return f"{head}, {', '.join(f'{c} double' for c in _columns(levels))}, {tail}"
 
 
-def choose_transform(z: np.ndarray, rule: str, m: int) -> tuple[str, Callable, Callable]:
-    """Name, forward and inverse of a target's transform on one slice."""
-    same = lambda x: x
-    if rule == "auto":
-        width = m if m >= 8 else 8
-        k = len(z) // width
-        blocks = z[len(z) - k * width :].reshape(k, width) if k else np.zeros((0, width))
-        if np.any(z <= 0):
-            rule = "none"
-        else:
-            sd = np.array([np.std(np.diff(b), ddof=1) for b in blocks])
-            ok = sd > 0
-            slope = np.polyfit(np.log(blocks[ok].mean(axis=1)), np.log(sd[ok]), 1)[0] if ok.sum() >= 3 else 0.0
-            rule = "log" if slope > 0.5 else "none"
-    if rule == "none":
-        return "none", same, same
-    if np.any(z <= 0):
-        raise TransformError("values that are not positive")
-    if rule == "log":
-        return "log", np.log, np.exp
+Rule = Callable[[np.ndarray, int], tuple[str, Callable, Callable]]
+
+
+def _same(x: np.ndarray) -> np.ndarray:
+    return x
+
+
+def _log(z: np.ndarray, m: int) -> tuple[str, Callable, Callable]:
+    return "log", np.log, np.exp
+
+
+def _box_cox(z: np.ndarray, m: int) -> tuple[str, Callable, Callable]:
     power = kernels.box_cox_power(z)
     return f"boxcox({power:.3f})", lambda x: kernels.box_cox(x, power), lambda x: kernels.inverse_box_cox(x, power)
 
 
+def _auto(z: np.ndarray, m: int) -> tuple[str, Callable, Callable]:
+    """log if the spread of blocks grows with their mean by a power over 0.5; as ``series.auto_transform`` on a whole panel."""
+    width = m if m >= 8 else 8
+    k = len(z) // width
+    if np.any(z <= 0) or k < 3:
+        return TRANSFORMS["none"](z, m)
+    blocks = z[len(z) - k * width :].reshape(k, width)
+    sd = np.diff(blocks, axis=1).std(axis=1, ddof=1)
+    ok = sd > 0
+    slope = np.polyfit(np.log(blocks[ok].mean(axis=1)), np.log(sd[ok]), 1)[0] if ok.sum() >= 3 else 0.0
+    return TRANSFORMS["log" if slope > 0.5 else "none"](z, m)
+
+
+#: Name, forward and inverse of a transform chosen on one slice, by the rule that a configuration names.
+TRANSFORMS: dict[str, Rule] = {"none": lambda z, m: ("none", _same, _same), "log": _log, "boxcox": _box_cox, "auto": _auto}
+POSITIVE = ("log", "boxcox")
+
+
+def choose_transform(z: np.ndarray, rule: str, m: int) -> tuple[str, Callable, Callable]:
+    if rule in POSITIVE and np.any(z <= 0):
+        raise TransformError("values that are not positive")
+    return TRANSFORMS[rule](z, m)
+
+
 def _slice(y: np.ndarray, t: int, window: str, config: SeriesConfig) -> np.ndarray:
     """The training values of a fold: no position after t is read. Missing values inside are on a straight line."""
     start = 0 if window == "expanding" else max(0, t - config.rolling_length + 1 - config.offset)
@@ -74,68 +91,81 @@ def _slice(y: np.ndarray, t: int, window: str, config: SeriesConfig) -> np.ndarr
     return v
 
 
-def _fold(y, t, role, window, uid, config, levels, seed, n_paths, run_id, fitted) -> list[dict]:
-    rows: list[dict] = []
-    h = np.arange(1, config.H + 1)
+class Rows:
+    """Store rows of folds, column by column."""
+
+    def __init__(self, names: list[str], horizon: int):
+        self.columns: dict[str, list] = {n: [] for n in names}
+        self.h = list(range(1, horizon + 1))
+
+    def add(self, same: dict[str, object], each: dict[str, object]) -> None:
+        """A model's rows of one fold: values for all horizons, and lists by horizon."""
+        for name, column in self.columns.items():
+            column.extend(self.h if name == "h" else each[name] if name in each else [same.get(name)] * len(self.h))
+
+    def batch(self, schema: pa.Schema) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.columns[f.name], f.type) for f in schema], schema=schema)
+
+
+def _fold(out: Rows, y: np.ndarray, base: int, t: int, role: str, window: str, uid: str, config: SeriesConfig, levels, seed: int, n_paths: int, run_id: str, fitted: list[str], known: dict) -> None:
+    """All models at one origin; ``y`` starts at position ``base`` of the series."""
+    last = y[t - base]
 
     def emit(model: str, f: kernels.Forecast | None, status: str, error: str = "", **facts) -> None:
-        for j in range(config.H):
-            row = {"run_id": run_id, "unique_id": uid, "model": model, "window": window, "origin_t": t, "origin_role": role, "h": int(h[j]), "status": status, "error": error, **facts}
-            if f is not None:
-                row["y_pred"], row["variant"] = float(f.mean[j]), f.variant
-                for x in f.lower:
-                    row[f"lo_{tag(x)}"], row[f"hi_{tag(x)}"] = float(f.lower[x][j]), float(f.upper[x][j])
-                for x in f.shortfall:
-                    row[f"es_{tag(x)}"] = float(f.shortfall[x][j])
-                if config.returns:
-                    row["level_pred"] = float(y[t] * np.exp(f.mean[j] if config.target == "cumulative_returns" else np.cumsum(f.mean)[j]))
-            rows.append(row)
+        same = {"run_id": run_id, "unique_id": uid, "model": model, "window": window, "origin_t": t, "origin_role": role, "status": status, "error": error, **facts}
+        each: dict[str, object] = {}
+        if f is not None:
+            same["variant"] = f.variant
+            each["y_pred"] = f.mean.tolist()
+            for side, values in (("lo", f.lower), ("hi", f.upper), ("es", f.shortfall)):
+                each |= {f"{side}_{tag(x)}": v.tolist() for x, v in values.items()}
+            if config.returns:
+                each["level_pred"] = (last * np.exp(f.mean if config.target == "cumulative_returns" else np.cumsum(f.mean))).tolist()
+        out.add(same, each)
 
     names = [n for n in fitted if role != "warmup" or config.warmup_models == "all"]
-    if not np.isfinite(y[t]):
-        for n in [*names, *(["combination"] if "combination" in config.models and names else [])]:
+    combined = "combination" in config.models and bool(names)
+    if not np.isfinite(last):
+        for n in [*names, *(["combination"] if combined else [])]:
             emit(n, None, "skipped", "no value at the origin")
-        return rows
-    members, facts = [], {}
+        return
+    facts: dict = {}
     try:
-        z = _slice(y, t, window, config)
+        z = _slice(y, t - base, window, config)
         lag = config.m
-        facts = {"n_train": len(z), "mase_scale": float(np.mean(np.abs(z[lag:] - z[:-lag]))) if len(z) > lag else None}
+        facts = {"n_train": len(z), "n_outliers": kernels.count_outliers(z, config.m), "mase_scale": float(np.mean(np.abs(z[lag:] - z[:-lag]))) if len(z) > lag else None}
         try:
             label, forward, back = choose_transform(z, "none" if config.returns else config.transform, config.m)
         except (TransformError, FitError):
-            label, forward, back = f"none (fallback: {config.transform})", lambda x: x, lambda x: x
+            label, forward, back = f"none (fallback: {config.transform})", _same, _same
         facts["transform"] = label
         w = forward(z)
     except ModelError as e:
-        for n in names:
+        for n in [*names, *(["combination"] if combined else [])]:
             emit(n, None, "failed", str(e), **facts)
-        return rows
+        return
+    members = []
     for name in names:
         began = time.perf_counter()
         extra = {"cumulative": config.target == "cumulative_returns", "n_paths": n_paths} if name in VARIANCE_MODELS else ({"search": config.sarima_search} if name == "sarima" else {})
         try:
-            f = kernels.KERNELS[name](w, config.m, config.H, levels, kernels.seed_of(seed, uid, window, t, name), **extra)
+            f = known[name](w, config.m, config.H, levels, kernels.seed_of(seed, uid, window, t, name), **extra)
             if name in COMBINED:
                 members.append((name, f.mean))
             f = replace(f, mean=back(f.mean), lower={k: back(v) for k, v in f.lower.items()}, upper={k: back(v) for k, v in f.upper.items()})
             if not np.all(np.isfinite(f.mean)):
                 raise FitError("a forecast is not finite")
-            tests = {}
-            if role == "test" and f.residuals is not None:
-                lags = 2 * config.m if config.m > 1 else 10
-                tests = {"n_resid": len(f.residuals), "lb_p": kernels.ljung_box_p(f.residuals, lags), "arch_p": kernels.arch_p(f.residuals, max(config.m, 4))}
+            tests = kernels.residual_tests(f.residuals, config.m) if role == "test" and f.residuals is not None else {}
             emit(name, f, "ok", fit_seconds=time.perf_counter() - began, **facts, **tests)
         except (ModelError, ValueError, np.linalg.LinAlgError, ZeroDivisionError, IndexError, OverflowError) as e:
             emit(name, None, "failed", f"{type(e).__name__}: {e}"[:200], fit_seconds=time.perf_counter() - began, **facts)
-    if "combination" in config.models and names:
+    if combined:
         if members:
             lost = [n for n in COMBINED if n in names and n not in [k for k, _ in members]]
             mean = back(np.mean([v for _, v in members], axis=0))
             emit("combination", kernels.Forecast(mean, variant="mean of " + ",".join(k for k, _ in members) + (f" without {','.join(lost)}" if lost else "")), "ok", **facts)
         else:
             emit("combination", None, "failed", "no member", **facts)
-    return rows
 
 
 def fitted_forecasts(dense: DataFrame, config: SeriesConfig, levels: tuple[float, ...] = (0.8, 0.95), seed: int = 20260922, n_paths: int = 10_000, run_id: str = "run", registry: dict | None = None) -> DataFrame:
@@ -149,37 +179,40 @@ def fitted_forecasts(dense: DataFrame, config: SeriesConfig, levels: tuple[float
     values = dense.groupBy("unique_id").agg(F.array_sort(F.collect_list(F.struct("pos", "y"))).alias("v"))
     values = values.select("unique_id", F.transform("v", lambda x: x["y"]).alias("y"))
     each = plan.withColumn("window", F.explode(F.array(*map(F.lit, config.windows)))).withColumn("bundle", F.floor(F.col("origin_t") / (BUNDLE * config.origin_step)))
-    bundles = each.groupBy("unique_id", "window", "bundle").agg(F.array_sort(F.collect_list(F.struct("origin_t", "role"))).alias("folds"))
-    work = bundles.join(values, "unique_id").repartition("unique_id", "window", "bundle")
+    bundles = each.groupBy("unique_id", "window", "bundle").agg(F.array_sort(F.collect_list(F.struct("origin_t", "role"))).alias("folds"), F.min("origin_t").alias("first"), F.max("origin_t").alias("last"))
+    # A bundle takes along only what its slices hold, and nothing after its last origin.
+    start = F.when(F.col("window") == "expanding", 0).otherwise(F.greatest(F.lit(0), F.col("first") - (config.rolling_length - 1 + config.offset))).cast("int")
+    work = bundles.join(values, "unique_id").withColumn("base", start).withColumn("y", F.slice("y", start + 1, (F.col("last") - start + 1).cast("int")))
+    work = work.select("unique_id", "window", "bundle", "folds", "base", "y").repartition("unique_id", "window", "bundle")
+    known = kernels.KERNELS | (registry or {})
 
     def run(batches):
-        if registry:
-            kernels.KERNELS.update(registry)
         for batch in batches:
             for r in batch.to_pylist():
                 y = np.array([np.nan if v is None else v for v in r["y"]], dtype=float)
-                rows = [x for f in r["folds"] for x in _fold(y, f["origin_t"], f["role"], r["window"], r["unique_id"], config, levels, seed, n_paths, run_id, fitted)]
-                if rows:
-                    yield pa.RecordBatch.from_pylist([{n: row.get(n) for n in names} for row in rows], schema=arrow)
+                out = Rows(names, config.H)
+                for f in r["folds"]:
+                    _fold(out, y, r["base"], f["origin_t"], f["role"], r["window"], r["unique_id"], config, levels, seed, n_paths, run_id, fitted, known)
+                yield out.batch(arrow)
 
-    made = work.select("unique_id", "window", "folds", "y").mapInArrow(run, schema)
+    made = work.drop("bundle").mapInArrow(run, schema)
     return with_truth(made, dense, config)
 
 
 def with_truth(made: DataFrame, dense: DataFrame, config: SeriesConfig) -> DataFrame:
-    real = truth(dense, config).select("unique_id", "origin_t", "h", F.col("y_true").alias("_y"), F.col("level_true").alias("_l"))
+    real = truth(dense, config).select("unique_id", "origin_t", "h", F.col("y_true").alias("_y"), F.col("level_true").alias("_l"), F.col("origin_period").alias("_o"), F.col("target_period").alias("_t"))
     out = made.join(real, ["unique_id", "origin_t", "h"])
-    out = out.withColumn("y_true", F.col("_y")).withColumn("y_true_missing", F.col("_y").isNull())
+    out = out.withColumn("y_true", F.col("_y")).withColumn("y_true_missing", F.col("_y").isNull()).withColumn("origin_period", F.col("_o")).withColumn("target_period", F.col("_t"))
     if config.returns:
         out = out.withColumn("level_true", F.col("_l"))
     return out.select(*made.columns)
 
 
 def backtest(dense: DataFrame, config: SeriesConfig, levels: tuple[float, ...] = (0.8, 0.95), seed: int = 20260922, n_paths: int = 10_000, run_id: str = "run") -> DataFrame:
-    """All models of a configuration, as store rows. Closed-form models go through windows unless a transform changes their scale."""
+    """All models of a configuration, as store rows. Closed-form models are window programs; a cumulative target, which needs paths, they cannot forecast, and say so in failed rows."""
     closed = tuple(m for m in config.models if m in CLOSED)
     out = None
-    if closed and config.target != "cumulative_returns":
+    if closed:
         out = forecasts(dense, replace(config, models=closed), levels, run_id)
     if any(m not in CLOSED for m in config.models):
         rest = fitted_forecasts(dense, config, levels, seed, n_paths, run_id)
@@ -213,6 +246,20 @@ def model_confidence_set(rows: DataFrame, seed: int, alpha: float = 0.10, reps:
     return losses.groupBy("unique_id", "window", "h").applyInPandas(run, "unique_id string, window string, h long, model string, mcs_p double, mcs_in boolean")
 
 
+def bucket_confidence_set(rows: DataFrame, m: int, horizon: int, seed: int, alpha: float = 0.10, reps: int = 1000) -> DataFrame:
+    """unique_id, window, bucket, h_last, model, mcs_n, mcs_p, mcs_in: the confidence set over mean losses of a bucket's horizons, in blocks of its last one; buckets of one model or origin have none."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        k = pdf.iloc[0]
+        wide = pdf.pivot(index="origin_t", columns="model", values="loss").sort_index()
+        if wide.shape[0] < 2 or wide.shape[1] < 2:
+            return pd.DataFrame(columns=["unique_id", "window", "bucket", "h_last", "model", "mcs_n", "mcs_p", "mcs_in"])
+        p, inside = kernels.confidence_set(wide.to_numpy(), int(k.h_last), kernels.seed_of(seed, "mcs", k.unique_id, k.window, k.bucket), alpha, reps)
+        return pd.DataFrame({"unique_id": k.unique_id, "window": k.window, "bucket": k.bucket, "h_last": k.h_last, "model": wide.columns, "mcs_n": len(wide), "mcs_p": p, "mcs_in": inside})
+
+    schema = "unique_id string, window string, bucket string, h_last long, model string, mcs_n long, mcs_p double, mcs_in boolean"
+    return bucket_losses(rows, m, horizon).groupBy("unique_id", "window", "bucket").applyInPandas(run, schema)
+
+
 def shortfall_backtest(rows: DataFrame, levels: tuple[float, ...], seed: int) -> DataFrame:
     """unique_id, window, model, h, level, n_breaches, gap, lo, hi, es_ok: realised against predicted shortfall over breaches of the lower bound."""
     stacked = ", ".join(f"{x!r}D, lo_{tag(x)}, es_{tag(x)}" for x in levels)

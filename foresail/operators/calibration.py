@@ -49,6 +49,31 @@ def pit_bins(rows: DataFrame, levels: tuple[float, ...]) -> DataFrame:
     return spine.join(counts, [*key, "bin"], "left").select(*key, "bin", F.coalesce("n", F.lit(0).cast("long")).alias("n"), "expected")
 
 
+def pit(rows: DataFrame, levels: tuple[float, ...]) -> DataFrame:
+    """Rows with ``pit``: the probability at the outcome, on straight lines between the quantiles, the outermost probability beyond them; null without a whole grid or with one that falls."""
+    quantiles, taus = grid(levels)
+    last = len(taus) - 1
+    t = F.array(*map(F.lit, taus))
+    out = rows.withColumn("_q", quantiles).withColumn("_i", F.size(F.filter("_q", lambda v: v <= F.col("y_true"))))
+    sound = F.forall("_q", lambda v: v.isNotNull()) & F.forall(F.sequence(F.lit(1), F.lit(last)), lambda i: F.get("_q", i) >= F.get("_q", i - 1)) & F.col("y_true").isNotNull()
+    i = F.col("_i")
+    lo, hi = F.get("_q", i - 1), F.get("_q", i)
+    inside = F.get(t, i - 1) + (F.get(t, i) - F.get(t, i - 1)) * F.try_divide(F.col("y_true") - lo, hi - lo)
+    value = F.when(i == 0, taus[0]).when(i > last, taus[-1]).otherwise(inside)
+    return out.withColumn("pit", F.when(sound, value)).drop("_q", "_i")
+
+
+def calibration_table(rows: DataFrame, levels: tuple[float, ...], step: int) -> DataFrame:
+    """One row a cell and level: coverage with its tests, the uniformity of the outcomes' probabilities, and the score of the grid. Ordered by series, window, model and horizon."""
+    from .scoring import CELL, christoffersen, interval_metrics, interval_rows
+
+    each = interval_rows(rows, levels)
+    cover = interval_metrics(each, levels)
+    apart = christoffersen(each, [*CELL, "level"], step).select(*CELL, "level", "ind_p", "cc_p", "clustered", "testable")
+    even = pit_uniformity(pit_bins(rows, levels)).select(*CELL, F.col("p").alias("pit_p"))
+    return cover.join(apart, [*CELL, "level"]).join(even, CELL, "left").join(crps(rows, levels), CELL, "left").orderBy(*CELL, "level")
+
+
 def pit_uniformity(bins: DataFrame) -> DataFrame:
     """Pearson's statistic over the bins; null where the least expected count is under 5."""
     key = ["unique_id", "window", "model", "h"]
@@ -59,32 +84,42 @@ def pit_uniformity(bins: DataFrame) -> DataFrame:
     return out.select(*key, "chi2", "df", chi2_sf(F.col("chi2"), F.col("df")).alias("p"))
 
 
-def conformal(rows: DataFrame, levels: tuple[float, ...], horizon: int, window: int = 60, least: int = 20) -> DataFrame:
+def conformal(
+    rows: DataFrame, levels: tuple[float, ...], window: int = 60, least: int = 20, model_window: str | None = None, roles: tuple[str, ...] = ("dev", "test")
+) -> DataFrame:
     """Rows with corrected bounds, ``conformal_n`` and ``conformal_q`` (of the largest level).
 
-    A row's history is the last ``window`` outcomes known at its origin: origins at most t - h. The correction is an order
-    statistic of how far outcomes fell outside; with under ``least`` of them there is none. All usable roles are history.
+    Corrected are usable rows (status ok, with an outcome) of ``roles``, of one model window if it is named; all others keep their bounds, with
+    conformal_n = 0. A row's history is the last ``window`` outcomes of usable rows of any role known at its origin: origins at most t - h. The correction is an
+    order statistic of how far outcomes fell outside; with under ``least`` of them there is none.
+
+    Each outcome becomes known at its origin plus its horizon; there it carries the last ``window`` scores up to it, and a
+    row takes over what was carried last before it. All frames are bounded or carry one value, and all windows share one exchange.
     """
-    out = None
-    for h in range(1, horizon + 1):  # a frame's bound must be a literal, so each horizon has a window of its own
-        part = rows.where(F.col("h") == h)
-        w = Window.partitionBy("unique_id", "window", "model").orderBy("origin_t").rangeBetween(Window.unboundedPreceding, -h)
-        for level in sorted(levels):
-            t = tag(level)
-            usable = (F.col("status") == "ok") & ~F.col("y_true_missing")
-            score = F.when(usable, F.greatest(F.col(f"lo_{t}") - F.col("y_true"), F.col("y_true") - F.col(f"hi_{t}")))
-            history = F.collect_list(F.when(score.isNotNull(), F.struct("origin_t", score.alias("s")))).over(w)
-            part = part.withColumn("_h", F.transform(F.slice(F.array_sort(history), F.greatest(F.size(history) - window + 1, F.lit(1)), F.lit(window)), lambda x: x["s"]))
-            n = F.size("_h")
-            rank = F.least(F.lit(1.0), F.ceil((n + 1) * level) / n)
-            q = F.when(n >= least, F.get(F.array_sort("_h"), F.ceil(F.bround(rank * (n - 1), 9)).cast("int")))
-            part = part.withColumn("conformal_n", F.when(n >= least, n).otherwise(0).cast("long")).withColumn("conformal_q", q)
-            part = part.withColumn(f"c_lo_{t}", F.col(f"lo_{t}") - F.coalesce("conformal_q", F.lit(0.0))).withColumn(f"c_hi_{t}", F.col(f"hi_{t}") + F.coalesce("conformal_q", F.lit(0.0)))
-        out = part if out is None else out.unionByName(part)
-    for level in levels:
-        t = tag(level)
-        out = out.withColumn(f"lo_{t}", F.col(f"c_lo_{t}")).withColumn(f"hi_{t}", F.col(f"c_hi_{t}")).drop(f"c_lo_{t}", f"c_hi_{t}")
-    return monotone(out.drop("_h"), levels)
+    key = ["unique_id", "window", "model", "h"]
+    cell = Window.partitionBy(*key)
+    usable = (F.col("status") == "ok") & ~F.col("y_true_missing")
+    if model_window is not None:
+        usable = usable & (F.col("window") == model_window)
+    tags = [tag(x) for x in sorted(levels)]
+    out = rows.withColumn("_u", F.coalesce(usable, F.lit(False)))
+    for t in tags:
+        out = out.withColumn(f"_s{t}", F.when(F.col("_u"), F.greatest(F.col(f"lo_{t}") - F.col("y_true"), F.col("y_true") - F.col(f"hi_{t}"))))
+        latest = Window.partitionBy(*key, F.col(f"_s{t}").isNull()).orderBy("origin_t").rowsBetween(-(window - 1), 0)
+        out = out.withColumn(f"_v{t}", F.when(F.col(f"_s{t}").isNotNull(), F.collect_list(f"_s{t}").over(latest)))
+    known = F.struct((F.col("origin_t") + F.col("h")).alias("at"), F.lit(0).alias("kind"), *[F.col(f"_v{t}") for t in tags])
+    asked = F.struct(F.col("origin_t").alias("at"), F.lit(1).alias("kind"), *[F.lit(None).cast("array<double>").alias(f"_v{t}") for t in tags])
+    out = out.drop(*[f"_{c}{t}" for t in tags for c in ("s",)]).withColumn("_e", F.explode(F.array(known, asked))).drop(*[f"_v{t}" for t in tags])
+    past = cell.orderBy("_e.at", "_e.kind").rowsBetween(Window.unboundedPreceding, 0)
+    out = out.withColumns({f"_h{t}": F.last(F.col(f"_e._v{t}"), True).over(past) for t in tags}).where("_e.kind = 1").drop("_e")
+    corrects = F.col("_u") & F.col("origin_role").isin(*roles)
+    for level, t in zip(sorted(levels), tags):
+        n = F.coalesce(F.size(f"_h{t}"), F.lit(0))
+        rank = F.least(F.lit(1.0), F.try_divide(F.ceil((n + 1) * level), n))
+        q = F.when(corrects & (n >= least), F.get(F.array_sort(f"_h{t}"), F.ceil(F.bround(rank * (n - 1), 9)).cast("int")))
+        out = out.withColumn("conformal_q", q).withColumn("conformal_n", F.when(q.isNotNull(), n).otherwise(0).cast("long"))
+        out = out.withColumn(f"lo_{t}", F.col(f"lo_{t}") - F.coalesce("conformal_q", F.lit(0.0))).withColumn(f"hi_{t}", F.col(f"hi_{t}") + F.coalesce("conformal_q", F.lit(0.0)))
+    return monotone(out.drop("_u", *[f"_h{t}" for t in tags]).select(*rows.columns, "conformal_n", "conformal_q"), levels)
 
 
 def monotone(rows: DataFrame, levels: tuple[float, ...]) -> DataFrame:

@@ -7,11 +7,12 @@ window costs as much as a running sum. Only the truth column looks ahead.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..config import SeriesConfig
 from ..functions.special import z_value
+from .series import period_label
 
 KEYS = ["unique_id", "window", "model", "origin_t", "h"]
 
@@ -46,26 +47,26 @@ def origins(dense: DataFrame, config: SeriesConfig) -> DataFrame:
 
 
 def truth(dense: DataFrame, config: SeriesConfig) -> DataFrame:
-    """unique_id, origin_t, h, y_true, level_true of every position and horizon: the value ahead, or the return one step or h steps ahead."""
+    """unique_id, origin_t, h, y_true, level_true, origin_period, target_period of every position and horizon: the value ahead, or the return one step or h steps ahead."""
     w = Window.partitionBy("unique_id").orderBy("pos")
-    ahead = dense.withColumn("a", F.collect_list(F.struct("y")).over(w.rowsBetween(1, config.H)))
-    rows = ahead.select("unique_id", F.col("pos").alias("origin_t"), F.col("y").alias("p"), "a", F.explode(F.sequence(F.lit(1), F.lit(config.H))).alias("h"))
+    ahead = dense.withColumn("a", F.collect_list(F.struct("y", "period")).over(w.rowsBetween(1, config.H)))
+    rows = ahead.select("unique_id", F.col("pos").alias("origin_t"), F.col("y").alias("p"), F.col("period").alias("at"), "a", F.explode(F.sequence(F.lit(1), F.lit(config.H))).alias("h"))
     at, before = F.get("a", F.col("h") - 1)["y"], F.when(F.col("h") == 1, F.col("p")).otherwise(F.get("a", F.col("h") - 2)["y"])
     positive = lambda c: F.log(F.when(c > 0, c))
     if config.target == "level":
         y = at
     else:
         y = positive(at) - positive(before if config.target == "returns" else F.col("p"))
-    return rows.select("unique_id", "origin_t", F.col("h").cast("long").alias("h"), y.alias("y_true"), at.alias("level_true"))
+    return rows.select("unique_id", "origin_t", F.col("h").cast("long").alias("h"), y.alias("y_true"), at.alias("level_true"), period_label(F.col("at"), config.freq).alias("origin_period"), period_label(F.get("a", F.col("h") - 1)["period"], config.freq).alias("target_period"))
 
 
 def fold_facts(dense: DataFrame, config: SeriesConfig) -> DataFrame:
     """One row a series, window and position t: what the closed-form models need of the slice that ends at t.
 
     ``z`` is the value, or the return of a return target. Columns: n, z_t, z_1, sum and sum of squares of z, of its first and seasonal
-    differences, mase_scale, recent values (newest last), and the moving averages.
+    differences, mase_scale, recent values (newest last), the moving averages, the outliers inside the slice and, if asked for, the ewma variance.
     """
-    from .series import interpolated, log_returns
+    from .series import interpolated, log_returns, outliers
 
     if config.returns:
         rows = log_returns(dense).select("unique_id", "pos", "y", F.col("r").alias("z"))
@@ -74,6 +75,10 @@ def fold_facts(dense: DataFrame, config: SeriesConfig) -> DataFrame:
     w = Window.partitionBy("unique_id").orderBy("pos")
     m = config.m
     rows = rows.withColumn("d", F.col("z") - F.lag("z").over(w)).withColumn("s", F.col("z") - F.lag("z", m).over(w))
+    rows = outliers(rows, m, "z").withColumn("outlier", F.col("outlier").cast("long"))
+    if "ewma" in config.models:
+        rows = decayed(rows)
+    past = max(2 * m, 20)  # the first values of a slice are never outliers
     out = None
     for window in config.windows:
         length = config.rolling_length
@@ -86,7 +91,8 @@ def fold_facts(dense: DataFrame, config: SeriesConfig) -> DataFrame:
             F.count("z").over(whole).alias("n"), F.first("z", True).over(whole).alias("z_1"), F.avg("z").over(whole).alias("mean_z"), F.avg(F.col("z") * F.col("z")).over(whole).alias("mean_z2"),
             F.stddev_samp("z").over(whole).alias("sd_z"), F.sum(F.col("d") * F.col("d")).over(steps).alias("sum_d2"), F.count("d").over(steps).alias("n_d"),
             F.sum(F.col("s") * F.col("s")).over(seasons).alias("sum_s2"), F.count("s").over(seasons).alias("n_s"), F.avg(F.abs("s")).over(seasons).alias("mase_scale"),
-            F.collect_list("z").over(w.rowsBetween(-(m - 1), 0)).alias("recent"), F.collect_list("z").over(whole).alias("slice") if "ewma" in config.models or "zero_return_fhs" in config.models else F.lit(None).alias("slice"),
+            F.collect_list("z").over(w.rowsBetween(-(m - 1), 0)).alias("recent"), _outliers_inside(w, start, past).alias("n_outliers"),
+            *([_ewma_variance(w, window, length).alias("ewma_variance")] if "ewma" in config.models else []),
             *[F.when(F.count("z").over(w.rowsBetween(-(k - 1), 0)) == k, F.avg("z").over(w.rowsBetween(-(k - 1), 0))).alias(f"sma_{k}") for k in config.sma_windows],
         )
         out = facts if out is None else out.unionByName(facts)
@@ -113,14 +119,50 @@ def _models(config: SeriesConfig) -> list[tuple[str, Column, Column, int]]:
     if "sma" in config.models:
         out += [(f"sma_{w}", F.col(f"sma_{w}"), F.lit(None).cast("double"), w) for w in config.sma_windows]
     if "ewma" in config.models:
-        out.append(("ewma", F.lit(0.0), F.sqrt(ewma_variance(F.col("slice"))), 2))
+        out.append(("ewma", F.lit(0.0), F.sqrt("ewma_variance"), 2))
     return out
 
 
-def ewma_variance(values: Column, decay: float = 0.94) -> Column:
-    """The next variance of s2 <- decay s2 + (1 - decay) r^2 over the values in order, from their mean square."""
-    first = F.aggregate(values, F.lit(0.0), lambda a, x: a + x * x) / F.size(values)
-    return F.aggregate(values, first, lambda a, x: decay * a + (1 - decay) * x * x)
+def _outliers_inside(w: WindowSpec, start: int, past: int) -> Column:
+    """Outliers of the slice that ends at a row: those that have ``past`` values of the slice before them."""
+    if start == Window.unboundedPreceding:
+        return F.coalesce(F.sum("outlier").over(w.rowsBetween(start, 0)), F.lit(0).cast("long"))
+    if start + past > 0:
+        return F.lit(0).cast("long")
+    return F.coalesce(F.sum("outlier").over(w.rowsBetween(start + past, 0)), F.lit(0).cast("long"))
+
+
+DECAY, RUN = 0.94, 512
+
+
+def decayed(rows: DataFrame) -> DataFrame:
+    """Columns ``seen`` (values so far) and ``decayed``: the sum of the squares of z so far, each weighted by DECAY to the number of values after it.
+
+    A running sum inside runs of RUN values, rescaled to each row, with the total of the run before; what is older
+    weighs under DECAY ** RUN, 2e-14. So each row costs the same however long its series is.
+    """
+    w = Window.partitionBy("unique_id").orderBy("pos")
+    rows = rows.withColumn("seen", F.count("z").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("_run", F.floor(F.col("seen") / RUN)).withColumn("_at", F.pmod("seen", F.lit(RUN)).cast("double"))
+    inside = Window.partitionBy("unique_id", "_run").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    grown = F.sum(F.coalesce(F.col("z") * F.col("z"), F.lit(0.0)) * F.pow(F.lit(1 / DECAY), F.col("_at"))).over(inside)
+    rows = rows.withColumn("_own", grown * F.pow(F.lit(DECAY), F.col("_at")))
+    before = F.max_by("_own", "pos").over(Window.partitionBy("unique_id").orderBy("_run").rangeBetween(-1, -1))
+    total = F.col("_own") + F.coalesce(before, F.lit(0.0)) * F.pow(F.lit(DECAY), F.col("_at") + 1)
+    return rows.withColumn("decayed", total).drop("_run", "_at", "_own")
+
+
+def _ewma_variance(w: WindowSpec, window: str, length: int) -> Column:
+    """The next variance of s2 <- DECAY s2 + (1 - DECAY) z^2 over a slice, started from the slice's mean square: written out as weighted sums."""
+    n, total = F.col("seen"), F.col("decayed")
+    if window == "expanding":
+        squares = F.avg(F.col("z") * F.col("z")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    else:
+        squares = F.avg(F.col("z") * F.col("z")).over(w.rowsBetween(-(length - 1), 0))
+        n = n - F.coalesce(F.lag("seen", length).over(w), F.lit(0))
+        total = total - F.coalesce(F.lag("decayed", length).over(w), F.lit(0.0)) * F.pow(F.lit(DECAY), n)
+    weight = F.pow(F.lit(DECAY), n)
+    return F.when(n > 0, weight * squares + (1 - DECAY) * total)
 
 
 def forecasts(dense: DataFrame, config: SeriesConfig, levels: tuple[float, ...] = (0.8, 0.95), run_id: str = "run") -> DataFrame:
@@ -133,11 +175,12 @@ def forecasts(dense: DataFrame, config: SeriesConfig, levels: tuple[float, ...]
     facts = fold_facts(dense, config).join(plan, ["unique_id", "origin_t"])
     cells = facts.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(config.H))))
     cells = cells.withColumn("n", F.col("n").cast("double"))
+    able = F.lit(config.target != "cumulative_returns")  # a sum of returns needs simulated paths
     models = F.array(*[
-        F.struct(F.lit(name).alias("model"), F.when(F.col("n") >= least, mean.cast("double")).alias("mean"), F.when(F.col("n") >= least, sd.cast("double")).alias("sd"))
+        F.struct(F.lit(name).alias("model"), F.when(able & (F.col("n") >= least), mean.cast("double")).alias("mean"), F.when(able & (F.col("n") >= least), sd.cast("double")).alias("sd"))
         for name, mean, sd, least in _models(config)
     ])
-    rows = cells.select("unique_id", "window", "origin_t", "role", F.col("h").cast("long").alias("h"), "y", "z_t", F.col("n").cast("long").alias("n_train"), "mase_scale", F.explode(models).alias("f"))
+    rows = cells.select("unique_id", "window", "origin_t", "role", F.col("h").cast("long").alias("h"), "y", "z_t", F.col("n").cast("long").alias("n_train"), "mase_scale", "n_outliers", F.explode(models).alias("f"))
     rows = rows.join(truth(dense, config), ["unique_id", "origin_t", "h"])
     seen = F.col("z_t").isNotNull() & F.col("y").isNotNull()
     status = F.when(~seen, "skipped").when(F.col("f.mean").isNull(), "failed").otherwise("ok")
@@ -148,7 +191,7 @@ def forecasts(dense: DataFrame, config: SeriesConfig, levels: tuple[float, ...]
         bounds += [F.when(ok, F.col("f.mean") - z * F.col("f.sd")).alias(f"lo_{tag(level)}"), F.when(ok, F.col("f.mean") + z * F.col("f.sd")).alias(f"hi_{tag(level)}")]
     price = F.col("y") * F.exp(F.col("f.mean") * (F.col("h") if config.target == "returns" else 1)) if config.returns else F.lit(None).cast("double")
     return rows.select(
-        F.lit(run_id).alias("run_id"), "unique_id", F.col("f.model").alias("model"), "window", "origin_t", F.col("role").alias("origin_role"), "h",
+        F.lit(run_id).alias("run_id"), "unique_id", F.col("f.model").alias("model"), "window", "origin_t", "origin_period", F.col("role").alias("origin_role"), "h", "target_period",
         "y_true", F.col("y_true").isNull().alias("y_true_missing"), F.when(ok, F.col("f.mean")).alias("y_pred"), *bounds,
-        (F.col("level_true") if config.returns else F.lit(None).cast("double")).alias("level_true"), price.alias("level_pred"), "mase_scale", "n_train", status.alias("status"),
+        (F.col("level_true") if config.returns else F.lit(None).cast("double")).alias("level_true"), price.alias("level_pred"), "mase_scale", "n_train", "n_outliers", status.alias("status"),
     )

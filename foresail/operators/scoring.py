@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +47,34 @@ def dev_selection(store: DataFrame) -> DataFrame:
     return base.join(sma, key, "left").join(cand, key, "left").select(*key, "sma", "reference", "reference_mase", "candidate")
 
 
+def candidate_ranking(store: DataFrame, interval: str = "lo_80") -> DataFrame:
+    """unique_id, window, model, dev_mase, rank, has_intervals, chosen: candidates by their dev score, ties by name; the best and the best that has intervals are chosen."""
+    key = ["unique_id", "window"]
+    bounds = store.where("origin_role = 'dev' AND status = 'ok'").groupBy(*key, "model").agg(F.bool_or(F.col(interval).isNotNull()).alias("has_intervals"))
+    rows = dev_mase(store).where(~is_baseline(F.col("model"))).join(bounds, [*key, "model"])
+    order = Window.partitionBy(*key).orderBy("dev_mase", "model")
+    rows = rows.withColumn("rank", F.row_number().over(order))
+    first = F.min(F.when(F.col("has_intervals"), F.col("rank"))).over(Window.partitionBy(*key))
+    return rows.withColumn("chosen", F.when(F.col("rank") == 1, "point").when(F.col("rank") == first, "intervals")).select(*key, "model", "dev_mase", "rank", "has_intervals", "chosen")
+
+
+def latest_origin(rows: DataFrame) -> DataFrame:
+    """The rows of each series, window and model at its last origin."""
+    last = F.max("origin_t").over(Window.partitionBy("unique_id", "window", "model"))
+    return rows.withColumn("_last", last).where("origin_t = _last").drop("_last")
+
+
+def bucket_losses(rows: DataFrame, m: int, horizon: int) -> DataFrame:
+    """unique_id, window, bucket, h_last, origin_t, model, loss: the mean absolute error over a bucket's horizons, at origins where every model of the bucket has all of them."""
+    rows = rows.withColumn("bucket", bucket(F.col("h"), m, horizon))
+    cell = ["unique_id", "window", "bucket"]
+    each = rows.groupBy(*cell, "origin_t", "model").agg(F.avg(F.abs(F.col("y_true") - F.col("y_pred"))).alias("loss"), F.count(F.lit(1)).alias("_n"), F.max("h").alias("_h"))
+    want = each.groupBy(*cell).agg(F.count_distinct("model").alias("_models"), F.max("_n").alias("_size"), F.max("_h").alias("h_last"))
+    have = each.groupBy(*cell, "origin_t").agg(F.sum("_n").alias("_have"))
+    full = have.join(want, cell).where(F.col("_have") == F.col("_models") * F.col("_size")).select(*cell, "origin_t", "h_last")
+    return each.join(full, [*cell, "origin_t"]).select(*cell, F.col("h_last").cast("long").alias("h_last"), "origin_t", "model", "loss")
+
+
 def sma_collapsed(rows: DataFrame, selection: DataFrame) -> DataFrame:
     """Moving averages but the chosen one dropped, and that one named ``sma``."""
     out = rows.join(selection.select("unique_id", "window", "sma"), ["unique_id", "window"], "left")
@@ -94,10 +124,10 @@ def paired(rows: DataFrame, reference: DataFrame) -> DataFrame:
     return ref.join(own, ["unique_id", "window", "origin_t", "h"]).withColumn("d_a", F.abs(F.col("y_true") - F.col("y_pred")))
 
 
-def diebold_mariano(pairs: DataFrame, key: list[str], max_h: int) -> DataFrame:
+def diebold_mariano(pairs: DataFrame, key: list[str], max_h: int, least: int = 5) -> DataFrame:
     """``key`` (with h), n, rel_mae, dm_stat, dm_p, dm_p_better of d = d_a - d_b.
 
-    The long-run variance has lags 0 to h - 1; where it is not positive, lag 0 alone is used. Equal losses give 0 or an infinity. Under 5 h pairs the test is not made.
+    The long-run variance has lags 0 to h - 1; where it is not positive, lag 0 alone is used. Equal losses give 0 or an infinity. Under ``least`` h pairs the test is not made.
     """
     by_cell = Window.partitionBy(*key)
     rows = pairs.withColumn("d", F.col("d_a") - F.col("d_b")).withColumn("_c", F.col("d") - F.avg("d").over(by_cell))
@@ -117,7 +147,7 @@ def diebold_mariano(pairs: DataFrame, key: list[str], max_h: int) -> DataFrame:
     scale = F.sqrt((n + 1 - 2 * lag + lag * (lag - 1) / n) / n)
     flat = F.when(F.col("_m") == 0, 0.0).otherwise(F.signum("_m") * float("inf"))
     stat = F.when((F.col("_lo") == F.col("_hi")) | (var <= 0), flat).otherwise(F.col("_m") / F.sqrt(F.when(var > 0, var)) * scale)
-    out = out.withColumn("dm_stat", F.when(n >= 5 * h, stat)).withColumn("dm_p_better", t_cdf(F.col("dm_stat"), n - 1))
+    out = out.withColumn("dm_stat", F.when((n >= least * h) & (n > h), stat)).withColumn("dm_p_better", t_cdf(F.col("dm_stat"), n - 1))
     out = out.withColumn("dm_p", F.least(F.lit(1.0), 2 * F.least("dm_p_better", 1 - F.col("dm_p_better"))))
     return out.select(*key, F.col("n").cast("long").alias("n"), "rel_mae", "dm_stat", "dm_p", "dm_p_better")
 
@@ -151,6 +181,16 @@ def kupiec(misses: Column, n: Column, p: Column) -> tuple[Column, Column]:
     return lr, chi2_sf(lr, 1)
 
 
+def coverage_band(n_eff: Column, level: Column, levels: Sequence[float]) -> tuple[Column, Column]:
+    """The central 95 % of coverages that as many independent trials as there are whole ones would have."""
+    k = F.greatest(F.lit(1), F.floor(n_eff)).cast("int")
+    lower = upper = F.lit(None).cast("double")
+    for x in levels:
+        lower = F.when(level == x, binomial_quantile(0.025, k, x) / k).otherwise(lower)
+        upper = F.when(level == x, binomial_quantile(0.975, k, x) / k).otherwise(upper)
+    return lower, upper
+
+
 def interval_metrics(rows: DataFrame, levels: tuple[float, ...]) -> DataFrame:
     """Coverage, its band, width, interval score and the coverage test by cell and level, with n / h for dependence."""
     y, lo, hi, a = F.col("y_true"), F.col("lo"), F.col("hi"), 1 - F.col("level")
@@ -159,11 +199,7 @@ def interval_metrics(rows: DataFrame, levels: tuple[float, ...]) -> DataFrame:
         F.count(F.lit(1)).cast("double").alias("n"), F.avg(1 - F.col("miss")).alias("coverage"), F.sum("miss").cast("double").alias("misses"), F.avg(hi - lo).alias("width"), F.avg(score).alias("winkler")
     )
     out = out.withColumn("n_eff", F.col("n") / F.col("h"))
-    k = F.greatest(F.lit(1), F.floor("n_eff")).cast("int")
-    lower = upper = F.lit(None).cast("double")
-    for level in levels:
-        lower = F.when(F.col("level") == level, binomial_quantile(0.025, k, level) / k).otherwise(lower)
-        upper = F.when(F.col("level") == level, binomial_quantile(0.975, k, level) / k).otherwise(upper)
+    lower, upper = coverage_band(F.col("n_eff"), F.col("level"), levels)
     lr, p = kupiec(F.col("misses") * F.col("n_eff") / F.col("n"), F.col("n_eff"), 1 - F.col("level"))
     return out.select(*CELL, "level", F.col("n").cast("long").alias("n"), "coverage", "width", "winkler", lower.alias("band_lo"), upper.alias("band_hi"), lr.alias("kupiec_lr"), p.alias("kupiec_p"))
 
@@ -175,16 +211,23 @@ def bucket(h: Column, m: int, horizon: int) -> Column:
     return F.when(h == 1, "very_short").when(h <= -(-m // 4), "short").when(h <= m, "medium").otherwise("long")
 
 
-def interval_buckets(rows: DataFrame, m: int, horizon: int) -> DataFrame:
-    """Coverage and width by bucket of horizons; the effective count is the origins over the bucket's last horizon."""
+def interval_buckets(rows: DataFrame, m: int, horizon: int, levels: tuple[float, ...] = (0.8, 0.95)) -> DataFrame:
+    """Coverage with its band and test, and width, by bucket of horizons; the effective count is the origins over the bucket's last horizon."""
     rows = rows.withColumn("bucket", bucket(F.col("h"), m, horizon))
-    return rows.groupBy("unique_id", "window", "model", "bucket", "level").agg(
-        F.count(F.lit(1)).alias("n"), (F.count_distinct("origin_t") / F.max("h")).alias("n_eff"), F.avg(1 - F.col("miss")).alias("coverage"), F.avg(F.col("hi") - F.col("lo")).alias("width")
+    out = rows.groupBy("unique_id", "window", "model", "bucket", "level").agg(
+        F.count(F.lit(1)).alias("n"), (F.count_distinct("origin_t") / F.max("h")).alias("n_eff"), F.avg(1 - F.col("miss")).alias("coverage"), F.avg(F.col("hi") - F.col("lo")).alias("width"), F.avg("miss").alias("_share")
     )
+    lower, upper = coverage_band(F.col("n_eff"), F.col("level"), levels)
+    _, p = kupiec(F.col("_share") * F.col("n_eff"), F.col("n_eff"), 1 - F.col("level"))
+    return out.withColumn("band_lo", lower).withColumn("band_hi", upper).withColumn("kupiec_p", p).drop("_share")
+
 
+def christoffersen(rows: DataFrame, key: list[str], step: int | None = None) -> DataFrame:
+    """Transitions of misses in order of origin, and the tests of independence and of conditional coverage (null under 30 rows or without variation).
 
-def christoffersen(rows: DataFrame, key: list[str]) -> DataFrame:
-    """Transitions of misses in order of origin, and the tests of independence and of conditional coverage (null under 30 rows or without variation)."""
+    ``clustered``: misses follow misses more often than hits; false without both. With ``step``, the distance of origins, horizons beyond
+    it are not ``testable``, as their windows overlap, and have no tests.
+    """
     w = Window.partitionBy(*key).orderBy("origin_t")
     rows = rows.withColumn("_b", F.lag("miss").over(w))
     pairs = {f"n{a}{b}": F.count_if((F.col("_b") == a) & (F.col("miss") == b)).cast("double").alias(f"n{a}{b}") for a in (0, 1) for b in (0, 1)}
@@ -197,10 +240,11 @@ def christoffersen(rows: DataFrame, key: list[str]) -> DataFrame:
     p0, p1 = F.try_divide(n01, n00 + n01), F.try_divide(n11, n10 + n11)
     p = F.try_divide(n01 + n11, n00 + n01 + n10 + n11)
     lr = -2 * (part(n00 + n10, 1 - p) + part(n01 + n11, p) - part(n00, 1 - p0) - part(n01, p0) - part(n10, 1 - p1) - part(n11, p1))
-    lr = F.when((F.col("n") >= 30) & p0.isNotNull() & p1.isNotNull(), F.greatest(F.lit(0.0), lr))
+    testable = F.lit(True) if step is None else F.col("h") <= step
+    lr = F.when(testable & (F.col("n") >= 30) & p0.isNotNull() & p1.isNotNull(), F.greatest(F.lit(0.0), lr))
     uc, _ = kupiec(F.col("misses"), F.col("n"), F.col("_p"))
     out = out.withColumn("lr_ind", lr).withColumn("lr_cc", F.col("lr_ind") + uc)
-    return out.select(*key, "n00", "n01", "n10", "n11", "lr_ind", chi2_sf(F.col("lr_ind"), 1).alias("ind_p"), "lr_cc", chi2_sf(F.col("lr_cc"), 2).alias("cc_p"), (p1 > p0).alias("clustered"))
+    return out.select(*key, "n00", "n01", "n10", "n11", "lr_ind", chi2_sf(F.col("lr_ind"), 1).alias("ind_p"), "lr_cc", chi2_sf(F.col("lr_cc"), 2).alias("cc_p"), F.coalesce(p1 > p0, F.lit(False)).alias("clustered"), testable.alias("testable"))
 
 
 def window_gap(rows: DataFrame, max_h: int) -> DataFrame:
@@ -251,19 +295,42 @@ def autocorrelation(rows: DataFrame, key: list[str], value: str, lags: int) -> D
     return out.withColumn("lb_q", q).select(*key, F.col("n").cast("long").alias("n"), "lb_q", chi2_sf(F.col("lb_q"), lags).alias("lb_p"))
 
 
-def arch_lm(rows: DataFrame, key: list[str], value: str) -> DataFrame:
-    """Engle's test with one lag: (n - 1) times the fit of squares on the squares before."""
-    cell = Window.partitionBy(*key)
-    rows = rows.withColumn("_s", F.pow(F.col(value) - F.avg(value).over(cell), 2)).withColumn("_b", F.lag("_s").over(cell.orderBy("origin_t")))
-    out = rows.groupBy(*key).agg((F.count(F.lit(1)) - 1).cast("double").alias("n"), F.regr_r2("_s", "_b").alias("r2"))
-    return out.withColumn("arch_lm", F.col("n") * F.col("r2")).select(*key, F.col("n").cast("long").alias("n"), "arch_lm", chi2_sf(F.col("arch_lm"), 1).alias("arch_p"))
+def arch_lm(rows: DataFrame, key: list[str], value: str, lags: int = 4) -> DataFrame:
+    """Engle's test: (n - lags) times the fit of squares, not demeaned, on the ``lags`` squares before and a constant. Null under 2 lags + 1 values or where squares do not vary.
+
+    The sums of the regression, over squares scaled by their mean, are aggregates, and its normal equations are solved by elimination in columns.
+    """
+    w = Window.partitionBy(*key).orderBy("origin_t")
+    rows = rows.withColumn("_s", F.pow(F.col(value), 2))
+    rows = rows.withColumn("_s", F.try_divide(F.col("_s"), F.avg("_s").over(Window.partitionBy(*key))))
+    for k in range(1, lags + 1):
+        rows = rows.withColumn(f"_l{k}", F.lag("_s", k).over(w))
+    columns = [*[f"_l{k}" for k in range(1, lags + 1)], "_s"]
+    whole = F.col(f"_l{lags}").isNotNull()
+    means = [F.avg(F.when(whole, F.col(c))).alias(f"m{c}") for c in columns]
+    moments = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_all"), F.count_if(whole).cast("double").alias("_n"), (F.max("_s") - F.min("_s")).alias("_range"), *means)
+    off = [F.col(c) - F.col(f"m{c}") for c in columns]
+    upper = [(i, j) for i in range(lags + 1) for j in range(i, lags + 1)]
+    keep = [*key, "_all", "_n", "_range"]
+    out = rows.where(whole).join(moments, key).groupBy(*keep).agg(*[F.sum(off[i] * off[j]).alias(f"c{i}_{j}") for i, j in upper]).withColumn("_total", F.col(f"c{lags}_{lags}"))
+    # Elimination of one column after the other: the last entry becomes what the regression leaves unexplained.
+    for k in range(lags):
+        def share(i: int, k: int = k) -> Column:
+            return F.when(F.col(f"c{k}_{k}") > 1e-10 * F.col("_n"), F.try_divide(f"c{k}_{i}", f"c{k}_{k}")).otherwise(0.0)
+
+        out = out.select(*keep, "_total", *[(F.col(f"c{i}_{j}") - share(i) * F.col(f"c{k}_{j}")).alias(f"c{i}_{j}") for i, j in upper if i > k])
+    runs = (F.col("_all") >= 2 * lags + 1) & (F.col("_range") > 0) & (F.col("_total") > 0)
+    out = out.withColumn("arch_lm", F.when(runs, F.col("_n") * (1 - F.greatest(F.try_divide(f"c{lags}_{lags}", "_total"), F.lit(0.0)))))
+    return out.select(*key, F.col("_n").cast("long").alias("n"), "arch_lm", chi2_sf(F.col("arch_lm"), lags).alias("arch_p"))
 
 
 def residual_summary(tests: DataFrame) -> DataFrame:
-    """Shares of folds that reject at 5 %, and medians, of rows with lb_p."""
-    return tests.groupBy("unique_id", "window", "model").agg(
-        F.count("lb_p").alias("n_tests"), F.avg(F.when(F.col("lb_p").isNotNull(), (F.col("lb_p") < 0.05).cast("double"))).alias("reject_share"), F.median("lb_p").alias("median_p")
-    )
+    """unique_id, window, model and, of each residual test that ran, the number of folds, the share that rejects at 5 % and the median p-value."""
+    each = []
+    for test, name in (("lb_p", "lb"), ("lb_p_2m", "lb_2m"), ("arch_p", "arch")):
+        p = F.col(test)
+        each += [F.count(p).alias(f"n_{name}"), F.avg((p < 0.05).cast("double")).alias(f"{name}_reject_share"), F.median(p).alias(f"{name}_median_p")]
+    return tests.groupBy("unique_id", "window", "model").agg(*each)
 
 
 def transform_counts(folds: DataFrame) -> DataFrame:

@@ -35,6 +35,19 @@ def ordinal(ds: Column, freq: str) -> Column:
     return F.floor(days / 7).cast("int") if freq == "weekly" else days
 
 
+def period_label(period: Column, freq: str) -> Column:
+    """A period's number as text: 2020-05, 2020Q2, a week's Monday and Sunday, a trading day's date."""
+    if freq == "monthly":
+        return F.format_string("%04d-%02d", F.floor(period / 12), F.pmod(period, F.lit(12)) + 1)
+    if freq == "quarterly":
+        return F.format_string("%04dQ%d", F.floor(period / 4), F.pmod(period, F.lit(4)) + 1)
+    monday = F.lit("1970-01-05").cast("date")
+    if freq == "weekly":
+        first = F.date_add(monday, (period * 7).cast("int"))
+        return F.concat_ws("/", first.cast("string"), F.date_add(first, 6).cast("string"))
+    return F.date_add(monday, period.cast("int")).cast("string")
+
+
 def parsed(rows: DataFrame, config: SeriesConfig) -> DataFrame:
     """unique_id, ds, y from text, with the flags ds_null, ds_zone, ds_bad, ds_clock, y_bad and y_infinite."""
     text = F.col("ds").cast("string")
@@ -100,60 +113,92 @@ def trading_gaps(rows: DataFrame) -> DataFrame:
     return totals.join(runs, "unique_id", "left").select("unique_id", "weekdays", "absent", F.coalesce("longest", F.lit(0)).alias("longest"))
 
 
-def violations(rows: DataFrame, config: SeriesConfig) -> DataFrame:
-    """unique_id, rule_no, rule, detail: the first broken rule of each series, in the rules' order; sound series have no row.
+def _weekday_number(d: Column) -> Column:
+    """The number of a weekday among weekdays since Monday, 1970-01-05; a weekend's is that of the Friday before."""
+    days = F.datediff(d.cast("date"), F.lit("1970-01-05").cast("date"))
+    return F.floor(days / 7) * 5 + F.least(F.weekday(d), F.lit(4))
+
 
-    ``rows`` are canonical (text or typed). Every rule is an aggregate over the series, so one pass a rule family decides all series of a panel.
+def facts(rows: DataFrame, config: SeriesConfig) -> DataFrame:
+    """One row a series with all that the rules look at, of canonical rows (text or typed).
+
+    Timestamps are brought together once and each series is gone through once in order of time: gaps are
+    distances between neighbours, so no calendar is written out.
     """
     p = parsed(rows, config)
     trading = config.freq == "trading_days"
-    found = []
+    early = F.col("ds") < F.lit(config.start).cast("timestamp_ntz") if config.start else F.lit(False)
+    flags = ("ds_null", "ds_zone", "ds_bad", "ds_clock", "y_bad", "y_infinite")
+    y = {"sum": F.sum("y"), "mean": F.avg("y")}.get(config.duplicates, F.max("y"))
+    one = p.groupBy("unique_id", "ds").agg(F.count(F.lit(1)).alias("n"), y.alias("y"), *[F.count_if(f).alias(f) for f in flags])
+    one = one.withColumn("early", F.coalesce(early, F.lit(False))).withColumn("in", F.col("ds").isNotNull() & ~F.col("early"))
+    at = _weekday_number(F.col("ds")) if trading else ordinal(F.col("ds"), config.freq)
+    one = one.withColumn("at", F.when(F.col("in"), at.cast("long"))).withColumn("at_seen", F.when(F.col("y").isNotNull(), F.col("at")))
+    before = Window.partitionBy("unique_id", "in").orderBy("ds").rowsBetween(Window.unboundedPreceding, -1)
+    one = one.withColumn("step", F.col("at") - F.max("at").over(before)).withColumn("blank", F.col("at_seen") - F.max("at_seen").over(before) - 1)
+    inside = F.col("in")
+    out = one.groupBy("unique_id").agg(
+        *[F.sum(f).alias(f) for f in flags], F.sum(F.when(F.col("early"), F.col("n"))).alias("dropped"),
+        F.count_if(inside & (F.col("n") > 1)).alias("repeated"), F.min(F.when(inside & (F.col("n") > 1), F.col("ds"))).alias("first_repeated"),
+        F.count_if(inside).alias("stamps"), F.count("at_seen").alias("seen"), F.count_if(F.col("step") == 0).alias("finer"),
+        F.mode(F.when(F.col("step") > 0, F.col("step")), True).alias("step"), F.min("at").alias("lo"), F.max("at").alias("hi"),
+        F.min("at_seen").alias("lo_seen"), F.max("at_seen").alias("hi_seen"), F.max("blank").alias("blank"), F.count_if(inside & (F.weekday("ds") >= 5)).alias("weekend"),
+        F.count_if(inside & (F.col("y") == 0)).alias("zeros"), F.count_if(inside & (F.col("y") < 0)).alias("negatives"), F.count_if(inside & (F.col("y") <= 0)).alias("low"),
+    )
+    span = F.col("hi") - F.col("lo") + 1
+    # Runs without a value at either end count too; without any value the whole span is one.
+    longest = F.coalesce(F.greatest(F.coalesce("blank", F.lit(0)), F.col("lo_seen") - F.col("lo"), F.col("hi") - F.col("hi_seen")), span, F.lit(0))
+    rows_ = F.col("stamps") if trading else F.coalesce(span, F.lit(0))
+    return out.select(
+        "unique_id", *flags, F.coalesce("dropped", F.lit(0)).alias("dropped"), "repeated", "first_repeated", "stamps", "finer", "step", F.coalesce(span, F.lit(0)).alias("span"), "weekend",
+        rows_.alias("rows"), "seen", longest.alias("longest"), "zeros", "negatives", "low",
+    )
 
-    def rule(no: int, name: str, frame: DataFrame, condition: Column, detail: Column) -> None:
-        found.append(frame.where(condition).select("unique_id", F.lit(no).alias("rule_no"), F.lit(name).alias("rule"), detail.cast("string").alias("detail")))
 
-    flags = ("ds_null", "ds_zone", "ds_bad", "ds_clock", "y_bad", "y_infinite")
-    counts = p.groupBy("unique_id").agg(*[F.count_if(f).alias(f) for f in flags], F.count(F.lit(1)).alias("n"))
-    clock = F.col("ds_clock") if trading else F.lit(0)
-    rule(2, "timestamp", counts, (F.col("ds_null") + F.col("ds_zone") + F.col("ds_bad") + clock) > 0, F.concat_ws(" ", F.lit("rows that are empty, zoned, unreadable or timed:"), "ds_null", "ds_zone", "ds_bad", clock.cast("string")))
-    rule(3, "non_numeric_y", counts, (F.col("y_bad") + F.col("y_infinite")) > 0, F.concat_ws(" ", F.lit("rows:"), (F.col("y_bad") + F.col("y_infinite")).cast("string")))
-    p = p.where("ds IS NOT NULL")
-    if config.start:
-        p = p.where(F.col("ds") >= F.lit(config.start).cast("timestamp_ntz"))
+def violations(rows: DataFrame, config: SeriesConfig) -> DataFrame:
+    """unique_id, rule_no, rule, detail: the first broken rule of each series, in the rules' order; sound series have no row."""
+    trading = config.freq == "trading_days"
+    found: list[Column] = []
+
+    def rule(no: int, name: str, condition: Column, words: str, *numbers: Column) -> None:
+        detail = F.concat_ws(" ", F.lit(words), *[n.cast("string") for n in numbers])
+        found.append(F.when(condition, F.struct(F.lit(no).alias("rule_no"), F.lit(name).alias("rule"), detail.alias("detail"))))
+
+    c = F.col
+    clock = c("ds_clock") if trading else F.lit(0)
+    rule(2, "timestamp", c("ds_null") + c("ds_zone") + c("ds_bad") + clock > 0, "rows that are empty, zoned, unreadable or timed:", c("ds_null"), c("ds_zone"), c("ds_bad"), clock)
+    rule(3, "non_numeric_y", c("y_bad") + c("y_infinite") > 0, "rows:", c("y_bad") + c("y_infinite"))
     if config.duplicates == "error":
-        twice = p.groupBy("unique_id", "ds").count().where("count > 1").groupBy("unique_id").agg(F.count(F.lit(1)).alias("n"), F.min("ds").alias("d"))
-        rule(4, "duplicates", twice, F.lit(True), F.concat_ws(" ", F.lit("timestamps that repeat:"), F.col("n").cast("string"), F.lit("first"), F.col("d").cast("string")))
-    one = p.groupBy("unique_id", "ds").agg(F.max("y").alias("y")) if config.duplicates == "error" else merged(p, config.duplicates)
+        rule(4, "duplicates", c("repeated") > 0, "timestamps that repeat, and the first:", c("repeated"), c("first_repeated"))
     if trading:
-        weekend = one.groupBy("unique_id").agg(F.count_if(F.weekday("ds") >= 5).alias("n"))
-        rule(5, "trading_calendar", weekend, F.col("n") > 0, F.concat_ws(" ", F.lit("weekend rows:"), F.col("n").cast("string")))
-        gaps = trading_gaps(one)
-        rule(6, "irregular_frequency", gaps, F.col("absent") > 0.15 * F.col("weekdays"), F.concat_ws(" ", F.lit("weekdays without a row:"), F.col("absent").cast("string")))
-        rule(7, "long_gap", gaps, F.col("longest") > 5, F.concat_ws(" ", F.lit("longest closure:"), F.col("longest").cast("string")))
+        absent = c("span") - c("stamps")
+        rule(5, "trading_calendar", c("weekend") > 0, "weekend rows:", c("weekend"))
+        rule(6, "irregular_frequency", absent > 0.15 * c("span"), "weekdays without a row:", absent)
+        rule(7, "long_gap", c("longest") > 5, "longest closure:", c("longest"))
     else:
-        finer = one.groupBy("unique_id", ordinal(F.col("ds"), config.freq).alias("p")).count().where("count > 1").groupBy("unique_id").count()
-        rule(5, "irregular_frequency", finer, F.lit(True), F.concat_ws(" ", F.lit("periods with several rows:"), F.col("count").cast("string")))
-        coarse = step_counts(one, config.freq).join(one.groupBy("unique_id").count(), "unique_id")
-        rule(6, "irregular_frequency", coarse, (F.col("step") != 1) & (F.col("count") >= 3), F.concat_ws(" ", F.lit("commonest step:"), F.col("step").cast("string")))
-    dense = reindexed(one, config.freq)
-    if not trading:
-        runs = islands(dense, F.col("y").isNull()).groupBy("unique_id").agg(F.max("length").alias("n"))
-        rule(7, "long_gap", runs, F.col("n") > 2, F.concat_ws(" ", F.lit("longest run of missing values:"), F.col("n").cast("string")))
-    s = dense.groupBy("unique_id").agg(
-        F.count(F.lit(1)).alias("rows"), F.count("y").alias("seen"), F.count_if(F.col("y") == 0).alias("zeros"), F.count_if(F.col("y") < 0).alias("negatives"), F.count_if(F.col("y") <= 0).alias("low")
-    )
-    rule(8, "missing_share", s, (F.col("rows") - F.col("seen")) > 0.05 * F.col("rows"), F.concat_ws(" ", F.lit("missing:"), (F.col("rows") - F.col("seen")).cast("string")))
-    rule(9, "zeros", s, F.col("zeros") > 0.3 * F.col("seen"), F.concat_ws(" ", F.lit("zeros:"), F.col("zeros").cast("string")))
+        rule(5, "irregular_frequency", c("finer") > 0, "periods with several rows:", c("finer"))
+        rule(6, "irregular_frequency", (c("step") != 1) & (c("stamps") >= 3), "commonest step:", c("step"))
+        rule(7, "long_gap", c("longest") > 2, "longest run of missing values:", c("longest"))
+    missing = c("rows") - c("seen")
+    rule(8, "missing_share", missing > 0.05 * c("rows"), "missing:", missing)
+    rule(9, "zeros", c("zeros") > 0.3 * c("seen"), "zeros:", c("zeros"))
     if config.positive:
-        rule(10, "negatives", s, F.col("negatives") > 0, F.concat_ws(" ", F.lit("negative:"), F.col("negatives").cast("string")))
+        rule(10, "negatives", c("negatives") > 0, "negative:", c("negatives"))
     if config.returns:
-        rule(11, "non_positive_for_returns", s, F.col("low") > 0, F.concat_ws(" ", F.lit("not positive:"), F.col("low").cast("string")))
-    rule(12, "too_short", s, F.col("rows") - config.offset < config.least_rows, F.concat_ws(" ", F.col("rows").cast("string"), F.lit("rows, at least"), F.lit(str(config.least_rows + config.offset))))
-    every = found[0]
-    for f in found[1:]:
-        every = every.unionByName(f)
-    first = every.groupBy("unique_id").agg(F.min_by(F.struct("rule_no", "rule", "detail"), "rule_no").alias("v"))
-    return first.select("unique_id", "v.*")
+        rule(11, "non_positive_for_returns", c("low") > 0, "not positive:", c("low"))
+    rule(12, "too_short", c("rows") - config.offset < config.least_rows, f"rows, of {config.least_rows + config.offset} at least:", c("rows"))
+    return facts(rows, config).select("unique_id", F.coalesce(*found).alias("v")).where("v IS NOT NULL").select("unique_id", "v.*")
+
+
+def warnings(rows: DataFrame, config: SeriesConfig) -> DataFrame:
+    """unique_id, warning: what is left out or brought together without being an error."""
+    extra = [x for x in rows.columns if x not in ("unique_id", "ds", "y")]
+    said = [
+        F.when(F.col("dropped") > 0, F.concat_ws(" ", F.lit(f"rows before {config.start} dropped:"), F.col("dropped").cast("string"))),
+        F.when(F.col("repeated") > 0, F.concat_ws(" ", F.lit(f"timestamps that repeat, brought together by {config.duplicates}:"), F.col("repeated").cast("string"))) if config.duplicates != "error" else F.lit(None).cast("string"),
+        F.lit(f"columns that are not used: {', '.join(extra)}" if extra else None).cast("string"),
+    ]
+    return facts(rows, config).select("unique_id", F.explode(F.array_compact(F.array(*said))).alias("warning"))
 
 
 def validate(rows: DataFrame, config: SeriesConfig) -> DataFrame:
@@ -168,11 +213,19 @@ def validate(rows: DataFrame, config: SeriesConfig) -> DataFrame:
 
 
 def profile(dense: DataFrame) -> DataFrame:
-    """One row a series: counts, span and shape of its values."""
-    return dense.groupBy("unique_id").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count("y").alias("n_seen"), (F.count(F.lit(1)) - F.count("y")).alias("n_missing"), F.min("period").alias("first_period"),
+    """One row a series: counts, span, gaps and shape of its values."""
+    w = Window.partitionBy("unique_id").orderBy("pos")
+    seen = F.when(F.col("y").isNotNull(), F.col("pos"))
+    rows = dense.withColumn("_at", seen).withColumn("_before", F.max(seen).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_d", F.col("y") - F.lag("y").over(w))
+    n, k = F.count(F.lit(1)), F.count("y")
+    blank = F.col("_at") - F.coalesce("_before", F.lit(-1)) - 1
+    return rows.groupBy("unique_id").agg(
+        n.alias("n_rows"), k.alias("n_seen"), (n - k).alias("n_missing"), F.min("period").alias("first_period"),
         F.max("period").alias("last_period"), F.count_if(F.col("y") == 0).alias("n_zero"), F.count_if(F.col("y") < 0).alias("n_negative"), F.min("y").alias("y_min"),
         F.max("y").alias("y_max"), F.avg("y").alias("y_mean"), F.stddev_samp("y").alias("y_sd"), F.median("y").alias("y_median"),
+        ((n - k) / n).alias("missing_share"), F.coalesce(F.greatest(F.max(blank), n - 1 - F.max("_at")), n).alias("longest_gap"), F.try_divide(F.count_if(F.col("y") == 0), k).alias("zero_share"),
+        F.count_if(F.col("y") > 0).alias("n_positive"), F.skewness("y").alias("y_skewness"), F.kurtosis("y").alias("y_kurtosis"), F.percentile("y", F.lit(0.25)).alias("y_q25"), F.percentile("y", F.lit(0.75)).alias("y_q75"),
+        F.min_by("y", "_at").alias("y_first"), F.max_by("y", "_at").alias("y_last"), F.avg(F.abs("_d")).alias("mean_step"),
     )
 
 
@@ -203,11 +256,11 @@ def log_returns(dense: DataFrame) -> DataFrame:
     return dense.withColumn("r", F.expr("ln(case when y > 0 then y end)") - F.lag(F.expr("ln(case when y > 0 then y end)")).over(w))
 
 
-def outliers(dense: DataFrame, m: int) -> DataFrame:
+def outliers(dense: DataFrame, m: int, value: str = "y") -> DataFrame:
     """Column ``outlier``: further than 4 robust deviations from the median of the max(2m, 20) values before; the first ones never are."""
     width = max(2 * m, 20)
     w = Window.partitionBy("unique_id").orderBy("pos")
-    rows = dense.withColumn("_a", F.collect_list("y").over(w.rowsBetween(-width, -1))).withColumn("_n", F.row_number().over(w))
+    rows = dense.withColumn("_a", F.collect_list(value).over(w.rowsBetween(-width, -1))).withColumn("_n", F.row_number().over(w))
 
     def median(a: Column) -> Column:
         s, n = F.array_sort(a), F.size(a)
@@ -215,7 +268,8 @@ def outliers(dense: DataFrame, m: int) -> DataFrame:
 
     rows = rows.withColumn("_m", median(F.col("_a")))
     rows = rows.withColumn("_d", median(F.transform("_a", lambda x: F.abs(x - F.col("_m")))) * 1.4826)
-    flag = (F.col("_n") > width) & (F.col("_d") > 0) & (F.abs(F.col("y") - F.col("_m")) > 4 * F.col("_d"))
+    enough = F.col("_n") > width if value == "y" else F.size("_a") == width
+    flag = enough & (F.col("_d") > 0) & (F.abs(F.col(value) - F.col("_m")) > 4 * F.col("_d"))
     return rows.withColumn("outlier", F.coalesce(flag, F.lit(False))).drop("_a", "_n", "_m", "_d")
 
 

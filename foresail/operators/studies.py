@@ -26,6 +26,59 @@ def width_ratio(rows: DataFrame, model: str, twin: str, levels: tuple[float, ...
     )
 
 
+def paired_widening(rows: DataFrame, model: str, twin: str, levels: tuple[float, ...]) -> DataFrame:
+    """unique_id, window, h, level, n and, of each origin's width of ``twin`` over that of ``model``, the mean, median, 5th and 95th percentile; with the share of the twin's width and variance that ``model`` lacks."""
+    stacked = ", ".join(f"{x!r}D, hi_{tag(x)} - lo_{tag(x)}" for x in levels)
+    each = rows.where("status = 'ok'").selectExpr("unique_id", "window", "model", "origin_t", "h", f"stack({len(levels)}, {stacked}) as (level, width)")
+    key = ["unique_id", "window", "origin_t", "h", "level"]
+    both = each.where(F.col("model").isin(model, twin)).groupBy(*key).agg(F.max(F.when(F.col("model") == model, F.col("width"))).alias("a"), F.max(F.when(F.col("model") == twin, F.col("width"))).alias("b"))
+    both = both.withColumn("r", F.try_divide("b", "a")).where("r IS NOT NULL")
+    return both.groupBy("unique_id", "window", "h", "level").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("r").alias("mean"), F.median("r").alias("median"), F.percentile("r", F.lit(0.05)).alias("p5"), F.percentile("r", F.lit(0.95)).alias("p95"),
+        (1 - F.avg(F.try_divide(F.lit(1.0), F.col("r")))).alias("width_share"), F.avg(1 - F.pow("r", F.lit(-2.0))).alias("variance_share"),
+    )
+
+
+def path_shapes(returns: DataFrame, model: str, twin: str, horizon: int, n_paths: int = 10_000, seed: int = 0) -> DataFrame:
+    """unique_id, origin_t, sd_ratio, q80_ratio, kurtosis, twin_kurtosis, linear_ratio: the sums of ``horizon`` simulated returns of two models with the same seed. Rows (unique_id, origin_t, r array<double>); a task an origin."""
+    work = returns.select("unique_id", "origin_t", "r").repartition("unique_id", "origin_t")
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                r = np.array(row.r)
+                own = kernels.seed_of(seed, row.unique_id, row.origin_t)
+                (a, za), (b, _) = (kernels.simulated_sums(name, r, horizon, n_paths, own) for name in (model, twin))
+                qa, qb = np.quantile(a, [0.1, 0.9]), np.quantile(b, [0.1, 0.9])
+                out.append((row.unique_id, row.origin_t, b.std() / a.std(), (qb[1] - qb[0]) / (qa[1] - qa[0]), excess_kurtosis(a), excess_kurtosis(b), linear_ratio(za, kernels.BLOCK, horizon)))
+            yield pd.DataFrame(out, columns=["unique_id", "origin_t", "sd_ratio", "q80_ratio", "kurtosis", "twin_kurtosis", "linear_ratio"])
+
+    return work.mapInPandas(run, "unique_id string, origin_t long, sd_ratio double, q80_ratio double, kurtosis double, twin_kurtosis double, linear_ratio double")
+
+
+def shape_summary(shapes: DataFrame) -> DataFrame:
+    """unique_id, n and the medians, means and range over origins of ``path_shapes``, with the share of origins where the twin is wider."""
+    return shapes.groupBy("unique_id").agg(
+        F.count(F.lit(1)).alias("n"), F.median("sd_ratio").alias("sd_ratio_median"), F.avg("sd_ratio").alias("sd_ratio_mean"), F.min("sd_ratio").alias("sd_ratio_min"), F.max("sd_ratio").alias("sd_ratio_max"),
+        F.avg("q80_ratio").alias("q80_ratio_mean"), F.avg("linear_ratio").alias("linear_ratio_mean"), F.median("kurtosis").alias("kurtosis_median"), F.median("twin_kurtosis").alias("twin_kurtosis_median"),
+        F.avg((F.col("sd_ratio") > 1).cast("double")).alias("share_wider"),
+    )
+
+
+def excess_kurtosis(x: np.ndarray) -> float:
+    c = x - x.mean()
+    return float(np.mean(c**4) / np.mean(c**2) ** 2 - 3)
+
+
+def linear_ratio(z: np.ndarray, block: int, h: int) -> float:
+    """Deviation of a sum of h values drawn in blocks over that of single draws, as the autocorrelations inside blocks foretell it."""
+    whole, rest = divmod(h, block)
+    pairs = np.array([whole * max(block - k, 0) + max(rest - k, 0) for k in range(1, block)])  # neighbours k apart inside one block
+    rho = np.array([kernels.acf(z, k) for k in range(1, block)])
+    return float(np.sqrt(1 + 2 * (pairs @ rho) / h))
+
+
 def crps_ratio(scores: DataFrame, seed: int, reps: int = 5000) -> DataFrame:
     """unique_id, h, ratio, lo, hi of mean scores (columns origin_t, a, b) a over b, by a bootstrap over origins in pairs."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -79,4 +132,4 @@ def scaled_deviation(phi: float, h: int) -> float:
     return math.sqrt(1 + 2 * sum((1 - k / h) * phi**k for k in range(1, h)))
 
 
-__all__ = ["coverage_margin", "crps_ratio", "interpolation_error", "scaled_deviation", "simulation_noise", "width_ratio", "z_value"]
+__all__ = ["coverage_margin", "crps_ratio", "excess_kurtosis", "interpolation_error", "linear_ratio", "paired_widening", "path_shapes", "scaled_deviation", "shape_summary", "simulation_noise", "width_ratio", "z_value"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import subprocess
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from pathlib import Path
 
 from ..config import RunConfig
@@ -71,3 +71,8 @@ def registered(gate: Gate) -> bool:
         return done.stdout.strip() if done.returncode == 0 else None
 
     return bool(git("log", "-1", "--format=%H", "--", name)) and git("status", "--porcelain", "--", name) == ""
+
+
+def with_primary(gate: Gate, model: str) -> Gate:
+    """The same rules for another model, to see what they would say of it: never a registered decision."""
+    return replace(gate, sha256="", series=tuple(replace(s, primary_model=model) for s in gate.series if model in s.models))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import platform
+import shutil
 import subprocess
 from datetime import datetime, timezone
 from pathlib import Path
@@ -15,11 +16,14 @@ from pyspark.sql import functions as F
 from ..config import RunConfig, SeriesConfig
 from ..errors import ForesailError
 from ..operators import calibration, scoring
-from ..operators.backtest import backtest, bootstrap_skill, model_confidence_set
+from ..operators.backtest import backtest, bootstrap_skill, bucket_confidence_set, model_confidence_set, shortfall_backtest
 from ..operators.folds import origins
 from ..operators.series import data_hash, profile, validate
 from ..sources.canonical import load
+from ..sources.scratch import kept
 from ..sources.store import ForecastStore
+from . import verdicts
+from .charts import line_chart
 from .gate import Gate, check_gate, registered
 
 
@@ -41,49 +45,68 @@ def validated(spark: SparkSession, config: RunConfig, cache: str = "cache") -> d
 
 
 def run(spark: SparkSession, config: RunConfig, warnings: list[str] | None = None, gate: Gate | None = None, force: bool = False, cache: str = "cache") -> Path:
-    """Backtest every source into one store; a run that is there already is taken as it is. Returns its folder."""
+    """Backtest every source into one store; a run that is there already is taken as it is. Returns its folder.
+
+    What there is of each series (hashes, plans, selections) goes to tables beside the store; the manifest holds totals.
+    """
     if gate:
         check_gate(gate, config)
     dense = validated(spark, config, cache)
-    hashes = {r["unique_id"]: r["data_hash"] for d in dense.values() for r in data_hash(d).collect()}
-    combined = hashlib.sha256("\n".join(f"{k}:{v}" for k, v in sorted(hashes.items())).encode()).hexdigest()
-    run_id = config.run_id(combined, code_version())
+    hashes = union(*(data_hash(d).withColumn("source", F.lit(k)) for k, d in dense.items()))
+    combined = hashes.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("source", "unique_id", "data_hash")).alias("x"), F.sum(F.xxhash64("data_hash", "unique_id", "source").cast("decimal(38,0)")).alias("s")).first()
+    digest = hashlib.sha256(f"{combined['n']}:{combined['x']}:{combined['s']}".encode()).hexdigest()
+    run_id = config.run_id(digest, code_version())
     folder = Path(config.output_dir) / run_id
     if (folder / "manifest.json").exists() and not force:
         return folder
     folder.mkdir(parents=True, exist_ok=True)
     store = ForecastStore(spark, str((folder / "store").resolve()), config.levels)
-    for k, s in enumerate(config.series):
-        rows = store.conform(backtest(dense[s.id], s, config.levels, config.seed, config.n_paths, run_id))
-        rows.repartition("unique_id", "window").sortWithinPartitions("model", "origin_t", "h").write.mode("append" if k else "overwrite").partitionBy("unique_id", "window").parquet(store.path)
+    if force:
+        shutil.rmtree(store.path, ignore_errors=True)
+    for s in config.series:
+        store.append(backtest(dense[s.id], s, config.levels, config.seed, config.n_paths, run_id))
     rows = store.read()
+    plans = union(*(origins(dense[s.id], s).groupBy("unique_id", "role").agg(F.count(F.lit(1)).alias("n"), F.bool_or("reduced").alias("reduced")).withColumn("source", F.lit(s.id)) for s in config.series))
+    for name, table in (("data_hashes", hashes), ("plans", plans), ("selections", scoring.dev_selection(rows)), ("candidates", scoring.candidate_ranking(rows))):
+        table.write.mode("overwrite").parquet(str((folder / name).resolve()))
+    counted = spark.read.parquet(str((folder / "plans").resolve())).groupBy("source", "role").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("series")).collect()
     manifest = {
         "run_id": run_id, "created_utc": datetime.now(timezone.utc).isoformat(timespec="seconds"), "code": code_version(),
-        "versions": {"python": platform.python_version(), "spark": spark.version}, "config": json.loads(json.dumps(config, default=lambda o: o.__dict__)), "data_hashes": hashes,
-        "plans": {s.id: {r["role"]: r["n"] for r in origins(dense[s.id], s).groupBy("role").agg(F.count(F.lit(1)).alias("n")).collect()} for s in config.series},
-        "selections": [r.asDict() for r in scoring.dev_selection(rows).collect()], "rows": {r["status"]: r["count"] for r in rows.groupBy("status").count().collect()},
-        "a4": [r.asDict() for r in scoring.failed_share(rows).collect()], "content_hash": store.content_hash(),
+        "versions": {"python": platform.python_version(), "spark": spark.version}, "config": json.loads(json.dumps(config, default=lambda o: o.__dict__)),
+        "data_hashes": {"series": combined["n"], "sha256": digest, "table": "data_hashes"}, "plans": [r.asDict() for r in counted], "selections": {"table": "selections"},
+        "rows": {r["status"]: r["count"] for r in rows.groupBy("status").count().collect()}, "a4": [r.asDict() for r in scoring.failed_share(rows).collect()], "content_hash": store.content_hash(),
         "gate": {"sha256": gate.sha256, "registered": registered(gate)} if gate else None, "warnings": sorted(set(warnings or [])),
     }
     (folder / "manifest.json").write_text(json.dumps(manifest, indent=1, sort_keys=True))
     return folder
 
 
+def union(*frames: DataFrame) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def scores(spark: SparkSession, folder: Path, config: RunConfig) -> dict[str, DataFrame]:
     """The score tables of a run, from its store alone."""
     store = ForecastStore(spark, str((folder / "store").resolve()), config.levels).read()
     selection = scoring.dev_selection(store)
     test = scoring.sma_collapsed(scoring.scorable(store), selection)
     reference = selection.withColumn("reference", F.when(F.col("reference") == F.col("sma"), "sma").otherwise(F.col("reference")))
-    most = max(s.H for s in config.series)
+    most, season = max(s.H for s in config.series), max(s.m for s in config.series)
     pairs = scoring.paired(test, reference)
     against = scoring.holm(scoring.diebold_mariano(pairs, scoring.CELL, most).withColumn("candidate", ~scoring.is_baseline(F.col("model"))), "dm_p_better", ["unique_id", "window", "candidate"], "dm_p_better_holm")
-    skill = bootstrap_skill(pairs, config.seed)
+    skill = kept(bootstrap_skill(pairs, config.seed), "skill")
     rows = scoring.interval_rows(test, config.levels)
+    folds = store.where("origin_role = 'test' AND status = 'ok' AND h = 1")
     return {
-        "point": scoring.point_metrics(test).join(against.drop("n"), scoring.CELL, "left"), "skill": skill, "h_star": scoring.h_star(skill, most), "mcs": model_confidence_set(test, config.seed),
-        "intervals": scoring.interval_metrics(rows, config.levels), "independence": scoring.christoffersen(rows, [*scoring.CELL, "level"]), "crps": calibration.crps(test, config.levels),
-        "window_gap": scoring.window_gap(test, most), "subperiods": scoring.subperiods(test, reference), "selection": selection,
+        "point": scoring.point_metrics(test).join(against.drop("n"), scoring.CELL, "left").join(reference.select("unique_id", "window", "reference"), ["unique_id", "window"], "left"),
+        "skill": skill, "h_star": scoring.h_star(skill, most), "mcs": model_confidence_set(test, config.seed), "mcs_buckets": bucket_confidence_set(test, season, most, config.seed),
+        "intervals": scoring.interval_metrics(rows, config.levels), "buckets": scoring.interval_buckets(rows, season, most, config.levels),
+        "independence": scoring.christoffersen(rows, [*scoring.CELL, "level"], min(s.origin_step for s in config.series)), "crps": calibration.crps(test, config.levels),
+        "residuals": scoring.residual_summary(folds), "transforms": scoring.transform_counts(folds.where("transform IS NOT NULL")),
+        "window_gap": scoring.window_gap(test, most), "subperiods": scoring.subperiods(test, reference), "selection": selection, "choice": verdicts.chosen(store),
     }
 
 
@@ -102,57 +125,71 @@ def checks(tables: dict[str, DataFrame], gate: Gate, base: str) -> DataFrame:
     return calibration.gate_checks(table.where(F.col("h").isin(horizons)), gate.limits)
 
 
-def verdict(point: DataFrame) -> DataFrame:
-    """unique_id, window, answer: whether a candidate beats the reference with adjusted significance at all, some or none of its horizons."""
-    wins = (F.col("rel_mae") < 1) & (F.col("dm_p_better_holm") < 0.05)
-    by_model = point.where(~scoring.is_baseline(F.col("model")) & F.col("dm_p_better_holm").isNotNull()).groupBy("unique_id", "window", "model").agg(F.count_if(wins).alias("wins"), F.count(F.lit(1)).alias("n"))
-    best = by_model.groupBy("unique_id", "window").agg(F.max(F.struct((F.col("wins") / F.col("n")).alias("share"), "model")).alias("b"))
-    answer = F.when(F.col("b.share") == 1, "yes").when(F.col("b.share") > 0, "partly").otherwise("no")
-    return best.select("unique_id", "window", F.col("b.model").alias("model"), answer.alias("answer"))
-
+def answers(tables: dict[str, DataFrame], config: RunConfig) -> DataFrame:
+    """unique_id, window, question, answer, detail in the primary window: the six questions and the exit row. Written once, as the criteria read it again."""
+    window = verdicts.primary_window(config.series[0].windows)
+    t = {k: v.where(F.col("window") == window) if "window" in v.columns else v for k, v in tables.items()}
+    choice = t["choice"]
+    first = verdicts.beats_reference(t["point"], choice)
+    return kept(union(
+        first, verdicts.reach(t["h_star"], t["skill"], choice), verdicts.covers(t["buckets"], choice), verdicts.residuals(t["residuals"], choice),
+        verdicts.windows_and_time(tables["window_gap"].withColumn("window", F.lit(window)), t["subperiods"], choice), verdicts.transforms(t["transforms"], choice, config.series[0].transform),
+        verdicts.exit_decision(t["point"], first, any(s.returns for s in config.series)),
+    ), "answers")
 
-def verdicts(tables: dict[str, DataFrame]) -> DataFrame:
-    """unique_id, question, answer of the score tables: reach of skill, calibration, gap between windows and stability over sub-periods."""
-    reach = tables["h_star"].groupBy("unique_id").agg(F.max("h_star").alias("x")).select("unique_id", F.lit("horizon of skill").alias("question"), F.col("x").cast("string").alias("answer"))
-    miss = tables["intervals"].where("kupiec_p IS NOT NULL").groupBy("unique_id").agg(F.avg((F.col("kupiec_p") < 0.05).cast("double")).alias("x"), F.avg(F.col("coverage") - F.col("level")).alias("d"))
-    state = F.when(F.col("x") <= 0.1, "calibrated").when(F.col("d") < 0, "too narrow").otherwise("too wide")
-    cover = miss.select("unique_id", F.lit("calibration").alias("question"), state.alias("answer"))
-    gap = tables["window_gap"].groupBy("unique_id").agg(F.count_if(F.col("p_rolling_better_holm") < 0.05).alias("r"), F.count_if(F.col("p_expanding_better_holm") < 0.05).alias("e"))
-    which = F.when((F.col("r") > 0) & (F.col("e") > 0), "mixed").when(F.col("r") > 0, "rolling is better").when(F.col("e") > 0, "expanding is better").otherwise("no difference")
-    windows = gap.select("unique_id", F.lit("window").alias("question"), which.alias("answer"))
-    stable = tables["subperiods"].groupBy("unique_id", "window", "model", "h").agg(F.bool_and(F.col("rel_mae") < 1).alias("all"), F.bool_or(F.col("rel_mae") < 1).alias("some"))
-    stable = stable.groupBy("unique_id").agg(F.max(F.when(F.col("all"), 2).when(F.col("some"), 1).otherwise(0)).alias("x"))
-    times = stable.select("unique_id", F.lit("stability").alias("question"), F.when(F.col("x") == 2, "better in every sub-period").when(F.col("x") == 1, "in some").otherwise("in none").alias("answer"))
-    return reach.unionByName(cover).unionByName(windows).unionByName(times)
 
+def criteria(tables: dict[str, DataFrame], said: DataFrame, config: RunConfig, coverage: dict[float, tuple[float, float]]) -> DataFrame:
+    window = verdicts.primary_window(config.series[0].windows)
+    t = {k: v.where(F.col("window") == window) if "window" in v.columns else v for k, v in tables.items()}
+    return verdicts.criteria(t["point"], t["buckets"], t["subperiods"], t["h_star"], said, t["choice"], coverage)
 
-def residual_verdict(summary: DataFrame) -> DataFrame:
-    """yes if more than half of the folds reject whiteness, no for a tenth or less, else partly."""
-    x = F.col("reject_share")
-    return summary.withColumn("answer", F.when(x > 0.5, "yes").when(x <= 0.1, "no").otherwise("partly"))
 
+SHOWN = 500  #: rows of a table that a Markdown report shows; the whole table is always written beside it
 
-def audit(point: DataFrame, limit: float = 0.7) -> DataFrame:
-    """Models whose error is under ``limit`` of the reference's: too good, so that a leak is looked for."""
-    return point.where(F.col("rel_mae") < limit).select("unique_id", "window", "model", "h", "rel_mae")
 
-
-def _table(df: DataFrame, limit: int = 500) -> str:
-    rows = df.limit(limit).collect()
-    show = lambda v: "" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v)
+def _shown(folder: Path, name: str, df: DataFrame) -> str:
+    """``df`` written whole as Parquet in the run's folder, and its first rows as Markdown with the number of the others."""
+    place = (folder / "tables" / name).resolve()
+    df.write.mode("overwrite").parquet(str(place))
+    whole = df.sparkSession.read.schema(df.schema).parquet(str(place))
+    order = [c for c, t in whole.dtypes if t in ("string", "bigint", "int")][:5]
+    n, rows = whole.count(), (whole.orderBy(*order) if order else whole).limit(SHOWN).collect()
+    show = lambda v: "" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v).replace("|", "/")
     head = f"| {' | '.join(df.columns)} |\n|{'---|' * len(df.columns)}"
-    return "\n".join([head, *[f"| {' | '.join(show(v) for v in r)} |" for r in rows]])
+    note = [] if n <= SHOWN else ["", f"{n - SHOWN} of {n} rows are not shown here: they are in `tables/{name}`."]
+    return "\n".join([head, *[f"| {' | '.join(show(v) for v in r)} |" for r in rows], *note])
+
+
+def _charts(folder: Path, tables: dict[str, DataFrame], config: RunConfig) -> list[str]:
+    """Relative errors and coverage by horizon of the first few series, as SVG files."""
+    window = verdicts.primary_window(config.series[0].windows)
+    out = []
+    some = [r["unique_id"] for r in tables["choice"].select("unique_id").distinct().orderBy("unique_id").limit(4).collect()]
+    for name, df, value, level in (("relative_error", tables["point"], "rel_mae", 1.0), ("coverage", tables["intervals"].where("level = 0.8"), "coverage", 0.8)):
+        rows = df.where((F.col("window") == window) & F.col("unique_id").isin(*some)).select("unique_id", "model", "h", value).collect() if some else []
+        for uid in some:
+            lines: dict[str, list[tuple[float, float]]] = {}
+            for r in rows:
+                if r["unique_id"] == uid and r[value] is not None:
+                    lines.setdefault(r["model"], []).append((r["h"], r[value]))
+            file = f"{name}-{len(out)}.svg"
+            (folder / file).write_text(line_chart(f"{uid}: {name.replace('_', ' ')}", lines, "horizon", value, level))
+            out.append(f"![{name} of {uid}]({file})")
+    return out
 
 
 def report(spark: SparkSession, folder: Path, config: RunConfig, gate: Gate | None = None) -> Path:
     """A Markdown report of a run's tables. A decision is stated only for a gate that is committed and unchanged."""
     tables = scores(spark, folder, config)
-    lines = [f"# Run {folder.name}", "", "## Does a candidate beat the reference?", "", _table(verdict(tables["point"])), "", "## Other answers", "", _table(verdicts(tables).orderBy("unique_id", "question")), "", "## Too good to be true", "", _table(audit(tables["point"])), ""]
+    said = answers(tables, config)
+    bounds = {0.8: (gate.limits["coverage_lo"], gate.limits["coverage_hi"])} if gate else {0.8: (0.7, 0.9), 0.95: (0.9, 0.99)}
+    lines = [f"# Run {folder.name}", "", "## Does a candidate beat the reference, and what else is known?", "", _shown(folder, "answers", said), "", "## Criteria", "", _shown(folder, "criteria", criteria(tables, said, config, bounds)), ""]
     if gate:
         decided = calibration.gate_decision(checks(tables, gate, "zero_return"))
-        lines += ["## Decision", "", _table(decided) if registered(gate) else "The gate is not registered, so nothing is decided.", ""]
-    for name in ("selection", "point", "h_star", "mcs", "intervals", "window_gap", "subperiods"):
-        lines += [f"## {name}", "", _table(tables[name].orderBy(*tables[name].columns[:4])), ""]
+        lines += ["## Decision", "", _shown(folder, "decision", decided) if registered(gate) else "The gate is not registered, so nothing is decided.", ""]
+    lines += ["## Charts", "", *_charts(folder, tables, config), ""]
+    for name in ("selection", "point", "skill", "h_star", "mcs", "mcs_buckets", "intervals", "buckets", "independence", "crps", "residuals", "transforms", "window_gap", "subperiods"):
+        lines += [f"## {name}", "", _shown(folder, name, tables[name]), ""]
     out = folder / "report.md"
     out.write_text("\n".join(lines))
     return out
@@ -161,11 +198,12 @@ def report(spark: SparkSession, folder: Path, config: RunConfig, gate: Gate | No
 def risk(spark: SparkSession, folder: Path, config: RunConfig, losses: list[float], window: int = 60) -> Path:
     """Conformal correction, tail risk and threshold probabilities of a run, as Markdown."""
     store = ForecastStore(spark, str((folder / "store").resolve()), config.levels).read()
-    most = max(s.H for s in config.series)
-    fixed = calibration.conformal(store.where(F.col("lo_" + str(round(config.levels[0] * 100))).isNotNull()), config.levels, most, window)
+    fixed = calibration.conformal(store.where(F.col("lo_" + str(round(config.levels[0] * 100))).isNotNull()), config.levels, window, model_window=verdicts.primary_window(config.series[0].windows))
     test = scoring.scorable(fixed).where("conformal_n > 0")
-    lines = [f"# Risk of run {folder.name}", "", "## Value at risk", "", _table(calibration.risk_table(test, config.levels)), "", "## Threshold probabilities", ""]
-    lines.append(_table(calibration.threshold_summary(calibration.threshold_probabilities(test, config.levels, losses))))
+    each = calibration.threshold_probabilities(test, config.levels, losses)
+    latest = scoring.latest_origin(each).select("unique_id", "window", "model", "origin_period", "h", "loss", "state", "p_exceed", "p_lo", "p_hi")
+    lines = [f"# Risk of run {folder.name}", "", "## Value at risk", "", _shown(folder, "risk", calibration.risk_table(test, config.levels)), "", "## Shortfall", "", _shown(folder, "shortfall", shortfall_backtest(test, config.levels, config.seed)), ""]
+    lines += ["## Threshold probabilities", "", _shown(folder, "thresholds", calibration.threshold_summary(each)), "", "## At the last origin", "", _shown(folder, "latest", latest)]
     out = folder / "risk.md"
     out.write_text("\n".join(lines))
     return out
@@ -182,4 +220,4 @@ def profiles(spark: SparkSession, config: RunConfig, cache: str = "cache") -> di
     return out
 
 
-__all__ = ["SeriesConfig", "checks", "profiles", "report", "risk", "run", "scores", "validated", "verdict"]
+__all__ = ["SeriesConfig", "answers", "checks", "criteria", "profiles", "report", "risk", "run", "scores", "validated"]

@@ -17,7 +17,7 @@ from .operators import folds, scoring, series
 from .operators.folds import tag
 from .plans import panels
 from .plans.panels import DAILY, LEVELS, MONTHLY, QUARTERLY
-from .sources.scratch import kept
+from .sources.scratch import kept_once, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -119,7 +119,7 @@ cells AS (SELECT facts.*, role, CAST(h AS BIGINT) AS h FROM facts JOIN plan USIN
 each_ AS ({each}),
 st0 AS (SELECT *, y IS NOT NULL AND z_t IS NOT NULL AS seen FROM each_),
 st1 AS (SELECT *, seen AND mean IS NOT NULL AS ok FROM st0),
-store AS (SELECT unique_id, model, "window", origin_t, role AS origin_role, h, y_true, y_true IS NULL AS y_true_missing, CASE WHEN ok THEN mean END AS y_pred, {bounds}, mase_scale, n AS n_train,
+store AS MATERIALIZED (SELECT unique_id, model, "window", origin_t, role AS origin_role, h, y_true, y_true IS NULL AS y_true_missing, CASE WHEN ok THEN mean END AS y_pred, {bounds}, mase_scale, n AS n_train,
   CASE WHEN NOT seen THEN 'skipped' WHEN mean IS NULL THEN 'failed' ELSE 'ok' END AS status FROM st1 JOIN truth USING (unique_id, origin_t, h)),
 sc AS (SELECT * FROM store WHERE origin_role = 'test' AND status = 'ok' AND y_true IS NOT NULL AND y_pred IS NOT NULL)"""
 
@@ -179,12 +179,12 @@ IV = "iv AS (" + " UNION ALL ".join(
 # ---------------------------------------------------------------- panels and folds
 
 def monthly_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The monthly panel's store, written once: scores read it as often as they need."""
-    return kept(folds.forecasts(panels.monthly(spark, sf_dir), MONTHLY, LEVELS), "monthly-store")
+    """The monthly panel's store, written once an application: all score tables read the same rows, and nothing is forecast again."""
+    return kept_once(spark, ("monthly-store", sf_dir), lambda: folds.forecasts(panels.monthly(spark, sf_dir), MONTHLY, LEVELS))
 
 
 def daily_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kept(folds.forecasts(panels.daily(spark, sf_dir), DAILY, LEVELS), "daily-store")
+    return kept_once(spark, ("daily-store", sf_dir), lambda: folds.forecasts(panels.daily(spark, sf_dir), DAILY, LEVELS))
 
 
 @query(f"WITH {M_RAW} SELECT unique_id, pos, period, {r('y', 'y')} FROM s")
@@ -230,8 +230,13 @@ def frequency_modal_step(spark, sf_dir):
     return series.step_counts(rows, "quarterly")
 
 
-@query(f"""WITH {M_RAW} SELECT unique_id, count(*) AS n_rows, count(y) AS n_seen, count(*) - count(y) AS n_missing, min(period) AS first_period, max(period) AS last_period, count(*) FILTER (y = 0) AS n_zero,
-count(*) FILTER (y < 0) AS n_negative, {r('min(y)', 'y_min')}, {r('max(y)', 'y_max')}, {r('avg(y)', 'y_mean')}, {r('stddev_samp(y)', 'y_sd')}, {r('median(y)', 'y_median')} FROM s GROUP BY unique_id""")
+@query(f"""WITH {M_RAW}, a AS (SELECT *, CASE WHEN y IS NOT NULL THEN pos END AS seen, y - lag(y) OVER w AS d, y - avg(y) OVER (PARTITION BY unique_id) AS c FROM s WINDOW w AS (PARTITION BY unique_id ORDER BY pos)),
+b AS (SELECT *, seen - coalesce(max(seen) OVER (PARTITION BY unique_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) - 1 AS blank FROM a)
+SELECT unique_id, count(*) AS n_rows, count(y) AS n_seen, count(*) - count(y) AS n_missing, min(period) AS first_period, max(period) AS last_period, count(*) FILTER (y = 0) AS n_zero,
+count(*) FILTER (y < 0) AS n_negative, {r('min(y)', 'y_min')}, {r('max(y)', 'y_max')}, {r('avg(y)', 'y_mean')}, {r('stddev_samp(y)', 'y_sd')}, {r('median(y)', 'y_median')},
+{r('(count(*) - count(y)) / CAST(count(*) AS DOUBLE)', 'missing_share')}, coalesce(greatest(max(blank), count(*) - 1 - max(seen)), count(*)) AS longest_gap, {r('count(*) FILTER (y = 0) / CAST(count(y) AS DOUBLE)', 'zero_share')},
+count(*) FILTER (y > 0) AS n_positive, {r('avg(c ** 3) / avg(c ** 2) ** 1.5', 'y_skewness')}, {r('avg(c ** 4) / avg(c ** 2) ** 2 - 3', 'y_kurtosis')}, {r('quantile_cont(y, 0.25)', 'y_q25')}, {r('quantile_cont(y, 0.75)', 'y_q75')},
+{r('arg_min(y, seen)', 'y_first')}, {r('arg_max(y, seen)', 'y_last')}, {r('avg(abs(d))', 'mean_step')} FROM b GROUP BY unique_id""")
 def validation_profile(spark, sf_dir):
     return series.profile(panels.monthly(spark, sf_dir))
 
@@ -363,12 +368,6 @@ def holm(spark, sf_dir):
     return scoring.holm(out, "dm_p_better", ["unique_id", "window"], "dm_p_better_holm").select(*scoring.CELL, "dm_p_better", "dm_p_better_holm")
 
 
-def _binomial(q: float) -> str:
-    """The least k that reaches q, by the running sum of the probabilities."""
-    term = "exp(lgamma(k + 1.0) - lgamma(i + 1.0) - lgamma(k - i + 1.0) + i * ln(level) + (k - i) * ln(1 - level))"
-    return f"(SELECT min(i) FROM (SELECT i, sum({term}) OVER (ORDER BY i) AS c FROM (SELECT unnest(range(0, k + 1)) AS i)) WHERE c >= {q} - 1e-12)"
-
-
 @query(f"""WITH {M_STORE}, {IV}, g AS (SELECT unique_id, "window", model, h, level, count(*) AS n, avg(1 - miss) AS coverage, CAST(sum(miss) AS DOUBLE) AS misses, avg(hi - lo) AS width,
   avg((hi - lo) + 2 / (1 - level) * greatest(lo - y_true, 0) + 2 / (1 - level) * greatest(y_true - hi, 0)) AS winkler FROM iv GROUP BY ALL),
 e AS (SELECT *, CAST(n AS DOUBLE) / h AS ne, misses * (CAST(n AS DOUBLE) / h) / n AS xe FROM g), k AS (SELECT *, {kupiec_sql('xe', 'ne', '(1 - level)')} AS lr FROM e)
@@ -378,14 +377,21 @@ def interval_metrics(spark, sf_dir):
     return scoring.interval_metrics(rows, LEVELS).drop("band_lo", "band_hi")
 
 
-@query()
+def _band(q: float) -> str:
+    return f"CAST(list_filter(range(0, k + 1), lambda i: list_sum(list_transform(range(0, i + 1), lambda j: exp(lgamma(k + 1.0) - lgamma(j + 1.0) - lgamma(k - j + 1.0) + j * ln(level) + (k - j) * ln(1 - level)))) >= {q})[1] AS DOUBLE) / k"
+
+
+@query(f"""WITH {M_STORE}, {IV}, g AS (SELECT unique_id, "window", model, h, level, greatest(1, count(*) // max(h)) AS k FROM iv GROUP BY ALL)
+SELECT unique_id, "window", model, h, level, {r(_band(0.025), 'band_lo')}, {r(_band(0.975), 'band_hi')} FROM g""")
 def coverage_band(spark, sf_dir):
     rows = scoring.interval_rows(scoring.scorable(monthly_store(spark, sf_dir)), LEVELS)
     return scoring.interval_metrics(rows, LEVELS).select(*scoring.CELL, "level", "band_lo", "band_hi")
 
 
-@query(f"""WITH {M_STORE}, {IV}, b AS (SELECT *, CASE WHEN h = 1 THEN 'very_short' WHEN h <= 3 THEN 'short' WHEN h <= 12 THEN 'medium' ELSE 'long' END AS bucket FROM iv)
-SELECT unique_id, "window", model, bucket, level, count(*) AS n, {r('count(DISTINCT origin_t) / CAST(max(h) AS DOUBLE)', 'n_eff')}, {r('avg(1 - miss)', 'coverage')}, {r('avg(hi - lo)', 'width')} FROM b GROUP BY ALL""")
+@query(f"""WITH {M_STORE}, {IV}, b AS (SELECT *, CASE WHEN h = 1 THEN 'very_short' WHEN h <= 3 THEN 'short' WHEN h <= 12 THEN 'medium' ELSE 'long' END AS bucket FROM iv),
+g AS (SELECT unique_id, "window", model, bucket, level, count(*) AS n, count(DISTINCT origin_t) / CAST(max(h) AS DOUBLE) AS ne, avg(1 - miss) AS coverage, avg(hi - lo) AS width, avg(miss) AS share FROM b GROUP BY ALL),
+l AS (SELECT *, greatest(1, CAST(floor(ne) AS BIGINT)) AS k, {kupiec_sql('(share * ne)', 'ne', '(1 - level)')} AS lr FROM g)
+SELECT unique_id, "window", model, bucket, level, n, {r('ne', 'n_eff')}, {r('coverage', 'coverage')}, {r('width', 'width')}, {r(_band(0.025), 'band_lo')}, {r(_band(0.975), 'band_hi')}, {r(chi1_sql('lr'), 'kupiec_p')} FROM l""")
 def interval_buckets(spark, sf_dir):
     return scoring.interval_buckets(scoring.interval_rows(scoring.scorable(monthly_store(spark, sf_dir)), LEVELS), 12, MONTHLY.H)
 
@@ -398,10 +404,10 @@ g AS (SELECT unique_id, "window", model, h, level, count(*) AS n, CAST(sum(miss)
   CAST(count(*) FILTER (b = 1 AND miss = 0) AS DOUBLE) AS n10, CAST(count(*) FILTER (b = 1 AND miss = 1) AS DOUBLE) AS n11 FROM a GROUP BY ALL),
 p AS (SELECT *, n01 / nullif(n00 + n01, 0) AS p0, n11 / nullif(n10 + n11, 0) AS p1, (n01 + n11) / nullif(n00 + n01 + n10 + n11, 0) AS p FROM g),
 l AS (SELECT *, CASE WHEN n >= 30 AND p0 IS NOT NULL AND p1 IS NOT NULL THEN greatest(0.0, {_LRI}) END AS lr, {kupiec_sql('x', 'n', '(1 - level)')} AS uc FROM p)
-SELECT unique_id, "window", model, h, level, n00, n01, n10, n11, {r('lr', 'lr_ind')}, {r(chi1_sql('lr'), 'ind_p')}, {r('lr + uc', 'lr_cc')}, {r('exp(-(lr + uc) / 2)', 'cc_p')}, p1 > p0 AS clustered FROM l""")
+SELECT unique_id, "window", model, h, level, n00, n01, n10, n11, {r('lr', 'lr_ind')}, {r(chi1_sql('lr'), 'ind_p')}, {r('lr + uc', 'lr_cc')}, {r('exp(-(lr + uc) / 2)', 'cc_p')}, coalesce(p1 > p0, false) AS clustered, true AS testable FROM l""")
 def christoffersen(spark, sf_dir):
     rows = scoring.interval_rows(scoring.scorable(daily_store(spark, sf_dir)), LEVELS)
-    return scoring.christoffersen(rows, [*scoring.CELL, "level"])
+    return scoring.christoffersen(rows, [*scoring.CELL, "level"], DAILY.origin_step)
 
 
 @query(f"""WITH {M_STORE}, ex AS (SELECT unique_id, model, h, origin_t, abs(y_true - y_pred) AS d_b FROM sc WHERE "window" = 'expanding'), ro AS (SELECT unique_id, model, h, origin_t, abs(y_true - y_pred) AS d_a FROM sc WHERE "window" = 'rolling'),
@@ -427,24 +433,69 @@ def a4_failed_share(spark, sf_dir):
 
 
 _RES = 'res AS (SELECT unique_id, "window", model, h, origin_t, y_true - y_pred AS e FROM sc WHERE h = 1)'
-_LB = " + ".join(f"(g{k} / nullif(g0, 0)) ** 2 / (n - {k})" for k in range(1, 11))
+def chi_even_sql(x: str, df: int) -> str:
+    """The upper tail of chi-squared for an even number of degrees of freedom."""
+    return f"(CASE WHEN {x} <= 0 THEN 1.0 ELSE exp(-{x} / 2) * (" + " + ".join(f"({x} / 2) ** {k} / {math.factorial(k)}" for k in range(df // 2)) + ") END)"
+
+
+def _ljung_sql(store: str, lags: int) -> str:
+    lb = " + ".join(f"(g{k} / nullif(g0, 0)) ** 2 / nullif(n - {k}, 0)" for k in range(1, lags + 1))
+    return f"""WITH {store}, {_RES}, c AS (SELECT *, e - avg(e) OVER (PARTITION BY unique_id, "window", model) AS cc FROM res),
+l AS (SELECT *, {", ".join(f'lag(cc, {k}) OVER (PARTITION BY unique_id, "window", model ORDER BY origin_t) AS l{k}' for k in range(1, lags + 1))} FROM c),
+g AS (SELECT unique_id, "window", model, count(*) AS n, sum(cc * cc) AS g0, {", ".join(f"sum(cc * l{k}) AS g{k}" for k in range(1, lags + 1))} FROM l GROUP BY ALL),
+q AS (SELECT *, CASE WHEN n >= {2 * lags + 1} AND g0 > 0 THEN CAST(n AS DOUBLE) * (n + 2) * ({lb}) END AS q FROM g)
+SELECT unique_id, "window", model, n, {r('q', 'lb_q')}, {r(f"CASE WHEN q IS NOT NULL THEN {chi_even_sql('q', lags)} END", 'lb_p')} FROM q"""
 
 
-@query(f"""WITH {D_STORE}, {_RES}, c AS (SELECT *, e - avg(e) OVER (PARTITION BY unique_id, "window", model) AS cc FROM res),
-l AS (SELECT *, {", ".join(f'lag(cc, {k}) OVER (PARTITION BY unique_id, "window", model ORDER BY origin_t) AS l{k}' for k in range(1, 11))} FROM c),
-g AS (SELECT unique_id, "window", model, count(*) AS n, sum(cc * cc) AS g0, {", ".join(f"sum(cc * l{k}) AS g{k}" for k in range(1, 11))} FROM l GROUP BY ALL),
-q AS (SELECT *, CASE WHEN n >= 21 AND g0 > 0 THEN CAST(n AS DOUBLE) * (n + 2) * ({_LB}) END AS q FROM g)
-SELECT unique_id, "window", model, n, {r('q', 'lb_q')}, {r('exp(-q / 2) * (1 + q / 2 + (q / 2) ** 2 / 2 + (q / 2) ** 3 / 6 + (q / 2) ** 4 / 24)', 'lb_p')} FROM q""")
+def _one_step(store: DataFrame) -> DataFrame:
+    return scoring.scorable(store).where("h = 1").withColumn("e", F.col("y_true") - F.col("y_pred"))
+
+
+_FOLD = ["unique_id", "window", "model"]
+
+
+@query(_ljung_sql(D_STORE, 10))
 def ljung_box(spark, sf_dir):
-    rows = scoring.scorable(daily_store(spark, sf_dir)).where("h = 1").withColumn("e", F.col("y_true") - F.col("y_pred"))
-    return scoring.autocorrelation(rows, ["unique_id", "window", "model"], "e", 10)
+    """Without a season: ten lags."""
+    return scoring.autocorrelation(_one_step(daily_store(spark, sf_dir)), _FOLD, "e", 10)
+
+
+@query(_ljung_sql(M_STORE, 12))
+def ljung_box_season(spark, sf_dir):
+    return scoring.autocorrelation(_one_step(monthly_store(spark, sf_dir)), _FOLD, "e", 12)
+
 
+@query(_ljung_sql(D_STORE, 24))
+def ljung_box_two_seasons(spark, sf_dir):
+    return scoring.autocorrelation(_one_step(daily_store(spark, sf_dir)), _FOLD, "e", 24)
 
-@query(f"""WITH {D_STORE}, {_RES}, c AS (SELECT *, (e - avg(e) OVER (PARTITION BY unique_id, "window", model)) ** 2 AS s2 FROM res), l AS (SELECT *, lag(s2) OVER (PARTITION BY unique_id, "window", model ORDER BY origin_t) AS b FROM c),
-g AS (SELECT unique_id, "window", model, count(*) - 1 AS n, (count(*) - 1) * regr_r2(s2, b) AS x FROM l GROUP BY ALL) SELECT unique_id, "window", model, n, {r('x', 'arch_lm')}, {r(chi1_sql('x'), 'arch_p')} FROM g""")
-def arch_lm_1(spark, sf_dir):
-    rows = scoring.scorable(daily_store(spark, sf_dir)).where("h = 1").withColumn("e", F.col("y_true") - F.col("y_pred"))
-    return scoring.arch_lm(rows, ["unique_id", "window", "model"], "e")
+
+def _arch_sql(store: str, lags: int) -> str:
+    """Coefficients by Gram and Schmidt: each regressor is replaced by what earlier ones leave of it, so the fit is a sum of separate squares."""
+    part = '(PARTITION BY unique_id, "window", model)'
+    steps = [f"""WITH {store}, {_RES}, v AS (SELECT *, e * e / nullif(avg(e * e) OVER {part}, 0) AS sq FROM res),
+l AS (SELECT *, count(*) OVER {part} AS na, max(sq) OVER {part} - min(sq) OVER {part} AS span, {", ".join(f'lag(sq, {k}) OVER (PARTITION BY unique_id, "window", model ORDER BY origin_t) AS l{k}' for k in range(1, lags + 1))} FROM v),
+u0 AS (SELECT *, sq - avg(sq) OVER {part} AS t, {", ".join(f"l{k} - avg(l{k}) OVER {part} AS x{k}" for k in range(1, lags + 1))} FROM l WHERE l{lags} IS NOT NULL)"""]
+    for k in range(1, lags + 1):
+        rest = [f"x{j}" for j in range(k + 1, lags + 1)]
+        out = ", ".join([f"{c} - x{k} * coalesce(sum({c} * x{k}) OVER {part} / nullif(sum(x{k} * x{k}) OVER {part}, 0), 0) AS {c}" for c in rest] + [f"x{k}", "t"])
+        others = ", ".join(['unique_id, "window", model, na, span', *[f"x{j}" for j in range(1, k)]])
+        steps.append(f"u{k} AS (SELECT {others}, {out} FROM u{k - 1})")
+    fit = " + ".join(f"coalesce(sum(t * x{k}) ** 2 / nullif(sum(x{k} * x{k}), 0), 0)" for k in range(1, lags + 1))
+    steps.append(f"""w AS (SELECT unique_id, "window", model, count(*) AS n, CASE WHEN any_value(na) >= {2 * lags + 1} AND any_value(span) > 0 AND sum(t * t) > 0 THEN count(*) * least(1.0, ({fit}) / nullif(sum(t * t), 0)) END AS x FROM u{lags} GROUP BY ALL)
+SELECT unique_id, "window", model, n, {r('x', 'arch_lm')}, {r(f"CASE WHEN x IS NOT NULL THEN {chi_even_sql('x', lags)} END", 'arch_p')} FROM w""")
+    return ",\n".join(steps)
+
+
+@query(_arch_sql(D_STORE, 4))
+def arch_lm(spark, sf_dir):
+    """Without a season: four lags."""
+    return scoring.arch_lm(_one_step(daily_store(spark, sf_dir)), _FOLD, "e", 4)
+
+
+@query(_arch_sql(M_STORE, 12))
+def arch_lm_season(spark, sf_dir):
+    return scoring.arch_lm(_one_step(monthly_store(spark, sf_dir)), _FOLD, "e", 12)
 
 
 # ---------------------------------------------------------------- calibration and risk
@@ -484,22 +535,25 @@ def pit_uniformity(spark, sf_dir):
 
 
 def _conformal_sql(level: float) -> str:
+    """The last 60 scores at each outcome, and for each row those at the last outcome known by then."""
     t = tag(level)
-    return f"""(SELECT a.unique_id, a."window", a.model, a.origin_t, a.h, least(count(b.s), 60) AS n, list_sort(list_slice(list(b.s ORDER BY b.origin_t DESC), 1, 60)) AS v FROM store a
-  LEFT JOIN (SELECT *, greatest(lo_{t} - y_true, y_true - hi_{t}) AS s FROM store WHERE status = 'ok' AND y_true IS NOT NULL AND lo_{t} IS NOT NULL) b
-  ON a.unique_id = b.unique_id AND a."window" = b."window" AND a.model = b.model AND a.h = b.h AND b.origin_t <= a.origin_t - a.h GROUP BY ALL)"""
+    return f"""s{t} AS MATERIALIZED (SELECT unique_id, model, h, origin_t, list(s) OVER (PARTITION BY unique_id, model, h ORDER BY origin_t ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS v
+  FROM (SELECT *, greatest(lo_{t} - y_true, y_true - hi_{t}) AS s FROM store WHERE "window" = 'expanding' AND status = 'ok' AND y_true IS NOT NULL AND lo_{t} IS NOT NULL)),
+a{t} AS (SELECT a.unique_id, a.model, a.origin_t, a.h, coalesce(len(b.v), 0) AS n, list_sort(b.v) AS v FROM (SELECT *, origin_t - h AS known FROM store WHERE "window" = 'expanding' AND status = 'ok' AND y_true IS NOT NULL AND origin_role IN ('dev', 'test')) a
+  ASOF LEFT JOIN s{t} b ON a.unique_id = b.unique_id AND a.model = b.model AND a.h = b.h AND a.known >= b.origin_t),
+c{t} AS (SELECT unique_id, model, origin_t, h, 'expanding' AS "window", CASE WHEN n >= 20 THEN n END AS n, CASE WHEN n >= 20 THEN v[CAST(ceil(round_even(least(1.0, ceil((n + 1) * CAST({level!r} AS DOUBLE)) / n) * (n - 1), 9)) AS INTEGER) + 1] END AS q FROM a{t})"""
 
 
-_CONF = "".join(f", c{tag(x)} AS (SELECT *, CASE WHEN n >= 20 THEN v[CAST(ceil(round_even(least(1.0, ceil((n + 1) * CAST({x!r} AS DOUBLE)) / n) * (n - 1), 9)) AS INTEGER) + 1] END AS q FROM {_conformal_sql(x)})" for x in LEVELS)
+_CONF = "".join(f", {_conformal_sql(x)}" for x in LEVELS)
 _CK = 'unique_id, "window", model, origin_t, h'
-_CQ = f"""cq AS (SELECT {_CK}, lo_80 - coalesce(c80.q, 0) AS l80, hi_80 + coalesce(c80.q, 0) AS h80, lo_95 - coalesce(c95.q, 0) AS l95, hi_95 + coalesce(c95.q, 0) AS h95, CASE WHEN c95.n >= 20 THEN c95.n ELSE 0 END AS conformal_n, c95.q AS conformal_q
-  FROM store JOIN c80 USING ({_CK}) JOIN c95 USING ({_CK}))"""
+_CQ = f"""cq AS (SELECT {_CK}, lo_80 - coalesce(c80.q, 0) AS l80, hi_80 + coalesce(c80.q, 0) AS h80, lo_95 - coalesce(c95.q, 0) AS l95, hi_95 + coalesce(c95.q, 0) AS h95, CASE WHEN c95.q IS NOT NULL THEN c95.n ELSE 0 END AS conformal_n, c95.q AS conformal_q
+  FROM store LEFT JOIN c80 USING ({_CK}) LEFT JOIN c95 USING ({_CK}))"""
 
 
 @query(f"""WITH {M_STORE}{_CONF}, {_CQ} SELECT {_CK}, {r('l80', 'lo_80')}, {r('h80', 'hi_80')}, {r('CASE WHEN conformal_n > 0 THEN least(l80, l95) ELSE l95 END', 'lo_95')}, {r('CASE WHEN conformal_n > 0 THEN greatest(h80, h95) ELSE h95 END', 'hi_95')},
 conformal_n, {r('conformal_q', 'conformal_q')} FROM cq""")
 def conformal(spark, sf_dir):
-    out = cal.conformal(monthly_store(spark, sf_dir), LEVELS, MONTHLY.H)
+    out = cal.conformal(monthly_store(spark, sf_dir), LEVELS, model_window="expanding")
     return out.select("unique_id", "window", "model", "origin_t", "h", "lo_80", "hi_80", "lo_95", "hi_95", "conformal_n", "conformal_q")
 
 
@@ -564,7 +618,7 @@ def _fitted(panel: str, model: str, **changes) -> Query:
         _ship(spark)
         config = replace(MONTHLY if panel == "monthly" else DAILY, models=(model,) if isinstance(model, str) else model, **changes)
         out = fitted_forecasts(getattr(panels, panel)(spark, sf_dir), config, LEVELS)
-        return out.select("unique_id", "model", "window", "origin_t", "origin_role", "h", "y_true", "y_pred", "lo_80", "hi_80", "es_80", "lo_95", "hi_95", "es_95", "lb_p", "transform", "variant", "status")
+        return out.select("unique_id", "model", "window", "origin_t", "origin_role", "h", "y_true", "y_pred", "lo_80", "hi_80", "es_80", "lo_95", "hi_95", "es_95", "n_outliers", "lb_p", "lb_p_2m", "arch_p", "transform", "variant", "status")
 
     return run
 
@@ -626,22 +680,110 @@ def _simulated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fitted("daily", "ewma", **_CUMULATIVE)(spark, sf_dir).withColumn("y_true_missing", F.col("y_true").isNull())
 
 
-@query()
+_GATE = {"coverage_lo": 0.7, "coverage_hi": 0.9, "alpha": 0.05, "crps_ratio": 1.05}
+
+
+def _cell_sql(c, store: str) -> str:
+    """CTE ``cell``: coverage with its tests, uniformity and score, a row a cell and level."""
+    return f"""WITH {store}, {IV}, a AS (SELECT *, lag(miss) OVER (PARTITION BY unique_id, "window", model, h, level ORDER BY origin_t) AS b FROM iv),
+g AS (SELECT unique_id, "window", model, h, level, count(*) AS n, avg(1 - miss) AS coverage, avg(hi - lo) AS width, CAST(sum(miss) AS DOUBLE) AS x, CAST(count(*) AS DOUBLE) / max(h) AS ne, CAST(sum(miss) AS DOUBLE) / max(h) AS xe, greatest(1, count(*) // max(h)) AS k,
+  avg((hi - lo) + 2 / (1 - level) * greatest(lo - y_true, 0) + 2 / (1 - level) * greatest(y_true - hi, 0)) AS winkler,
+  CAST(count(*) FILTER (b = 0 AND miss = 0) AS DOUBLE) AS n00, CAST(count(*) FILTER (b = 0 AND miss = 1) AS DOUBLE) AS n01, CAST(count(*) FILTER (b = 1 AND miss = 0) AS DOUBLE) AS n10, CAST(count(*) FILTER (b = 1 AND miss = 1) AS DOUBLE) AS n11 FROM a GROUP BY ALL),
+p AS (SELECT *, n01 / nullif(n00 + n01, 0) AS p0, n11 / nullif(n10 + n11, 0) AS p1, (n01 + n11) / nullif(n00 + n01 + n10 + n11, 0) AS p, {kupiec_sql('xe', 'ne', '(1 - level)')} AS lr, {kupiec_sql('x', 'n', '(1 - level)')} AS uc FROM g),
+i AS (SELECT *, h <= {c.origin_step} AS testable, CASE WHEN h <= {c.origin_step} AND n >= 30 AND p0 IS NOT NULL AND p1 IS NOT NULL THEN greatest(0.0, {_LRI}) END AS li FROM p),
+{_PIN}, pq AS (SELECT unique_id, "window", model, h, tau, avg(loss) AS v FROM pin GROUP BY ALL), ar AS (SELECT *, (tau - lag(tau) OVER w) * (v + lag(v) OVER w) / 2 AS t FROM pq WINDOW w AS (PARTITION BY unique_id, "window", model, h ORDER BY tau)),
+cr AS (SELECT unique_id, "window", model, h, 2 * sum(t) AS crps FROM ar GROUP BY ALL), {_BINS},
+be AS (SELECT *, sum(n) OVER (PARTITION BY unique_id, "window", model, h) * expected AS e FROM bins), bx AS (SELECT unique_id, "window", model, h, CASE WHEN min(e) >= 5 - 1e-9 THEN sum((n - e) ** 2 / e) END AS bx FROM be GROUP BY ALL),
+cell AS (SELECT *, {chi1_sql('lr')} AS kupiec_p, {chi1_sql('li')} AS ind_p, exp(-(li + uc) / 2) AS cc_p, coalesce(p1 > p0, false) AS clustered, exp(-bx / 2) * (1 + bx / 2) AS pit_p FROM i LEFT JOIN cr USING (unique_id, "window", model, h) LEFT JOIN bx USING (unique_id, "window", model, h))"""
+
+
+@query(f"""{_cell_sql(MONTHLY, M_STORE)} SELECT unique_id, "window", model, h, level, n, {r('coverage', 'coverage')}, {r('width', 'width')}, {r('winkler', 'winkler')}, {r(_band(0.025), 'band_lo')}, {r(_band(0.975), 'band_hi')}, {r('lr', 'kupiec_lr')}, {r('kupiec_p', 'kupiec_p')},
+{r('ind_p', 'ind_p')}, {r('cc_p', 'cc_p')}, clustered, testable, {r('pit_p', 'pit_p')}, {r('crps', 'crps')} FROM cell""")
+def calibration_table(spark, sf_dir):
+    return cal.calibration_table(scoring.scorable(monthly_store(spark, sf_dir)), LEVELS, MONTHLY.origin_step)
+
+
+def _gate_sql() -> str:
+    checks = {
+        "coverage": f"coverage BETWEEN {_GATE['coverage_lo']} AND {_GATE['coverage_hi']}", "kupiec": f"kupiec_p >= {_GATE['alpha']}",
+        "independence": f"CASE WHEN ind_p IS NULL THEN true ELSE ind_p >= {_GATE['alpha']} END", "crps": f"cell.crps / nullif(base, 0) < {_GATE['crps_ratio']}",
+    }
+    each = " UNION ALL ".join(f"SELECT unique_id, \"window\", model, h, '{k}' AS name, coalesce({v}, false) AS passed FROM j" for k, v in checks.items())
+    return f"""{_cell_sql(DAILY, D_STORE)}, j AS (SELECT cell.*, base FROM cell LEFT JOIN (SELECT DISTINCT unique_id, "window", h, crps AS base FROM cell WHERE model = 'zero_return') USING (unique_id, "window", h) WHERE level = 0.8),
+ck AS ({each.replace("cell.crps", "crps")})"""
+
+
+@query(f"""{_gate_sql()} SELECT unique_id, "window", model, h, name, passed FROM ck""")
+def gate_checks(spark, sf_dir):
+    return cal.gate_checks(_gate_table(spark, sf_dir), _GATE)
+
+
+def _gate_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = cal.calibration_table(scoring.scorable(daily_store(spark, sf_dir)), LEVELS, DAILY.origin_step).where("level = 0.8")
+    base = table.where("model = 'zero_return'").select("unique_id", "window", "h", F.col("crps").alias("base"))
+    return table.join(base, ["unique_id", "window", "h"], "left").withColumn("crps_ratio", F.try_divide("crps", "base"))
+
+
+@query(f"""{_gate_sql()} SELECT unique_id, "window", model, count(*) AS n_checks, count(*) FILTER (passed) AS n_passed, bool_and(passed) AS go FROM ck GROUP BY ALL""")
 def gate_decision(spark, sf_dir):
-    store = scoring.scorable(daily_store(spark, sf_dir)).where("model IN ('zero_return', 'ewma') AND h IN (1, 5)")
-    rows = scoring.interval_rows(store, LEVELS)
-    cover = scoring.interval_metrics(rows, LEVELS).where("level = 0.8")
-    independent = scoring.christoffersen(rows, [*scoring.CELL, "level"]).where("level = 0.8").select(*scoring.CELL, "ind_p")
-    crps = cal.crps(store, LEVELS)
-    base = crps.where("model = 'zero_return'").select("unique_id", "window", "h", F.col("crps").alias("base"))
-    ratio = crps.join(base, ["unique_id", "window", "h"]).select(*scoring.CELL, (F.col("crps") / F.col("base")).alias("crps_ratio"))
-    table = cover.join(independent, scoring.CELL).join(ratio, scoring.CELL)
-    return cal.gate_decision(cal.gate_checks(table, {"coverage_lo": 0.7, "coverage_hi": 0.9, "alpha": 0.05, "crps_ratio": 1.05}))
+    return cal.gate_decision(cal.gate_checks(_gate_table(spark, sf_dir), _GATE))
+
+
+_PIT = f"""CASE WHEN i = 0 THEN {_TAUS[0]!r} WHEN i > {len(_TAUS) - 1} THEN {_TAUS[-1]!r} ELSE t[i] + (t[i + 1] - t[i]) * (y_true - q[i]) / nullif(q[i + 1] - q[i], 0) END"""
+
+
+@query(f"""WITH {D_STORE}, a AS (SELECT unique_id, "window", model, origin_t, h, y_true, [{", ".join(_QUANTILES)}] AS q, {_TAUS!r} AS t FROM sc), b AS (SELECT *, len(list_filter(q, lambda v: v <= y_true)) AS i FROM a)
+SELECT unique_id, "window", model, origin_t, h, {r(f"CASE WHEN len(list_filter(q, lambda v: v IS NOT NULL)) = {len(_TAUS)} AND list_sort(q) = q THEN {_PIT} END", 'pit')} FROM b""")
+def pit_values(spark, sf_dir):
+    return cal.pit(scoring.scorable(daily_store(spark, sf_dir)), LEVELS).select("unique_id", "window", "model", "origin_t", "h", "pit")
+
+
+_BUCKET = "CASE WHEN h = 1 THEN 'very_short' WHEN h <= 3 THEN 'short' WHEN h <= 12 THEN 'medium' ELSE 'long' END"
+
+
+@query(f"""WITH {M_STORE}, b AS (SELECT *, {_BUCKET} AS bucket, abs(y_true - y_pred) AS e FROM sc), want AS (SELECT unique_id, "window", bucket, count(DISTINCT (model, h)) AS k, max(h) AS h_last FROM b GROUP BY ALL),
+have AS (SELECT unique_id, "window", bucket, origin_t, count(*) AS k FROM b GROUP BY ALL), fine AS (SELECT unique_id, "window", bucket, origin_t, h_last FROM have JOIN want USING (unique_id, "window", bucket, k))
+SELECT unique_id, "window", bucket, h_last, origin_t, model, {r('avg(e)', 'loss')} FROM b JOIN fine USING (unique_id, "window", bucket, origin_t) GROUP BY unique_id, "window", bucket, h_last, origin_t, model""")
+def bucket_losses(spark, sf_dir):
+    return scoring.bucket_losses(scoring.scorable(monthly_store(spark, sf_dir)), MONTHLY.m, MONTHLY.H)
+
+
+@query()
+def mcs_buckets(spark, sf_dir):
+    from .operators.backtest import bucket_confidence_set
+
+    _ship(spark)
+    return bucket_confidence_set(scoring.scorable(monthly_store(spark, sf_dir)), MONTHLY.m, MONTHLY.H, 20260922)
+
+
+@query(f"""WITH {D_STORE}, dm0 AS (SELECT unique_id, "window", model, avg(abs(y_true - y_pred) / mase_scale) AS dev_mase, bool_or(lo_80 IS NOT NULL) AS has_intervals FROM store WHERE origin_role = 'dev' AND status = 'ok' AND y_true IS NOT NULL AND mase_scale > 0 AND model = 'ewma' GROUP BY ALL)
+SELECT unique_id, "window", model, {r('dev_mase', 'dev_mase')}, 1 AS rank, has_intervals, 'point' AS chosen FROM dm0""")
+def candidate_ranking(spark, sf_dir):
+    return scoring.candidate_ranking(daily_store(spark, sf_dir))
+
+
+@query(f"""WITH {M_STORE} SELECT unique_id, "window", model, origin_t, h, {r('y_pred', 'y_pred')} FROM store QUALIFY origin_t = max(origin_t) OVER (PARTITION BY unique_id, "window", model)""")
+def latest_origin(spark, sf_dir):
+    return scoring.latest_origin(monthly_store(spark, sf_dir)).select("unique_id", "window", "model", "origin_t", "h", "y_pred")
+
+
+_FACTS = f"""fo AS (SELECT *, list(z) OVER w AS pv FROM fill WINDOW w AS (PARTITION BY unique_id ORDER BY pos ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)), fm AS (SELECT *, list_median(list_filter(pv, lambda x: x IS NOT NULL)) AS med FROM fo),
+ff AS (SELECT unique_id, pos, coalesce(len(list_filter(pv, lambda x: x IS NOT NULL)) = 24 AND abs(z - med) > 4 * 1.4826 * list_median(list_transform(list_filter(pv, lambda x: x IS NOT NULL), lambda x: abs(x - med))) AND list_median(list_transform(list_filter(pv, lambda x: x IS NOT NULL), lambda x: abs(x - med))) > 0, false) AS flag FROM fm)"""
+
+
+@query(f"""WITH {M_STORE}, {_FACTS}, each_fold AS (SELECT DISTINCT unique_id, "window", origin_t, h FROM store),
+lab AS (SELECT unique_id, pos, printf('%04d-%02d', period // 12, period % 12 + 1) AS label FROM s)
+SELECT e.unique_id, e."window", e.origin_t, e.h, a.label AS origin_period, b.label AS target_period,
+  (SELECT count(*) FROM ff WHERE ff.unique_id = e.unique_id AND flag AND ff.pos <= e.origin_t AND (e."window" = 'expanding' OR ff.pos >= e.origin_t - {MONTHLY.rolling_length - 1} + 24)) AS n_outliers
+FROM each_fold e JOIN lab a ON a.unique_id = e.unique_id AND a.pos = e.origin_t LEFT JOIN lab b ON b.unique_id = e.unique_id AND b.pos = e.origin_t + e.h""")
+def store_facts(spark, sf_dir):
+    """Periods and outliers of the store's folds."""
+    return monthly_store(spark, sf_dir).select("unique_id", "window", "origin_t", "h", "origin_period", "target_period", "n_outliers").distinct()
 
 
 @query()
 def residual_summary(spark, sf_dir):
-    tests = _fitted("monthly", "ses", window="expanding")(spark, sf_dir).where("lb_p IS NOT NULL").dropDuplicates(["unique_id", "window", "model", "origin_t"])
+    tests = _fitted("monthly", "ses", window="expanding")(spark, sf_dir).where("origin_role = 'test' AND status = 'ok' AND h = 1")
     return scoring.residual_summary(tests)
 
 
@@ -652,18 +794,18 @@ def transform_counts(spark, sf_dir):
 
 @query(f"SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, {r('sum(value)', 'total')} FROM events GROUP BY ALL")
 def stream_event_counts(spark, sf_dir):
-    """The windowed stream over the events file, run to its end."""
+    """The windowed stream over the events file, run to its end. Each batch adds the windows that it changed to files; a window's last state counts."""
     import uuid
 
-    from .streaming.scorer import event_counts
+    from .streaming.scorer import event_counts, latest_state, sink_states
 
     schema = panels.read(spark, sf_dir, "events").schema
-    name = f"events_{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/foresail/events-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
-    running = event_counts(stream).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    counts = event_counts(stream.withColumn("ts", F.col("ts").cast("timestamp")))
+    running = counts.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").foreachBatch(sink_states(f"{folder}/rows")).trigger(availableNow=True).start()
     running.awaitTermination()
-    return spark.table(name).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return latest_state(spark, f"{folder}/rows", counts.schema, ["start", "event_type"]).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("""WITH e AS (SELECT event_type AS unique_id, CAST(CAST(ts AS DATE) - DATE '1970-01-05' AS BIGINT) // 7 AS period, sum(value) AS v FROM events GROUP BY ALL),

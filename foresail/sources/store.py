@@ -1,8 +1,8 @@
-"""The forecast store: an append-only Parquet table partitioned by series and window, with a fixed schema."""
+"""The forecast store: an append-only Parquet table partitioned by buckets of series, window and role, with a fixed schema."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,6 +11,7 @@ from ..operators.backtest import store_schema
 
 STATUS = ("ok", "failed", "skipped")
 ORDER = ["unique_id", "window", "model", "origin_t", "h"]
+PARTS = ["bucket", "window", "origin_role"]
 
 
 def levels_of(columns: list[str]) -> tuple[float, ...]:
@@ -18,10 +19,14 @@ def levels_of(columns: list[str]) -> tuple[float, ...]:
 
 
 class ForecastStore:
-    """Rows can be added and read, never changed. Columns, their order and types, and the domain of status are checked before any write."""
+    """Rows can be added and read, never changed. Columns, their order and types, and the domain of status are checked before any write.
 
-    def __init__(self, spark: SparkSession, path: str, levels: tuple[float, ...] = (0.8, 0.95)):
-        self.spark, self.path, self.levels = spark, path, levels
+    Series share folders by a hash of their name, so that a panel of millions does not make millions of them; inside a file
+    rows are sorted by series. ``buckets`` belongs to the stored table.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, levels: tuple[float, ...] = (0.8, 0.95), buckets: int = 32):
+        self.spark, self.path, self.levels, self.buckets = spark, path, levels, buckets
         self.schema = T.StructType.fromDDL(store_schema(levels))
 
     def conform(self, rows: DataFrame) -> DataFrame:
@@ -36,20 +41,27 @@ class ForecastStore:
             raise SchemaError("a status is none of " + ", ".join(STATUS))
         return out
 
+    def _bucket(self, series: Column) -> Column:
+        return F.pmod(F.xxhash64(series), F.lit(self.buckets)).cast("int")
+
     def append(self, rows: DataFrame) -> None:
-        out = self.conform(rows)
-        out.repartition("unique_id", "window").sortWithinPartitions(*ORDER).write.mode("append").partitionBy("unique_id", "window").parquet(self.path)
+        out = self.conform(rows).withColumn("bucket", self._bucket(F.col("unique_id")))
+        # A bucket's rows go to one task unless adaptive execution finds them too many.
+        out.repartition(*PARTS).sortWithinPartitions(*PARTS, *ORDER).write.mode("append").partitionBy(*PARTS).parquet(self.path)
 
     def extend(self, other: ForecastStore) -> None:
         if other.levels != self.levels:
             raise SchemaError("stores of different levels")
         self.append(other.read())
 
-    def read(self) -> DataFrame:
-        """All rows. Partition columns prune, and role and status reach the scan as filters."""
+    def read(self, *series: str) -> DataFrame:
+        """All rows, or those of the named series, whose buckets alone are read. Window and role prune folders too, and status reaches the scan as a filter."""
         rows = self.spark.read.parquet(self.path)
-        if set(rows.columns) != set(self.schema.names):
-            raise SchemaError(f"{self.path} holds other columns: {', '.join(sorted(set(rows.columns) ^ set(self.schema.names)))}")
+        if set(rows.columns) != {*self.schema.names, "bucket"}:
+            raise SchemaError(f"{self.path} holds other columns: {', '.join(sorted(set(rows.columns) ^ {*self.schema.names, 'bucket'}))}")
+        if series:
+            wanted = self.spark.range(1).select(F.explode(F.array(*[self._bucket(F.lit(x)) for x in series])).alias("b")).collect()
+            rows = rows.where(F.col("bucket").isin(*{r["b"] for r in wanted}) & F.col("unique_id").isin(*series))
         return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema])
 
     def content_hash(self) -> str:

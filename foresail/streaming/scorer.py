@@ -6,8 +6,11 @@ horizon and the allowed delay, so state is bounded; scores are windowed by the t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def matched(forecasts: DataFrame, outcomes: DataFrame, delay: str = "7 days", horizon: str = "31 days") -> DataFrame:
@@ -30,3 +33,18 @@ def event_counts(events: DataFrame, width: str = "1 hour", late: str = "1 day")
     """Counts and sums of (ts, event_type, value) in tumbling windows, closed by a watermark."""
     out = events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return out.select(F.col("window.start").alias("start"), "event_type", "n", "total")
+
+
+def sink_states(path: str) -> Callable[[DataFrame, int], None]:
+    """A writer for ``foreachBatch`` in update mode: a batch's changed rows as files of its own, so that a batch that is run again replaces what it wrote."""
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write
+
+
+def latest_state(spark: SparkSession, path: str, schema: StructType, key: list[str]) -> DataFrame:
+    """The last state of each key over all batches."""
+    values = [f.name for f in schema if f.name not in key]
+    rows = spark.read.schema(StructType([*schema, StructField("batch", LongType())])).parquet(path)
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*key, "v.*")

@@ -12,7 +12,7 @@ from foresail.config import ConfigError, SeriesConfig, parse_config
 from foresail.functions import special
 from foresail.operators import calibration, folds, kernels, scoring, series
 from foresail.operators.backtest import backtest, fitted_forecasts
-from foresail.sources.canonical import garch11_returns, random_walk, seasonal_ar1, to_canonical, to_frame
+from foresail.sources.canonical import Synthetic, to_canonical, to_frame
 from foresail.sources.store import ForecastStore
 
 
@@ -31,9 +31,12 @@ def test_distributions(spark):
 def test_diebold_mariano_by_hand(spark):
     rows = [("u", "w", "m", 2, t, float(d), 0.0) for t, d in enumerate((1, 1, 2, 2, 4))]
     df = spark.createDataFrame(rows, "unique_id string, window string, model string, h long, origin_t long, d_a double, d_b double")
-    # five pairs are too few for a horizon of two, so look at the statistic of one pair set repeated
     r = one(scoring.diebold_mariano(df, scoring.CELL, 2))
-    assert r.dm_stat is None and r.n == 5
+    assert r.dm_stat is None and r.n == 5  # five pairs are too few for a horizon of two, unless they are let
+    r = one(scoring.diebold_mariano(df, scoring.CELL, 2, least=1))
+    assert r.dm_stat == pytest.approx(math.sqrt(6)) and r.dm_p == pytest.approx(0.0705, abs=1e-3)
+    again = spark.createDataFrame([("u", "w", "m", 2, t, d, 0.0) for t, d in enumerate((1.0, -1.0, 2.0, 0.0, 3.0))], df.schema)
+    assert one(scoring.diebold_mariano(again, scoring.CELL, 2, least=1)).dm_stat == pytest.approx(math.sqrt(2))  # made again without lags
     flat = spark.createDataFrame([("u", "w", "m", 1, t, 1.0, 0.5) for t in range(6)], df.schema)
     assert one(scoring.diebold_mariano(flat, scoring.CELL, 1)).dm_stat == math.inf
     h1 = spark.createDataFrame([("u", "w", "m", 1, t, d, 0.0) for t, d in enumerate((1.0, -1.0, 2.0, 0.0, 3.0))], df.schema)
@@ -107,11 +110,11 @@ def test_a_clashing_source_column_is_renamed(spark):
 
 @pytest.fixture(scope="module")
 def dense(spark):
-    return series.reindexed(to_frame(spark, seasonal_ar1(90, seed=4)), "monthly").cache()
+    return series.reindexed(to_frame(spark, Synthetic("seasonal_ar1", 4, n=90).values()), "monthly").cache()
 
 
 def test_closed_forms_against_numpy(spark, dense):
-    y = seasonal_ar1(90, seed=4)
+    y = Synthetic("seasonal_ar1", 4, n=90).values()
     got = {(r.model, r.window, r.origin_t, r.h): r for r in folds.forecasts(dense, CONFIG).collect()}
     plan = [r.origin_t for r in folds.origins(dense, CONFIG).where("role <> 'warmup'").collect()]
     for t in plan:
@@ -130,7 +133,7 @@ def test_closed_forms_against_numpy(spark, dense):
 def test_reduced_mode(spark):
     from dataclasses import replace
 
-    short = series.reindexed(to_frame(spark, random_walk(52)), "monthly")
+    short = series.reindexed(to_frame(spark, Synthetic("random_walk", n=52).values()), "monthly")
     plan = folds.origins(short, replace(CONFIG, n_dev=20, n_test=30)).collect()
     assert all(r.reduced for r in plan) and len(plan) == 52 - 1 - 3 - 23 + 1 and sum(r.role == "test" for r in plan) == round(26 * 30 / 50)
 
@@ -153,9 +156,13 @@ def test_the_future_cannot_be_seen(spark, dense, models):
 def test_conformal_history_by_hand(spark):
     rng = np.random.default_rng(1)
     y = rng.normal(size=90)
-    rows = [("u", "expanding", "m", t, 2, float(y[t]), False, -1.0, 1.0, "ok") for t in range(90)]
-    df = spark.createDataFrame(rows, "unique_id string, window string, model string, origin_t long, h long, y_true double, y_true_missing boolean, lo_80 double, hi_80 double, status string")
-    got = {r.origin_t: r for r in calibration.conformal(df, (0.8,), 2, window=30).collect()}
+    rows = [("u", "expanding", "m", t, 2, float(y[t]), False, -1.0, 1.0, "ok", "warmup" if t < 10 else "test") for t in range(90)]
+    df = spark.createDataFrame(rows, "unique_id string, window string, model string, origin_t long, h long, y_true double, y_true_missing boolean, lo_80 double, hi_80 double, status string, origin_role string")
+    others = df.withColumn("window", F.lit("rolling")).unionByName(df.withColumn("model", F.lit("late")).withColumn("y_true_missing", F.lit(True)))
+    all_ = calibration.conformal(df.unionByName(others), (0.8,), window=30, model_window="expanding")
+    assert {(r.conformal_n, r.hi_80) for r in all_.where("window = 'rolling' OR model = 'late'").collect()} == {(0, 1.0)} and all_.count() == 270
+    got = {r.origin_t: r for r in all_.where("window = 'expanding' AND model = 'm'").collect()}
+    assert {r.conformal_n for r in calibration.conformal(df, (0.8,), window=30, least=1).where("origin_t < 10").collect()} == {0}
     for t in range(90):
         s = np.sort(np.maximum(-1 - y, y - 1)[: max(0, t - 1)][-30:])
         n = len(s)
@@ -180,7 +187,7 @@ def test_thresholds_of_a_normal_grid_are_exact(spark):
 
 
 def test_kernels_know_simple_answers():
-    y = seasonal_ar1(120, seed=2)
+    y = Synthetic("seasonal_ar1", 2, n=120).values()
     future = 100 + 10 * np.sin(2 * np.pi * np.arange(120, 126) / 12)
     for name in ("ets", "theta", "sarima"):
         f = kernels.KERNELS[name](y, 12, 6, (0.8,), 1)
@@ -191,7 +198,7 @@ def test_kernels_know_simple_answers():
 
 
 def test_garch_finds_its_parameters_and_invariants_hold():
-    r = garch11_returns(6000, seed=5)
+    r = Synthetic("garch11_returns", 5, n=6000).values()
     fit = kernels.Garch.fit(r, False)
     assert fit.par[1] == pytest.approx(0.09, abs=0.03) and fit.par[2] == pytest.approx(0.90, abs=0.04)
     run = lambda name, **kw: kernels.KERNELS[name](r[:1500], 1, 4, (0.8,), 7, cumulative=True, n_paths=1500, **kw)
@@ -237,7 +244,9 @@ def test_store(spark, dense, tmp_path):
     with pytest.raises(errors.SchemaError):
         store.append(rows.withColumn("status", F.lit("odd")))
     plan = store.read().where("window = 'rolling' AND origin_role = 'test'")._jdf.queryExecution().toString()
-    assert "PartitionFilters: [isnotnull(window" in plan and "EqualTo(origin_role,test)" in plan
+    assert "PartitionFilters: [" in plan and "window#" in plan.split("PartitionFilters: [")[1].split("]")[0] and "(origin_role" in plan.split("PartitionFilters: [")[1].split("DataFilters")[0]
+    assert store.read("series").count() == rows.count() and store.read("nobody").count() == 0
+    assert all(r.origin_period is not None for r in store.read().collect())
 
 
 def test_config_is_strict():
@@ -256,7 +265,7 @@ def test_command_line(spark, tmp_path, capsys):
 
     from foresail.cli import main
 
-    y = seasonal_ar1(80, seed=6)
+    y = Synthetic("seasonal_ar1", 6, n=80).values()
     (tmp_path / "d.csv").write_text("date,value\n" + "\n".join(f"{d},{v:.4f}" for d, v in zip(dates(80), y)))
     conf = {"series": [{"id": "s", "source": "csv:d.csv", "freq": "monthly", "H": 3, "columns": {"date": "date", "value": "value"}, "models": ["naive", "seasonal_naive", "drift", "theta"], "n_dev_origins": 3, "n_test_origins": 20, "transform": "none", "decision_horizons": [1]}], "output_dir": str(tmp_path / "out")}
     path = tmp_path / "c.yaml"
@@ -265,8 +274,10 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["run", str(path)]) == 0
     folder = next((tmp_path / "out").iterdir())
     manifest = json.loads((folder / "manifest.json").read_text())
-    assert manifest["rows"]["ok"] > 0 and "Does a candidate" in (folder / "report.md").read_text()
-    assert main(["risk", str(path), "--thresholds", "0.1"]) == 0
+    text = (folder / "report.md").read_text()
+    assert manifest["rows"]["ok"] > 0 and "Does a candidate" in text and "RQ6" in text and "decision" in text and list(folder.glob("*.svg"))
+    assert spark.read.parquet(str(folder / "tables" / "point")).count() > 0 and spark.read.parquet(str(folder / "data_hashes")).count() == 1
+    assert main(["risk", str(path), "--thresholds", "0.1"]) == 0 and "shortfall" in (folder / "risk.md").read_text().lower()
     path.write_text(yaml.safe_dump(conf | {"odd": 1}))
     assert main(["run", str(path)]) == 2
     (tmp_path / "d.csv").write_text("date,value\n2020-01-01,x\n")
