@@ -198,9 +198,11 @@ def _scored(buckets: int, size: int, totals: tuple[int, int]) -> Callable[[pa.Ta
         row = np.repeat(np.arange(len(c.counts)), c.counts)
         losses = []
         for k in range(2):
-            share = sums[PAIRS][k] / np.maximum(sums[WORDS][2 + k][before], 1)
-            # Add-one smoothing over the shared vocabulary gives every word some probability in either model.
-            p = SHARE * share + (1 - SHARE) * (sums[WORDS][k][word] + 1) / (totals[k] + size)
+            context = sums[WORDS][2 + k][before]
+            # Add-one smoothing over the shared vocabulary gives every word some probability in either model, and a context that
+            # the model has not seen leaves all of it to them: the probabilities after any context add up to 1.
+            seen = np.where(context > 0, SHARE, 0.0)
+            p = seen * sums[PAIRS][k] / np.maximum(context, 1) + (1 - seen) * (sums[WORDS][k][word] + 1) / (totals[k] + size)
             losses.append(np.bincount(row, -np.log(p)[c.place], len(c.counts)) / np.maximum(c.counts, 1))
         target, background = losses
         ids = pa.array(c.docs, mask=c.valid == 0)
@@ -278,7 +280,7 @@ def with_target(docs: DataFrame, labels: DataFrame, wanted: Column) -> DataFrame
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The target is what ``labels`` marks as of high quality."""
+    """Scores of all ``documents``; the target is what ``labels`` marks as of high quality. Null, empty and wordless texts score 0, repeated rows each have a row, an empty table gives none."""
     docs = table(spark, sf_dir, "documents")
     rows = with_target(docs, table(spark, sf_dir, "labels"), F.col("quality") == 1)
     return score_trained(train(rows, docs, asks=True))
