@@ -9,6 +9,8 @@ Built-in functions only.
 from __future__ import annotations
 
 import hashlib
+import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cache
 
@@ -45,8 +47,17 @@ class Layout:
     schema: str
     turns: str
 
-    def print(self) -> str:
-        return fingerprint(paths(T.StructType.fromDDL(self.schema)))
+    def paths(self) -> list[str]:
+        return paths(T.StructType.fromDDL(self.schema))
+
+    def prints(self) -> list[str]:
+        """The fingerprint of its paths, and of its list without an element, of which no type is known."""
+        empty = [p.split("[]")[0] + "[]" for p in self.paths() if "[]" in p]
+        return [fingerprint(self.paths()), *([fingerprint(empty)] if empty else [])]
+
+    def of(self, record: str) -> str:
+        """The SQL that makes turns of the column ``record``."""
+        return re.sub(r"\br\.", f"`{record}`.", self.turns)
 
 
 def _turn(role: str, text: str) -> str:
@@ -76,7 +87,14 @@ LAYOUTS = (
 @cache
 def by_print() -> dict[str, Layout]:
     """The mappings by fingerprint; made on first use, as reading a schema's text needs a session."""
-    return {x.print(): x for x in LAYOUTS}
+    return {p: x for x in LAYOUTS for p in x.prints()}
+
+
+@cache
+def known_paths() -> frozenset[str]:
+    """All paths that some mapping reads; others are extra fields and do not count."""
+    found = {p for x in LAYOUTS for p in x.paths()}
+    return frozenset(found | {p.split("[]")[0] + "[]" for p in found if "[]" in p})
 
 
 def to_turns(records: DataFrame, record: str) -> DataFrame:
@@ -86,71 +104,53 @@ def to_turns(records: DataFrame, record: str) -> DataFrame:
     null roles and texts are empty.
     """
     found = paths(records.schema[record].dataType)
-    layout = by_print().get(fingerprint(found))
+    layout = by_print().get(fingerprint([p for p in found if p in known_paths()]))
     if layout is None:
         raise ValueError(f"no mapping for a record with the fields {sorted(found)}")
     others = [c for c in records.columns if c != record]
-    turns = F.expr(layout.turns.replace("r.", f"`{record}`."))
+    turns = F.expr(layout.of(record))
     return records.select(*others, F.coalesce(turns, F.array().cast(TURNS)).cast(TURNS).alias("turns"))
 
 
-def json_paths(record: Column) -> Column:
-    """The type of a JSON record with scalars blanked: the row-level form of its field paths."""
-    kind = F.schema_of_variant(F.try_parse_json(record))
-    return F.regexp_replace(F.regexp_replace(kind, r"\b(STRING|BIGINT|BOOLEAN|DOUBLE|FLOAT|VOID|VARIANT|BINARY|DATE|TIMESTAMP|TIMESTAMP_NTZ|DECIMAL\([0-9, ]+\))", "_"), " ", "")
+def _under(name: str) -> Callable[[Column], Column]:
+    return lambda field: F.concat(F.lit(name), field)
 
 
-def _json_shape(kind: T.DataType) -> str:
-    if isinstance(kind, T.StructType):
-        return "OBJECT<" + ",".join(f"{f.name}:{_json_shape(f.dataType)}" for f in sorted(kind.fields, key=lambda f: f.name)) + ">"
-    if isinstance(kind, T.ArrayType):
-        return f"ARRAY<{_json_shape(kind.elementType)}>"
-    return "_"
+def json_paths(record: Column) -> Column:
+    """The nested field paths of a JSON object that some mapping reads, as ``paths`` has them of a type; null for what is no object.
+
+    A list's paths are those of all its elements together, and its own name where it has none.
+    """
+    value = F.try_parse_json(record)
+    out = []
+    for p in sorted(known_paths()):
+        if "[]" not in p:  # a text or number, as an object or list under that name would be another path
+            kind = F.schema_of_variant(F.try_variant_get(value, f"$.{p}", "variant"))
+            out.append(F.when(~kind.rlike("^(OBJECT|ARRAY)"), F.array(F.lit(p))))
+    for name in sorted({p.split("[]")[0] for p in known_paths() if "[]" in p}):
+        items = F.from_json(F.get_json_object(record, f"$.{name}"), "array<string>")
+        fields = F.flatten(F.transform(items, lambda x: F.coalesce(F.json_object_keys(x), F.array().cast("array<string>"))))
+        inside = F.transform(F.array_distinct(fields), _under(f"{name}[]."))
+        out.append(F.when(F.size(items) == 0, F.array(F.lit(f"{name}[]"))).otherwise(inside))
+    known = F.array(*map(F.lit, sorted(known_paths())))
+    found = F.flatten(F.array(*[F.coalesce(x, F.array().cast("array<string>")) for x in out]))
+    return F.when(F.json_object_keys(record).isNotNull(), F.sort_array(F.array_intersect(found, known)))
 
 
 def json_to_turns(records: DataFrame, record: str = "record") -> DataFrame:
-    """Rows of mixed JSON layouts: ``fingerprint`` (sha256 of the blanked type) and ``turns`` in place of ``record``.
+    """Rows of mixed JSON layouts: ``fingerprint`` (sha256 of the paths that count) and ``turns`` in place of ``record``.
 
-    Rows whose layout has no mapping, or that are not JSON, keep null turns; nothing is dropped.
+    Extra fields do not matter and a list without an element gives no turns. Rows whose layout has no mapping, or
+    that are no JSON object, keep null turns; nothing is dropped.
     """
-    shaped = records.withColumn("fingerprint", F.sha2(json_paths(F.col(record)), 256))
-    turns = F.lit(None).cast(TURNS)
+    others = [c for c in records.columns if c != record]
+    shaped = records.withColumn("fingerprint", F.sha2(F.array_join(json_paths(F.col(record)), "\n"), 256))
+    mine = []
     for x in LAYOUTS:
-        key = hashlib.sha256(_json_shape(T.StructType.fromDDL(x.schema)).encode()).hexdigest()
-        parsed = F.from_json(F.col(record), x.schema)
-        made = F.element_at(F.transform(F.array(parsed), _mapper(x)), 1)
-        turns = F.when(F.col("fingerprint") == key, made).otherwise(turns)
-    return shaped.withColumn("turns", turns).drop(record)
-
-
-def _mapper(layout: Layout):
-    return lambda r: _with(r, layout)
-
-
-def _with(r: Column, layout: Layout) -> Column:
-    def field(name: str, of: Column = r) -> Column:
-        return F.coalesce(of[name], F.lit(""))
-
-    def turn(role: Column, text: Column) -> Column:
-        return F.struct(role.alias("role"), text.alias("text"))
-
-    def role(c: Column) -> Column:
-        out = c
-        for k, v in ROLES.items():
-            out = F.when(c == k, v).otherwise(out)
-        return F.coalesce(out, F.lit(""))
-
-    lists = {"messages": ("messages", "role", "content"), "sharegpt": ("conversations", "from", "value")}
-    if layout.name in lists:
-        items, who, what = lists[layout.name]
-        name = role if who == "from" else (lambda c: F.coalesce(c, F.lit("")))
-        return F.transform(r[items], lambda x: turn(name(x[who]), F.coalesce(x[what], F.lit(""))))
-    answer = {"prompt": "response", "completion": "completion", "system_prompt": "response"}.get(layout.name, "output")
-    asked = field("prompt") if layout.name in ("prompt", "completion", "system_prompt") else field("instruction")
-    if layout.name == "instruction_input":
-        asked = F.concat_ws("\n", F.nullif(r["instruction"], F.lit("")), F.nullif(r["input"], F.lit("")))
-    first = [turn(F.lit("system"), field("system"))] if layout.name == "system_prompt" else []
-    return F.array(*first, turn(F.lit("user"), asked), turn(F.lit("assistant"), field(answer)))
+        own = F.col("fingerprint").isin(*x.prints())
+        shaped = shaped.withColumn(f"_{x.name}", F.when(own, F.from_json(F.col(record), x.schema)))
+        mine.append(F.when(own, F.expr(x.of(f"_{x.name}")).cast(TURNS)))
+    return shaped.select(*others, "fingerprint", F.coalesce(*mine).alias("turns"))
 
 
 def escape(text: Column) -> Column:
@@ -218,6 +218,7 @@ EXTRA_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``conversations`` formatted and read back, with conversation -1 added. Null roles and texts are empty, turns that tie go by role and text, repeated rows are turns of their own, rows without a conv_id are one conversation; an empty table leaves conversation -1."""
     rows = table(spark, sf_dir, "conversations")
     extra = spark.range(1).select(
         F.lit(-1).cast("long").alias("conv_id"),
