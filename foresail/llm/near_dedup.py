@@ -171,10 +171,10 @@ def _ranked(tokens: DataFrame, key: list[str]) -> DataFrame:
 
 
 def _alive(open_: DataFrame, reps: DataFrame) -> DataFrame:
-    """Rows (rep, root) of ``open_`` that may be within the distance of a member of another component.
+    """Rows (rep, root, token) of the members of ``open_`` that may be within the distance of a member of another component.
 
     Within the distance, 33 of 64 places agree, so each two share one of the 32 rarest (place, value) pairs
-    of either. What only a widespread passage has brought together shares none of these.
+    of either: ``token`` goes through those of them that two components hold. What only a widespread passage has brought together shares none of these.
     """
     members = open_.select("rep", "root").distinct()
     places = members.join(reps, "rep").select("rep", "root", F.posexplode("sig").alias("k", "v"))
@@ -184,7 +184,7 @@ def _alive(open_: DataFrame, reps: DataFrame) -> DataFrame:
     order = Window.partitionBy("rep").orderBy(F.desc("df"), "token")
     kept = ranked.withColumn("from_end", F.row_number().over(order)).where(F.col("from_end") > PLACES - MAX_DISTANCE - 1)
     split = kept.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token")
-    out = written(kept.join(written(split, "near-split"), "token", "left_semi").select("rep", "root").distinct(), "near-alive")
+    out = written(kept.join(written(split, "near-split"), "token", "left_semi").select("rep", "root", "token"), "near-alive")
     discard(tokens)
     return out
 
@@ -217,7 +217,7 @@ def _across(open_: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
     many inside R (A), or they share a shingle outside R (B), and then one of the rarest of each, as many as its size allows.
     """
     alive = _alive(open_, reps)
-    members = open_.select("rep", "root", F.col("lead").alias("family")).join(alive.select("rep"), "rep", "left_semi").distinct()
+    members = open_.select("rep", "root", F.col("lead").alias("family")).join(alive.select("rep").distinct(), "rep", "left_semi").distinct()
     members = written(members, "near-members")
     own = members.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
     both = own.join(texts.select(F.col("doc_id").alias("family"), F.col("text").alias("first")), "family")
@@ -232,15 +232,18 @@ def _across(open_: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
     raw, parts = parts, parts.join(more, ["rep", "family"], "left").withColumn("inside", F.col("inside") + F.coalesce("more", F.lit(0).cast("long"))).drop("more")
     parts = written(parts, "near-parts")
     discard(members, raw)
-    # (A) Sizes go to classes of 5 percent; x asks for the classes of sizes that its shared shingles suffice for.
+    # (A) Sizes go to classes of 5 percent; x asks for the classes of sizes that its shared shingles suffice for. They meet
+    # under a rare place of both signatures, which every pair within the distance has, so excerpts of one text from different passages of it do not.
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.05)))
     most = F.floor(7 * F.col("inside") / 3) - F.col("n")
     asks = parts.where(most >= least).select("rep", "root", "family", "n", "inside", F.explode(F.sequence(
         F.floor(F.log(least.cast("double")) / F.log(F.lit(1.05))), F.floor(F.log(most.cast("double")) / F.log(F.lit(1.05))))).alias("size_class"))
-    x, y = asks.alias("x"), parts.where(most >= least).withColumn("size_class", size_class).drop("rest").alias("y")
+    sized = parts.where(most >= least).withColumn("size_class", size_class).select("rep", "root", "family", "n", "inside", "size_class")
+    rare = alive.select("rep", "token")
+    x, y = asks.join(rare, "rep").alias("x"), sized.join(rare, "rep").alias("y")
     fits = F.least("x.inside", "y.inside") * 7 >= (F.col("x.n") + F.col("y.n")) * 3
     apart = (F.col("x.family") == F.col("y.family")) & (F.col("x.root") != F.col("y.root"))
-    inner = x.join(y, apart & (F.col("x.size_class") == F.col("y.size_class")) & (F.col("x.rep") < F.col("y.rep")) & fits)
+    inner = x.join(y, apart & (F.col("x.size_class") == F.col("y.size_class")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.rep") < F.col("y.rep")) & fits)
     # (B) Shingles outside R, rarest first: those that one component alone holds, then by how many hold them.
     outer = parts.select("rep", "root", "family", F.size("rest").alias("m"), (least - F.col("inside")).alias("need"), F.explode("rest").alias("token"))
     ranked = outer.join(held.where(F.col("df") <= COMMON).select("family", "token", "df"), ["family", "token"])
@@ -251,7 +254,7 @@ def _across(open_: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
     outside = x.join(y, apart & (F.col("x.token") == F.col("y.token")) & (F.col("x.rep") < F.col("y.rep")))
     pair = [F.col("x.rep").alias("a"), F.col("y.rep").alias("b")]
     out = written(inner.select(*pair).unionByName(outside.select(*pair)).distinct(), "near-across")
-    discard(parts, kept, held)
+    discard(parts, kept, held, alive)
     return out
 
 
@@ -276,10 +279,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all ``documents``. Null, empty and wordless texts are alone, repeated rows each have a row, null doc_ids are alone and kept, an empty table gives no row."""
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, with all its columns."""
+    """One document of each group stays, with all its columns; rows without a doc_id, a text or words stay, as do repeated rows of one that stays. An empty table stays empty."""
     drop = near_duplicates(docs.select("doc_id", "text")).where("NOT kept").select("doc_id").distinct()
     return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
