@@ -14,7 +14,6 @@ sorting or gathering them, and a length that a third of all documents share is n
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -119,41 +118,77 @@ def combinations(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return combos, nonnegative_least_squares(combos, counts, x)
 
 
+def _longest(free: np.ndarray, room: int, took: Counter) -> int:
+    """Fill ``took`` with the longest that fits, over and over; the room that stays."""
+    while room:
+        fits = np.flatnonzero(free[: room + 1])
+        if not len(fits):
+            break
+        x = int(fits[-1])
+        k = min(room // x, int(free[x]))
+        took[x] += k
+        free[x] -= k
+        room -= k * x
+    return room
+
+
+def _best_pair(free: np.ndarray, room: int, took: Counter) -> int:
+    """Fill ``took`` with the one or two lengths that fill most of ``room``; the room that stays."""
+    y = np.flatnonzero(free[: room + 1])
+    if not len(y):
+        return room
+    at = np.searchsorted(y, room - y, "right") - 1
+    at = np.where((at >= 0) & (y[at] == y) & (free[y] < 2), at - 1, at)  # a length twice needs two of them
+    z = np.where(at >= 0, y[at], 0)
+    k = int(np.argmax(y + z))
+    for x in (int(y[k]), int(z[k])):
+        if x:
+            took[x] += 1
+            free[x] -= 1
+    return room - int(y[k] + z[k])
+
+
 def greedy_windows(left: np.ndarray, slack: int) -> Iterator[tuple[list[tuple[int, int]], int]]:
     """Best fit from the longest on: ([(length, how often)], windows filled that way), of what ``left`` (by length) holds, which shrinks.
 
-    A window takes the longest that fits until none does. One that stays short by more than ``slack`` is not made: its longest length is left over.
-    Whatever a filling repeats is done at once, so that the work grows with the lengths and not with the documents.
+    A window takes the longest that fits until none does, or the pair that fits best, at once or after the longest. Of these the fullest is made, unless it
+    stays short by more than ``slack``: then its longest length is left over. Whatever a filling repeats is done at once, so that the
+    work grows with the lengths and not with the documents.
     """
     window = len(left) - 1
-    have = np.flatnonzero(left[:window]).tolist()
-    top = len(have) - 1
-    while top >= 0:
-        top = min(top, len(have) - 1)
-        if top < 0:
-            return
-        first = have[top]
-        took, room, at = {first: 1}, window - first, top
-        while room:
-            at = bisect_right(have, room, 0, at + 1) - 1
-            while at >= 0 and left[have[at]] <= took.get(have[at], 0):
-                at -= 1
-            if at < 0:
+    top = window
+    while len(have := np.flatnonzero(left[:top])):
+        first = int(have[-1])
+        best: tuple[int, Counter] | None = None
+        for steps in ((_longest,), (_best_pair,), (_one, _best_pair)):
+            free, took = left[:window].copy(), Counter({first: 1})
+            free[first] -= 1
+            room = window - first
+            for step in steps:
+                room = step(free, room, took)
+            if best is None or room < best[0]:
+                best = room, took
+            if room == 0:
                 break
-            x = have[at]
-            k = min(room // x, int(left[x]) - took.get(x, 0))
-            took[x] = took.get(x, 0) + k
-            room -= k * x
+        room, took = best
         if room > slack:
-            top -= 1
+            top = first
             continue
         times = min(int(left[x]) // k for x, k in took.items())
         yield list(took.items()), times
         for x, k in took.items():
             left[x] -= k * times
-            if not left[x]:
-                del have[bisect_left(have, x)]
-        top = bisect_right(have, first) - 1
+
+
+def _one(free: np.ndarray, room: int, took: Counter) -> int:
+    """The longest that fits, once."""
+    fits = np.flatnonzero(free[: room + 1])
+    if not len(fits):
+        return room
+    x = int(fits[-1])
+    took[x] += 1
+    free[x] -= 1
+    return room - x
 
 
 @dataclass
@@ -378,8 +413,10 @@ def sequences(docs: DataFrame, pieces: DataFrame, path: str | None = None, windo
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all ``documents``. Null and empty texts are one end id, repeated rows are packed each, an empty table gives no piece."""
     return pack(table(spark, sf_dir, "documents"))
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As ``op7_packing``, of what the stages before kept."""
     return pack(docs)
