@@ -100,7 +100,7 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
     hidden = max(0, sum(w >= LOG_STRONG for _, w in lexicon.hits(plain)) + sum(x in INSULTS for x in plain) - (len(strong) + len(insults) if drawn else 0)) if plain else 0
     chars = max(len(text), 1)
     upper = sum(map(str.isupper, text)) if not text.islower() else 0
-    marks = chars - sum(map(len, words)) - lower.count(" ") - lower.count("\n")
+    marks = len(text) - sum(map(len, words)) - lower.count(" ") - lower.count("\n")
     return [
         len(strong), 100 * len(strong) / n, len({words[i][:4] for i in strong}),
         len(hits), 100 * len(hits) / n, 100 * weight / n, weight, len(insults), 100 * len(insults) / n, near, 100 * second / n,
