@@ -54,6 +54,16 @@ KINDS = {
     "content": "content article post entry story main body text articlebody hentry prose page",
 }
 _KIND = {w: k for k, words in KINDS.items() for w in words.split()}
+#: Of these, the longer ones tell at a word's end too, as in ``leftsidebar``.
+_ENDS = tuple(sorted(w for w in _KIND if len(w) >= 6))
+
+
+def _kind(word: str) -> str | None:
+    if (k := _KIND.get(word)) is None and word.endswith(_ENDS):
+        k = _KIND[max((e for e in _ENDS if word.endswith(e)), key=len)]
+    return k
+
+
 TAGS = ("article", "main", "section", "nav", "header", "footer", "aside", "form", "button", "label", "li", "ul", "table", "h1", "h2", "p", "div", "blockquote", "pre", "figure", "a", "title", "head", "select", "body", "dialog", "menu", "td")
 
 
@@ -91,7 +101,7 @@ def _attributes(text: str) -> tuple[set[str], bool, bool]:
         end = a.end() if a.group(4) else 0
         if name in _TELLING:
             for w in _PARTS.findall(value):
-                if (k := _KIND.get(w.lower())) is not None:
+                if (k := _kind(w.lower())) is not None:
                     kinds.add(k)
         elif name == "style":
             hidden |= "display:none" in _SPACE.sub("", value).lower()
