@@ -30,6 +30,8 @@ RAW = frozenset("script style noscript template svg iframe object canvas audio v
 #: Tags that their own kind, or a block, ends when an end tag is missing.
 CLOSED_BY = {"p": BLOCK - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 
+_ENDED = {tag: tuple(t for t, by in CLOSED_BY.items() if tag in by) for tag in BLOCK}
+
 #: A quote parts an attribute's value only after an equals sign; one that nothing closes is a letter like others, so the tag ends at the next ``>``.
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+\"[^\"]*\"|=\s*+'[^']*'|=)*+)(?:>|\Z)|[^<]+|<", re.S)
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for t in RAW}
@@ -67,7 +69,7 @@ def _kind(word: str) -> str | None:
 TAGS = ("article", "main", "section", "nav", "header", "footer", "aside", "form", "button", "label", "li", "ul", "table", "h1", "h2", "p", "div", "blockquote", "pre", "figure", "a", "title", "head", "select", "body", "dialog", "menu", "td")
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
     text: str
     inside: frozenset[str]  #: the tags it stands in, of those that features look at
@@ -77,7 +79,7 @@ class Block:
     hidden: bool
 
 
-@dataclass(frozen=True)
+@dataclass(slots=True)
 class _Open:
     """An open tag, with what holds for all inside it: so a block costs the same at any depth."""
 
@@ -170,12 +172,14 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in BLOCK:
             flush()
-            ended = [t for t, by in CLOSED_BY.items() if tag in by]
-            if any(places.get(t) for t in ended):
-                while stack and stack[-1].tag not in BLOCK:
-                    pop()
-            while stack and stack[-1].tag in ended:
-                pop()
+            ended = _ENDED[tag]
+            for t in ended:
+                if places.get(t):
+                    while stack and stack[-1].tag not in BLOCK:
+                        pop()
+                    while stack and stack[-1].tag in ended:
+                        pop()
+                    break
         if tag in VOID:
             if tag == "br":
                 held.append(" ")
@@ -227,7 +231,7 @@ def features(found: list[Block]) -> np.ndarray:
         row[_AT["stops"]] = min(len(_STOPS.findall(b.text)) / words * 5, 2)
         row[_AT["capital"]] = b.text[:1].isupper()
         row[_AT["digits"]] = sum(map(str.isdigit, b.text)) / size if size < 200 else 0
-        row[_AT["copyright"]] = bool(_LEGAL.search(b.text)) and words < 40
+        row[_AT["copyright"]] = words < 40 and bool(_LEGAL.search(b.text))
         spoiled = bool(b.kinds - {"content"}) or not _ASIDE.isdisjoint(b.inside)
         row[_AT["spoiled"]] = spoiled
         row[_AT["clean"]] = holds[i] and not spoiled
