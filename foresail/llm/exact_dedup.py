@@ -28,6 +28,9 @@ class DigestIndex:
     exists there is taken up again by any later session. ``buckets`` is a property
     of the stored table: choose it so that a bucket holds up to a few hundred MB.
     Each append adds one sorted file a bucket and writing task; ``compact`` merges them.
+
+    A digest has one row with its keep_id, from the batch that brought it, and a row without one from
+    each later batch that holds it again; its documents are the sum of their n.
     """
 
     SCHEMA = "digest string, keep_id bigint, n bigint"
@@ -48,6 +51,25 @@ class DigestIndex:
         """The digests of a batch that the index lacks: a sort-merge anti-join on the buckets."""
         return groups.hint("merge").join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
 
+    def grow(self, docs: DataFrame) -> DataFrame:
+        """Take up a batch (digest, doc_id); its groups that the index lacked (digest, keep_id, n)."""
+        spark, groups = self.spark, written(digest_groups(docs), "digest-groups")
+        # The groups are written first: else the optimiser takes the join below the aggregate, and all copies of a text to one task.
+        empty = self.rows().isEmpty()
+        fresh = written(self.new_groups(groups), "new-digests")
+        if empty:
+            self.append(fresh)
+        else:
+            again = groups.hint("merge").join(fresh.select("digest").hint("merge"), "digest", "left_anti")
+            self.append(fresh.unionByName(again.withColumn("keep_id", F.lit(None).cast("long"))))
+        remove(spark, groups._scratch)
+        return fresh
+
+    def groups(self) -> DataFrame:
+        """digest, keep_id, n of all batches so far, each digest once. The files are read without their buckets, so what joins them is free to split a hot digest."""
+        rows = self.spark.read.schema(self.SCHEMA).parquet(self.location)
+        return rows.groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("n"))
+
     def append(self, groups: DataFrame) -> None:
         (
             groups.select("digest", "keep_id", "n")
@@ -58,8 +80,8 @@ class DigestIndex:
         )
 
     def compact(self) -> None:
-        """Rewrite the index with one file a bucket (after many small appends). Until it ends, a copy stands in the shared folder."""
-        kept = written(self.rows(), "compact")
+        """Rewrite the index with one row a digest and one file a bucket (after many small appends). Until it ends, a copy stands in the shared folder."""
+        kept = written(self.groups(), "compact")
         remove(self.spark, self.location)
         self.spark.catalog.refreshTable(self.name)
         self.append(kept)
@@ -84,8 +106,7 @@ def dedup_batch(index: DigestIndex, batch: DataFrame) -> DataFrame:
     """
     work = batch.select(F.struct(*[batch[c] for c in batch.columns]).alias("r"), text_digest(batch["text"]).alias("digest"), batch["doc_id"].alias("doc_id"))
     digests = written(work.select("digest", "doc_id"), "digests")
-    groups = written(index.new_groups(digest_groups(digests)), "new-digests")
-    index.append(groups)
+    groups = index.grow(digests)
     keep = groups.select("digest", F.col("keep_id").alias("doc_id"))
     out = _semi(work, keep)
     twice = digests.groupBy("digest", "doc_id").count().where("count > 1").select("digest", "doc_id")
@@ -106,16 +127,15 @@ def report(spark: SparkSession, documents: DataFrame, index: DigestIndex | None
     The documents are the batch; the groups they form are anti-joined with the index
     and appended to it, and the report joins each document with its group as the
     index now holds it. With a filled index given, a text that it already holds keeps the
-    index's keep_id. Null text counts as empty, null doc_ids stay in the report with
+    index's keep_id, and group_size counts the documents of all batches. Null text counts as empty, null doc_ids stay in the report with
     kept = false unless the group has no other; repeated rows each get a row.
     """
     own = index is None
     index = index or DigestIndex(spark)
     docs = written(documents.select("doc_id", text_digest(documents["text"]).alias("digest")), "digests")
-    fresh = written(index.new_groups(digest_groups(docs)), "new-digests")
-    index.append(fresh)
-    # Read the index's files without its buckets: then both sides are shuffled, and a hot digest's documents can be split.
-    groups = spark.read.schema(DigestIndex.SCHEMA).parquet(index.location)
+    index.grow(docs)
+    # An index of this batch alone has one row a digest as it is.
+    groups = spark.read.schema(DigestIndex.SCHEMA).parquet(index.location) if own else index.groups()
     if own:
         index.close()
     out = docs.hint("merge").join(groups.hint("merge"), "digest")
@@ -125,6 +145,7 @@ def report(spark: SparkSession, documents: DataFrame, index: DigestIndex | None
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of all ``documents`` from an empty index. Null and empty texts are one group, repeated rows each have a row, an empty table gives none."""
     return report(spark, table(spark, sf_dir, "documents"))
 
 
@@ -143,6 +164,7 @@ FROM d
 
 
 def stage_exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each text, that of the largest doc_id (of rows without an id, one); null and empty texts are one text, an empty table stays empty."""
     index = DigestIndex(spark)
     out = dedup_batch(index, docs)
     index.close()
