@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -20,18 +21,26 @@ WORD_CLASS = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor and the driver can reach.
 
-    ``spark.checkpoint.dir`` of the session decides. Only where it is unset, as in
-    local tests, a folder of our own is made and put into the session.
+    ``spark.checkpoint.dir`` of the session decides. Only where it is unset in a local session, as in
+    tests, a folder of our own is made and put into it; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="foresail-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/foresail/{name}-{uuid.uuid4().hex}"
+    """A new place in the shared folder, under the application's own name, so that ``sweep`` finds what it left."""
+    return f"{shared_dir(spark)}/foresail/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application, once its results are read: those that a result is still read from cannot go earlier."""
+    remove(spark, f"{shared_dir(spark)}/foresail/{spark.sparkContext.applicationId}")
 
 
 def written(df: DataFrame, name: str, partitions: list[str] | None = None) -> DataFrame:

@@ -144,11 +144,12 @@ def select(docs: DataFrame, plan: MixPlan) -> DataFrame:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture of all ``documents``. Rows without a doc_id cannot be named and take no part, nor do texts without a word, null or empty; rows that repeat a doc_id in a leaf are one document with their words added up; null lang or source is the empty name; an empty table gives no row."""
     return select(table(spark, sf_dir, "documents"), PLAN)
 
 
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mixture, each once, with all their columns."""
+    """The documents of the mixture, each once, with all their columns; rows without a doc_id or a word go, as they cannot be drawn. An empty table stays empty."""
     taken = select(docs, PIPELINE_PLAN).select("doc_id").distinct()
     return docs.join(taken, "doc_id", "left_semi").select(*docs.columns)
 

@@ -135,6 +135,7 @@ def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of all ``documents``. Null, empty and wordless texts have no words and fail, repeated rows each have a row, an empty table gives none."""
     out = judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(
         "r.doc_id", "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words", "base_failed", "kept",
@@ -143,6 +144,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text passes, whole; null, empty and wordless texts go, repeated rows and null doc_ids are judged like others. An empty table stays empty."""
     # A filter would be pushed below the measures and have them taken twice; an exploded list of one row or none is not.
     rows = judged(docs).select(F.explode(F.when(F.col("kept"), F.array("r")).otherwise(F.array().cast(_list_of(docs)))).alias("r"))
     return rows.select("r.*")

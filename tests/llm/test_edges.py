@@ -255,8 +255,9 @@ def test_lm_counts_by_brute_force(spark):
         out, last = 0.0, "^"
         for w in text.split():
             pairs = [p for t in docs for p in zip(["^", *t.split()], t.split())]
-            share = pairs.count((last, w)) / max(1, sum(p[0] == last for p in pairs))
-            out -= np.log(lm_scoring.SHARE * share + (1 - lm_scoring.SHARE) * (words[w][part] + 1) / total)
+            context = sum(p[0] == last for p in pairs)
+            weight = lm_scoring.SHARE if context else 0.0
+            out -= np.log(weight * pairs.count((last, w)) / max(1, context) + (1 - weight) * (words[w][part] + 1) / total)
             last = w
         return out
 
@@ -284,7 +285,8 @@ def test_lm_counts_every_word_and_bigram(spark):
             contexts.update(["^", *d[:-1]])
             pairs.update(zip(["^", *d], d))
         total = sum(words.values()) + size
-        want.append([-np.mean([np.log(lm_scoring.SHARE * pairs[p] / max(contexts[p[0]], 1) + (1 - lm_scoring.SHARE) * (words[p[1]] + 1) / total) for p in zip(["^", *d], d)]) for d in docs])
+        weight = lambda c: lm_scoring.SHARE if contexts[c] else 0.0
+        want.append([-np.mean([np.log(weight(p[0]) * pairs[p] / max(contexts[p[0]], 1) + (1 - weight(p[0])) * (words[p[1]] + 1) / total) for p in zip(["^", *d], d)]) for d in docs])
     assert len(got) == len(again) == 100
     for found in (got, again):
         assert np.allclose([found[k].target_loss for k in range(100)], want[0]) and np.allclose([found[k].background_loss for k in range(100)], want[1])
@@ -342,6 +344,14 @@ def check_pieces(rows, texts, window):
         assert at <= window
     assert sorted(by_seq) == list(range(len(by_seq)))
     assert sum(r.length for r in rows) == sum(map(len, ids))
+    # Each document's pieces in order have the crc32 of its ids; documents are told by size and first piece where ids repeat.
+    whole = {}
+    for x in e.ended(texts):
+        whole.setdefault(len(x), []).append(x)
+    for (_, size), parts in by_doc.items():
+        parts.sort(key=lambda r: r.start)
+        found = [x for x in whole[size] if all(r.ids_crc32 == zlib.crc32(x[r.start : r.start + r.length].astype("<u4").tobytes()) for r in parts)]
+        assert found and sum(r.length for r in parts) % size == 0
     return sum(map(len, ids)) / (window * len(by_seq))
 
 
@@ -369,11 +379,10 @@ def test_packing_fills(spark):
 def test_least_squares_meets_an_exact_histogram():
     counts = np.zeros(65)
     counts[[10, 54, 20, 24]] = 30, 30, 80, 40
-    combos = packing.combinations(np.flatnonzero(counts), 64)
-    x = packing.nonnegative_least_squares(combos, counts)
+    combos, x = packing.combinations(counts)
     used = np.bincount(combos.reshape(-1), np.repeat(x, 3), 65)
     used[0] = 0
-    assert np.allclose(used, counts, atol=0.1) and {tuple(c) for c in combos.tolist()} >= {(10, 54, 0), (20, 20, 24)}
+    assert np.allclose(used, counts, atol=0.5) and {tuple(c) for c in combos.tolist()} >= {(10, 54, 0), (20, 20, 24)}
 
 
 def test_toxicity(odd, none, spark):
