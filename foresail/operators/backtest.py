@@ -127,7 +127,7 @@ def _fold(out: Rows, y: np.ndarray, base: int, t: int, role: str, window: str, u
     combined = "combination" in config.models and bool(names)
     if not np.isfinite(last):
         for n in [*names, *(["combination"] if combined else [])]:
-            emit(n, None, "skipped", "no value at the origin")
+            emit(n, None, "skipped", "no value at the origin", n_train=t + 1 - (0 if window == "expanding" else max(0, t - config.rolling_length + 1 - config.offset)), n_outliers=0)
         return
     facts: dict = {}
     try:

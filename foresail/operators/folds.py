@@ -63,40 +63,84 @@ def truth(dense: DataFrame, config: SeriesConfig) -> DataFrame:
 def fold_facts(dense: DataFrame, config: SeriesConfig) -> DataFrame:
     """One row a series, window and position t: what the closed-form models need of the slice that ends at t.
 
-    ``z`` is the value, or the return of a return target. Columns: n, z_t, z_1, sum and sum of squares of z, of its first and seasonal
-    differences, mase_scale, recent values (newest last), the moving averages, the outliers inside the slice and, if asked for, the ewma variance.
+    ``z`` is the value, or the return of a return target, on straight lines between the values seen. A slice starts at the first
+    value seen in it: what lies on a line that comes from before a rolling window is left out. Columns: n, z_t, z_1, means of z and of its square,
+    its deviation, sums of squares of its first and seasonal differences, mase_scale, recent values (newest last), the moving
+    averages, the outliers inside the slice and, if asked for, the ewma variance. At a position without a value n is the window's length.
     """
-    from .series import interpolated, log_returns, outliers
+    from .series import interpolated, outliers
 
+    m, length, off = config.m, config.rolling_length, config.offset
+    w = Window.partitionBy("unique_id").orderBy("pos")
+    rows = interpolated(dense, keep=True)
     if config.returns:
-        rows = log_returns(dense).select("unique_id", "pos", "y", F.col("r").alias("z"))
+        log = F.expr("ln(case when filled > 0 then filled end)")
+        rows = rows.withColumn("z", log - F.lag(log).over(w))
     else:
-        rows = interpolated(dense).select("unique_id", "pos", "y", F.col("filled").alias("z"))
-    w = Window.partitionBy("unique_id").orderBy("pos")
-    m = config.m
+        rows = rows.withColumn("z", F.col("filled"))
+    rows = rows.select("unique_id", "pos", "y", "z", "_p0", "_p1")
     rows = rows.withColumn("d", F.col("z") - F.lag("z").over(w)).withColumn("s", F.col("z") - F.lag("z", m).over(w))
+    past = max(2 * m, 20)  # the first values of a slice are never outliers
     rows = outliers(rows, m, "z").withColumn("outlier", F.col("outlier").cast("long"))
     if "ewma" in config.models:
         rows = decayed(rows)
-    past = max(2 * m, 20)  # the first values of a slice are never outliers
+    if "rolling" in config.windows:
+        rows = _gap_ends(rows, w, m, off, past)
     out = None
     for window in config.windows:
-        length = config.rolling_length
-        start = Window.unboundedPreceding if window == "expanding" else -(length - 1)
+        expanding = window == "expanding"
+        start = Window.unboundedPreceding if expanding else -(length - 1)
         whole = w.rowsBetween(start, 0)
-        steps = w.rowsBetween(start if window == "expanding" else min(0, start + 1), 0)
-        seasons = w.rowsBetween(start if window == "expanding" else min(0, start + m), 0)
+        steps = w.rowsBetween(start if expanding else min(0, start + 1), 0)
+        seasons = w.rowsBetween(start if expanding else min(0, start + m), 0)
+        square = lambda c: F.col(c) * F.col(c)
+        sums = {
+            "n": F.count("z").over(whole), "z": F.sum("z").over(whole), "z2": F.sum(square("z")).over(whole), "d2": F.sum(square("d")).over(steps), "nd": F.count("d").over(steps),
+            "s2": F.sum(square("s")).over(seasons), "sa": F.sum(F.abs("s")).over(seasons), "ns": F.count("s").over(seasons), "o": _outliers_inside(w, start, past),
+            "sd": F.stddev_samp("z").over(whole), "raw": F.count(F.lit(1)).over(w.rowsBetween(start if expanding else start - off, 0)),
+        }
+        cut = {k: F.lit(0.0) if expanding else F.coalesce(F.lag(f"_x_{k}", length - 1 + off).over(w), F.lit(0.0)) for k in ("n", "z", "z2", "d2", "s2", "sa", "o", "e")}
         facts = rows.select(
-            "unique_id", F.lit(window).alias("window"), F.col("pos").alias("origin_t"), "y", F.col("z").alias("z_t"),
-            F.count("z").over(whole).alias("n"), F.first("z", True).over(whole).alias("z_1"), F.avg("z").over(whole).alias("mean_z"), F.avg(F.col("z") * F.col("z")).over(whole).alias("mean_z2"),
-            F.stddev_samp("z").over(whole).alias("sd_z"), F.sum(F.col("d") * F.col("d")).over(steps).alias("sum_d2"), F.count("d").over(steps).alias("n_d"),
-            F.sum(F.col("s") * F.col("s")).over(seasons).alias("sum_s2"), F.count("s").over(seasons).alias("n_s"), F.avg(F.abs("s")).over(seasons).alias("mase_scale"),
-            F.collect_list("z").over(w.rowsBetween(-(m - 1), 0)).alias("recent"), _outliers_inside(w, start, past).alias("n_outliers"),
-            *([_ewma_variance(w, window, length).alias("ewma_variance")] if "ewma" in config.models else []),
+            "unique_id", F.lit(window).alias("window"), F.col("pos").alias("origin_t"), "y", F.col("z").alias("z_t"), F.first(F.when(F.col("y").isNotNull(), F.col("z")), True).over(whole).alias("z_1"),
+            *[v.alias(f"s_{k}") for k, v in sums.items()], *[v.alias(f"c_{k}") for k, v in cut.items()], F.collect_list("z").over(w.rowsBetween(-(m - 1), 0)).alias("recent"),
+            *([x.alias(k) for k, x in _ewma_parts(w, window, length).items()] if "ewma" in config.models else []),
             *[F.when(F.count("z").over(w.rowsBetween(-(k - 1), 0)) == k, F.avg("z").over(w.rowsBetween(-(k - 1), 0))).alias(f"sma_{k}") for k in config.sma_windows],
         )
         out = facts if out is None else out.unionByName(facts)
-    return out
+    seen = F.col("y").isNotNull() & F.col("z_t").isNotNull()
+    n = F.col("s_n") - F.col("c_n")
+    out = out.withColumn("n", F.when(seen, n).otherwise(F.col("s_raw")).cast("long"))
+    mean, ns = F.try_divide(F.col("s_z") - F.col("c_z"), n), F.when(n - m > 0, F.col("s_ns") - F.col("c_n")).otherwise(0.0)
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.col("s_z2") - F.col("c_z2") - n * mean * mean, n - 1)))
+    lost = F.col("c_n") > 0  # only then are sums corrected, so others stay as exact as the frames give them
+    return out.select(
+        "unique_id", "window", "origin_t", "y", "z_t", "n", "z_1", mean.alias("mean_z"), F.try_divide(F.col("s_z2") - F.col("c_z2"), n).alias("mean_z2"),
+        F.when(lost, F.when(n > 1, spread)).otherwise(F.col("s_sd")).alias("sd_z"), F.greatest(F.col("s_d2") - F.col("c_d2"), F.lit(0.0)).alias("sum_d2"), (F.col("s_nd") - F.col("c_n")).alias("n_d"),
+        F.when(ns > 0, F.greatest(F.col("s_s2") - F.col("c_s2"), F.lit(0.0))).alias("sum_s2"), ns.alias("n_s"), F.when(seen, F.try_divide(F.col("s_sa") - F.col("c_sa"), F.when(ns > 0, ns))).alias("mase_scale"),
+        "recent", F.when(seen & (n > past), (F.col("s_o") - F.col("c_o")).cast("long")).otherwise(F.lit(0).cast("long")).alias("n_outliers"),
+        *([_ewma_variance(n, F.try_divide(F.col("s_z2") - F.col("c_z2"), n)).alias("ewma_variance")] if "ewma" in config.models else []), *[f"sma_{k}" for k in config.sma_windows],
+    )
+
+
+def _gap_ends(rows: DataFrame, w: WindowSpec, m: int, off: int, past: int) -> DataFrame:
+    """Columns _x_*: at each filled position, sums over the rest of its gap.
+
+    A rolling window that starts at a filled position holds, before its first value seen, just that rest; what it adds to the window's sums
+    (of z, differences that reach back into it, and outliers counted from it) is known there and taken off again.
+    """
+    def ahead(c: str, k: int) -> Column:
+        return F.lead(c, k).over(w) if k else F.col(c)
+
+    z, d, s = ahead("z", off), ahead("d", 1 + off), ahead("s", m + off)
+    terms = {
+        "n": F.when(z.isNotNull(), 1.0), "z": z, "z2": z * z, "d2": d * d, "s2": s * s, "sa": F.abs(s), "o": ahead("outlier", past + off).cast("double"),
+        "e": z * z * F.pow(F.lit(DECAY), F.col("_p1") - F.col("pos") - 1),
+    }
+    rows = rows.withColumns({f"_t_{k}": v for k, v in terms.items()})
+    gap = F.col("y").isNull() & F.col("_p0").isNotNull() & F.col("_p1").isNotNull()
+    rest = Window.partitionBy("unique_id", "_p0").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({f"_x_{k}": F.when(gap, F.sum(F.when(gap, F.col(f"_t_{k}"))).over(rest)) for k in terms})
+    return rows.drop(*[f"_t_{k}" for k in terms])
 
 
 def _models(config: SeriesConfig) -> list[tuple[str, Column, Column, int]]:
@@ -152,17 +196,18 @@ def decayed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("decayed", total).drop("_run", "_at", "_own")
 
 
-def _ewma_variance(w: WindowSpec, window: str, length: int) -> Column:
-    """The next variance of s2 <- DECAY s2 + (1 - DECAY) z^2 over a slice, started from the slice's mean square: written out as weighted sums."""
-    n, total = F.col("seen"), F.col("decayed")
+def _ewma_parts(w: WindowSpec, window: str, length: int) -> dict[str, Column]:
+    """What ``decayed`` gives at the row and, for a rolling window, at the row before it."""
     if window == "expanding":
-        squares = F.avg(F.col("z") * F.col("z")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    else:
-        squares = F.avg(F.col("z") * F.col("z")).over(w.rowsBetween(-(length - 1), 0))
-        n = n - F.coalesce(F.lag("seen", length).over(w), F.lit(0))
-        total = total - F.coalesce(F.lag("decayed", length).over(w), F.lit(0.0)) * F.pow(F.lit(DECAY), n)
+        return {"e_n": F.col("seen"), "e_sum": F.col("decayed"), "e_before": F.lit(0.0)}
+    return {"e_n": F.col("seen") - F.coalesce(F.lag("seen", length).over(w), F.lit(0)), "e_sum": F.col("decayed"), "e_before": F.coalesce(F.lag("decayed", length).over(w), F.lit(0.0))}
+
+
+def _ewma_variance(n: Column, mean_square: Column) -> Column:
+    """The next variance of s2 <- DECAY s2 + (1 - DECAY) z^2 over a slice of n values, started from the slice's mean square: written out as weighted sums."""
     weight = F.pow(F.lit(DECAY), n)
-    return F.when(n > 0, weight * squares + (1 - DECAY) * total)
+    total = F.col("e_sum") - F.col("e_before") * F.pow(F.lit(DECAY), F.col("e_n")) - weight * F.col("c_e")
+    return F.when(n > 0, weight * mean_square + (1 - DECAY) * total)
 
 
 def forecasts(dense: DataFrame, config: SeriesConfig, levels: tuple[float, ...] = (0.8, 0.95), run_id: str = "run") -> DataFrame:

@@ -38,13 +38,13 @@ def ordinal(ds: Column, freq: str) -> Column:
 def period_label(period: Column, freq: str) -> Column:
     """A period's number as text: 2020-05, 2020Q2, a week's Monday and Sunday, a trading day's date."""
     if freq == "monthly":
-        return F.format_string("%04d-%02d", F.floor(period / 12), F.pmod(period, F.lit(12)) + 1)
+        return F.when(period.isNotNull(), F.format_string("%04d-%02d", F.floor(period / 12), F.pmod(period, F.lit(12)) + 1))
     if freq == "quarterly":
-        return F.format_string("%04dQ%d", F.floor(period / 4), F.pmod(period, F.lit(4)) + 1)
+        return F.when(period.isNotNull(), F.format_string("%04dQ%d", F.floor(period / 4), F.pmod(period, F.lit(4)) + 1))
     monday = F.lit("1970-01-05").cast("date")
     if freq == "weekly":
         first = F.date_add(monday, (period * 7).cast("int"))
-        return F.concat_ws("/", first.cast("string"), F.date_add(first, 6).cast("string"))
+        return F.concat(first.cast("string"), F.lit("/"), F.date_add(first, 6).cast("string"))
     return F.date_add(monday, period.cast("int")).cast("string")
 
 
@@ -236,8 +236,8 @@ def data_hash(dense: DataFrame) -> DataFrame:
     return rows.select("unique_id", F.sha2(F.array_join(F.transform("a", lambda x: x["t"]), "\n"), 256).alias("data_hash"))
 
 
-def interpolated(dense: DataFrame) -> DataFrame:
-    """Column ``filled``: y, or the straight line by position between the observed neighbours; null before the first and after the last.
+def interpolated(dense: DataFrame, keep: bool = False) -> DataFrame:
+    """Column ``filled``: y, or the straight line by position between the observed neighbours; null before the first and after the last. ``keep`` leaves the neighbours' positions, _p0 and _p1.
 
     Forecasts start at observed positions only, so every value that such a slice holds lies between neighbours in the slice.
     """
@@ -247,7 +247,7 @@ def interpolated(dense: DataFrame) -> DataFrame:
     rows = dense.withColumn("_p0", F.last(seen, True).over(back)).withColumn("_p1", F.first(seen, True).over(ahead))
     rows = rows.withColumn("_y0", F.last("y", True).over(back)).withColumn("_y1", F.first("y", True).over(ahead))
     line = F.expr("_y0 + (_y1 - _y0) * (pos - _p0) / nullif(_p1 - _p0, 0)")
-    return rows.withColumn("filled", F.coalesce("y", line)).drop("_p0", "_p1", "_y0", "_y1")
+    return rows.withColumn("filled", F.coalesce("y", line)).drop("_y0", "_y1", *([] if keep else ["_p0", "_p1"]))
 
 
 def log_returns(dense: DataFrame) -> DataFrame:

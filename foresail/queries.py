@@ -62,6 +62,10 @@ FILL = """f0 AS (SELECT *, last_value(CASE WHEN y IS NOT NULL THEN pos END IGNOR
 fill AS (SELECT unique_id, pos, y, coalesce(y, y0 + (y1 - y0) * (pos - p0) / nullif(p1 - p0, 0)) AS z FROM f0)"""
 RET = """fill AS (SELECT unique_id, pos, y, ln(CASE WHEN y > 0 THEN y END) - ln(CASE WHEN lag(y) OVER (PARTITION BY unique_id ORDER BY pos) > 0 THEN lag(y) OVER (PARTITION BY unique_id ORDER BY pos) END) AS z FROM s)"""
 
+#: Returns of prices on straight lines between those seen.
+RETURNS = FILL.replace("fill AS (", "fill0 AS (") + """,
+fill AS (SELECT unique_id, pos, y, ln(CASE WHEN z > 0 THEN z END) - ln(CASE WHEN lag(z) OVER w > 0 THEN lag(z) OVER w END) AS z FROM fill0 WINDOW w AS (PARTITION BY unique_id ORDER BY pos))"""
+
 
 def origins_sql(c) -> str:
     need = c.n_dev + c.n_test
@@ -82,24 +86,31 @@ plan AS (SELECT unique_id, CAST(n - 1 - {c.H} - {c.origin_step} * j AS BIGINT) A
 def truth_sql(c) -> str:
     pos = lambda e: f"ln(CASE WHEN {e} > 0 THEN {e} END)"
     value = {"level": "b.y", "returns": f"{pos('b.y')} - {pos('p.y')}", "cumulative_returns": f"{pos('b.y')} - {pos('a.y')}"}[c.target]
-    return f"""truth AS (SELECT a.unique_id, a.pos AS origin_t, CAST(h AS BIGINT) AS h, {value} AS y_true, b.y AS level_true
+    label = (lambda e: f"printf('%04d-%02d', {e} // 12, {e} % 12 + 1)") if c.freq == "monthly" else (lambda e: f"CAST(DATE '1970-01-05' + CAST({e} AS INTEGER) AS VARCHAR)")
+    return f"""truth AS (SELECT a.unique_id, a.pos AS origin_t, CAST(h AS BIGINT) AS h, {value} AS y_true, b.y AS level_true, {label("a.period")} AS origin_period, CASE WHEN b.period IS NOT NULL THEN {label("b.period")} END AS target_period
   FROM s a CROSS JOIN (SELECT unnest(range(1, {c.H + 1})) AS h) LEFT JOIN s b ON a.unique_id = b.unique_id AND b.pos = a.pos + h LEFT JOIN s p ON a.unique_id = p.unique_id AND p.pos = a.pos + h - 1)"""
 
 
 def store_sql(c) -> str:
-    """CTEs from ``s`` and ``fill`` to ``store``."""
-    parts = []
+    """CTEs from ``s`` and ``fill`` to ``store``. Rolling slices are written out row by row, from the first value seen in each on."""
+    off, parts = c.offset, []
+    sma = "".join(f", CASE WHEN count(z) OVER k{k} = {k} THEN avg(z) OVER k{k} END AS sma_{k}" for k in c.sma_windows)
+    frames = "".join(f", k{k} AS (PARTITION BY unique_id ORDER BY pos ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)" for k in c.sma_windows)
+    names = "".join(f", sma_{k}" for k in c.sma_windows)
+    slices = "ewma" in c.models
     for w in c.windows:
-        start = "UNBOUNDED PRECEDING" if w == "expanding" else f"{c.rolling_length - 1} PRECEDING"
-        steps = start if w == "expanding" else f"{c.rolling_length - 2} PRECEDING"
-        seasons = start if w == "expanding" else f"{c.rolling_length - 1 - c.m} PRECEDING"
-        sma = "".join(f", CASE WHEN count(z) OVER k{k} = {k} THEN avg(z) OVER k{k} END AS sma_{k}" for k in c.sma_windows)
-        frames = "".join(f", k{k} AS (PARTITION BY unique_id ORDER BY pos ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)" for k in c.sma_windows)
-        slice_ = ", list(z) FILTER (z IS NOT NULL) OVER a AS slice" if "ewma" in c.models else ""
-        parts.append(f"""SELECT unique_id, '{w}' AS "window", pos AS origin_t, y, z AS z_t, count(z) OVER a AS n, first_value(z IGNORE NULLS) OVER a AS z_1, avg(z) OVER a AS mean_z, avg(z * z) OVER a AS mean_z2,
-  stddev_samp(z) OVER a AS sd_z, sum(d * d) OVER b AS sum_d2, count(d) OVER b AS n_d, sum(sd * sd) OVER e AS sum_s2, count(sd) OVER e AS n_s, avg(abs(sd)) OVER e AS mase_scale{sma}{slice_}
-  FROM g0 WINDOW a AS (PARTITION BY unique_id ORDER BY pos ROWS BETWEEN {start} AND CURRENT ROW), b AS (PARTITION BY unique_id ORDER BY pos ROWS BETWEEN {steps} AND CURRENT ROW),
-  e AS (PARTITION BY unique_id ORDER BY pos ROWS BETWEEN {seasons} AND CURRENT ROW){frames}""")
+        if w == "expanding":
+            parts.append(f"""SELECT unique_id, 'expanding' AS "window", pos AS origin_t, y, z AS z_t, count(z) OVER a AS n, first_value(z IGNORE NULLS) OVER a AS z_1, avg(z) OVER a AS mean_z, avg(z * z) OVER a AS mean_z2,
+  stddev_samp(z) OVER a AS sd_z, sum(d * d) OVER a AS sum_d2, count(d) OVER a AS n_d, sum(sd * sd) OVER a AS sum_s2, count(sd) OVER a AS n_s, avg(abs(sd)) OVER a AS mase_scale, pos + 1 AS raw{sma}{", list(z) FILTER (z IS NOT NULL) OVER a AS slice" if slices else ""}
+  FROM g0 WINDOW a AS (PARTITION BY unique_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW){frames}""")
+        else:
+            parts.append(f"""SELECT unique_id, 'rolling' AS "window", origin_t, y, z_t, coalesce(n, 0) AS n, z_1, mean_z, mean_z2, sd_z, sum_d2, n_d, sum_s2, n_s, mase_scale, least(origin_t + 1, {c.rolling_length + off}) AS raw{names}{", slice" if slices else ""} FROM
+  (SELECT p.unique_id, p.origin_t, g.y, g.z AS z_t{names} FROM plan p JOIN (SELECT unique_id, pos, y, z{sma} FROM g0 WINDOW a AS (PARTITION BY unique_id ORDER BY pos){frames}) g ON g.unique_id = p.unique_id AND g.pos = p.origin_t) LEFT JOIN ro USING (unique_id, origin_t)""")
+    rolling = f"""fs AS (SELECT p.unique_id, p.origin_t, min(g.pos) AS f FROM plan p JOIN s g ON g.unique_id = p.unique_id AND g.pos BETWEEN p.origin_t - {c.rolling_length - 1 + off} AND p.origin_t AND g.y IS NOT NULL GROUP BY ALL),
+rr AS (SELECT fs.unique_id, fs.origin_t, g.pos, g.z, CASE WHEN g.pos - 1 >= f + {off} THEN d END AS d, CASE WHEN g.pos - {c.m} >= f + {off} THEN sd END AS sd FROM fs JOIN g0 g ON g.unique_id = fs.unique_id AND g.pos BETWEEN f + {off} AND fs.origin_t),
+ro AS (SELECT unique_id, origin_t, count(z) AS n, arg_min(z, pos) AS z_1, avg(z) AS mean_z, avg(z * z) AS mean_z2, stddev_samp(z) AS sd_z, sum(d * d) AS sum_d2, count(d) AS n_d, sum(sd * sd) AS sum_s2, count(sd) AS n_s, avg(abs(sd)) AS mase_scale
+  {", list(z ORDER BY pos) AS slice" if slices else ""} FROM rr GROUP BY ALL),
+"""
     k = f"((h - 1) // {c.m})"
     slope = "((z_t - z_1) / nullif(n - 1, 0))"
     known = {
@@ -114,18 +125,18 @@ def store_sql(c) -> str:
         f" LEFT JOIN fill seas ON seas.unique_id = cells.unique_id AND seas.pos = origin_t + h - {c.m} * ({k} + 1)" if m == "seasonal_naive" else "") for m, mean, sd, least in rows)
     bounds = ", ".join(f"CASE WHEN ok THEN mean - {z_value(x)!r} * sd END AS lo_{tag(x)}, CASE WHEN ok THEN mean + {z_value(x)!r} * sd END AS hi_{tag(x)}" for x in LEVELS)
     return f"""g0 AS (SELECT *, z - lag(z) OVER v AS d, z - lag(z, {c.m}) OVER v AS sd FROM fill WINDOW v AS (PARTITION BY unique_id ORDER BY pos)),
-facts AS ({" UNION ALL ".join(parts)}),
+{rolling}facts AS ({" UNION ALL ".join(parts)}),
 cells AS (SELECT facts.*, role, CAST(h AS BIGINT) AS h FROM facts JOIN plan USING (unique_id, origin_t) CROSS JOIN (SELECT unnest(range(1, {c.H + 1})) AS h)),
 each_ AS ({each}),
 st0 AS (SELECT *, y IS NOT NULL AND z_t IS NOT NULL AS seen FROM each_),
 st1 AS (SELECT *, seen AND mean IS NOT NULL AS ok FROM st0),
-store AS MATERIALIZED (SELECT unique_id, model, "window", origin_t, role AS origin_role, h, y_true, y_true IS NULL AS y_true_missing, CASE WHEN ok THEN mean END AS y_pred, {bounds}, mase_scale, n AS n_train,
+store AS MATERIALIZED (SELECT unique_id, model, "window", origin_t, role AS origin_role, h, y_true, y_true IS NULL AS y_true_missing, CASE WHEN ok THEN mean END AS y_pred, {bounds}, CASE WHEN seen THEN mase_scale END AS mase_scale, CAST(CASE WHEN seen THEN n ELSE raw END AS BIGINT) AS n_train,
   CASE WHEN NOT seen THEN 'skipped' WHEN mean IS NULL THEN 'failed' ELSE 'ok' END AS status FROM st1 JOIN truth USING (unique_id, origin_t, h)),
 sc AS (SELECT * FROM store WHERE origin_role = 'test' AND status = 'ok' AND y_true IS NOT NULL AND y_pred IS NOT NULL)"""
 
 
 M_STORE = ",\n".join([M_RAW, FILL, origins_sql(MONTHLY), truth_sql(MONTHLY), store_sql(MONTHLY)])
-D_STORE = ",\n".join([D_RAW, RET, origins_sql(DAILY), truth_sql(DAILY), store_sql(DAILY)])
+D_STORE = ",\n".join([D_RAW, RETURNS, origins_sql(DAILY), truth_sql(DAILY), store_sql(DAILY)])
 SELECTION = """dm0 AS (SELECT unique_id, "window", model, avg(abs(y_true - y_pred) / mase_scale) AS dev_mase FROM store WHERE origin_role = 'dev' AND status = 'ok' AND y_true IS NOT NULL AND mase_scale > 0 GROUP BY ALL),
 sma0 AS (SELECT unique_id, "window", arg_min(model, (dev_mase, CAST(substr(model, 5) AS INTEGER))) AS sma FROM dm0 WHERE model LIKE 'sma!_%' ESCAPE '!' GROUP BY ALL),
 ref AS (SELECT unique_id, "window", any_value(sma) AS sma, arg_min(model, (dev_mase, model)) AS reference, min(dev_mase) AS reference_mase FROM dm0 LEFT JOIN sma0 USING (unique_id, "window")
@@ -277,7 +288,7 @@ for _name, _panel, _raw, _target in (("truth_level", "monthly", M_RAW, "level"),
         return folds.truth(getattr(panels, panel)(spark, sf_dir), config)
 
     _truth.__name__ = _name
-    query(f"WITH {_raw}, {truth_sql(_config)} SELECT unique_id, origin_t, h, {r('y_true', 'y_true')}, {r('level_true', 'level_true')} FROM truth")(_truth)
+    query(f"WITH {_raw}, {truth_sql(_config)} SELECT unique_id, origin_t, h, {r('y_true', 'y_true')}, {r('level_true', 'level_true')}, origin_period, target_period FROM truth")(_truth)
 
 
 @query(f"WITH {D_RAW}, {RET} SELECT unique_id, pos, {r('z', 'r')} FROM fill")
@@ -438,13 +449,17 @@ def chi_even_sql(x: str, df: int) -> str:
     return f"(CASE WHEN {x} <= 0 THEN 1.0 ELSE exp(-{x} / 2) * (" + " + ".join(f"({x} / 2) ** {k} / {math.factorial(k)}" for k in range(df // 2)) + ") END)"
 
 
-def _ljung_sql(store: str, lags: int) -> str:
+def _ljung_ctes(source: str, key: str, order: str, lags: int) -> str:
+    """CTE ``lj``: ``key``, n, q of the column e of ``source``."""
     lb = " + ".join(f"(g{k} / nullif(g0, 0)) ** 2 / nullif(n - {k}, 0)" for k in range(1, lags + 1))
-    return f"""WITH {store}, {_RES}, c AS (SELECT *, e - avg(e) OVER (PARTITION BY unique_id, "window", model) AS cc FROM res),
-l AS (SELECT *, {", ".join(f'lag(cc, {k}) OVER (PARTITION BY unique_id, "window", model ORDER BY origin_t) AS l{k}' for k in range(1, lags + 1))} FROM c),
-g AS (SELECT unique_id, "window", model, count(*) AS n, sum(cc * cc) AS g0, {", ".join(f"sum(cc * l{k}) AS g{k}" for k in range(1, lags + 1))} FROM l GROUP BY ALL),
-q AS (SELECT *, CASE WHEN n >= {2 * lags + 1} AND g0 > 0 THEN CAST(n AS DOUBLE) * (n + 2) * ({lb}) END AS q FROM g)
-SELECT unique_id, "window", model, n, {r('q', 'lb_q')}, {r(f"CASE WHEN q IS NOT NULL THEN {chi_even_sql('q', lags)} END", 'lb_p')} FROM q"""
+    return f"""jc AS (SELECT {key}, {order}, e - avg(e) OVER (PARTITION BY {key}) AS cc FROM {source}), jl AS (SELECT *, {", ".join(f'lag(cc, {k}) OVER (PARTITION BY {key} ORDER BY {order}) AS l{k}' for k in range(1, lags + 1))} FROM jc),
+jg AS (SELECT {key}, count(*) AS n, sum(cc * cc) AS g0, {", ".join(f"sum(cc * l{k}) AS g{k}" for k in range(1, lags + 1))} FROM jl GROUP BY ALL),
+lj AS (SELECT *, CASE WHEN n >= {2 * lags + 1} AND g0 > 0 THEN CAST(n AS DOUBLE) * (n + 2) * ({lb}) END AS q FROM jg)"""
+
+
+def _ljung_sql(store: str, lags: int) -> str:
+    return f"""WITH {store}, {_RES}, {_ljung_ctes("res", 'unique_id, "window", model', "origin_t", lags)}
+SELECT unique_id, "window", model, n, {r('q', 'lb_q')}, {r(f"CASE WHEN q IS NOT NULL THEN {chi_even_sql('q', lags)} END", 'lb_p')} FROM lj"""
 
 
 def _one_step(store: DataFrame) -> DataFrame:
@@ -470,23 +485,27 @@ def ljung_box_two_seasons(spark, sf_dir):
     return scoring.autocorrelation(_one_step(daily_store(spark, sf_dir)), _FOLD, "e", 24)
 
 
-def _arch_sql(store: str, lags: int) -> str:
-    """Coefficients by Gram and Schmidt: each regressor is replaced by what earlier ones leave of it, so the fit is a sum of separate squares."""
-    part = '(PARTITION BY unique_id, "window", model)'
-    steps = [f"""WITH {store}, {_RES}, v AS (SELECT *, e * e / nullif(avg(e * e) OVER {part}, 0) AS sq FROM res),
-l AS (SELECT *, count(*) OVER {part} AS na, max(sq) OVER {part} - min(sq) OVER {part} AS span, {", ".join(f'lag(sq, {k}) OVER (PARTITION BY unique_id, "window", model ORDER BY origin_t) AS l{k}' for k in range(1, lags + 1))} FROM v),
+def _arch_ctes(source: str, key: str, order: str, lags: int) -> str:
+    """CTE ``al``: ``key``, n, x of the column e of ``source``, by Gram and Schmidt: each regressor is replaced by what earlier ones leave of it, so the fit is a sum of separate squares."""
+    part = f"(PARTITION BY {key})"
+    steps = [f"""v AS (SELECT {key}, {order}, e * e / nullif(avg(e * e) OVER {part}, 0) AS sq FROM {source}),
+l AS (SELECT *, count(*) OVER {part} AS na, max(sq) OVER {part} - min(sq) OVER {part} AS span, {", ".join(f'lag(sq, {k}) OVER (PARTITION BY {key} ORDER BY {order}) AS l{k}' for k in range(1, lags + 1))} FROM v),
 u0 AS (SELECT *, sq - avg(sq) OVER {part} AS t, {", ".join(f"l{k} - avg(l{k}) OVER {part} AS x{k}" for k in range(1, lags + 1))} FROM l WHERE l{lags} IS NOT NULL)"""]
     for k in range(1, lags + 1):
         rest = [f"x{j}" for j in range(k + 1, lags + 1)]
         out = ", ".join([f"{c} - x{k} * coalesce(sum({c} * x{k}) OVER {part} / nullif(sum(x{k} * x{k}) OVER {part}, 0), 0) AS {c}" for c in rest] + [f"x{k}", "t"])
-        others = ", ".join(['unique_id, "window", model, na, span', *[f"x{j}" for j in range(1, k)]])
+        others = ", ".join([key, "na", "span", *[f"x{j}" for j in range(1, k)]])
         steps.append(f"u{k} AS (SELECT {others}, {out} FROM u{k - 1})")
     fit = " + ".join(f"coalesce(sum(t * x{k}) ** 2 / nullif(sum(x{k} * x{k}), 0), 0)" for k in range(1, lags + 1))
-    steps.append(f"""w AS (SELECT unique_id, "window", model, count(*) AS n, CASE WHEN any_value(na) >= {2 * lags + 1} AND any_value(span) > 0 AND sum(t * t) > 0 THEN count(*) * least(1.0, ({fit}) / nullif(sum(t * t), 0)) END AS x FROM u{lags} GROUP BY ALL)
-SELECT unique_id, "window", model, n, {r('x', 'arch_lm')}, {r(f"CASE WHEN x IS NOT NULL THEN {chi_even_sql('x', lags)} END", 'arch_p')} FROM w""")
+    steps.append(f"al AS (SELECT {key}, count(*) AS n, CASE WHEN any_value(na) >= {2 * lags + 1} AND any_value(span) > 0 AND sum(t * t) > 0 THEN count(*) * least(1.0, ({fit}) / nullif(sum(t * t), 0)) END AS x FROM u{lags} GROUP BY ALL)")
     return ",\n".join(steps)
 
 
+def _arch_sql(store: str, lags: int) -> str:
+    return f"""WITH {store}, {_RES}, {_arch_ctes("res", 'unique_id, "window", model', "origin_t", lags)}
+SELECT unique_id, "window", model, n, {r('x', 'arch_lm')}, {r(f"CASE WHEN x IS NOT NULL THEN {chi_even_sql('x', lags)} END", 'arch_p')} FROM al"""
+
+
 @query(_arch_sql(D_STORE, 4))
 def arch_lm(spark, sf_dir):
     """Without a season: four lags."""
@@ -636,7 +655,7 @@ def _ship(spark: SparkSession) -> None:
 _CUMULATIVE = {"target": "cumulative_returns"}
 for _name, _args in {
     "fc_ses": ("monthly", "ses", {}), "fc_ets": ("monthly", "ets", {}), "fc_theta": ("monthly", "theta", {"transform": "auto"}),
-    "fc_sarima": ("monthly", "sarima", {}), "fc_ar": ("daily", "ar", {}), "fc_fhs": ("daily", "zero_return_fhs", {}),
+    "fc_sarima": ("monthly", "sarima", {}), "fc_ar": ("daily", "ar", {}),
     "fc_garch": ("daily", "garch", {}), "fc_gjr_garch": ("daily", "gjr_garch", {}), "fc_garch_normal": ("daily", "garch_normal", {}),
     "fc_combination": ("monthly", ("theta", "ets", "sarima", "combination"), {}),
     "sim_cumulative": ("daily", ("ewma", "garch"), _CUMULATIVE), "sim_block": ("daily", ("ewma_block", "garch_block"), _CUMULATIVE), "sim_parameter_uncertainty": ("daily", ("garch_pu", "gjr_garch_pu"), _CUMULATIVE),
@@ -772,24 +791,72 @@ ff AS (SELECT unique_id, pos, coalesce(len(list_filter(pv, lambda x: x IS NOT NU
 
 
 @query(f"""WITH {M_STORE}, {_FACTS}, each_fold AS (SELECT DISTINCT unique_id, "window", origin_t, h FROM store),
-lab AS (SELECT unique_id, pos, printf('%04d-%02d', period // 12, period % 12 + 1) AS label FROM s)
+lab AS (SELECT unique_id, pos, y, printf('%04d-%02d', period // 12, period % 12 + 1) AS label FROM s)
 SELECT e.unique_id, e."window", e.origin_t, e.h, a.label AS origin_period, b.label AS target_period,
-  (SELECT count(*) FROM ff WHERE ff.unique_id = e.unique_id AND flag AND ff.pos <= e.origin_t AND (e."window" = 'expanding' OR ff.pos >= e.origin_t - {MONTHLY.rolling_length - 1} + 24)) AS n_outliers
-FROM each_fold e JOIN lab a ON a.unique_id = e.unique_id AND a.pos = e.origin_t LEFT JOIN lab b ON b.unique_id = e.unique_id AND b.pos = e.origin_t + e.h""")
+  CASE WHEN a.y IS NULL THEN 0 ELSE (SELECT count(*) FROM ff WHERE ff.unique_id = e.unique_id AND flag AND ff.pos <= e.origin_t AND (e."window" = 'expanding' OR ff.pos >= fs.f + 24)) END AS n_outliers
+FROM each_fold e LEFT JOIN fs ON fs.unique_id = e.unique_id AND fs.origin_t = e.origin_t JOIN lab a ON a.unique_id = e.unique_id AND a.pos = e.origin_t LEFT JOIN lab b ON b.unique_id = e.unique_id AND b.pos = e.origin_t + e.h""")
 def store_facts(spark, sf_dir):
     """Periods and outliers of the store's folds."""
     return monthly_store(spark, sf_dir).select("unique_id", "window", "origin_t", "h", "origin_period", "target_period", "n_outliers").distinct()
 
 
-@query()
+_KEY = 'unique_id, "window", origin_t'
+
+
+def _slices_sql(c) -> str:
+    """CTE ``sl``: the training values of each dev and test fold, one a row."""
+    return f"""fq AS (SELECT p.unique_id, p.origin_t, p.role, w."window", min(g.pos) AS f FROM plan p CROSS JOIN (VALUES {", ".join(f"('{w}')" for w in c.windows)}) w("window")
+  JOIN s g ON g.unique_id = p.unique_id AND g.y IS NOT NULL AND g.pos <= p.origin_t AND (w."window" = 'expanding' OR g.pos >= p.origin_t - {c.rolling_length - 1 + c.offset}) WHERE p.role <> 'warmup' GROUP BY ALL),
+sl AS MATERIALIZED (SELECT p.unique_id, p."window", p.origin_t, p.role, g.pos, g.z AS e, row_number() OVER k AS i, count(*) OVER (PARTITION BY p.unique_id, p."window", p.origin_t) AS n
+  FROM fq p JOIN fill g ON g.unique_id = p.unique_id AND g.pos BETWEEN p.f + {c.offset} AND p.origin_t WHERE g.z IS NOT NULL WINDOW k AS (PARTITION BY p.unique_id, p."window", p.origin_t ORDER BY g.pos))"""
+
+
+def _fhs_sql() -> str:
+    """CTE ``fh``: a row a fold of the constant-variance model with empirical quantiles; innovations are returns over one deviation, so tests of them are tests of the returns."""
+    flags = _FACTS.replace("24 PRECEDING", "20 PRECEDING").replace("= 24", "= 20")
+    bounds = ", ".join(f"quantile_cont(e, {(1 - x) / 2:.6g}) AS lo_{tag(x)}, quantile_cont(e, {(1 + x) / 2:.6g}) AS hi_{tag(x)}" for x in LEVELS)
+    fine = " AND ".join(["n >= 100", *[f"lo_{tag(x)} < 0 AND hi_{tag(x)} > 0" for x in LEVELS]])
+    return f"""{D_RAW}, {RETURNS}, {origins_sql(DAILY)}, {truth_sql(DAILY)}, {_slices_sql(DAILY)}, {flags},
+own AS (SELECT {_KEY}, any_value(role) AS role, count(*) AS n, {bounds} FROM sl GROUP BY {_KEY}), st AS (SELECT * FROM sl WHERE role = 'test'),
+{_ljung_ctes("st", _KEY, "i", 10)}, {_arch_ctes("st", _KEY, "i", 4)},
+fh AS (SELECT own.*, {fine} AS fine, {chi_even_sql('q', 10)} AS lb_p, {chi_even_sql('x', 4)} AS arch_p,
+  (SELECT count(*) FROM ff WHERE ff.unique_id = own.unique_id AND flag AND ff.pos <= own.origin_t AND (own."window" = 'expanding' OR ff.pos >= own.origin_t - {DAILY.rolling_length - 1} + 20)) AS n_outliers
+  FROM own LEFT JOIN (SELECT {_KEY}, q FROM lj) USING ({_KEY}) LEFT JOIN (SELECT {_KEY}, x FROM al) USING ({_KEY}))"""
+
+
+_FHS_ROWS = ", ".join(f"{r(f'CASE WHEN fine THEN {c}_{tag(x)} END', f'{c}_{tag(x)}')}, CAST(NULL AS DOUBLE) AS es_{tag(x)}" if c == "lo" else r(f"CASE WHEN fine THEN {c}_{tag(x)} END", f"{c}_{tag(x)}") for x in LEVELS for c in ("lo", "hi"))
+
+
+@query(f"""WITH {_fhs_sql()} SELECT unique_id, 'zero_return_fhs' AS model, "window", origin_t, role AS origin_role, h, {r('y_true', 'y_true')}, CASE WHEN fine THEN CAST(0 AS DOUBLE) END AS y_pred, {_FHS_ROWS}, n_outliers,
+{r('CASE WHEN fine THEN lb_p END', 'lb_p')}, CAST(NULL AS DOUBLE) AS lb_p_2m, {r('CASE WHEN fine THEN arch_p END', 'arch_p')}, 'none' AS transform, CASE WHEN fine THEN 'zero_return_fhs' END AS variant, CASE WHEN fine THEN 'ok' ELSE 'failed' END AS status
+FROM fh JOIN truth USING (unique_id, origin_t)""")
+def fc_fhs(spark, sf_dir):
+    return _fitted("daily", "zero_return_fhs")(spark, sf_dir)
+
+
+@query(f"""WITH {_fhs_sql()}, t AS (SELECT * FROM fh WHERE fine AND role = 'test') SELECT unique_id, "window", 'zero_return_fhs' AS model, count(lb_p) AS n_lb, {r('avg(CAST(lb_p < 0.05 AS DOUBLE))', 'lb_reject_share')}, {r('median(lb_p)', 'lb_median_p')},
+CAST(0 AS BIGINT) AS n_lb_2m, CAST(NULL AS DOUBLE) AS lb_2m_reject_share, CAST(NULL AS DOUBLE) AS lb_2m_median_p, count(arch_p) AS n_arch, {r('avg(CAST(arch_p < 0.05 AS DOUBLE))', 'arch_reject_share')}, {r('median(arch_p)', 'arch_median_p')} FROM t GROUP BY unique_id, "window\"""")
 def residual_summary(spark, sf_dir):
-    tests = _fitted("monthly", "ses", window="expanding")(spark, sf_dir).where("origin_role = 'test' AND status = 'ok' AND h = 1")
-    return scoring.residual_summary(tests)
+    return scoring.residual_summary(_fitted("daily", "zero_return_fhs")(spark, sf_dir).where("origin_role = 'test' AND status = 'ok' AND h = 1"))
+
+
+@query()
+def residual_summary_seasonal(spark, sf_dir):
+    return scoring.residual_summary(_fitted("monthly", "ses", window="expanding")(spark, sf_dir).where("origin_role = 'test' AND status = 'ok' AND h = 1"))
 
 
 @query()
 def transform_counts(spark, sf_dir):
-    return scoring.transform_counts(_fitted("monthly", "ses", transform="boxcox")(spark, sf_dir))
+    return scoring.transform_counts(_fitted("monthly", "ses", transform="boxcox")(spark, sf_dir).where("transform IS NOT NULL"))
+
+
+@query(f"""WITH {M_RAW}, {FILL}, {origins_sql(MONTHLY)}, {_slices_sql(MONTHLY)}, seen AS (SELECT unique_id, pos AS origin_t FROM s WHERE y IS NOT NULL), sb AS (SELECT *, (n - i) // 12 AS b FROM sl JOIN seen USING (unique_id, origin_t)),
+sd AS (SELECT *, e - lag(e) OVER (PARTITION BY {_KEY}, b ORDER BY i) AS d FROM sb), bl AS (SELECT {_KEY}, b, avg(e) AS mean, stddev_samp(d) AS sd, count(*) AS k, min(e) AS low FROM sd GROUP BY ALL),
+fo AS (SELECT {_KEY}, min(low) AS low, regr_slope(ln(CASE WHEN k = 12 AND sd > 0 AND mean > 0 THEN sd END), ln(CASE WHEN k = 12 AND sd > 0 AND mean > 0 THEN mean END)) AS slope, count(*) FILTER (k = 12 AND sd > 0 AND mean > 0) AS nb FROM bl GROUP BY {_KEY}),
+c AS (SELECT unique_id, CASE WHEN low > 0 AND nb >= 3 AND slope > 0.5 THEN 'log' ELSE 'none' END AS family, count(*) AS n FROM fo GROUP BY ALL)
+SELECT unique_id, family, n, CAST(NULL AS DOUBLE) AS power_min, CAST(NULL AS DOUBLE) AS power_max, {r('n / sum(n) OVER (PARTITION BY unique_id)', 'share')} FROM c""")
+def transform_counts_auto(spark, sf_dir):
+    return scoring.transform_counts(_fitted("monthly", "ses", transform="auto")(spark, sf_dir).where("transform IS NOT NULL"))
 
 
 @query(f"SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, {r('sum(value)', 'total')} FROM events GROUP BY ALL")

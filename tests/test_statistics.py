@@ -10,7 +10,7 @@ from foresail.config import SeriesConfig
 from foresail.errors import AdapterError, FitError
 from foresail.functions.special import chi2_tail
 from foresail.operators import calibration, folds, kernels, scoring, series, studies
-from foresail.operators.backtest import bucket_confidence_set
+from foresail.operators.backtest import _slice, bucket_confidence_set
 from foresail.plans import verdicts
 from foresail.plans.charts import line_chart
 from foresail.sources.canonical import Synthetic, affine_scan, prices, read_fred, to_frame
@@ -154,9 +154,7 @@ def test_ewma_of_a_long_series(spark):
     got = {(x.window, x.origin_t): x for x in folds.forecasts(dense, config).where("h = 1 AND status = 'ok'").collect()}
     assert len(got) > 30
     for (window, t), x in got.items():
-        v = np.array([np.nan if k == 700 else a for k, a in enumerate(y)])
-        z = np.r_[np.nan, np.diff(np.log(v))][(0 if window == "expanding" else t - 299) : t + 1]
-        z = z[np.isfinite(z)]
+        z = _slice(np.array([np.nan if k == 700 else a for k, a in enumerate(y)]), t, window, config)
         s = float(np.mean(z * z))
         for a in z:
             s = 0.94 * s + 0.06 * a * a
@@ -164,6 +162,59 @@ def test_ewma_of_a_long_series(spark):
         assert x.n_outliers == kernels.count_outliers(z, 1)
 
 
+@pytest.mark.parametrize("target", ["level", "returns"])
+def test_slices_of_gappy_series(spark, target):
+    """Rolling windows that begin inside gaps of any length: every model's forecast from the slice itself."""
+    rng = np.random.default_rng(8)
+    series_ = {}
+    for k in range(6):
+        y = 50 + np.cumsum(rng.normal(size=120))
+        y[rng.random(120) < 0.25] = np.nan
+        y[30 + k : 45 + 2 * k] = np.nan
+        y[:k] = np.nan
+        series_[f"s{k}"] = y
+    rows = [(u, t, t, None if np.isnan(v) else float(v)) for u, y in series_.items() for t, v in enumerate(y)]
+    dense = spark.createDataFrame(rows, "unique_id string, pos long, period long, y double")
+    models = ("naive", "seasonal_naive", "drift", "sma") if target == "level" else ("zero_return", "mean_return", "ewma", "sma")
+    config = SeriesConfig(id="x", freq="quarterly", H=2, m=4, target=target, initial_window=20, rolling_length=20, n_dev=20, n_test=70, models=models, sma_windows=(3,))
+    got = {(r.unique_id, r.window, r.model, r.origin_t): r for r in folds.forecasts(dense, config).where("h = 1").collect()}
+    checked = 0
+    for (u, window, model, t), r in got.items():
+        y = series_[u]
+        if np.isnan(y[t]):
+            assert r.status == "skipped" and r.mase_scale is None and r.n_train == (t + 1 if window == "expanding" else min(t + 1, 20 + config.offset))
+            continue
+        v = _slice(y, t, window, config)
+        n, d, s = len(v), np.diff(v), v[4:] - v[:-4]
+        assert r.n_train == n and r.n_outliers == kernels.count_outliers(v, 4)
+        assert (r.mase_scale is None) == (n <= 4) and (n <= 4 or r.mase_scale == pytest.approx(np.abs(s).mean()))
+        least = {"naive": 2, "seasonal_naive": 5, "drift": 3, "sma_3": 3, "zero_return": 1, "mean_return": 3, "ewma": 2}[model]
+        assert (r.status == "ok") == (n >= least), (u, window, model, t, n)
+        if n < max(least, 4):
+            continue
+        checked += 1
+        half = None if r.hi_80 is None else (r.hi_80 - r.lo_80) / 2 / 1.2815515655446004
+        if model == "naive":
+            assert r.y_pred == pytest.approx(v[-1]) and half == pytest.approx(math.sqrt((d**2).mean()))
+        if model == "seasonal_naive":
+            assert r.y_pred == pytest.approx(v[-4]) and half == pytest.approx(math.sqrt((s**2).mean()))
+        if model == "drift":
+            slope = (v[-1] - v[0]) / (n - 1)
+            assert r.y_pred == pytest.approx(v[-1] + slope) and half == pytest.approx(math.sqrt(((d - slope) ** 2).sum() / (n - 2) * (1 + 1 / (n - 1))), abs=1e-6)
+        if model == "sma_3":
+            assert r.y_pred == pytest.approx(v[-3:].mean())
+        if model == "zero_return":
+            assert half == pytest.approx(math.sqrt((v**2).mean()))
+        if model == "mean_return":
+            assert r.y_pred == pytest.approx(v.mean()) and half == pytest.approx(v.std(ddof=1) * math.sqrt(1 + 1 / n))
+        if model == "ewma":
+            s2 = float((v**2).mean())
+            for a in v:
+                s2 = 0.94 * s2 + 0.06 * a * a
+            assert half == pytest.approx(math.sqrt(s2))
+    assert checked > 1000
+
+
 def test_values_of_a_cumulative_target_need_paths(spark):
     dense = spark.createDataFrame([("u", k, k, 100.0 + k) for k in range(400)], "unique_id string, pos long, period long, y double")
     config = SeriesConfig(id="u", freq="trading_days", H=2, m=1, target="cumulative_returns", initial_window=250, rolling_length=250, origin_step=5, n_dev=3, n_test=5, models=("zero_return",))
