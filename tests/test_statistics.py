@@ -101,6 +101,17 @@ def test_shortfall():
     assert few[3] is None and math.isnan(few[0])
 
 
+def test_decayed_sums():
+    rng = np.random.default_rng(1)
+    for n in (5, 900):
+        x = rng.random(n)
+        for beta in (0.0, 1e-10, 0.01, 0.079, 0.08, 0.3, 0.9, 0.99, 1.0):
+            want = [0.5]
+            for v in x:
+                want.append(v + beta * want[-1])
+            assert np.allclose(kernels.decayed_sums(x, beta, 0.5), want, rtol=1e-12)
+
+
 def test_parameter_draws(monkeypatch):
     r = Synthetic("garch11_returns", 5, n=1500).values()
     fit = kernels.Garch.fit(r, True)
