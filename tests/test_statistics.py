@@ -376,3 +376,29 @@ def test_shapes(spark):
     df = spark.createDataFrame(rows, "unique_id string, window string, model string, origin_t long, h long, status string, lo_80 double, hi_80 double")
     p = studies.paired_widening(df, "a", "b", (0.8,)).first()
     assert (p.n, p.mean, p.median) == (3, pytest.approx(1.2), pytest.approx(1.2)) and p.width_share == pytest.approx(1 - (1 + 1 / 1.2 + 1 / 1.4) / 3)
+
+
+def test_index_downloads(spark, tmp_path):
+    from foresail.sources import download
+    from foresail.sources.canonical import read_csv
+
+    csv = b"Date,Open,High,Low,Close,Volume\n2024-01-05,1,1,1,10.5,5\n2024-01-06,1,1,1,99,5\n2024-01-08,1,1,1,11,5\n2024-01-08,1,1,1,12,5\n2024-01-09,1,1,1,N/D,5\n"
+    chart = b'{"chart":{"result":[{"meta":{"gmtoffset":-18000},"timestamp":[1704461400,1704720600],"indicators":{"quote":[{"close":[10.5,null]}]}}]}}'
+    assert download.yahoo_closes(chart) == [("2024-01-05", 10.5)]
+    sources = download.index_sources("^spx", "^GSPC")
+    asked = []
+
+    def fetch(url):
+        asked.append(url)
+        if "stooq" in url:
+            raise OSError("no network")
+        return chart
+
+    assert download.first_that_answers(sources, fetch) == [("2024-01-05", 10.5)] and len(asked) == 2 and "%5Espx" in asked[0]
+    with pytest.raises(AdapterError, match="no table of closes.*no chart"):
+        download.first_that_answers(sources, lambda _: b"<html>")
+    df = download.closes(spark, download.first_that_answers(sources, lambda _: csv))
+    assert [(str(r.ds)[:10], r.y) for r in df.orderBy("ds").collect()] == [("2024-01-05", 10.5), ("2024-01-08", 12.0)]
+    download.write_closes(df, str(tmp_path / "spx"))
+    config = SeriesConfig(id="spx", columns={"date": "Date", "value": "Close"})
+    assert [(r.ds, r.y) for r in read_csv(spark, str(tmp_path / "spx"), config).orderBy("ds").collect()] == [("05 Jan 2024", "10.5"), ("08 Jan 2024", "12.0")]
