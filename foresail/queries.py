@@ -105,10 +105,10 @@ def store_sql(c) -> str:
   FROM g0 WINDOW a AS (PARTITION BY unique_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW){frames}""")
         else:
             parts.append(f"""SELECT unique_id, 'rolling' AS "window", origin_t, y, z_t, coalesce(n, 0) AS n, z_1, mean_z, mean_z2, sd_z, sum_d2, n_d, sum_s2, n_s, mase_scale, least(origin_t + 1, {c.rolling_length + off}) AS raw{names}{", slice" if slices else ""} FROM
-  (SELECT p.unique_id, p.origin_t, g.y, g.z AS z_t{names} FROM plan p JOIN (SELECT unique_id, pos, y, z{sma} FROM g0 WINDOW a AS (PARTITION BY unique_id ORDER BY pos){frames}) g ON g.unique_id = p.unique_id AND g.pos = p.origin_t) LEFT JOIN ro USING (unique_id, origin_t)""")
+  (SELECT p.unique_id, p.origin_t, g.y, g.z AS z_t{names} FROM plan p JOIN (SELECT unique_id, pos, y, z{sma} FROM g0 WINDOW a AS (PARTITION BY unique_id ORDER BY pos){frames}) g ON g.unique_id = p.unique_id AND g.pos = p.origin_t) LEFT JOIN rolled USING (unique_id, origin_t)""")
     rolling = f"""fs AS (SELECT p.unique_id, p.origin_t, min(g.pos) AS f FROM plan p JOIN s g ON g.unique_id = p.unique_id AND g.pos BETWEEN p.origin_t - {c.rolling_length - 1 + off} AND p.origin_t AND g.y IS NOT NULL GROUP BY ALL),
 rr AS (SELECT fs.unique_id, fs.origin_t, g.pos, g.z, CASE WHEN g.pos - 1 >= f + {off} THEN d END AS d, CASE WHEN g.pos - {c.m} >= f + {off} THEN sd END AS sd FROM fs JOIN g0 g ON g.unique_id = fs.unique_id AND g.pos BETWEEN f + {off} AND fs.origin_t),
-ro AS (SELECT unique_id, origin_t, count(z) AS n, arg_min(z, pos) AS z_1, avg(z) AS mean_z, avg(z * z) AS mean_z2, stddev_samp(z) AS sd_z, sum(d * d) AS sum_d2, count(d) AS n_d, sum(sd * sd) AS sum_s2, count(sd) AS n_s, avg(abs(sd)) AS mase_scale
+rolled AS (SELECT unique_id, origin_t, count(z) AS n, arg_min(z, pos) AS z_1, avg(z) AS mean_z, avg(z * z) AS mean_z2, stddev_samp(z) AS sd_z, sum(d * d) AS sum_d2, count(d) AS n_d, sum(sd * sd) AS sum_s2, count(sd) AS n_s, avg(abs(sd)) AS mase_scale
   {", list(z ORDER BY pos) AS slice" if slices else ""} FROM rr GROUP BY ALL),
 """
     k = f"((h - 1) // {c.m})"
