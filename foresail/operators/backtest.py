@@ -180,10 +180,13 @@ def fitted_forecasts(dense: DataFrame, config: SeriesConfig, levels: tuple[float
     values = values.select("unique_id", F.transform("v", lambda x: x["y"]).alias("y"))
     each = plan.withColumn("window", F.explode(F.array(*map(F.lit, config.windows)))).withColumn("bundle", F.floor(F.col("origin_t") / (BUNDLE * config.origin_step)))
     bundles = each.groupBy("unique_id", "window", "bundle").agg(F.array_sort(F.collect_list(F.struct("origin_t", "role"))).alias("folds"), F.min("origin_t").alias("first"), F.max("origin_t").alias("last"))
+    # Bundles are small and slow, so their number of tasks is fixed: adaptive execution would put them together by size.
+    session = dense.sparkSession
+    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), 4 * session.sparkContext.defaultParallelism)
     # A bundle takes along only what its slices hold, and nothing after its last origin.
     start = F.when(F.col("window") == "expanding", 0).otherwise(F.greatest(F.lit(0), F.col("first") - (config.rolling_length - 1 + config.offset))).cast("int")
     work = bundles.join(values, "unique_id").withColumn("base", start).withColumn("y", F.slice("y", start + 1, (F.col("last") - start + 1).cast("int")))
-    work = work.select("unique_id", "window", "bundle", "folds", "base", "y").repartition("unique_id", "window", "bundle")
+    work = work.select("unique_id", "window", "bundle", "folds", "base", "y").repartition(tasks, "unique_id", "window", "bundle")
     known = kernels.KERNELS | (registry or {})
 
     def run(batches):
