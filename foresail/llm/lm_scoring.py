@@ -7,6 +7,7 @@ Words and bigrams are known by 64-bit hashes; no count is dropped, folded or kep
 Texts are taken in chunks. A chunk's different words and bigrams go with their counts to the buckets of
 their hashes, once each however common they are. A bucket adds them up over all chunks and answers
 every chunk with the sums in the order in which it asked, and the chunk's texts are scored from the answers.
+A chunk asks every bucket for words, if only with an empty list, and each answer has the bucket's share of the totals.
 
 A document's score is the mean over its words of background loss less target loss, in
 nats: the higher, the more it reads like the target.
@@ -27,11 +28,13 @@ from .textkit import mix, text_bytes, word_hashes
 
 SHARE = 0.6  #: weight of the bigram's share against the unigram's
 ROWS = 512
+PART_BYTES = 1 << 21  #: text taken into a chunk at a time, a longer one alone: bounds what a chunk has beyond CHUNK
 CHUNK = 1 << 20  #: words from which a chunk is closed
 BUCKET_BYTES = 1 << 22  #: text for which there is a bucket
 LEAST_BUCKETS = 128
 DOCS, PAIRS, WORDS = 0, 1, 2  #: kinds of a chunk's rows
 _START = np.uint64(0)  #: the context at a text's start
+_NOTHING = np.zeros(0, np.int64)
 _CONTEXT, _WORD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 _CHUNKS = "chunk long, counted boolean, asks boolean, payload binary"
@@ -62,14 +65,6 @@ def _unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def _grouped(buckets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Each bucket and the places in it, in rising order."""
-    order = np.argsort(buckets, kind="stable")
-    found, at = np.unique(buckets[order], return_index=True)
-    for bucket, places in zip(found.tolist(), np.split(order, at[1:])):
-        yield bucket, places
-
-
 def _bigrams(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each word the id before it (0 at a text's start), and both as one number."""
     before = np.concatenate((np.zeros(1, np.int64), ids[:-1])) if len(ids) else ids
@@ -84,6 +79,16 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields)], [n for n, _ in fields])
 
 
+def _cuts(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Cuts of rows of text into ROWS or PART_BYTES, whichever is less, and one row at least."""
+    at, end = 0, len(offsets) - 1
+    while at < end:
+        to = int(np.searchsorted(offsets, offsets[at] + PART_BYTES, "right")) - 1
+        to = min(max(to, at + 1), at + ROWS, end)
+        yield at, to
+        at = to
+
+
 def _chunked(counted: bool, asks: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Chunks of (doc_id, text, is_target): the chunk's different words, and its texts as places in them."""
 
@@ -95,9 +100,10 @@ def _chunked(counted: bool, asks: bool) -> Callable[[Iterator[pa.RecordBatch]],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, held, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
-            for at in range(0, len(batch), ROWS):
-                part = batch.slice(at, ROWS)
-                words, counts = word_hashes(*text_bytes(part.column(1)))
+            data, offsets = text_bytes(batch.column(1))
+            for at, to in _cuts(offsets):
+                part = batch.slice(at, to - at)
+                words, counts = word_hashes(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
                 ids = part.column(0)
                 docs = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 target = part.column(2).fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
@@ -128,7 +134,10 @@ class _Chunk:
         return mix(self.vocab[self.pairs >> 32] * _CONTEXT + self.vocab[self.pairs & 0xFFFFFFFF] * _WORD)
 
     def dealt(self, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        return _grouped(((keys >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int64))
+        """Each bucket that has keys, in rising order, and their places by rising key."""
+        order = np.argsort(keys)
+        found, at = np.unique((keys[order] >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32), return_index=True)
+        yield from zip(found.tolist(), np.split(order, at[1:]))
 
     def sums(self, kind: int, counted: bool) -> list[np.ndarray]:
         """Counts in target texts and in all: of bigrams, or of words and then of contexts."""
@@ -148,9 +157,10 @@ def _asked(kind: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
             for chunk, counted, asks, payload in zip(*batch.columns):
                 c = _Chunk(payload.as_py(), buckets)
                 keys, sums = c.keys(kind), c.sums(kind, counted.as_py())
-                rows = []
-                for bucket, at in c.dealt(keys):
-                    rows.append((chunk.as_py(), bucket, asks.as_py(), _pack(keys[at], *(x[at] for x in sums))))
+                rows, dealt = [], dict(c.dealt(keys))
+                for bucket in range(buckets) if kind == WORDS and asks.as_py() else dealt:
+                    at = dealt.get(bucket, _NOTHING)
+                    rows.append((chunk.as_py(), bucket, asks.as_py(), _pack(np.diff(keys[at], prepend=np.uint64(0)), *(x[at] for x in sums))))
                     if len(rows) == 64:
                         yield _batch(rows, _ASKED)
                         rows = []
@@ -161,27 +171,26 @@ def _asked(kind: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
 
 
 def _answered(kind: int) -> Callable[[pa.Table], pa.Table]:
-    """Sums over all chunks of what a bucket was sent, for each chunk that asks; a row without a chunk has what the bucket adds to the totals."""
+    """Sums over all chunks of what a bucket was sent, for each chunk that asks, and for words what the bucket adds to the totals."""
 
     def run(rows: pa.Table) -> pa.Table:
         bucket = rows.column("bucket")[0].as_py()
         sent = [_unpack(x) for x in rows.column("payload").to_pylist()]
-        keys, place = np.unique(np.concatenate([s[0] for s in sent]).astype(np.uint64), return_inverse=True)
+        keys, place = np.unique(np.concatenate([np.cumsum(s[0], dtype=np.uint64) for s in sent]), return_inverse=True)
         # Sums as doubles are exact up to 2^53.
         sums = [np.bincount(place, np.concatenate([s[k] for s in sent]), len(keys)).astype(np.int64) for k in range(1, len(sent[0]))]
+        totals = (int(np.count_nonzero(sums[1])), int(sums[0].sum()), int(sums[1].sum())) if kind == WORDS else (None, None, None)
         out, at = [], 0
         for chunk, asks, s in zip(rows.column("chunk").to_pylist(), rows.column("asks").to_pylist(), sent):
             if asks:
-                out.append((chunk, bucket, _pack(*(x[place[at : at + len(s[0])]] for x in sums)), kind, None, None, None))
+                out.append((chunk, bucket, _pack(*(x[place[at : at + len(s[0])]] for x in sums)), kind, *totals))
             at += len(s[0])
-        if kind == WORDS:
-            out.append((None, bucket, None, kind, int(np.count_nonzero(sums[1])), int(sums[0].sum()), int(sums[1].sum())))
         return pa.Table.from_batches([_batch(out, _ANSWERS)])
 
     return run
 
 
-def _scored(buckets: int, size: int, totals: tuple[int, int]) -> Callable[[pa.Table], pa.Table]:
+def _scored(buckets: int, least: int) -> Callable[[pa.Table], pa.Table]:
     """Scores of a chunk's texts from the chunk and the answers of all buckets."""
 
     def run(rows: pa.Table) -> pa.Table:
@@ -191,9 +200,11 @@ def _scored(buckets: int, size: int, totals: tuple[int, int]) -> Callable[[pa.Ta
         sums = {PAIRS: np.zeros((2, len(c.pairs)), np.int64), WORDS: np.zeros((4, len(c.vocab)), np.int64)}
         for kind, bucket, payload in zip(kinds, rows.column("bucket").to_pylist(), payloads):
             if kind != DOCS:
-                sums[kind][:, places[kind].pop(bucket)] = _unpack(payload.as_py())
-        if places[PAIRS] or places[WORDS]:
+                sums[kind][:, places[kind].pop(bucket, _NOTHING)] = _unpack(payload.as_py())
+        if places[PAIRS] or places[WORDS] or kinds.count(WORDS) != buckets:
             raise RuntimeError("a chunk of texts has not all its counts")
+        known, *totals = (sum(x or 0 for x in rows.column(name).to_pylist()) for name in ("words", "target", "background"))
+        size = max(least, known + 1)
         before, word = c.pairs >> 32, c.pairs & 0xFFFFFFFF
         row = np.repeat(np.arange(len(c.counts)), c.counts)
         losses = []
@@ -252,12 +263,12 @@ def train(docs: DataFrame, corpus: DataFrame | None = None, size: int | None = N
 def _joined(parts: DataFrame, asked: DataFrame, models: Models) -> DataFrame:
     """Scores of the chunks of ``asked`` under the counts in ``parts``, which holds ``asked`` too."""
     answers = {kind: parts.mapInArrow(_asked(kind, models.buckets), _ASKED).groupBy("bucket").applyInArrow(_answered(kind), _ANSWERS) for kind in (WORDS, PAIRS)}
-    words = written(answers[WORDS], "lm-words")
-    totals = words.where("chunk IS NULL").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("words", "target", "background"))).first()
-    columns = ["chunk", "bucket", "payload", "kind"]
-    every = asked.select("chunk", F.lit(None).cast("int").alias("bucket"), "payload", F.lit(DOCS).alias("kind"))
-    every = every.unionByName(words.where("chunk IS NOT NULL").select(*columns)).unionByName(answers[PAIRS].select(*columns))
-    return every.groupBy("chunk").applyInArrow(_scored(models.buckets, max(models.size or 0, totals.words + 1), (totals.target, totals.background)), _SCORES)
+    columns = ["chunk", "bucket", "payload", "kind", "words", "target", "background"]
+    nothing = [F.lit(None).cast("long").alias(c) for c in columns[4:]]
+    every = asked.select("chunk", F.lit(None).cast("int").alias("bucket"), "payload", F.lit(DOCS).alias("kind"), *nothing)
+    # Only the chunks are written: every file that a task writes to a local folder is a few helper processes started by its executor.
+    every = every.unionByName(answers[WORDS].select(*columns)).unionByName(answers[PAIRS].select(*columns))
+    return every.groupBy("chunk").applyInArrow(_scored(models.buckets, models.size or 0), _SCORES)
 
 
 def score_trained(models: Models) -> DataFrame:

@@ -292,6 +292,32 @@ def test_lm_counts_every_word_and_bigram(spark):
         assert np.allclose([found[k].target_loss for k in range(100)], want[0]) and np.allclose([found[k].background_loss for k in range(100)], want[1])
 
 
+def test_lm_writes_its_chunks_and_nothing_else(spark, monkeypatch):
+    """Totals come with the answers of all buckets, also to a chunk that has words in few of them."""
+    names = []
+    keep = lm_scoring.written
+    monkeypatch.setattr(lm_scoring, "written", lambda df, name, *rest: names.append(name) or keep(df, name, *rest))
+    df = spark.createDataFrame([(k, f"a b w{k}", k == 0) for k in range(3)], "doc_id long, text string, is_target boolean").repartition(3, "doc_id")
+    got = {r.doc_id: r for r in lm_scoring.score_trained(lm_scoring.train(df, asks=True)).collect()}
+    assert names == ["lm-chunks"]
+    # Nine words, five of them different. A first word and a "b" after "a" are certain, each last word follows "b" in a third.
+    total = 9 + 5 + 1
+    want = [0.6 + 0.4 * 4 / total, 0.6 + 0.4 * 4 / total, 0.6 / 3 + 0.4 * 2 / total]
+    assert all(got[k].background_loss == pytest.approx(-np.mean(np.log(want))) for k in range(3))
+
+
+def test_lm_chunks_of_long_texts(spark):
+    """A chunk closes at its size, however long the texts of a batch are."""
+    texts = [" ".join(f"w{(7 * k + j) % 1013}{k}" for j in range(400_000)) for k in range(7)]
+    df = spark.createDataFrame([(k, t, k < 3) for k, t in enumerate(texts)], "doc_id long, text string, is_target boolean").coalesce(1)
+    models = lm_scoring.train(df, asks=True)
+    assert models.parts.count() == 3
+    got = lm_scoring.score_trained(models).collect()
+    assert sorted((r.doc_id, r.n_words) for r in got) == [(k, 400_000) for k in range(7)]
+    cuts = list(lm_scoring._cuts(np.cumsum([0, 0, 5, lm_scoring.PART_BYTES, lm_scoring.PART_BYTES + 9, 1, 0])))
+    assert cuts == [(0, 2), (2, 3), (3, 4), (4, 6)]
+
+
 def test_encoder_equals_the_library():
     e = Encoder.of(vocabulary_path())
     rng = random.Random(6)
