@@ -288,7 +288,7 @@ def _measuring(path: str, window: int):
             for at in range(0, len(batch), 1000):
                 rows = batch.slice(at, 1000)
                 cols: list[list] = [[] for _ in range(7)]
-                for ids in encoder.ended(rows.column(1).to_pylist()):
+                for ids in encoder.ended(rows.column(1)):
                     whole, tail = divmod(len(ids), window)
                     values = (len(ids), part, tail, int(tails[tail]), full, [_crc(ids[k * window : (k + 1) * window]) for k in range(whole)], _crc(ids[whole * window :]))
                     for c, v in zip(cols, values):
@@ -337,8 +337,8 @@ def _cutting(path: str, window: int):
             for at in range(0, len(batch), 1000):
                 rows = batch.slice(at, 1000)
                 out: list[tuple] = []
-                texts, rest = rows.column(1).to_pylist(), rows.drop_columns(["text"]).to_pylist()
-                for r, ids in zip(rest, encoder.ended(texts)):
+                rest = rows.drop_columns(["text"]).to_pylist()
+                for r, ids in zip(rest, encoder.ended(rows.column(1))):
                     tail = len(ids) // window * window
                     if len(ids) == r["doc_tokens"] and _crc(ids[tail:]) == r["tail_crc"]:
                         out.append((r["doc_id"], r["doc_tokens"], r["tail_crc"], r["cut_at"], _crc(ids[tail : r["cut_at"]]), _crc(ids[r["cut_at"] :])))
@@ -401,7 +401,7 @@ def sequences(docs: DataFrame, pieces: DataFrame, path: str | None = None, windo
         for batch in batches:
             out = [
                 (x["sequence_id"], x["offset"], ids[x["start"] : x["start"] + x["length"]].astype(np.int32))
-                for ids, p in zip(encoder.ended(batch.column(0).to_pylist()), batch.column(1).to_pylist()) for x in p
+                for ids, p in zip(encoder.ended(batch.column(0)), batch.column(1).to_pylist()) for x in p
             ]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.list_(pa.int32()))], ["sequence_id", "offset", "ids"])
 

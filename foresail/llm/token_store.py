@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,20 +31,28 @@ MASK_BITS = 8  #: a cut every 256 ids on average
 LEAST, MOST = 64, 2048
 _RNG = np.random.Generator(np.random.PCG64(49))
 _GEAR = _RNG.integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
-_STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
+_STEP = 0x9E3779B97F4A7C15 | 1
+_SHIFTS = [np.uint64(pow(_STEP, k, 1 << 64)) for k in range(WINDOW + 1)]
+_POWERS = [np.uint64(pow(_STEP, 1 << k, 1 << 64)) for k in range(WINDOW.bit_length())]
+BLOCK = 1 << 15  #: ids hashed at a time
 
 
 def marks(ids: np.ndarray) -> np.ndarray:
-    """Places after which the hash of the last WINDOW ids asks for a cut."""
-    n = len(ids)
-    rolling = np.zeros(n, dtype=np.uint64)
-    factor = np.uint64(1)
-    gear = _GEAR[ids & 0xFFFF]
-    with np.errstate(over="ignore"):
-        for back in range(min(WINDOW, n)):
-            rolling[back:] += gear[: n - back] * factor
-            factor = factor * _STEP
-    return np.flatnonzero((rolling >> np.uint64(64 - MASK_BITS)) == 0) + 1
+    """Places after which the hash of the last WINDOW ids asks for a cut: the sum of their gears, each times _STEP to its distance."""
+    found = []
+    for at in range(0, len(ids), BLOCK):
+        first = max(0, at - WINDOW + 1)
+        g = _GEAR[ids[first : at + BLOCK] & 0xFFFF]
+        # Sums over 1, 2, 4, ... ids, each from two of half as many; those that WINDOW is made of are added up.
+        rolling, done = np.zeros(len(g), dtype=np.uint64), 0
+        for k, power in enumerate(_POWERS):
+            span = 1 << k
+            if WINDOW & span:
+                rolling[done:] += g[: max(0, len(g) - done)] * _SHIFTS[done]
+                done += span
+            g[span:] += g[:-span] * power
+        found.append(np.flatnonzero((rolling[at - first :] >> np.uint64(64 - MASK_BITS)) == 0) + (at + 1))
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
 def chunk_ends(found: list[int], start: int, stop: int) -> list[int]:
@@ -101,7 +110,7 @@ def _staging(path: str):
             for at in range(0, len(batch), 1000):
                 part = batch.slice(at, 1000)
                 sizes, places, names, counts, own, new, new_counts, data = [], [0], [], [], [0], [], [], []
-                streams = list(encoder.ended(part.column(1).to_pylist()))
+                streams = list(encoder.ended(part.column(1)))
                 for ids, ends in zip(streams, all_cuts(streams)):
                     last, raw, width = 0, ids.tobytes(), ids.itemsize
                     for end in ends:
@@ -195,7 +204,9 @@ def write_store(docs: DataFrame, location: str, path: str | None = None) -> None
     spark = docs.sparkSession
     ship(spark)
     staged = written(docs.select("doc_id", "text").mapInArrow(_staging(path or vocabulary_path()), _STAGED), "tokens")
-    chunks = staged.select(F.explode("fresh").alias("c")).select("c.*").groupBy("digest").agg(F.max("n").alias("n"), F.max("ids").alias("ids"))
+    # Tasks send a chunk on once, so few meet an equal one before the exchange: they are sorted after it only.
+    fresh = staged.select(F.explode("fresh").alias("c")).select("c.*").repartition("digest").sortWithinPartitions("digest")
+    chunks = fresh.groupBy("digest").agg(F.max("n").alias("n"), F.max("ids").alias("ids"))
     chunks.sortWithinPartitions("digest").write.option("compression", "zstd").parquet(f"{location}/chunks")
     recipes = numbered(staged.select("doc_id", "n_tokens", "chunks"), "n_tokens", "doc_id", "n_tokens")
     discard(staged)
@@ -212,15 +223,14 @@ _CHECKED = "digest binary, stored_n int, crc long, sound boolean"
 
 def _checked(width: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = np.dtype(width).itemsize
         for batch in batches:
-            names, stored = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            sizes, crcs, sound = [], [], []
-            for d, data in zip(names, stored):
-                ids = np.frombuffer(data, width)
-                sizes.append(len(ids))
-                crcs.append(zlib.crc32(ids.astype("<u4").tobytes()))
+            names, crcs, sound = batch.column(0).to_numpy(zero_copy_only=False).tolist(), [], []
+            for d, data in zip(names, batch.column(1).to_numpy(zero_copy_only=False).tolist()):
+                crcs.append(zlib.crc32(np.frombuffer(data, width).astype("<u4")))
                 sound.append(digest(data) == d)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(crcs, pa.int64()), pa.array(sound)], ["digest", "stored_n", "crc", "sound"])
+            sizes = pc.divide(pc.binary_length(batch.column(1)), size).cast(pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(crcs, pa.int64()), pa.array(sound)], ["digest", "stored_n", "crc", "sound"])
 
     return run
 

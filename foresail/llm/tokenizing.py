@@ -3,21 +3,38 @@
 The vocabulary drops white space before it merges, so ids of a text are those of its
 pieces between spaces, one after another. Pieces repeat, so each worker keeps the ids of
 those it has met (in two generations of bounded size) and asks the library for the rest.
+Texts are cut, and their ids put together, by Arrow and numpy, about RUN bytes at a time;
+Python sees each different piece of these once.
 """
 
 from __future__ import annotations
 
+import json
 import os
-from collections.abc import Iterable
+import string
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from .textkit import text_bytes
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 #: Pieces kept by a worker: two generations of so many; a piece of over LONG characters is not kept.
 KEPT, LONG = 600_000, 64
-#: Marks that are tokens apart from a letter before them, and a control character that parts pieces sent to the library together.
-MARKS, APART = ".,;:!?", "\x01"
+#: Marks of which a run is a word of its own after letters, and a control character that parts pieces sent to the library together.
+MARKS, APART = string.punctuation, "\x01"
+RUN = 1 << 22  #: bytes of texts encoded at a time; a single text is never divided
+_CLEAN = np.arange(256, dtype=np.uint8)
+_CLEAN[65:91] = _CLEAN[97:123]  # A-Z become a-z
+_CLEAN[10] = 32  # and a line's end a space
+#: Words of Latin letters in lower case pass this normaliser, and those of ASCII this pre-tokeniser, as they are.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -34,6 +51,33 @@ def _is_latin(text: str) -> bool:
     return True
 
 
+def _is_word(piece: str) -> bool:
+    """Whether it is Latin letters only: one word to the vocabulary."""
+    return piece.isalpha() and (piece.isascii() or _is_latin(piece))
+
+
+def _cleaned(column: pa.Array) -> pa.Array:
+    """The texts with spaces for line ends, null ones empty, and in lower case, as the vocabulary has it, where all is Latin-1.
+
+    Beyond Latin-1 lower case is left to the library, and where it could make a special token.
+    """
+    data, offsets = text_bytes(column)
+    clean = _CLEAN[data]
+    if len(data):
+        # Latin-1 letters are two bytes, the first 0xC3 for those that have a case; what is beyond begins with 0xC4 or more.
+        after = np.flatnonzero(data[:-1] == 0xC3) + 1
+        upper = after[(data[after] < 0x9F) & (data[after] != 0x97)]
+        clean[upper] += 0x20
+        beyond = np.flatnonzero(data >= 0xC4)
+        as_is = set((np.searchsorted(offsets, beyond, "right") - 1).tolist()) if len(beyond) else set()
+        as_is.update(np.flatnonzero(pc.match_substring(column, "<|").fill_null(False).to_numpy(zero_copy_only=False)).tolist())
+        for row in as_is:
+            a, b = offsets[row], offsets[row + 1]
+            part = data[a:b]
+            clean[a:b] = np.where(part == 10, np.uint8(32), part)
+    return pa.LargeStringArray.from_buffers(len(column), pa.py_buffer(offsets), pa.py_buffer(clean))
+
+
 class Encoder:
     """Little-endian unsigned 16- or 32-bit ids of texts; one a worker and vocabulary file.
 
@@ -46,6 +90,7 @@ class Encoder:
     def __init__(self, path: str, splits: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.splits = splits
@@ -58,6 +103,13 @@ class Encoder:
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
+        #: For words in lower case, of Latin-1 and of ASCII: the same model without the steps that leave them as they are.
+        self.latin = self.ascii = self.tokenizer
+        steps = [x and json.loads(x.__getstate__()) for x in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer)]
+        if steps == [_NORMALIZER, _PRE_TOKENIZER]:
+            self.latin, self.ascii = Tokenizer(self.tokenizer.model), Tokenizer(self.tokenizer.model)
+            self.latin.pre_tokenizer = self.tokenizer.pre_tokenizer
+            self.ascii.pre_tokenizer = WhitespaceSplit()
 
     @classmethod
     def of(cls, path: str, splits: bool = True) -> Encoder:
@@ -67,103 +119,121 @@ class Encoder:
 
     def ids(self, text: str | None) -> np.ndarray:
         """The ids of one whole text, without an end id."""
-        return np.frombuffer(self._raw([text])[0], self.type)
+        return next(iter(self.ended([text])))[:-1]
 
-    def _raw(self, texts: list[str | None]) -> list[bytes]:
-        """The ids' bytes of each text. What is unknown in any of them goes to the library together."""
-        if not self.splits:
-            return [x.tobytes() for x in self._ask([t or "" for t in texts])]
+    def _run(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The ids and the end id of each text. What is unknown in any of them goes to the library together."""
         if len(self.new) > KEPT:
             self.old, self.new = self.new, {}
-        every = [self._pieces(t) for t in texts]
-        unknown = set().union(*every).difference(self.new)
-        long = self._learn(unknown) if unknown else {}
-        known = self.new.__getitem__
-        if long:
-            return [b"".join([long[p] if p in long else known(p) for p in pieces]) for pieces in every]
-        return [b"".join(map(known, pieces)) for pieces in every]
-
-    @staticmethod
-    def _pieces(text: str | None) -> list[str]:
-        if not text:
-            return []
-        if "<|" not in text:  # else lower case could make a special token
-            try:
-                text.encode("latin-1")
-                text = text.lower()  # as the vocabulary does; beyond Latin-1 it is left to the library
-            except UnicodeEncodeError:
-                pass
-        return text.replace("\n", " ").split(" ")
-
-    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """Make pieces known; those too long to keep are returned."""
-        new, old, marked, ask = self.new, self.old, [], set()
+        lists = pc.split_pattern(_cleaned(column), " ")
+        pieces = lists.flatten().dictionary_encode()
+        every = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        raw = list(map(self.new.get, every))
+        unknown = [k for k, r in enumerate(raw) if r is None]
+        if unknown:
+            long = self._learn([every[k] for k in unknown])
+            for k in unknown:
+                p = every[k]
+                raw[k] = long[p] if p in long else self.new[p]
+        raw.append(np.array([END_ID], self.type).tobytes())
+        values = np.frombuffer(b"".join(raw), self.type)
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // self.type.itemsize
+        starts = np.cumsum(sizes) - sizes
+        # The last of the different pieces is the end id, which follows each text's own.
+        stops = np.asarray(lists.offsets)[1:].astype(np.int64)
+        order = np.insert(pieces.indices.to_numpy(), stops, len(every))
+        lengths = sizes[order]
+        ends = np.cumsum(lengths)
+        ids = values[np.repeat(starts[order] - ends + lengths, lengths) + np.arange(ends[-1])]
+        at = 0
+        for end in ends[stops + np.arange(len(stops))].tolist():
+            yield ids[at:end]
+            at = end
+
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """Make pieces known, each named once; those too long to keep are returned."""
+        new, old = self.new, self.old
+        words, stems, others, marked = [], set(), [], []
         for p in pieces:
             if p in old:
                 new[p] = old[p]
-            elif p[-1:] in MARKS and p[-2:-1].isalpha() and p[-2] < "\u0100":
-                marked.append(p)
-                stem = p[:-1]
-                if stem in new:
+            elif p.isalpha() and (p.isascii() or _is_latin(p)):
+                words.append(p)
+            else:
+                stem = p.rstrip(MARKS)
+                if not stem or len(stem) == len(p) or not _is_word(stem):
+                    others.append(p)
                     continue
+                marked.append((p, stem))
                 if stem in old:
                     new[stem] = old[stem]
-                else:
-                    ask.add(stem)
-            else:
-                ask.add(p)
+                elif stem not in new:
+                    stems.add(stem)
         long: dict[str, bytes] = {}
-        self._fill(list(ask), long)
-        for p in marked:
-            stem = p[:-1]
-            (new if len(p) <= LONG else long)[p] = (long[stem] if stem in long else new[stem]) + self._mark(p[-1])
+        self._fill(words + list(stems.difference(words)), others, long)
+        for p, stem in marked:
+            (new if len(p) <= LONG else long)[p] = (long[stem] if stem in long else new[stem]) + self._mark(p[len(stem) :])
         return long
 
     def _mark(self, mark: str) -> bytes:
-        if mark not in self.marks:
-            self.marks[mark] = self._ask([mark])[0].tobytes()
-        return self.marks[mark]
-
-    def _fill(self, ask: list[str], long: dict[str, bytes]) -> None:
+        if mark in self.marks:
+            return self.marks[mark]
+        raw = self._ask([mark])[0].tobytes()
+        if len(mark) <= 3 or len(self.marks) < 10_000 and len(mark) <= LONG:
+            self.marks[mark] = raw
+        return raw
+
+    def _fill(self, words: list[str], others: list[str], long: dict[str, bytes]) -> None:
         """Ask the library for pieces, many in one text.
 
         A piece of Latin letters is one word to the vocabulary, and a word's last id says that it ends a word.
         Others have a control character between them, and those that hold it are asked for one by one.
         """
-        words = [p for p in ask if p.isalpha() and _is_latin(p)]
-        known = set(words)
-        others = [p for p in ask if p not in known]
+        latin = [p for p in words if not p.isascii()]
+        words = [p for p in words if p.isascii()]
         alone = [p for p in others if APART in p]
         others = [p for p in others if APART not in p]
         apart = np.frombuffer(self._mark(APART), self.type)
         mark = np.zeros(len(self.ends_word), dtype=bool)
         mark[apart[-1:]] = len(apart) == 1
-        for pieces, between, ends, skip in ((words, " ", self.ends_word, 0), (others, f" {APART} ", mark, 1)):
+        width = self.type.itemsize
+        for pieces, between, ends, tokenizer in ((words, " ", self.ends_word, self.ascii), (latin, " ", self.ends_word, self.latin), (others, f" {APART} ", mark, None)):
+            skip = 0 if tokenizer else 1
             for at in range(0, len(pieces), 1000):
                 part = pieces[at : at + 1000]
-                ids = self._ask([between.join(part)])[0]
-                stops = (np.flatnonzero(ends[ids]) + 1 - skip).tolist()
+                text = between.join(part)
+                ids = self._ask([text.lower()], tokenizer)[0] if tokenizer else self._ask([text])[0]
+                stops = (np.flatnonzero(ends[ids]) + 1 - skip) * width
                 if skip:
-                    stops.append(len(ids))
+                    stops = np.append(stops, len(ids) * width)
                 if len(stops) != len(part):
                     alone += part
                     continue
-                data, width, start = ids.tobytes(), self.type.itemsize, 0
-                for p, stop in zip(part, stops):
-                    (self.new if len(p) <= LONG else long)[p] = data[start * width : stop * width]
-                    start = stop + skip
+                data, stops = ids.tobytes(), stops.tolist()
+                starts = [0, *(x + skip * width for x in stops[:-1])]
+                for p, start, stop in zip(part, starts, stops):
+                    (self.new if len(p) <= LONG else long)[p] = data[start:stop]
         for p, ids in zip(alone, self._ask(alone) if alone else []):
             (self.new if len(p) <= LONG else long)[p] = ids.tobytes()
 
-    def _ask(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, self.type) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ask(self, texts: list[str], tokenizer=None) -> list[np.ndarray]:
+        return [np.array(e.ids, self.type) for e in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
 
     def rest(self) -> None:
         """At a task's end: a worker that waits holds one generation only."""
         self.old = {}
 
-    def ended(self, texts: Iterable[str | None]) -> Iterable[np.ndarray]:
+    def ended(self, texts: pa.Array | Iterable[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text and the end id."""
-        end = np.array([END_ID], self.type).tobytes()
-        for raw in self._raw(list(texts)):
-            yield np.frombuffer(raw + end, self.type)
+        if not self.splits:
+            texts = texts.to_pylist() if isinstance(texts, pa.Array) else list(texts)
+            for ids in self._ask([t or "" for t in texts]):
+                yield np.append(ids, np.array(END_ID, self.type))
+            return
+        column = texts if isinstance(texts, pa.Array) else pa.array(list(texts), pa.large_string())
+        sizes = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(column):
+            to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + RUN, "right")))
+            yield from self._run(column.slice(at, to - at))
+            at = to

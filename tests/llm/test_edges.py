@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -318,6 +320,31 @@ def test_lm_chunks_of_long_texts(spark):
     assert cuts == [(0, 2), (2, 3), (3, 4), (4, 6)]
 
 
+def test_encoder_asks_for_a_word_once():
+    e = Encoder(vocabulary_path())
+    asked = []
+    ask = e._ask
+    e._ask = lambda texts, *which: asked.extend(texts) or ask(texts, *which)
+    texts = ["Stemword*** stemword... stemword,\n(stemword) ÉTÉ", None, "", "stemword&&&  日本 stemword STEMWORD?!", "<|stemword"]
+    want = [x.ids + [2] for x in e.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert [x.tolist() for x in e.ended(pa.array(texts))] == want
+    assert sorted(w for t in asked for w in t.split() if "stemword" in w) == ["(stemword)", "<|stemword", "stemword", "stemword"]  # the last is STEMWORD beyond Latin-1
+    assert [x.tolist() for x in e.ended(pa.array(["x", *texts])[1:])] == want
+
+
+def test_marks_in_little_memory():
+    ids = np.random.default_rng(3).integers(0, 49_000, 400_001).astype(np.uint16)
+    tracemalloc.start()
+    got = token_store.marks(ids)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3_000_000
+    sums = np.zeros(len(ids), np.uint64)
+    for back in range(token_store.WINDOW):
+        sums[back:] += token_store._GEAR[ids[: len(ids) - back]] * np.uint64(pow(0x9E3779B97F4A7C15, back, 1 << 64))
+    assert got.tolist() == (np.flatnonzero(sums >> np.uint64(56) == 0) + 1).tolist()
+
+
 def test_encoder_equals_the_library():
     e = Encoder.of(vocabulary_path())
     rng = random.Random(6)
