@@ -382,6 +382,16 @@ def test_shared_passages_are_stored_once():
     assert token_store.crc_join(zlib.crc32(b"ab"), zlib.crc32(b"cde"), 3) == zlib.crc32(b"abcde")
 
 
+def test_crcs_of_many_messages_are_joined_at_once():
+    rng = random.Random(8)
+    messages = [[rng.randbytes(rng.choice([0, 4, 260, 8192])) for _ in range(rng.randint(0, 9))] for _ in range(300)] + [[b"abcd"] * 40_000]
+    parts = [p for m in messages for p in m]
+    ends = np.cumsum([0, *map(len, messages)])
+    got = token_store.crcs_joined(np.array([zlib.crc32(p) for p in parts]), np.array(list(map(len, parts))), ends)
+    assert got.tolist() == [zlib.crc32(b"".join(m)) for m in messages]
+    assert token_store.crcs_joined(np.zeros(0, np.int64), np.zeros(0, np.int64), np.array([0, 0])).tolist() == [0]
+
+
 def check_pieces(rows, texts, window):
     e = Encoder.of(vocabulary_path())
     ids = [x.tolist() for x in e.ended(texts)]
