@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 SEGMENT = 1 << 18  #: bytes handled at a time: bounds the memory of the prefix sums
+PART_BYTES = 1 << 21  #: bytes of rows whose words are held at a time, but for a longer row
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _TABLE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TABLE[65:91] = _TABLE[97:123]  # A-Z count as a-z
@@ -111,9 +112,23 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return np.concatenate(hashes), np.bincount(np.concatenate(rows), minlength=len(offsets) - 1)
 
 
+def _runs(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Rows at .. to of about PART_BYTES each; a single row is never divided."""
+    at, n = 0, len(offsets) - 1
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PART_BYTES, "right")) - 1)
+        yield at, to
+        at = to
+
+
 def shingle_sets(column: pa.Array, width: int = 5) -> Iterator[np.ndarray]:
     """For each row the sorted distinct hashes of its word shingles; with fewer words than ``width`` the whole sequence is one, without words none."""
     data, offsets = text_bytes(column)
+    for first, last in _runs(offsets):
+        yield from _shingle_sets(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], width)
+
+
+def _shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[np.ndarray]:
     words, counts = word_hashes(data, offsets)
     n = len(words) - width + 1
     if n > 0:

@@ -382,6 +382,20 @@ def test_shared_passages_are_stored_once():
     assert token_store.crc_join(zlib.crc32(b"ab"), zlib.crc32(b"cde"), 3) == zlib.crc32(b"abcde")
 
 
+def test_shingles_of_long_texts_in_little_memory():
+    rng = random.Random(9)
+    words = [f"{rng.getrandbits(24):x}" for _ in range(5000)]
+    texts = [" ".join(rng.choices(words, k=n)) for n in [0, 3, *[40_000] * 60, 500_000, 7, 40_000]]
+    column = pa.array([None, *texts])
+    want = [next(textkit.shingle_sets(pa.array([t], pa.string()))).tolist() for t in texts]
+    tracemalloc.start()
+    assert all(x.tolist() == w for x, w in zip(textkit.shingle_sets(column[1:]), want, strict=True))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60_000_000
+    assert next(textkit.shingle_sets(column)).tolist() == []
+
+
 def test_crcs_of_many_messages_are_joined_at_once():
     rng = random.Random(8)
     messages = [[rng.randbytes(rng.choice([0, 4, 260, 8192])) for _ in range(rng.randint(0, 9))] for _ in range(300)] + [[b"abcd"] * 40_000]
