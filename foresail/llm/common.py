@@ -43,6 +43,19 @@ def sweep(spark: SparkSession) -> None:
     remove(spark, f"{shared_dir(spark)}/foresail/{spark.sparkContext.applicationId}")
 
 
+def _local_options(spark: SparkSession, path: str) -> dict[str, str]:
+    """Options of a write to a folder of the machine: without Hadoop's checksum files beside the parts.
+
+    Without its native library Hadoop starts a ``chmod`` process for every file and folder that it makes, so a part
+    with a checksum takes three, and one without takes two. Another file system that the session sets stays.
+    """
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    local = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf).getUri().getScheme() == "file"
+    if not local or conf.get("fs.file.impl"):
+        return {}
+    return {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
 def written(df: DataFrame, name: str, partitions: list[str] | None = None) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet in the shared folder and read it again.
 
@@ -54,7 +67,7 @@ def written(df: DataFrame, name: str, partitions: list[str] | None = None) -> Da
     writer = df.write
     if partitions:
         writer = writer.partitionBy(*partitions)
-    writer.option("compression", "zstd").parquet(path)
+    writer.options(**_local_options(spark, path)).option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path  # type: ignore[attr-defined]
     return out

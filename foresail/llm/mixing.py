@@ -50,6 +50,17 @@ def domain_of(source: Column) -> Column:
     return F.when(number == "", "other").when(number.cast("int") < 10, "web").otherwise("curated")
 
 
+def leaf_of(docs: DataFrame) -> list[Column]:
+    """domain, lang, source of each row; null language or source is the empty name."""
+    names = [F.coalesce(docs[c], F.lit("")) for c in ("lang", "source")]
+    return [c.alias(level) for c, level in zip([domain_of(docs["source"]), *names], LEVELS)]
+
+
+def order_of(plan: MixPlan, epoch: Column) -> Column:
+    """By what an epoch is ordered: md5 of seed, epoch and doc_id."""
+    return F.md5(F.concat_ws("|", F.lit(str(plan.seed)), epoch.cast("string"), F.col("doc_id").cast("string")))
+
+
 def token_table(docs: DataFrame) -> DataFrame:
     """doc_id, domain, lang, source, tokens. Tokens are words; rows of one doc_id and leaf count together.
 
@@ -58,9 +69,7 @@ def token_table(docs: DataFrame) -> DataFrame:
     """
     rows = docs.where(docs["doc_id"].isNotNull()).select(
         "doc_id",
-        domain_of(docs["source"]).alias("domain"),
-        F.coalesce(docs["lang"], F.lit("")).alias("lang"),
-        F.coalesce(docs["source"], F.lit("")).alias("source"),
+        *leaf_of(docs),
         F.regexp_count(F.coalesce(docs["text"], F.lit("")), F.lit(WORD_CLASS)).cast("long").alias("tokens"),
     )
     return rows.groupBy("doc_id", *LEVELS).agg(F.sum("tokens").alias("tokens"))
@@ -118,7 +127,7 @@ def select(docs: DataFrame, plan: MixPlan) -> DataFrame:
         "doc_id", *LEVELS, "tokens", F.col("budget").alias("leaf_budget"),
         F.expr("budget div total").alias("whole"), F.expr("budget % total").alias("rest"),
     )
-    rows = rows.withColumn("h", F.md5(F.concat_ws("|", F.lit(str(plan.seed)), F.col("whole").cast("string"), F.col("doc_id").cast("string"))))
+    rows = rows.withColumn("h", order_of(plan, F.col("whole")))
     rows = written(rows, "mix-rows")
     out = ["doc_id", *LEVELS, "tokens", "epoch", "leaf_budget"]
     parts = [rows.where("whole > 0").withColumn("epoch", F.explode(F.expr("sequence(0L, whole - 1)"))).select(*out)]
@@ -149,9 +158,24 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mixture, each once, with all their columns; rows without a doc_id or a word go, as they cannot be drawn. An empty table stays empty."""
-    taken = select(docs, PIPELINE_PLAN).select("doc_id").distinct()
-    return docs.join(taken, "doc_id", "left_semi").select(*docs.columns)
+    """The documents of the mixture, each once, with all their columns; rows without a doc_id or a word go, as they cannot be drawn. An empty table stays empty.
+
+    Texts are read where they lie, neither shuffled nor sorted: what a leaf gives to its first epoch is a prefix of that
+    epoch's order, so a row is held against the last one drawn from its leaf. Only ids that stand in several leaves are listed, as
+    their rows stay together if any is drawn.
+    """
+    drawn = written(select(docs, PIPELINE_PLAN).where("epoch = 0").select("doc_id", *LEVELS), "mix-drawn")
+    order = F.struct(order_of(PIPELINE_PLAN, F.lit(0)).alias("h"), F.col("doc_id"))
+    last = written(drawn.groupBy(*LEVELS).agg(F.max(order).alias("mix_last")), "mix-last")
+    places = docs.where("doc_id IS NOT NULL").select("doc_id", F.struct(*leaf_of(docs)).alias("leaf"))
+    several = places.groupBy("doc_id").agg(F.min("leaf").alias("l0"), F.max("leaf").alias("l1")).where("l0 <> l1").select("doc_id")
+    several = written(several.join(drawn, "doc_id", "left_semi").withColumn("mix_any", F.lit(True)), "mix-several")
+    discard(drawn)
+    keys = [c.alias(f"mix_{level}") for c, level in zip(leaf_of(docs), LEVELS)]
+    last = last.select(*[F.col(level).alias(f"mix_{level}") for level in LEVELS], "mix_last")
+    rows = docs.where("doc_id IS NOT NULL").select(*docs.columns, *keys).join(last, [f"mix_{level}" for level in LEVELS], "left")
+    rows = rows.join(several, "doc_id", "left").where((order <= F.col("mix_last")) | F.col("mix_any"))
+    return rows.select(*docs.columns)
 
 
 def _weight_sql(plan: MixPlan, level: str) -> str:
