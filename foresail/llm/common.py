@@ -56,6 +56,15 @@ def _local_options(spark: SparkSession, path: str) -> dict[str, str]:
     return {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
 
+def parted(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` with whole-number ``keys`` that the planner takes for new columns.
+
+    A join by them then deals the rows anew by a plain exchange, also where they come from an aggregate or a join by
+    the same keys, so adaptive execution can split a hot key on the other side. Costs a shuffle, but no file.
+    """
+    return df.withColumns({k: F.col(k).bitwiseXOR(F.lit(0)) for k in keys})
+
+
 def written(df: DataFrame, name: str, partitions: list[str] | None = None) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet in the shared folder and read it again.
 

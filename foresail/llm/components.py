@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import discard, parted, written
 
 
 def _least(pairs: DataFrame) -> DataFrame:
-    """Each u with the least of itself and its v: summed up before the shuffle, written, so that a join with it can split a hot u."""
-    return written(pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "least")
+    """Each u with the least of itself and its v: summed up before the shuffle, dealt anew, so that a join with it can split a hot u."""
+    return parted(pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "u")
 
 
 def _settled(now: DataFrame) -> bool:
@@ -33,12 +33,12 @@ def components(edges: DataFrame) -> DataFrame:
         low = _least(both)
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         large = written(large, "large-star")
-        discard(low, now)
+        discard(now)
         low = _least(large)
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         now = written(small, "small-star")
-        discard(low, large)
+        discard(large)
         if _settled(now):
             break
     return now.select(F.col("u").alias("v"), F.col("v").alias("root")).unionByName(now.select("v", F.col("v").alias("root")).distinct())

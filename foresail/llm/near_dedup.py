@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, ship, table, written
+from .common import discard, parted, ship, table, written
 from .components import components
 from .textkit import mix, shingle_sets
 
@@ -126,19 +126,17 @@ def _rooted(reps: DataFrame, docs: DataFrame) -> DataFrame:
     """
     keys = written(reps.mapInArrow(_keys, "key long, rep long"), "near-keys")
     shared = keys.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("n")).where("least <> last").select("key", "n")
-    shared = written(shared, "near-shared")
-    plain = written(keys.join(shared, "key"), "near-plain")
-    discard(keys, shared)
+    plain = written(keys.join(parted(shared, "key"), "key"), "near-plain")
+    discard(keys)
     # The text that a family of copies comes from holds the values most of them hold, so its buckets are the largest.
-    weights = written(plain.groupBy("rep").agg(F.sum("n").alias("weight")), "near-weights")
-    met = written(plain.select("key", "rep").join(weights, "rep"), "near-weighed")
+    weights = plain.groupBy("rep").agg(F.sum("n").alias("weight"))
+    met = written(plain.select("key", "rep").join(parted(weights, "rep"), "rep"), "near-weighed")
     # Signatures tie often, and the source's own cannot be told from a close copy's: four leaders, by four orders of ties.
     ties = [-F.col("rep"), F.col("rep"), F.xxhash64("rep", F.lit(1)), F.xxhash64("rep", F.lit(2))]
     best = [F.max(F.struct("weight", t.alias("t"), "rep")).alias(f"m{k}") for k, t in enumerate(ties)]
     leads = met.groupBy("key").agg(*best).select("key", F.col("m0.rep").alias("lead"), F.array(*[f"m{k}.rep" for k in range(len(ties))]).alias("leads"))
-    leads = written(leads, "near-leads")
-    weighed, met = met, written(met.select("key", "rep").join(leads, "key"), "near-met")
-    discard(plain, leads, weighed)
+    weighed, met = met, written(met.select("key", "rep").join(parted(leads, "key"), "key"), "near-met")
+    discard(plain, weighed)
     # The texts of all documents are gone through once; whatever follows reads those that share a bucket with another.
     members = met.select(F.col("rep").alias("doc_id")).distinct()
     texts = docs.select("doc_id", "text").join(members.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
@@ -148,13 +146,13 @@ def _rooted(reps: DataFrame, docs: DataFrame) -> DataFrame:
     roots = written(components(first), "near-roots")
     placed = met.join(roots.withColumnRenamed("v", "rep"), "rep", "left").select("key", "rep", "lead", F.coalesce("root", "rep").alias("root"))
     placed = written(placed, "near-placed")
-    split = written(placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key"), "near-split")
-    open_ = written(placed.join(split, "key", "left_semi"), "near-open")
-    discard(met, placed, split)
+    split = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
+    open_ = written(placed.join(parted(split, "key"), "key", "left_semi"), "near-open")
+    discard(met, placed)
     cross = _across(open_, reps, texts)
     # A leader's pairs were decided in the first round.
     second = _confirmed(_close(cross.join(first, ["a", "b"], "left_anti"), reps), texts)
-    discard(open_, texts, weights)
+    discard(open_, texts)
     if second.isEmpty():
         return roots
     # Links of the second round join whole components, so only their roots are gone through again.
@@ -167,7 +165,7 @@ def _rooted(reps: DataFrame, docs: DataFrame) -> DataFrame:
 def _ranked(tokens: DataFrame, key: list[str]) -> DataFrame:
     """Rows (rep, root, ``key``) with ``df``, the rows that hold the key, of keys that two components hold. Keys are counted before they are shuffled."""
     held = tokens.groupBy(*key).agg(F.count(F.lit(1)).alias("df"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").drop("r0", "r1")
-    return tokens.join(written(held, "near-held"), key)
+    return tokens.join(parted(held, *key), key)
 
 
 def _alive(open_: DataFrame, reps: DataFrame) -> DataFrame:
@@ -184,7 +182,7 @@ def _alive(open_: DataFrame, reps: DataFrame) -> DataFrame:
     order = Window.partitionBy("rep").orderBy(F.desc("df"), "token")
     kept = ranked.withColumn("from_end", F.row_number().over(order)).where(F.col("from_end") > PLACES - MAX_DISTANCE - 1)
     split = kept.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token")
-    out = written(kept.join(written(split, "near-split"), "token", "left_semi").select("rep", "root", "token"), "near-alive")
+    out = written(kept.join(parted(split, "token"), "token", "left_semi").select("rep", "root", "token"), "near-alive")
     discard(tokens)
     return out
 

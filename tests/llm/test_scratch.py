@@ -4,7 +4,7 @@ import glob
 
 from pyspark.sql import functions as F
 
-from foresail.llm import common, mixing
+from foresail.llm import common, components, mixing, near_dedup
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -33,3 +33,23 @@ def test_scratch_tables_have_no_checksum_files(spark):
     df = common.written(spark.range(100).repartition(3), "test-plain")
     folder = df._scratch.removeprefix("file:").replace("///", "/")
     assert df.count() == 100 and len(glob.glob(f"{folder}/part-*")) == 3 and not glob.glob(f"{folder}/.*.crc")
+
+
+def test_parted_keys_are_dealt_anew(spark):
+    """A join with an aggregate by the same key has plain exchanges on both sides, so that a hot key can be split, without a table between."""
+    rows = spark.range(5000).select((F.col("id") % 7).alias("k"), "id")
+    sums = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    joined = rows.join(common.parted(sums, "k").hint("merge"), "k")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 3 and joined.where("n IN (714, 715)").count() == 5000
+    assert dict(joined.dtypes)["k"] == "bigint"
+
+
+def test_near_duplicates_write_what_is_read_twice(spark, monkeypatch):
+    """Scratch tables of a run with both rounds of links."""
+    names = []
+    for module in (near_dedup, components):
+        monkeypatch.setattr(module, "written", lambda df, name, *a: names.append(name) or common.written(df, name, *a))
+    near_dedup.near_duplicates(spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")).count()
+    assert not {"near-shared", "near-weights", "near-leads", "near-split", "least"} & set(names)
+    assert names.count("near-held") == 1
