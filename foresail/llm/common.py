@@ -43,7 +43,7 @@ def sweep(spark: SparkSession) -> None:
     remove(spark, f"{shared_dir(spark)}/foresail/{spark.sparkContext.applicationId}")
 
 
-def _local_options(spark: SparkSession, path: str) -> dict[str, str]:
+def local_options(spark: SparkSession, path: str) -> dict[str, str]:
     """Options of a write to a folder of the machine: without Hadoop's checksum files beside the parts.
 
     Without its native library Hadoop starts a ``chmod`` process for every file and folder that it makes, so a part
@@ -76,7 +76,7 @@ def written(df: DataFrame, name: str, partitions: list[str] | None = None) -> Da
     writer = df.write
     if partitions:
         writer = writer.partitionBy(*partitions)
-    writer.options(**_local_options(spark, path)).option("compression", "zstd").parquet(path)
+    writer.options(**local_options(spark, path)).option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path  # type: ignore[attr-defined]
     return out

@@ -16,6 +16,7 @@ import hashlib
 import zlib
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, scratch_path, ship, table, written
-from .tokenizing import Encoder, vocabulary_path
+from .common import discard, local_options, scratch_path, ship, table, written
+from .textkit import text_bytes
+from .tokenizing import Encoder, gathered, vocabulary_path
 
 WINDOW = 12  #: ids under the rolling hash
 MASK_BITS = 8  #: a cut every 256 ids on average
@@ -94,7 +96,7 @@ def cuts(ids: np.ndarray) -> list[int]:
     return all_cuts([ids])[0]
 
 
-def digest(data: bytes) -> bytes:
+def digest(data: bytes | memoryview) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
@@ -106,11 +108,12 @@ _STAGED = "doc_id long, n_tokens long, chunks array<struct<digest:binary,n:int>>
 def _staging(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen = Encoder.of(path), {}
-        for batch in batches:
+        for batch in gathered(batches, 1):
+            every = encoder.ended(batch.column(1))
             for at in range(0, len(batch), 1000):
                 part = batch.slice(at, 1000)
                 sizes, places, names, counts, own, new, new_counts, data = [], [0], [], [], [0], [], [], []
-                streams = list(encoder.ended(part.column(1)))
+                streams = list(islice(every, len(part)))
                 for ids, ends in zip(streams, all_cuts(streams)):
                     last, raw, width = 0, ids.tobytes(), ids.itemsize
                     for end in ends:
@@ -203,19 +206,20 @@ def write_store(docs: DataFrame, location: str, path: str | None = None) -> None
     """
     spark = docs.sparkSession
     ship(spark)
+    options = local_options(spark, location)
     staged = written(docs.select("doc_id", "text").mapInArrow(_staging(path or vocabulary_path()), _STAGED), "tokens")
     # Tasks send a chunk on once, so few meet an equal one before the exchange: they are sorted after it only.
     fresh = staged.select(F.explode("fresh").alias("c")).select("c.*").repartition("digest").sortWithinPartitions("digest")
     chunks = fresh.groupBy("digest").agg(F.max("n").alias("n"), F.max("ids").alias("ids"))
-    chunks.sortWithinPartitions("digest").write.option("compression", "zstd").parquet(f"{location}/chunks")
+    chunks.sortWithinPartitions("digest").write.options(**options).option("compression", "zstd").parquet(f"{location}/chunks")
     recipes = numbered(staged.select("doc_id", "n_tokens", "chunks"), "n_tokens", "doc_id", "n_tokens")
     discard(staged)
     ranges = recipes._sources
     in_order = Window.partitionBy("segment").orderBy("start", "doc_id")
     recipes = recipes.withColumn("block", F.floor((F.row_number().over(in_order) - 1) / F.lit(SEGMENT_ROWS)))
-    recipes.write.parquet(f"{location}/recipes")
+    recipes.write.options(**options).parquet(f"{location}/recipes")
     discard(*ranges)
-    _manifest(spark.read.schema(recipes.schema).parquet(f"{location}/recipes")).write.parquet(f"{location}/manifest")
+    _manifest(spark.read.schema(recipes.schema).parquet(f"{location}/recipes")).write.options(**options).parquet(f"{location}/manifest")
 
 
 _CHECKED = "digest binary, stored_n int, crc long, sound boolean"
@@ -226,11 +230,16 @@ def _checked(width: str):
         size = np.dtype(width).itemsize
         for batch in batches:
             names, crcs, sound = batch.column(0).to_numpy(zero_copy_only=False).tolist(), [], []
-            for d, data in zip(names, batch.column(1).to_numpy(zero_copy_only=False).tolist()):
-                crcs.append(zlib.crc32(np.frombuffer(data, width).astype("<u4")))
-                sound.append(digest(data) == d)
-            sizes = pc.divide(pc.binary_length(batch.column(1)), size).cast(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(crcs, pa.int64()), pa.array(sound)], ["digest", "stored_n", "crc", "sound"])
+            data, offsets = text_bytes(batch.column(1))
+            ends = offsets // size
+            if (ends * size != offsets).any():
+                raise ValueError("a chunk that ends within an id")
+            # Ids are widened for all chunks at once, and cut by views.
+            ids, data = memoryview(data.view(width).astype("<u4")), memoryview(data)
+            for d, a, b in zip(names, ends.tolist(), ends[1:].tolist()):
+                crcs.append(zlib.crc32(ids[a:b]))
+                sound.append(digest(data[a * size : b * size]) == d)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends), pa.int32()), pa.array(crcs, pa.int64()), pa.array(sound)], ["digest", "stored_n", "crc", "sound"])
 
     return run
 
@@ -344,10 +353,9 @@ def read_digests(spark: SparkSession, location: str, path: str | None = None) ->
     if lost["n"]:
         raise RuntimeError(f"{location}: {lost['n']} segments with {lost['docs']} recipes are lost")
     chunks = spark.read.parquet(f"{location}/chunks").select("digest", "ids").mapInArrow(_checked(_width(path)), _CHECKED)
-    chunks = written(chunks, "chunk-crcs")
     recipes = spark.read.parquet(f"{location}/recipes")
     parts = recipes.select("start", F.posexplode("chunks").alias("k", "c")).select("start", "k", "c.digest")
-    parts = written(parts, "recipe-parts").join(chunks, "digest", "left")
+    parts = parts.join(chunks, "digest", "left")
     item = F.struct("k", "crc", "stored_n", "sound")
     whole = parts.groupBy("start").agg(F.array_sort(F.collect_list(item)).alias("parts"))
     whole = whole.mapInArrow(_joined, "start long, read_n long, ids_crc32 long, sound boolean").withColumnRenamed("sound", "held")

@@ -355,6 +355,53 @@ def test_encoder_equals_the_library():
     assert [x.tolist() for x in e.ended(texts)] == want
 
 
+@pytest.mark.parametrize("kept", [0, 7, 400])
+def test_encoder_forgets_and_learns_again(kept, monkeypatch):
+    e = Encoder(vocabulary_path())
+    rng = random.Random(kept)
+    words = [*("".join(rng.choice("abcxyzéÀ") for _ in range(rng.randint(1, 12))) for _ in range(300)), "a" * 65, "é" * 70, "x\x01y", "12", "don't", "日本", "a×b", "a-b.", "µ,", "(c)"]
+    texts = [None, "", " "] + [" ".join(rng.choice(words) + rng.choice(["", "", ",", "...", "'", "!?"]) for _ in range(rng.randint(0, 30))) for _ in range(400)]
+    want = [x.ids + [2] for x in e.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    monkeypatch.setattr("foresail.llm.tokenizing.KEPT", kept)
+    monkeypatch.setattr("foresail.llm.tokenizing.RUN", 3000)
+    monkeypatch.setattr("foresail.llm.tokenizing.BLOCK", 700)
+    for _ in range(2):
+        assert [x.tolist() for x in e.ended(texts)] == want
+        assert len(e.new) <= 2 * kept and max(map(len, e.new), default=0) <= 64
+        e.rest()
+
+
+def test_pieces_of_many_batches_are_looked_up_once(monkeypatch):
+    seen = []
+    known = Encoder._known
+    monkeypatch.setattr(Encoder, "_known", lambda self, column: seen.extend(column.to_pylist()) or known(self, column))
+    texts = [f"Word{mark} wordé{mark} (word)\n WORD" for mark in (",", ".", "", "?!") for _ in range(700)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([t])], ["doc_id", "text"]) for k, t in enumerate(texts)]
+    out = list(token_store._staging(vocabulary_path())(iter(batches)))
+    assert [x for b in out for x in b.column(0).to_pylist()] == list(range(len(texts))) and [len(b) for b in out] == [1000, 1000, 800]
+    assert sorted(x for x in seen if x) == sorted(["word", "wordé", "(word)", ",", ".", "?!"])
+
+
+def test_token_store_writes_few_scratch_tables(odd, spark, tmp_path, monkeypatch):
+    names = []
+    written = token_store.written
+    monkeypatch.setattr(token_store, "written", lambda df, name, *rest: names.append(name) or written(df, name, *rest))
+    place = f"file://{tmp_path}/store"
+    token_store.write_store(odd, place)
+    assert token_store.read_digests(spark, place).where("NOT sound").count() == 0
+    assert names == ["tokens", "ranges", "range-totals", "segment-roots"]
+    assert not list((tmp_path / "store").glob("*/.*.parquet.crc"))
+
+
+def test_chunk_that_is_not_its_digest_is_told():
+    ids = np.arange(9, dtype="<u2").tobytes()
+    rows = pa.RecordBatch.from_arrays([pa.array([token_store.digest(ids), token_store.digest(ids), token_store.digest(b"")], pa.binary()), pa.array([ids, ids[2:], b""], pa.binary())], ["digest", "ids"])
+    for batch in (rows, rows.slice(1)):
+        got = pa.Table.from_batches(token_store._checked("<u2")([batch])).to_pylist()
+        want = [(9, zlib.crc32(np.arange(9, dtype="<u4").tobytes()), True), (8, zlib.crc32(np.arange(1, 9, dtype="<u4").tobytes()), False), (0, 0, True)]
+        assert [(r["stored_n"], r["crc"], r["sound"]) for r in got] == want[3 - len(batch) :]
+
+
 def test_token_store_round_trip(odd, none, spark, tmp_path):
     place = f"file://{tmp_path}/store"
     token_store.write_store(odd, place)
