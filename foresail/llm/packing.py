@@ -17,6 +17,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import discard, ship, table, written
-from .tokenizing import Encoder, vocabulary_path
+from .tokenizing import Encoder, gathered, vocabulary_path
 
 WINDOW = 4096
 #: Column generation: rounds at most, triples that a shortest length brings in a round, and steps of least squares in a round and at the end.
@@ -284,11 +285,12 @@ def _measuring(path: str, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = Encoder.of(path), TaskContext.get().partitionId()
         tails, full = np.zeros(window, dtype=np.int64), 0
-        for batch in batches:
+        for batch in gathered(batches, 1):
+            every = encoder.ended(batch.column(1))
             for at in range(0, len(batch), 1000):
                 rows = batch.slice(at, 1000)
                 cols: list[list] = [[] for _ in range(7)]
-                for ids in encoder.ended(rows.column(1)):
+                for ids in islice(every, len(rows)):
                     whole, tail = divmod(len(ids), window)
                     values = (len(ids), part, tail, int(tails[tail]), full, [_crc(ids[k * window : (k + 1) * window]) for k in range(whole)], _crc(ids[whole * window :]))
                     for c, v in zip(cols, values):
@@ -297,7 +299,6 @@ def _measuring(path: str, window: int):
                     full += whole
                 kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64()]
                 yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["doc_id", "n", "part", "tail", "rank_tail", "rank_full", "full_crcs", "tail_crc"])
-        encoder.rest()
 
     return run
 
@@ -343,7 +344,6 @@ def _cutting(path: str, window: int):
                     if len(ids) == r["doc_tokens"] and _crc(ids[tail:]) == r["tail_crc"]:
                         out.append((r["doc_id"], r["doc_tokens"], r["tail_crc"], r["cut_at"], _crc(ids[tail : r["cut_at"]]), _crc(ids[r["cut_at"] :])))
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(6)], ["doc_id", "doc_tokens", "tail_crc", "cut_at", "crc_1", "crc_2"])
-        encoder.rest()
 
     return run
 

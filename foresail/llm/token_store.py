@@ -138,7 +138,6 @@ def _staging(path: str):
                     [part.column(0), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(places, pa.int32()), recipes), pa.ListArray.from_arrays(pa.array(own, pa.int32()), fresh)],
                     ["doc_id", "n_tokens", "chunks", "fresh"],
                 )
-        encoder.rest()
 
     return run
 

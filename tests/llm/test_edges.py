@@ -367,8 +367,7 @@ def test_encoder_forgets_and_learns_again(kept, monkeypatch):
     monkeypatch.setattr("foresail.llm.tokenizing.BLOCK", 700)
     for _ in range(2):
         assert [x.tolist() for x in e.ended(texts)] == want
-        assert len(e.new) <= 2 * kept and max(map(len, e.new), default=0) <= 64
-        e.rest()
+        assert len(e.kept) == len(e.codes) <= kept and max(map(len, e.kept.to_pylist()), default=0) <= 64
 
 
 def test_pieces_of_many_batches_are_looked_up_once(monkeypatch):
